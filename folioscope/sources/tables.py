@@ -18,9 +18,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers of a real cluster; does nothing in local mode or when done already."""
+    """Make this package importable in the session's Python workers, wherever they run; does nothing when done already."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope.zip"
