@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import LATIN_LANGS, language_code, map_arrow, ship_package
 
-#: Texts the model is fitted on at most, taken in the order of a hash of the text; rounds of refitting.
+#: Texts the model is fitted on at most, taken in the order of a hash of their id; rounds of refitting.
 SAMPLE_TEXTS, ROUNDS = 20_000, 2
 #: Price of another language at the end of a sentence and inside one, lowest score of a word, in nats.
 AT_END, INSIDE, FLOOR = 4.0, 60.0, -8.0
@@ -331,8 +331,8 @@ class LanguageModel:
 
 
 def fit_model(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> LanguageModel:
-    """Model from rows (text, lang); at most ``sample`` texts, chosen by a hash of the text, reach the driver."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang").orderBy(F.xxhash64("text"), "text", "lang").limit(sample).collect()
+    """Model from rows (id, text, lang); at most ``sample`` texts, chosen by a hash of the id, reach the driver."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("id", "text", "lang").orderBy(F.xxhash64("id"), "id").limit(sample).select("text", "lang").collect()
     toks = [tokens(r.text) for r in rows]
     model = LanguageModel()
     model.fit(toks, [r.lang for r in rows])
@@ -382,6 +382,6 @@ def found(requests: DataFrame, lookup: dict[str, str], sample: int = SAMPLE_TEXT
     A request delivered again counts once; null source_lang names no language; a null, blank or wordless text is no case.
     """
     r = labelled_requests(requests, lookup)
-    model = fit_model(r.select("text", F.col("declared").alias("lang")), sample)
+    model = fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")), sample)
     s = segments(r, model, keep=("declared",))
     return s.filter((F.col("n_segments") > 1) | F.col("declared").isNull() | (F.col("declared") != F.col("lang"))).select("request_id", "seg_no", "lang")

@@ -24,6 +24,8 @@ from .language import _AT, CODES, LanguageModel, fit_model, labelled_requests, t
 
 #: Neighbouring lengths on each side that a hazard is tested against; false-discovery rate; fewest candidates of a tested length.
 NEIGHBOURS, FALSE_DISCOVERIES, LEAST = 8, 0.01, 4
+#: Texts the language model is fitted on at most.
+LANGUAGE_SAMPLE = 8_000
 #: Nats by which another language must beat the target.
 WRONG = 3.0
 
@@ -199,12 +201,12 @@ def cut_lengths(examined: DataFrame) -> DataFrame:
 
 def _prepared(requests: DataFrame, results: DataFrame, lookup: dict[str, str] | None) -> DataFrame:
     """Examined candidates with their truncation decided; lookup None: languages aren't looked at."""
-    texts = requests.select("text").unionByName(results.select(F.explode("candidates").alias("text")))
+    texts = requests.select(F.col("request_id").alias("id"), "text").unionByName(results.select((-F.col("result_id")).alias("id"), F.explode("candidates").alias("text")))
     endings = fit_endings(texts)
     model = None
     if lookup is not None:
         r = labelled_requests(requests, lookup)
-        model = fit_model(r.select("text", F.col("declared").alias("lang")), 8_000)
+        model = fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")), LANGUAGE_SAMPLE)
     seen = examine(requests, results, model, endings).persist(StorageLevel.DISK_ONLY)
     cuts = cut_lengths(seen).select("backend", "size", F.lit(True).alias("at_limit"))
     cut = (F.col("strength") == 2) | ((F.col("strength") == 1) & F.coalesce("at_limit", F.lit(False)))
