@@ -1 +1 @@
-
+"""Column expressions of the block operators."""
