@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
+_MODULES = ("texts",)
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -24,7 +26,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    pass
+    for m in _MODULES:
+        importlib.import_module(f"folioscope.plans.{m}")
 
 
 def queries() -> dict[str, Callable]:
