@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LATIN_LANGS, language_code, map_arrow, ship_package
+from .common import LATIN_LANGS, bounded_sample, language_code, map_arrow, ship_package
 
 #: Texts the model is fitted on at most, taken in the order of a hash of their id; rounds of refitting.
 SAMPLE_TEXTS, ROUNDS = 20_000, 2
@@ -35,6 +35,9 @@ _TOKEN = re.compile(
 )
 
 
+_PLAIN = re.compile(r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Za-zÀ-ɏ]+(?:-?\d[\w.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]")
+
+
 def _script(c: str) -> str:
     if c < "ʰ":
         return "latin"
@@ -179,7 +182,9 @@ class LanguageModel:
         i = self.gram_index.get(t)
         if i is None:
             s = _script(t[0])
-            if s != "latin":
+            if t.startswith(("@@", "http")):
+                row = None
+            elif s != "latin":
                 row = self._fixed(s, t)
             elif len(t) == 1 or any(c.isdigit() for c in t) or (not t.islower() and t.lower() not in self.words):
                 row = None
@@ -301,6 +306,24 @@ class LanguageModel:
                 out.append((CODES[k], p, b - a))
         return out
 
+    def totals(self, texts: list[str]) -> list[np.ndarray | None]:
+        """For each text its summed n-gram scores (relative to the best of each word, 0); None for a text without words."""
+        flat: list[int] = []
+        cuts, owner = [], []
+        find, index, row = _PLAIN.findall, self.gram_index, self.gram_row
+        for i, t in enumerate(texts):
+            ids = [index[w] if w in index else row(w) for w in find(t)]
+            ids = [k for k in ids if k]
+            if ids:
+                cuts.append(len(flat))
+                owner.append(i)
+                flat += ids
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if flat:
+            for i, s in zip(owner, np.add.reduceat(np.array(self.rows, np.float32)[np.array(flat)], np.array(cuts), axis=0)):
+                out[i] = s
+        return out
+
     def posteriors(self, toks: list[list[str]]) -> list[list[np.ndarray]]:
         """For each text the summed n-gram scores (relative to the best, 0) of its sentences that hold words."""
         flat, cuts, owner = [], [], []
@@ -332,7 +355,7 @@ class LanguageModel:
 
 def fit_model(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> LanguageModel:
     """Model from rows (id, text, lang); at most ``sample`` texts, chosen by a hash of the id, reach the driver."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("id", "text", "lang").orderBy(F.xxhash64("id"), "id").limit(sample).select("text", "lang").collect()
+    rows = bounded_sample(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("id", "text", "lang"), sample)
     toks = [tokens(r.text) for r in rows]
     model = LanguageModel()
     model.fit(toks, [r.lang for r in rows])

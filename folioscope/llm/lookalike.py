@@ -132,6 +132,7 @@ def repaired_texts(df: DataFrame, id_col: str = "span_id", text_col: str = "text
     a text without proposals passes unchanged; an empty table gives an empty table.
     """
     forms = canonical_texts(df, id_col, text_col, keep).persist(StorageLevel.DISK_ONLY)
+    forms.count()  # else the stages that read it at the same time would each work it out
     wanted = forms.filter(F.size("fixes") > 0).select(F.explode("fixes.to").alias("word")).distinct()
     words = forms.filter(F.size("fixes") == 0).select(F.explode(F.array_distinct(F.split("form", r"[^\p{L}\p{M}]+"))).alias("word")).join(wanted, "word", "left_semi").distinct()
     dirty = forms.filter(F.size("fixes") > 0)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -49,6 +50,27 @@ _CUES = {
     "th": r"ขออภัย|ขอโทษ|เสียใจ|(ฉัน|ผม|ดิฉัน)ไม่(สามารถ|อาจ)|โมเดลภาษา|แบบจำลองภาษา|ปฏิเสธ",
 }
 _REFUSAL = re.compile("|".join(f"(?:{c})" for c in _CUES.values()))
+# Parts of words of which every cue holds one.
+_STEMS = (
+    "sorry afraid declin refus can't cannot can&not won't will&not unable not&able rather&not prefer&not i'm language&model guidelines unfortunately apolog désol navré je&ne je&n' je&dois modèle malheureus impossible "
+    "tut&mir ich&kann ich&darf ich&werde ablehnen sprachmodell leider entschuldig lo&siento no&puedo no&me modelo debo lamentablemente disculpe perdón lament desculpe infelizmente não&posso não&me devo sinto "
+    "mi&dispiace mi&rincresce non&posso non&sono modello purtroppo spiacente spijt ik&kan ik&mag ik&zal ik&moet taalmodel helaas извините простите сожалению я&не вынужден языков "
+    "抱歉 对不起 很遗憾 我无法 我不能 我不可以 语言模型 拒绝 申し訳 すみません 残念ながら お断り 言語モデル お応え お答え 翻訳することはできません 翻訳できかねます عذرا آسف أعتذر للأسف لا&أستطيع لا&يمكنني لا&أقدر نموذج "
+    "क्षमा माफ खेद मैं भाषा अस्वीकार ขออภัย ขอโทษ เสียใจ ไม่สามารถ ไม่อาจ โมเดลภาษา แบบจำลองภาษา ปฏิเสธ"
+).split()
+
+
+@lru_cache(1)
+def _stems():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for s in _STEMS:
+        a.add_word(s.replace("&", " "), 1)
+    a.make_automaton()
+    return a
+
+
 #: Longest refusal.
 REFUSAL_LENGTH = 260
 _LABEL = re.compile(r"^[^\W\d_][\w ]{2,18}[:：]\s*")
@@ -75,12 +97,16 @@ def is_copy(request: str, candidate: str) -> bool:
     if candidate == request:
         return True
     a, b = len(request), len(candidate)
-    if not (a * 0.6 - 12 <= b <= a * 2.2 + 40):
+    if not (a * 0.6 - 12 <= b <= a * 3.3 + 40):
         return False
     if request.isascii() != candidate.isascii() and request[:1] != candidate[:1] and b < 0.8 * a:
         return False
+    # a copy holds the request's first letters within the first ones of its own, behind a label at most
+    head = squeeze(request[:40])[:12]
+    if head and head not in squeeze(candidate[:120]):
+        return False
     p, q = squeeze(request), squeeze(candidate)
-    if p == q:
+    if p == q or (p and len(q) % len(p) == 0 and q == p * (len(q) // len(p))):  # once or again and again
         return True
     if len(p) >= 12 and len(q) - len(p) <= 24 and len(q) > len(p) and (q.endswith(p) or q.startswith(p)):
         return True
@@ -93,19 +119,11 @@ def is_refusal(request: str, candidate: str) -> bool:
     if len(candidate) > REFUSAL_LENGTH:
         return False
     c = candidate.strip(" \t\n\"'«»“”").replace("’", "'").casefold()
+    if not next(_stems().iter(c), None):
+        return False
     return bool(_REFUSAL.search(c)) and not _REFUSAL.search(request.replace("’", "'").casefold())
 
 
-def _languages(sentences: list, least: float = 2.0) -> set[str]:
-    """Languages of a text's sentences that win clearly."""
-    out = set()
-    for s in sentences:
-        k = int(s.argmax())
-        if len(s) < 2 or sorted(s)[-2] < -least:
-            out.add(CODES[k])
-    return out
-
-
 def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None, endings: Endings) -> DataFrame:
     """(result_id, idx, backend, kind, strength, size) of each candidate of each result with a known request.
 
@@ -142,25 +160,27 @@ def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None
                     out.append((rid, k, be, "fine", s, n))
                     if s < 2:
                         todo.append((len(out) - 1, i))
-                        said.append(_PLACEHOLDER.sub(" ", c))
+                        said.append(c)
         if model is not None and todo:
-            rows = sorted({i for _, i in todo})
+            # the request's languages are only needed where the answer isn't in the target language, or is a copy
+            suspects = []
+            for (at, i), total in zip(todo, model.totals(said)):
+                target = _AT.get(targets[i] or "")
+                if out[at][3] == "copy":
+                    suspects.append((at, i, None))
+                elif total is not None and target is not None:
+                    best = int(total.argmax())
+                    if best != target and total[target] < total[best] - WRONG:
+                        suspects.append((at, i, CODES[best]))
+            rows = sorted({i for _, i, _ in suspects})
             of_row = dict(zip(rows, model.posteriors([tokens(_PLACEHOLDER.sub(" ", texts[i] or "")) for i in rows])))
-            for (at, i), s in zip(todo, model.posteriors([tokens(x) for x in said])):
+            for at, i, lang in suspects:
                 rid, k, be, kind, strength, size = out[at]
-                if kind == "copy":
+                if lang is None:
                     if not of_row[i]:
                         out[at] = (rid, k, be, "fine", 0, size)
-                    continue
-                target = _AT.get(targets[i] or "")
-                if not s or target is None:
-                    continue
-                total = sum(s)
-                best = int(total.argmax())
-                if best != target and total[target] < total[best] - WRONG and CODES[best] not in _languages(of_row[i]):
-                    known = {CODES[int(x.argmax())] for x in of_row[i]}
-                    if CODES[best] not in known:
-                        out[at] = (rid, k, be, "wrong_language", strength, size)
+                elif lang not in {CODES[int(x.argmax())] for x in of_row[i]}:
+                    out[at] = (rid, k, be, "wrong_language", strength, size)
         elif todo:
             for at, i in todo:
                 rid, k, be, kind, strength, size = out[at]
@@ -208,6 +228,7 @@ def _prepared(requests: DataFrame, results: DataFrame, lookup: dict[str, str] |
         r = labelled_requests(requests, lookup)
         model = fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")), LANGUAGE_SAMPLE)
     seen = examine(requests, results, model, endings).persist(StorageLevel.DISK_ONLY)
+    seen.count()  # else the stages that read it at the same time would each work it out
     cuts = cut_lengths(seen).select("backend", "size", F.lit(True).alias("at_limit"))
     cut = (F.col("strength") == 2) | ((F.col("strength") == 1) & F.coalesce("at_limit", F.lit(False)))
     return seen.join(cuts, ["backend", "size"], "left").withColumn("truncated", F.col("kind").isin("fine", "wrong_language") & cut)
