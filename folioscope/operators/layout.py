@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +127,19 @@ def safe_boxes(blocks: DataFrame, k: int = 10, margin: float = 1.0) -> DataFrame
     return j.select(*PAGE, "block_no", *[F.when(good, v).otherwise(F.col(f"own.{k_}")).alias(k_) for v, k_ in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
 
 
+def cell_grid(cells: Column, b: Column) -> Column:
+    """Array of boxes of equal width for the cells of one table row; no cells: an empty array."""
+    n = F.size(cells)
+    w = (b["x1"] - b["x0"]) / n
+    return F.transform(cells, lambda c, i: F.struct(c.alias("text"), (b["x0"] + w * i).alias("x0"), b["y0"].alias("y0"), (b["x0"] + w * (i + 1)).alias("x1"), b["y1"].alias("y1")))
+
+
+def render_decision(source: Column, target: Column, ok: Column) -> Column:
+    """Struct replace, text: the translation where it succeeded and isn't blank, else the source."""
+    good = F.coalesce(ok, F.lit(False)) & (F.trim(F.coalesce(target, F.lit(""))) != "")
+    return F.struct(good.alias("replace"), F.when(good, target).otherwise(source).alias("text"))
+
+
 def capacity(b: Column) -> Column:
     """Characters that fit into a box at the smallest size."""
     w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
@@ -141,32 +156,43 @@ def merge_paragraphs(blocks: DataFrame, max_gap: float = 15.0) -> DataFrame:
     """(doc_id, page_no, paragraph, first_block, n_blocks, x0, y0, x1, y1, text): consecutive text blocks of a column joined to paragraphs.
 
     ``blocks`` has doc_id, page_no, position, type, bbox, text, size (of the first span; null: unknown). The running block
-    keeps the first size and grows its box, which no window expresses: it is a fold over the blocks of one page, of which
+    keeps the first size (an unknown one fits any) and grows its box, which no window expresses: it is a fold over the blocks of one page, of which
     there are few. A block without a width or box never joins.
     """
     ship_package(blocks.sparkSession)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in pdf.sort_values("position").itertuples():
-            last = out[-1] if out else None
-            joins = False
-            if last is not None and last["kind"] == "text" and r.type == "text":
-                gap = r.y0 - last["y1"]
-                mean = ((last["x1"] - last["x0"]) + (r.x1 - r.x0)) / 2
-                overlap = min(last["x1"], r.x1) - max(last["x0"], r.x0)
-                if 0 <= gap <= max_gap and mean > 0 and overlap / mean >= 0.7:
-                    joins = (last["text"] or "").rstrip().endswith("-") or not (abs((last["size"] or 0) - (r.size or 0)) > 1.0)
-            if joins:
-                last |= {"x0": min(last["x0"], r.x0), "x1": max(last["x1"], r.x1), "y1": r.y1, "text": f"{last['text'] or ''}\n{r.text or ''}", "n_blocks": last["n_blocks"] + 1}
-            else:
-                out.append({"doc_id": r.doc_id, "page_no": r.page_no, "first_block": r.block_no, "kind": r.type, "n_blocks": 1, "x0": r.x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "size": r.size, "text": r.text})
-        res = pd.DataFrame(out)
-        res["paragraph"] = range(1, len(res) + 1)
-        return res[["doc_id", "page_no", "paragraph", "first_block", "n_blocks", "x0", "y0", "x1", "y1", "text"]]
+    names = ["doc_id", "page_no", "block_no", "position", "type", "x0", "y0", "x1", "y1", "text", "size"]
+    out_names = ["doc_id", "page_no", "paragraph", "first_block", "n_blocks", "x0", "y0", "x1", "y1", "text"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, number, last = None, 0, None  # a page may go on in the next batch
+
+        def row() -> tuple:
+            return (*page, number, last["first"], last["n"], last["x0"], last["y0"], last["x1"], last["y1"], "\n".join(last["texts"]))
+
+        for pdf in batches:
+            rows = []
+            for doc, no, block, _, kind, x0, y0, x1, y1, text, size in pdf[names].itertuples(index=False, name=None):
+                size, text = (None if pd.isna(size) else size), text or ""
+                joins = False
+                if last is not None and page == (doc, no) and last["kind"] == "text" and kind == "text":
+                    mean = ((last["x1"] - last["x0"]) + (x1 - x0)) / 2
+                    overlap = min(last["x1"], x1) - max(last["x0"], x0)
+                    if 0 <= y0 - last["y1"] <= max_gap and mean > 0 and overlap / mean >= 0.7:
+                        joins = last["texts"][-1].rstrip().endswith("-") or size is None or last["size"] is None or abs(last["size"] - size) <= 1.0
+                if joins:
+                    last["x0"], last["x1"], last["y1"], last["n"] = min(last["x0"], x0), max(last["x1"], x1), y1, last["n"] + 1
+                    last["texts"].append(text)
+                    continue
+                if last is not None:
+                    rows.append(row())
+                number = number + 1 if page == (doc, no) else 1
+                page, last = (doc, no), {"kind": kind, "first": block, "n": 1, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "size": size, "texts": [text]}
+            yield pd.DataFrame(rows, columns=out_names)
+        if last is not None:
+            yield pd.DataFrame([row()], columns=out_names)
 
     x0, y0, x1, y1 = box()
     flat = blocks.filter(F.col("bbox").isNotNull()).select(*PAGE, "block_no", "position", "type", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), "text", F.col("size").cast("double").alias("size"))
     kinds = dict(flat.dtypes)
     schema = f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, paragraph int, first_block {kinds['block_no']}, n_blocks int, x0 double, y0 double, x1 double, y1 double, text string"
-    return flat.groupBy(*PAGE).applyInPandas(fold, schema)
+    return flat.repartition(*PAGE).sortWithinPartitions(*PAGE, "position").mapInPandas(fold, schema)

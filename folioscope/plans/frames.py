@@ -9,9 +9,9 @@ from folioscope.functions import text as T
 from folioscope.sources import read_table
 
 def ascii_words(x: str) -> str:
-    """Letters and digits of all scripts as ASCII ones, blanks as U+0020, other non-ASCII characters as a control, so that DuckDB's word boundary sees them as Spark's does."""
+    """Letters and digits of all scripts as underscores, blanks as U+0020, other non-ASCII characters as a control, so that DuckDB's word boundary sees them as Spark's does."""
     spaces = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '{spaces}', ' ', 'g'), '[^\x00-\x7F\p{{L}}\p{{N}}]', chr(1), 'g'), '[^\x00-\x7F]', 'a', 'g')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '{spaces}', ' ', 'g'), '[^\x00-\x7F\p{{L}}\p{{N}}]', chr(1), 'g'), '[^\x00-\x7F]', '_', 'g')"
 
 
 NUMBER_SQL = r"\b\d+\.?\d*\b"

@@ -63,12 +63,6 @@ def nearest_neighbours(spark, d):
     return G.neighbours(X.blocks(spark, d)).select("doc_id", "page_no", "block_no", "other", "distance", "rank")
 
 
-@query()
-def safe_boxes(spark, d):
-    """Boxes shrunk away from their neighbours (G-07, G-08)."""
-    return G.safe_boxes(X.blocks(spark, d))
-
-
 @query(f"WITH {X.BLOCKS} SELECT doc_id, block_id, bbox.x1 - bbox.x0 AS width, bbox.y1 - bbox.y0 AS height, floor(floor((bbox.x1 - bbox.x0) / 3.6::DOUBLE) * floor((bbox.y1 - bbox.y0) / 7.2::DOUBLE) * 1.2::DOUBLE)::BIGINT AS capacity, CASE WHEN abs(bbox.x0 - (page_width - bbox.x1)) < 0.1::DOUBLE * page_width THEN 'center' WHEN bbox.x0 > 2 * (page_width - bbox.x1) THEN 'right' ELSE 'left' END AS alignment FROM blocks0 WHERE bbox IS NOT NULL")
 def box_metrics(spark, d):
     """Width, height, capacity and alignment of every block (G-02, G-05, G-09)."""
@@ -153,7 +147,16 @@ def equation_blocks(spark, d):
     return g.select("doc_id", "block_id", (F.col("share") > 0.7).alias("is_equation_block"), "equations", "texts", F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("text"))
 
 
-@query()
+_KINDS = rf"""{X.BLOCK_TEXTS}, t AS (SELECT *, {X.strip_sql('text')} AS c FROM block_texts WHERE text IS NOT NULL AND max_size IS NOT NULL),
+u AS (SELECT *, length(c) AS n, regexp_matches(c, '[一-鿿぀-ヿ가-힯]') AS cjk, regexp_matches(c, '^\d+[.)]\s+') AS numbered, regexp_matches(c, '(?i)^(Section|Chapter|Part)\s+\d+:?\s*') AS section, coalesce(bold, false) AS heavy,
+  length(c) < 50 AND upper(c) = c AND lower(c) <> c AND len({X.words_sql('c')}) <= 5 AS capitals FROM t),
+v AS (SELECT *, CASE WHEN avg_size >= 16 AND n < 120 THEN 'title' WHEN avg_size >= 14 OR regexp_matches(lower(c), '^(section|chapter|part|chapitre|partie|\d+\.)\s+') THEN 'header' WHEN avg_size >= 12 AND n < CASE WHEN cjk THEN 120 ELSE 150 END THEN 'subheader' WHEN regexp_matches(c, '^[•\-*·]|^\d+[.)]\s+') THEN 'list_item' ELSE 'paragraph' END AS plain_kind FROM u)"""
+
+
+@query(
+    rf"WITH {_KINDS} SELECT doc_id, block_id, CASE WHEN (max_size >= 16 AND n < 120) OR (max_size >= 14 AND heavy AND n < 120) OR (page_no = 1 AND max_size >= 14 AND n < 100) OR (cjk AND max_size >= 12 AND n < 40) THEN 'title' WHEN max_size >= 14 OR (max_size >= 12 AND heavy AND (numbered OR section)) THEN 'header' WHEN max_size >= 12 AND heavy THEN 'subheader' "
+    rf"WHEN numbered OR section OR regexp_matches(c, '^\d+\.\s+[A-Z]') OR regexp_matches(c, '(?i)^[IVX]+\.\s+') OR capitals OR (cjk AND max_size >= 10) THEN 'header' ELSE plain_kind END AS kind, plain_kind, CASE WHEN avg_size >= 14 THEN 'large' WHEN avg_size >= 11 THEN 'medium' ELSE 'small' END AS size_class FROM v"
+)
 def block_kinds(spark, d):
     """Titles, headers, subheaders, list items and paragraphs (C-04..C-06, P-14, W-15)."""
     b = X.block_texts(spark, d).filter("text is not null and max_size is not null")
@@ -161,15 +164,6 @@ def block_kinds(spark, d):
     return b.select("doc_id", "block_id", kind.alias("kind"), C.block_kind(F.col("text"), F.col("avg_size")).alias("plain_kind"), C.size_class(F.col("avg_size")).alias("size_class"))
 
 
-@query(
-    rf"WITH {X.BLOCK_TEXTS}, t AS (SELECT *, {X.strip_sql('text')} AS c FROM block_texts WHERE text IS NOT NULL AND avg_size IS NOT NULL) SELECT doc_id, block_id, CASE WHEN avg_size >= 16 AND length(c) < 120 THEN 'title' WHEN avg_size >= 14 OR regexp_matches(lower(c), '^(section|chapter|part|chapitre|partie|\d+\.)\s+') THEN 'header' WHEN avg_size >= 12 AND length(c) < CASE WHEN regexp_matches(c, '[一-鿿぀-ヿ가-힯]') THEN 120 ELSE 150 END THEN 'subheader' WHEN regexp_matches(c, '^[•\-*·]|^\d+[.)]\s+') THEN 'list_item' ELSE 'paragraph' END AS plain_kind FROM t"
-)
-def plain_block_kinds(spark, d):
-    """Kinds of blocks by size and pattern alone (C-05)."""
-    b = X.block_texts(spark, d).filter("text is not null and avg_size is not null")
-    return b.select("doc_id", "block_id", C.block_kind(F.col("text"), F.col("avg_size")).alias("plain_kind"))
-
-
 @query()
 def paragraph_merge(spark, d):
     """Paragraphs merged from consecutive blocks of every page (W-04, G-03)."""
@@ -199,3 +193,27 @@ def block_ids(spark, d):
     b = X.block_texts(spark, d).filter("bbox is not null")
     x = [F.col(f"bbox.{k}") for k in ("x0", "y0", "x1", "y1")]
     return b.select("doc_id", F.col("block_id").alias("given"), T.block_id(F.col("page_no"), *x, F.coalesce("text", F.lit(""))).alias("made"))
+
+
+_SAFE = f"""{_BOXES}, o AS (SELECT doc_id, page_no, block_no, x0, y0, CASE WHEN x1 <= x0 OR y1 <= y0 THEN x0 + greatest(x1 - x0, 50) ELSE x1 END AS x1, CASE WHEN x1 <= x0 OR y1 <= y0 THEN y0 + greatest(y1 - y0, 10) ELSE y1 END AS y1 FROM b0),
+n AS (SELECT l.doc_id, l.page_no, l.block_no, r.block_no AS other, abs(r.y0 - l.y0) + abs(r.x0 - l.x0) AS distance, r.x0 AS ox0, r.y0 AS oy0, r.x1 AS ox1, r.y1 AS oy1 FROM b0 l JOIN b0 r ON l.doc_id = r.doc_id AND l.page_no = r.page_no AND l.block_no <> r.block_no),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, block_no ORDER BY distance, other) AS rank FROM n) WHERE rank <= 10),
+g AS (SELECT k.*, o.x0, o.y0, o.x1, o.y1, least(o.x1, ox1) - greatest(o.x0, ox0) AS xo, least(o.y1, oy1) - greatest(o.y0, oy0) AS yo FROM k JOIN o ON k.doc_id = o.doc_id AND k.page_no = o.page_no AND k.block_no = o.block_no),
+h AS (SELECT *, xo > 0 AND yo > 0 AND CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN xo * yo / ((x1 - x0) * (y1 - y0)) > 0.01::DOUBLE ELSE false END AS strong, NOT (xo > 0 AND yo > 0) AND greatest(0, -xo) < 1 AND greatest(0, -yo) < 1 AS close FROM g),
+m AS (SELECT doc_id, page_no, block_no, min(CASE WHEN ((strong AND xo > yo) OR close) AND x0 < ox0 THEN ox0 - 1 END) AS max_x1, max(CASE WHEN ((strong AND xo > yo) OR close) AND x0 >= ox0 THEN ox1 + 1 END) AS min_x0,
+  min(CASE WHEN ((strong AND xo <= yo) OR close) AND y0 < oy0 THEN oy0 - 1 END) AS max_y1, max(CASE WHEN ((strong AND xo <= yo) OR close) AND y0 >= oy0 THEN oy1 + 1 END) AS min_y0 FROM h GROUP BY doc_id, page_no, block_no),
+s AS (SELECT o.*, greatest(o.x0, coalesce(min_x0, o.x0)) AS sx0, greatest(o.y0, coalesce(min_y0, o.y0)) AS sy0, least(o.x1, coalesce(max_x1, o.x1)) AS sx1, least(o.y1, coalesce(max_y1, o.y1)) AS sy1 FROM o LEFT JOIN m ON o.doc_id = m.doc_id AND o.page_no = m.page_no AND o.block_no = m.block_no)"""
+
+
+@query(f"WITH {_SAFE} SELECT doc_id, page_no, block_no, CASE WHEN sx1 > sx0 AND sy1 > sy0 THEN sx0 ELSE x0 END AS x0, CASE WHEN sx1 > sx0 AND sy1 > sy0 THEN sy0 ELSE y0 END AS y0, CASE WHEN sx1 > sx0 AND sy1 > sy0 THEN sx1 ELSE x1 END AS x1, CASE WHEN sx1 > sx0 AND sy1 > sy0 THEN sy1 ELSE y1 END AS y1 FROM s")
+def safe_boxes(spark, d):
+    """Boxes shrunk away from their neighbours (G-07, G-08)."""
+    return G.safe_boxes(X.blocks(spark, d))
+
+
+@query(rf"WITH t AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, line_no, list_filter(list_transform(string_split(ls[line_no + 1], '|'), lambda c: {X.strip_sql('c')}), lambda c: c <> '') AS cells FROM t WHERE contains(ls[line_no + 1], '|')), e AS (SELECT doc_id, line_no, unnest(range(len(cells)))::INT AS cell, cells FROM r) SELECT doc_id, line_no, cell, cells[cell + 1] AS text, 50::DOUBLE + 500::DOUBLE / len(cells) * cell AS x0, 50::DOUBLE + 500::DOUBLE / len(cells) * (cell + 1) AS x1 FROM e")
+def table_cells(spark, d):
+    """Cells of the table rows of all documents with boxes of equal width on a line of 500 points (G-06, X-12)."""
+    ln = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").contains("|"))
+    b = F.struct(F.lit(50.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(550.0).alias("x1"), F.lit(12.0).alias("y1"))
+    return ln.select("doc_id", "line_no", F.posexplode(G.cell_grid(T.columns_of(F.col("line")), b)).alias("cell", "c")).select("doc_id", "line_no", "cell", "c.text", "c.x0", "c.x1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import classify as C
 from folioscope.functions import scoring as S
 from folioscope.functions import text as T
+from folioscope.operators import layout as G
 from folioscope.operators import lookups as L
 from folioscope.operators import masking as M
 from folioscope.operators import ranking as K
@@ -203,12 +204,34 @@ def spillover_clean(spark, d):
     return X.pairs(spark, d).select(*KEY, c.alias("cleaned"), (c != F.col("translated_text")).alias("modified")).filter("modified")
 
 
-@query()
+_NUM = "n0 AS (SELECT row_number() OVER (ORDER BY source, target, load_seq) AS k, source, target FROM glossary), n1 AS (SELECT k, CASE k % 4 WHEN 0 THEN k || '. ' || source WHEN 1 THEN 'IV) ' || source WHEN 2 THEN '• ' || source ELSE source END AS s, CASE WHEN k % 8 < 4 THEN target ELSE k || '. ' || target END AS t FROM n0)"
+
+
+@query(rf"WITH {_NUM} SELECT k, CASE WHEN k % 4 = 3 OR k % 8 >= 4 THEN t WHEN k % 4 = 0 THEN k || '. ' || t WHEN k % 4 = 1 THEN 'IV) ' || t ELSE '• ' || t END AS fixed, CASE WHEN k % 8 >= 4 OR k % 4 = 3 THEN false ELSE true END AS lost FROM n1")
 def numbering_repair(spark, d):
-    """Answers whose numbering or bullets were lost, with them put back (X-08..X-10)."""
-    s, t = F.col("source_text"), F.col("translated_text")
-    k, b = T.keep_numbering(s, t), T.keep_bullets(s, t)
-    return X.pairs(spark, d).select(*KEY, k.alias("with_numbering"), b.alias("with_bullets")).filter((F.col("with_numbering") != t) | (F.col("with_bullets") != t))
+    """Numbering and bullets of headings put back where a translation lost them (X-08, X-09)."""
+    k = F.row_number().over(Window.orderBy("source", "target", "load_seq")).cast("bigint")  # a fixed table of 120 rows
+    g = read_table(spark, d, "glossary").select(k.alias("k"), "source", "target")
+    s = F.when(F.col("k") % 4 == 0, F.concat("k", F.lit(". "), "source")).when(F.col("k") % 4 == 1, F.concat(F.lit("IV) "), "source")).when(F.col("k") % 4 == 2, F.concat(F.lit("• "), "source")).otherwise(F.col("source"))
+    t = F.when(F.col("k") % 8 < 4, F.col("target")).otherwise(F.concat("k", F.lit(". "), "target"))
+    fixed = T.keep_numbering(s, t)
+    return g.select("k", fixed.alias("fixed"), (fixed != t).alias("lost"))
+
+
+@query()
+def bullet_repair(spark, d):
+    """Lists whose bullets are taken away and put back by the source's (X-10): lines with bullets before, without, and after."""
+    t = read_table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").rlike(rf"(?m)^\s*[{T.BULLETS.replace('-', chr(92) + '-')}] "))
+    bare = F.regexp_replace("text", rf"(?m)^(\s*)[{T.BULLETS.replace('-', chr(92) + '-')}] ", "$1")
+    n = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: T.bullet_of(x) != ""))
+    return t.select("doc_id", n(F.col("text")).alias("before"), n(bare).alias("without"), n(T.keep_bullets(F.col("text"), bare)).alias("after"))
+
+
+@query(rf"WITH {X.PAIRS} SELECT result_id, idx, ok AND trim(translated_text) <> '' AS replace, CASE WHEN ok AND trim(translated_text) <> '' THEN translated_text ELSE source_text END AS text FROM pairs")
+def render_decision(spark, d):
+    """Text that a page shows for every candidate (P-09, P-10)."""
+    x = G.render_decision(F.col("source_text"), F.col("translated_text"), F.col("ok"))
+    return X.pairs(spark, d).select(*KEY, x["replace"].alias("replace"), x["text"].alias("text"))
 
 
 _GL = "gl AS (SELECT * FROM (SELECT *, lower(source) AS term_key, row_number() OVER (PARTITION BY lower(source) ORDER BY load_seq DESC, source, target) AS r FROM glossary WHERE source <> '') WHERE r = 1)"
@@ -244,7 +267,13 @@ def glossary_top_terms(spark, d):
     return L.top_terms(L.terms_contained(q, "text", _glossary(spark, d)), ["doc_id"], 3).select("doc_id", "term_key", "rank")
 
 
-@query()
+_WORD = lambda t, term: rf"contains({t}, {term}) AND regexp_matches({X.ascii_words(t)}, '\b' || {X.ascii_words(term)} || '\b')"
+
+
+@query(
+    rf"WITH {X.PAIRS}, {_GL}, f AS (SELECT p.result_id, p.idx, contains(lower(p.translated_text), lower(gl.target)) AS good FROM pairs p JOIN gl ON CASE WHEN gl.case_sensitive THEN {_WORD('p.source_text', 'gl.source')} ELSE {_WORD('lower(p.source_text)', 'gl.term_key')} END), "
+    "a AS (SELECT result_id, idx, count(*) AS n, count(*) FILTER (good) AS g FROM f GROUP BY ALL) SELECT p.result_id, p.idx, coalesce(n, 0) AS terms_found, coalesce(g, 0) AS terms_enforced, coalesce(n, 0) - coalesce(g, 0) AS terms_violated, coalesce(g::DOUBLE / n, 1::DOUBLE) AS adherence_rate FROM pairs p LEFT JOIN a ON p.result_id = a.result_id AND p.idx = a.idx"
+)
 def glossary_adherence(spark, d):
     """Adherence of every candidate to the glossary, terms as whole words (J-10, A-16)."""
     return L.adherence(X.pairs(spark, d), KEY, "source_text", "translated_text", _glossary(spark, d))

@@ -248,7 +248,7 @@ def content_type(spark, d):
         F.count_if(F.col("raw").rlike("@@[A-Z_]*MATH_")).alias("m"), F.count_if(F.col("head") & T.any_of(low, C.CONTENT_HEADERS)).cast("int").alias("headers"),
     )
     keywords = sum((F.col("t").contains(k).cast("int") for k in C.CONTENT_KEYWORDS[1:]), F.col("t").contains(C.CONTENT_KEYWORDS[0]).cast("int"))
-    k = g.select("doc_id", keywords.alias("keywords"), (F.size(T.matches(F.col("t"), r"\[\d+\]")) + F.size(T.matches(F.col("t"), r"(?U)\bet\s+al\."))).alias("citations"), (F.col("m") / F.col("n")).alias("math_share"), "headers")
+    k = g.select("doc_id", keywords.alias("keywords"), (F.size(T.matches(F.col("t"), r"\[\d+\]")) + F.size(T.matches(F.col("t"), r"\bet(?U:\s+)al\."))).alias("citations"), (F.col("m") / F.col("n")).alias("math_share"), "headers")
     score = (F.least(F.lit(40), 2 * F.col("keywords")) + F.least(F.lit(20), "citations")) + F.least(F.lit(20.0), F.col("math_share") * 100) + F.when(F.col("headers") >= 3, 20).when(F.col("headers") >= 1, 10).otherwise(0)
     return k.withColumn("score", score)
 
