@@ -47,11 +47,11 @@ def language(c: Column, sample: int = 500) -> Column:
     s = F.substring(F.coalesce(c, F.lit("")), 1, sample)
     n = lambda r: F.size(T.matches(s, r))
     zh, ja, ko, marks = n("[一-鿿]"), n("[\\x{3040}-\\x{30FF}]"), n("[\\x{AC00}-\\x{D7AF}]"), n("[\\x{3000}-\\x{303F}]")
-    share = (zh + ja + ko + marks * F.lit(0.5)) / F.length(s)
+    share = F.try_divide(zh + ja + ko + marks * F.lit(0.5), F.length(s))
     east = F.when((zh > ja) & (zh > ko), "zh").when(ja > ko, "ja").when(ko > 0, "ko").otherwise("zh")
     w = F.filter(T.matches(F.lower(s), r"[\p{L}\p{N}_]+"), lambda x: x.rlike(WORD_CLASS))
     has = lambda words: F.size(F.filter(w, lambda x: x.isin(words)))
-    score = {k: (has(common) * F.lit(0.5) + has(articles) * F.lit(2.0)) / F.size(w) for k, (common, articles) in LANGUAGE_WORDS.items()}
+    score = {k: F.try_divide(has(common) * F.lit(0.5) + has(articles) * F.lit(2.0), F.size(w)) for k, (common, articles) in LANGUAGE_WORDS.items()}
     best = F.greatest(*score.values())
     lang = F.lit("de")
     for k in ("es", "fr", "en"):
@@ -176,7 +176,7 @@ def equation_score(c: Column, neighbours: Column) -> Column:
     n = F.length(c)
     alnum = F.size(T.matches(c, r"[\p{L}\p{N}]"))
     score = add(f["math_unicode"], 0.6) + add(f["operator_pattern"], 0.5) + add(f["raised"], 0.5) + add(f["variables"], 0.6) + add(f["variables"] & (n_words <= 4), 0.2) + add(f["math_context"], 0.5)
-    score = score + add((n > 3) & (f["operators"] / n > 0.2) & (alnum / n < 0.7), 0.4)
+    score = score + add((n > 3) & (F.try_divide(f["operators"], n) > 0.2) & (F.try_divide(alnum, n) < 0.7), 0.4)
     score = score - add((n_words >= 6) & (f["operators"] == 0), 0.3) - add(T.strip(c).rlike("[.;:]$") & (f["operators"] == 0), 0.2)
     return score + add(neighbours >= 2, 0.1)
 

@@ -23,6 +23,11 @@ def _d(x: float) -> Column:
     return F.lit(float(x))
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Quotient; null for a divisor of 0, also where the caller's condition would have kept it from being used."""
+    return F.try_divide(a, b)
+
+
 def pre_flags(c: Column) -> dict[str, Column]:
     """Flags and statistics of a source text; a null text counts as empty."""
     c = F.coalesce(c, F.lit(""))
@@ -61,7 +66,7 @@ def strategy(score: Column) -> Column:
 def share_kept(source: Column, target: Column) -> Column:
     """Share of the distinct elements of one array that another holds; 1 for an empty one."""
     s = F.array_distinct(source)
-    return F.when(F.size(s) == 0, _d(1)).otherwise(F.size(F.array_intersect(s, F.array_distinct(target))) / F.size(s))
+    return F.when(F.size(s) == 0, _d(1)).otherwise(_div(F.size(F.array_intersect(s, F.array_distinct(target))), F.size(s)))
 
 
 def multiset_kept(source: Column, target: Column) -> Column:
@@ -84,7 +89,7 @@ def post_parts(source: Column, target: Column, registry: Column, errors: Column,
     ns, nt = T.normalised(s), T.normalised(t)
     both = (ns != "") & (nt != "")
     cs, ct = F.array_distinct(F.split(ns, "")), F.array_distinct(F.split(nt, ""))
-    overlap = F.size(F.array_intersect(cs, ct)) / F.size(F.array_union(cs, ct))
+    overlap = _div(F.size(F.array_intersect(cs, ct)), F.size(F.array_union(cs, ct)))
     same, high, some = both & (ns == nt), both & (ns != nt) & (overlap > 0.95), both & (ns != nt) & (overlap > 0.85) & (overlap <= 0.95)
     identity = F.when(same, _d(0)).when(high, _d(0.3)).when(some, _d(0.6)).otherwise(_d(1))
 
@@ -93,20 +98,20 @@ def post_parts(source: Column, target: Column, registry: Column, errors: Column,
     restore_error = (n > 0) & F.exists(errors, lambda e: F.lower(e).contains("placeholder"))
     missing = F.size(F.filter(errors, lambda e: F.lower(e).contains("missing_placeholder")))
     left = (n > 0) & ~restore_error & (still > 0)
-    placeholder = F.when(restore_error & (still > 0), (n - still) / n).when(restore_error & (missing > 0), F.greatest(_d(0), (n - missing) / n)).when(restore_error, _d(0.7)).when(left, (n - still) / n).otherwise(_d(1))
+    placeholder = F.when(restore_error & (still > 0), _div(n - still, n)).when(restore_error & (missing > 0), F.greatest(_d(0), _div(n - missing, n))).when(restore_error, _d(0.7)).when(left, _div(n - still, n)).otherwise(_d(1))
     foreign = F.size(F.filter(T.matches(t, T.PLACEHOLDER), lambda p: ~F.array_contains(registry, p))) > 0
     placeholder = F.when(foreign, F.least(placeholder, _d(0.5))).otherwise(placeholder)
 
     numeric = share_kept(T.matches(s, NUMBER), T.matches(t, NUMBER))
     bs, bt, ls, lt = bullets(s), bullets(t), T.line_count(s), T.line_count(t)
-    bullet_ratio, line_ratio = bt / bs, lt / ls
+    bullet_ratio, line_ratio = _div(bt, bs), _div(lt, ls)
     odd_lines = (ls > 0) & ((line_ratio < 0.7) | (line_ratio > 1.3))
     fmt = F.when(bs > 0, F.least(bullet_ratio, _d(1))).otherwise(_d(1)) * F.when(odd_lines, _d(0.9)).otherwise(_d(1))
 
     w = T.words(F.lower(t))
     long_words = F.filter(w, lambda x: F.length(x) > 3)
     top = F.coalesce(F.array_max(F.transform(F.array_distinct(long_words), lambda x: F.size(F.filter(long_words, lambda y: y == x)))), F.lit(1))
-    repeated = (F.size(w) > 5) & (top / F.size(w) > 0.3)
+    repeated = (F.size(w) > 5) & (_div(top, F.size(w)) > 0.3)
     ratio = F.length(t) / F.greatest(F.length(s), F.lit(1))
     odd_length = (ratio < 0.5) | (ratio > 2.0)
     fluency = F.when(repeated, _d(0.7)).otherwise(_d(1)) * F.when(odd_length, _d(0.8)).otherwise(_d(1))
@@ -164,11 +169,11 @@ def health(source: Column, target: Column, ok: Column, errors: Column) -> Column
     lost, invalid = F.coalesce(F.lower(hit).contains("placeholder"), F.lit(False)), F.coalesce(~F.lower(hit).contains("placeholder"), F.lit(False))
     failed = ~F.coalesce(ok, F.lit(False))
     ns, nt = T.matches(s, NUMBER_EXP), T.matches(t, NUMBER_EXP)
-    drift = (F.size(ns) > 0) & (multiset_kept(ns, nt) / F.size(ns) < 0.9)
+    drift = (F.size(ns) > 0) & (_div(multiset_kept(ns, nt), F.size(ns)) < 0.9)
     bs = bullets(s)
     format_drift = (bs > 0) & (bullets(t) < bs * 0.8)
     left = t.rlike(T.PLACEHOLDER)
-    long = (F.length(s) > 0) & (F.length(t) / F.length(s) > 1.5)
+    long = (F.length(s) > 0) & (_div(F.length(t), F.length(s)) > 1.5)
     code = lambda c, x: F.when(c, F.lit(x))
     ladder = ((lost, "placeholder_missing", 0.0), (invalid, "validation_failed", 0.5), (failed, "translation_failed", 0.3), (drift, "numeric_drift", 0.7), (format_drift, "format_drift", 0.6), (left, "placeholder_not_restored", 0.4), (long, "potential_overflow", 0.8))
     codes = F.array_compact(F.array(*[code(c, x) for c, x, _ in ladder]))
@@ -181,7 +186,7 @@ def length_suspect(source: Column, target: Column, is_header: Column) -> Column:
     """Whether a translation is so much longer than its source that it is made up."""
     n, m = F.length(T.strip(source)), F.length(T.strip(target))
     most = F.when(F.coalesce(is_header, F.lit(False)), _d(2)).when(n < 50, _d(3)).otherwise(_d(2))
-    return (n > 0) & (m > 0) & (m / n > most)
+    return (n > 0) & (m > 0) & (_div(m, n) > most)
 
 
 def rerank_parts(source: Column, candidate: Column, registry: Column, is_header: Column) -> dict[str, Column]:
@@ -192,7 +197,7 @@ def rerank_parts(source: Column, candidate: Column, registry: Column, is_header:
     present = F.size(F.filter(registry, lambda p: c.contains(p)))
     as_number = lambda a: F.transform(a, lambda x: x.cast("double"))
     bs, bc, ls, lc = bullets(s), bullets(c), T.line_count(s), T.line_count(c)
-    ratio = F.length(c) / F.length(s)
+    ratio = _div(F.length(c), F.length(s))
     tokens = F.array_union(F.array_union(*[T.matches(c, p) for p in T.PLACEHOLDER_FORMS[:2]]), T.matches(c, T.PLACEHOLDER_FORMS[2]))
     extra = F.size(F.filter(tokens, lambda p: ~F.array_contains(registry, p))) > 0
     length = F.when(s == "", _d(1)).when((ratio > 2.5) | (ratio < 0.4), _d(0.2)).when((ratio > 2.0) | (ratio < 0.5), _d(0.3)).when((ratio > 1.8) | (ratio < 0.6), _d(0.6)).when((ratio > 1.5) | (ratio < 0.7), _d(0.8)).otherwise(_d(1))
@@ -207,9 +212,9 @@ def rerank_parts(source: Column, candidate: Column, registry: Column, is_header:
     semantic = semantic - F.when((ratio < 0.5) | (ratio > 2.5), _d(0.4)).when((ratio < 0.7) | (ratio > 1.8), _d(0.2)).otherwise(_d(0))
     semantic = semantic - less(s.contains(":") != c.contains(":"), 0.1) - less(unrelated, 0.5)
     return {
-        "placeholder": F.when(n == 0, _d(1)).otherwise(present / n),
+        "placeholder": F.when(n == 0, _d(1)).otherwise(_div(present, n)),
         "numeric": share_kept(as_number(T.matches(s, NUMBER_EXP)), as_number(T.matches(c, NUMBER_EXP))),
-        "format": F.when(bs > 0, F.least(bc / bs, _d(1))).otherwise(_d(1)) * _d(0.5) + F.when(ls > 0, F.least(lc / ls, _d(1))).otherwise(_d(1)) * _d(0.5),
+        "format": F.when(bs > 0, F.least(_div(bc, bs), _d(1))).otherwise(_d(1)) * _d(0.5) + F.when(ls > 0, F.least(_div(lc, ls), _d(1))).otherwise(_d(1)) * _d(0.5),
         "length": length,
         "spillover": F.when(T.has_spillover(c), _d(0.2)).otherwise(_d(1)),
         "hallucinated": F.when(extra, _d(0.2)).otherwise(_d(1)),

@@ -28,7 +28,7 @@ def iou(a, b) -> Column:
     h = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     inter = w * h
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-    return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+    return F.when(union > 0, F.try_divide(inter, union)).otherwise(F.lit(0.0))
 
 
 def column_numbers(blocks: DataFrame, gap: float = 30.0) -> DataFrame:
@@ -111,7 +111,7 @@ def safe_boxes(blocks: DataFrame, k: int = 10, margin: float = 1.0) -> DataFrame
     xo, yo = F.least(a.x1, o.x1) - F.greatest(a.x0, o.x0), F.least(a.y1, o.y1) - F.greatest(a.y0, o.y0)
     overlap = (xo > 0) & (yo > 0)
     size = (a.x1 - a.x0) * (a.y1 - a.y0)
-    strong = overlap & F.when(size > 0, xo * yo / size > 0.01).otherwise(False)
+    strong = overlap & F.when(size > 0, F.try_divide(xo * yo, size) > 0.01).otherwise(False)
     close = ~overlap & (F.greatest(F.lit(0.0), -xo) < margin) & (F.greatest(F.lit(0.0), -yo) < margin)
     side, up = (strong & (xo > yo)) | close, (strong & (xo <= yo)) | close
     cut = lambda cond, v: F.when(cond, v)
@@ -130,7 +130,7 @@ def safe_boxes(blocks: DataFrame, k: int = 10, margin: float = 1.0) -> DataFrame
 def cell_grid(cells: Column, b: Column) -> Column:
     """Array of boxes of equal width for the cells of one table row; no cells: an empty array."""
     n = F.size(cells)
-    w = (b["x1"] - b["x0"]) / n
+    w = F.try_divide(b["x1"] - b["x0"], n)
     return F.transform(cells, lambda c, i: F.struct(c.alias("text"), (b["x0"] + w * i).alias("x0"), b["y0"].alias("y0"), (b["x0"] + w * (i + 1)).alias("x1"), b["y1"].alias("y1")))
 
 

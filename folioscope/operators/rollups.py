@@ -60,11 +60,11 @@ def batch_numbers(position: Column, total: Column) -> Column:
 
 def improvement(base: Column, value: Column) -> Column:
     """Improvement in per cent; null for a base of 0."""
-    return F.when(base != 0, (value - base) / base * 100)
+    return F.when(base != 0, F.try_divide(value - base, base) * 100)
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, mean_difference, t) of paired values; t null for fewer than two pairs or equal differences."""
     d = F.col(a) - F.col(b)
     g = df.select(d.alias("d")).filter("d is not null").agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("s"))
-    return g.select("n", "mean_difference", F.when(F.col("s") > 0, F.col("mean_difference") / (F.col("s") / F.sqrt(F.col("n").cast("double")))).alias("t"))
+    return g.select("n", "mean_difference", F.when(F.col("s") > 0, F.try_divide(F.col("mean_difference"), F.col("s") / F.sqrt(F.col("n").cast("double")))).alias("t"))
