@@ -170,4 +170,4 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, n_texts, max_uses, tokens, share): reached share of each wanted source; 0 for one without texts."""
     got = mixed.groupBy("source").agg(F.count("*").alias("n_texts"), F.max("n_uses").alias("max_uses"), F.sum(F.col("n_uses") * F.col("n_tokens")).alias("tokens"))
     j = targets.select("source", "target_share").join(got, "source", "left").select("source", "target_share", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_texts", "max_uses", "tokens")])
-    return j.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))))
+    return j.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))
