@@ -44,25 +44,28 @@ def language(c: Column, sample: int = 500) -> Column:
 
     Null and blank texts are English with confidence 0, texts without Latin words English with 0.1.
     """
-    s = F.substring(F.coalesce(c, F.lit("")), 1, sample)
-    n = lambda r: F.size(T.matches(s, r))
-    zh, ja, ko, marks = n("[一-鿿]"), n("[\\x{3040}-\\x{30FF}]"), n("[\\x{AC00}-\\x{D7AF}]"), n("[\\x{3000}-\\x{303F}]")
-    share = F.try_divide(zh + ja + ko + marks * F.lit(0.5), F.length(s))
-    east = F.when((zh > ja) & (zh > ko), "zh").when(ja > ko, "ja").when(ko > 0, "ko").otherwise("zh")
-    w = F.filter(T.matches(F.lower(s), r"[\p{L}\p{N}_]+"), lambda x: x.rlike(WORD_CLASS))
-    has = lambda words: F.size(F.filter(w, lambda x: x.isin(words)))
-    score = {k: F.try_divide(has(common) * F.lit(0.5) + has(articles) * F.lit(2.0), F.size(w)) for k, (common, articles) in LANGUAGE_WORDS.items()}
-    best = F.greatest(*score.values())
-    lang = F.lit("de")
-    for k in ("es", "fr", "en"):
-        lang = F.when(score[k] == best, k).otherwise(lang)
     pair = lambda a, p: F.struct(a.alias("lang"), p.alias("confidence"))
-    return (
-        F.when(T.strip(s) == "", pair(F.lit("en"), F.lit(0.0)))
-        .when(share > 0.3, pair(east, F.least(share * 1.5, F.lit(0.9))))
-        .when(F.size(w) == 0, pair(F.lit("en"), F.lit(0.1)))
-        .otherwise(pair(lang, F.least(best * 1.5, F.lit(0.8))))
-    )
+
+    def east(s: Column, k: Column) -> Column:
+        share = F.try_divide(k["zh"] + k["ja"] + k["ko"] + k["marks"] * F.lit(0.5), F.length(s))
+        lang = F.when((k["zh"] > k["ja"]) & (k["zh"] > k["ko"]), "zh").when(k["ja"] > k["ko"], "ja").when(k["ko"] > 0, "ko").otherwise("zh")
+        return F.when(share > 0.3, pair(lang, F.least(share * 1.5, F.lit(0.9))))
+
+    def west(w: Column) -> Column:
+        has = lambda words: F.size(F.filter(w, lambda x: x.isin(words)))
+        scores = F.array(*[F.try_divide(has(common) * F.lit(0.5) + has(articles) * F.lit(2.0), F.size(w)) for common, articles in LANGUAGE_WORDS.values()])
+        names = F.array(*[F.lit(k) for k in LANGUAGE_WORDS])
+        best = lambda v: pair(F.get(names, (F.array_position(v, F.array_max(v)) - 1).cast("int")), F.least(F.array_max(v) * 1.5, F.lit(0.8)))
+        return F.when(F.size(w) == 0, pair(F.lit("en"), F.lit(0.1))).otherwise(T.let(scores, best))
+
+    def whole(s: Column) -> Column:
+        n = lambda r: F.size(T.matches(s, r))
+        counts = F.struct(n("[一-鿿]").alias("zh"), n("[\\x{3040}-\\x{30FF}]").alias("ja"), n("[\\x{AC00}-\\x{D7AF}]").alias("ko"), n("[\\x{3000}-\\x{303F}]").alias("marks"))
+        words = F.filter(T.matches(F.lower(s), r"[\p{L}\p{N}_]+"), lambda x: x.rlike(WORD_CLASS))
+        eastern = F.when(s.rlike(r"[\x{3000}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"), T.let(counts, lambda k: east(s, k)))
+        return F.when(T.strip(s) == "", pair(F.lit("en"), F.lit(0.0))).otherwise(F.coalesce(eastern, T.let(words, west)))
+
+    return T.let(F.substring(F.coalesce(c, F.lit("")), 1, sample), whole)
 
 
 # ---- layout ---------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ same doubles would decide some of them otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -75,55 +75,71 @@ def multiset_kept(source: Column, target: Column) -> Column:
     return F.aggregate(F.array_distinct(source), F.lit(0), lambda acc, x: acc + F.least(n(source, x), n(target, x)))
 
 
+def most_frequent(a: Column) -> Column:
+    """How often the most frequent element of an array occurs, by the runs of the sorted array; 1 for an empty one."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(1).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["last"] == x, s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(a), start, step, lambda s: s["best"])
+
+
 def bullets(c: Column) -> Column:
     return F.size(T.matches(c, T.BULLET_LINE))
 
 
-def post_parts(source: Column, target: Column, registry: Column, errors: Column, is_header: Column) -> dict[str, Column]:
-    """Dimension scores of a translated pair and its issues and warnings (bare labels, without figures).
-
-    ``registry``: array of the placeholders of the source; ``errors``: array of error labels; nulls count as empty or false.
-    """
+def post_facts(source: Column, target: Column, registry: Column, errors: Column) -> dict[str, Column]:
+    """What the scores of a translated pair are made of; nulls count as empty."""
     s, t = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
-    registry, errors, header = F.coalesce(registry, F.array().cast("array<string>")), F.coalesce(errors, F.array().cast("array<string>")), F.coalesce(is_header, F.lit(False))
-    ns, nt = T.normalised(s), T.normalised(t)
-    both = (ns != "") & (nt != "")
-    cs, ct = F.array_distinct(F.split(ns, "")), F.array_distinct(F.split(nt, ""))
-    overlap = _div(F.size(F.array_intersect(cs, ct)), F.size(F.array_union(cs, ct)))
-    same, high, some = both & (ns == nt), both & (ns != nt) & (overlap > 0.95), both & (ns != nt) & (overlap > 0.85) & (overlap <= 0.95)
-    identity = F.when(same, _d(0)).when(high, _d(0.3)).when(some, _d(0.6)).otherwise(_d(1))
+    empty = F.array().cast("array<string>")
+    registry, errors = F.coalesce(registry, empty), F.coalesce(errors, empty)
+    sets = lambda a, b: F.struct(F.array_distinct(F.split(a, "")).alias("a"), F.array_distinct(F.split(b, "")).alias("b"))
+    overlap = lambda a, b: T.let(sets(a, b), lambda x: _div(F.size(F.array_intersect(x["a"], x["b"])), F.size(F.array_union(x["a"], x["b"]))))
+    # 0: told apart or blank, 1: some overlap of characters, 2: high overlap, 3: equal
+    level = lambda a, b: F.when((a == "") | (b == ""), 0).when(a == b, 3).otherwise(T.let(overlap(a, b), lambda o: F.when(o > 0.95, 2).when(o > 0.85, 1).otherwise(0)))
+    both = F.struct(T.normalised(s).alias("s"), T.normalised(t).alias("t"))
+    words = T.words(F.lower(t))
+    repetition = T.let(words, lambda w: F.when(F.size(w) > 5, _div(most_frequent(F.filter(w, lambda x: F.length(x) > 3)), F.size(w))).otherwise(_d(0)))
+    return {
+        "f_level": T.let(both, lambda x: level(x["s"], x["t"])),
+        "f_tokens": F.size(registry),
+        "f_still": F.size(F.filter(registry, lambda p: t.contains(p))),
+        "f_restore": F.exists(errors, lambda e: F.lower(e).contains("placeholder")),
+        "f_missing": F.size(F.filter(errors, lambda e: F.lower(e).contains("missing_placeholder"))),
+        "f_foreign": F.size(F.filter(T.matches(t, T.PLACEHOLDER), lambda p: ~F.array_contains(registry, p))) > 0,
+        "numeric_score": share_kept(T.matches(s, NUMBER), T.matches(t, NUMBER)),
+        "f_bullets": bullets(s), "f_bullets_t": bullets(t), "f_lines": T.line_count(s), "f_lines_t": T.line_count(t),
+        "f_repetition": repetition,
+        "f_ratio": F.length(t) / F.greatest(F.length(s), F.lit(1)),
+    }
 
-    n = F.size(registry)
-    still = F.size(F.filter(registry, lambda p: t.contains(p)))
-    restore_error = (n > 0) & F.exists(errors, lambda e: F.lower(e).contains("placeholder"))
-    missing = F.size(F.filter(errors, lambda e: F.lower(e).contains("missing_placeholder")))
+
+def post_parts(f: dict[str, Column], errors: Column, is_header: Column) -> dict[str, Column]:
+    """Dimension scores of a translated pair and its issues and warnings (bare labels, without figures) from :func:`post_facts`."""
+    errors, header = F.coalesce(errors, F.array().cast("array<string>")), F.coalesce(is_header, F.lit(False))
+    same, high, some = f["f_level"] == 3, f["f_level"] == 2, f["f_level"] == 1
+    identity = F.when(same, _d(0)).when(high, _d(0.3)).when(some, _d(0.6)).otherwise(_d(1))
+    n, still = f["f_tokens"], f["f_still"]
+    restore_error, foreign = (n > 0) & f["f_restore"], f["f_foreign"]
     left = (n > 0) & ~restore_error & (still > 0)
-    placeholder = F.when(restore_error & (still > 0), _div(n - still, n)).when(restore_error & (missing > 0), F.greatest(_d(0), _div(n - missing, n))).when(restore_error, _d(0.7)).when(left, _div(n - still, n)).otherwise(_d(1))
-    foreign = F.size(F.filter(T.matches(t, T.PLACEHOLDER), lambda p: ~F.array_contains(registry, p))) > 0
+    placeholder = F.when(restore_error & (still > 0), _div(n - still, n)).when(restore_error & (f["f_missing"] > 0), F.greatest(_d(0), _div(n - f["f_missing"], n))).when(restore_error, _d(0.7)).when(left, _div(n - still, n)).otherwise(_d(1))
     placeholder = F.when(foreign, F.least(placeholder, _d(0.5))).otherwise(placeholder)
-
-    numeric = share_kept(T.matches(s, NUMBER), T.matches(t, NUMBER))
-    bs, bt, ls, lt = bullets(s), bullets(t), T.line_count(s), T.line_count(t)
-    bullet_ratio, line_ratio = _div(bt, bs), _div(lt, ls)
-    odd_lines = (ls > 0) & ((line_ratio < 0.7) | (line_ratio > 1.3))
-    fmt = F.when(bs > 0, F.least(bullet_ratio, _d(1))).otherwise(_d(1)) * F.when(odd_lines, _d(0.9)).otherwise(_d(1))
-
-    w = T.words(F.lower(t))
-    long_words = F.filter(w, lambda x: F.length(x) > 3)
-    top = F.coalesce(F.array_max(F.transform(F.array_distinct(long_words), lambda x: F.size(F.filter(long_words, lambda y: y == x)))), F.lit(1))
-    repeated = (F.size(w) > 5) & (_div(top, F.size(w)) > 0.3)
-    ratio = F.length(t) / F.greatest(F.length(s), F.lit(1))
-    odd_length = (ratio < 0.5) | (ratio > 2.0)
+    numeric, ratio = f["numeric_score"], f["f_ratio"]
+    bullet_ratio, line_ratio = _div(f["f_bullets_t"], f["f_bullets"]), _div(f["f_lines_t"], f["f_lines"])
+    odd_lines = (f["f_lines"] > 0) & ((line_ratio < 0.7) | (line_ratio > 1.3))
+    fmt = F.when(f["f_bullets"] > 0, F.least(bullet_ratio, _d(1))).otherwise(_d(1)) * F.when(odd_lines, _d(0.9)).otherwise(_d(1))
+    repeated, odd_length = f["f_repetition"] > 0.3, (ratio < 0.5) | (ratio > 2.0)
     fluency = F.when(repeated, _d(0.7)).otherwise(_d(1)) * F.when(odd_length, _d(0.8)).otherwise(_d(1))
     fidelity = F.when((ratio >= 0.8) & (ratio <= 1.5), _d(1)).when((ratio >= 0.6) & (ratio <= 2.0), _d(0.9)).otherwise(_d(0.7))
-
     issue = lambda cond, label: F.when(cond, F.lit(label))
     issues = F.concat(
         errors,
         F.array_compact(
             F.array(
                 issue(same & header, "identity_translation:header_exact_match"), issue(same & ~header, "identity_translation:exact_match"), issue(high, "identity_translation:high_similarity"), issue(restore_error, "placeholder_restoration_failed"), issue(left, "placeholder_not_restored"),
-                issue(foreign, "placeholder_hallucinated"), issue(numeric < 0.9, "numeric_drift"), issue((bs > 0) & (bullet_ratio < 0.8), "format_drift:bullets"), issue(fidelity == 0.7, "fidelity_concern:length"),
+                issue(foreign, "placeholder_hallucinated"), issue(numeric < 0.9, "numeric_drift"), issue((f["f_bullets"] > 0) & (bullet_ratio < 0.8), "format_drift:bullets"), issue(fidelity == 0.7, "fidelity_concern:length"),
             )
         ),
     )
@@ -150,6 +166,18 @@ def post_decisions(p: dict[str, Column], overall: Column, is_header: Column) ->
     return {"needs_retry": retry, "needs_review": review, "confidence": confidence, "acceptable": (overall >= 0.85) & ~retry & ~bad}
 
 
+def with_post_scores(df: DataFrame, source: str, target: str, registry: str, errors: str, is_header: str) -> DataFrame:
+    """Add the scores, issues, warnings and decisions of every pair. In stages, so that each fact is worked out once."""
+    keep = df.columns
+    f = post_facts(F.col(source), F.col(target), F.col(registry), F.col(errors))
+    d = df.select("*", *[v.alias(k) for k, v in f.items()])
+    p = {k: v for k, v in post_parts({k: F.col(k) for k in f}, F.col(errors), F.col(is_header)).items() if k != "numeric_score"}
+    d = d.select(*keep, "numeric_score", *[v.alias(k) for k, v in p.items()])
+    refs = {k: F.col(k) for k in (*p, "numeric_score")}
+    d = d.withColumn("overall_score", post_overall(refs))
+    return d.select("*", *[v.alias(k) for k, v in post_decisions(refs, F.col("overall_score"), F.col(is_header)).items()])
+
+
 def quick_checks(source: Column, target: Column) -> dict[str, Column]:
     """1 or 0 for missing placeholders, another multiset of numbers, all bullets dropped."""
     s, t = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))

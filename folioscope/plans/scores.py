@@ -109,21 +109,16 @@ postx AS (SELECT *, overall_score >= 0.85::DOUBLE AND NOT needs_retry AND len(li
 
 
 def _post(spark, d):
-    p = X.pairs(spark, d)
-    parts = S.post_parts(F.col("source_text"), F.col("translated_text"), F.col("registry"), F.col("errors"), F.col("is_header"))
-    p = p.select("*", *[v.alias(k) for k, v in parts.items()])
-    refs = {k: F.col(k) for k in parts}
-    p = p.withColumn("overall_score", S.post_overall(refs))
-    return p.select("*", *[v.alias(k) for k, v in S.post_decisions(refs, F.col("overall_score"), F.col("is_header")).items()])
+    return S.with_post_scores(X.pairs(spark, d), "source_text", "translated_text", "registry", "errors", "is_header")
 
 
 _SCORES = ["overall_score", "identity_score", "placeholder_score", "numeric_score", "format_score", "fluency_score", "fidelity_score", "needs_retry", "needs_review", "confidence", "acceptable"]
 
 
-@query(rf"WITH {X.PAIRS}, {_POST} SELECT result_id, idx, {', '.join(_SCORES)}, array_to_string(issues, ',') AS issues, array_to_string(warnings, ',') AS warnings FROM postx")
+@query(rf"WITH {X.PAIRS}, {_POST} SELECT result_id, idx, {', '.join(_SCORES)}, array_to_string(list_sort(issues), ',') AS issues, array_to_string(list_sort(warnings), ',') AS warnings FROM postx")
 def post_score_pairs(spark, d):
     """Post-score of every candidate (R-03, R-04, U-02, U-04)."""
-    return _post(spark, d).select(*KEY, *_SCORES, F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"))
+    return _post(spark, d).select(*KEY, *_SCORES, F.array_join(F.array_sort("issues"), ",").alias("issues"), F.array_join(F.array_sort("warnings"), ",").alias("warnings"))
 
 
 @query(

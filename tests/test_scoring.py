@@ -33,11 +33,7 @@ def test_short_text_and_null(spark):
 
 def post(spark, source, target, registry=(), errors=(), header=False):
     d = spark.createDataFrame([(source, target, list(registry), list(errors), header)], "s string, t string, r array<string>, e array<string>, h boolean")
-    p = S.post_parts(F.col("s"), F.col("t"), F.col("r"), F.col("e"), F.col("h"))
-    d = d.select("*", *[v.alias(k) for k, v in p.items()])
-    refs = {k: F.col(k) for k in p}
-    d = d.withColumn("overall", S.post_overall(refs))
-    return d.select("*", *[v.alias(k) for k, v in S.post_decisions(refs, F.col("overall"), F.col("h")).items()]).first()
+    return S.with_post_scores(d, "s", "t", "r", "e", "h").withColumnRenamed("overall_score", "overall").first()
 
 
 def test_good_pair(spark):
