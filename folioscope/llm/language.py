@@ -22,6 +22,10 @@ from .common import LATIN_LANGS, bounded_sample, language_code, map_arrow, ship_
 SAMPLE_TEXTS, ROUNDS = 20_000, 2
 #: Price of another language at the end of a sentence and inside one, lowest score of a word, in nats.
 AT_END, INSIDE, FLOOR = 4.0, 60.0, -8.0
+#: Nats by which another language must beat a declared one.
+DOUBT = 3.0
+#: Longest heading whose labels are remembered whole.
+PHRASE = 40
 #: Known words (or characters of scripts without blanks) a segment needs to count.
 EVIDENCE = 2
 CODES = (*LATIN_LANGS, "ru", "zh", "ja", "ar", "hi", "th")
@@ -31,11 +35,11 @@ _END = "\0"
 
 # A token is a word of one script, a Han character, or the end of a sentence.
 _TOKEN = re.compile(
-    r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|\$[^$\n]{1,60}\$|[A-Za-zÀ-ɏ]+(?:-?\d[\w.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])"
+    r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|\$[^$\n]{1,60}\$|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏ]+(?:-?\d[0-9A-Za-z.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])"
 )
 
 
-_PLAIN = re.compile(r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Za-zÀ-ɏ]+(?:-?\d[\w.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]")
+_PLAIN = re.compile(r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏ]+(?:-?\d[0-9A-Za-z.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]")
 
 
 def _script(c: str) -> str:
@@ -86,6 +90,7 @@ class LanguageModel:
         self.words: dict[str, np.ndarray] = {}
         self.grams: dict[str, np.ndarray] = {}
         self.han: dict[str, np.ndarray] = {}
+        self.phrases: dict[str, str] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -94,7 +99,7 @@ class LanguageModel:
         self.gram_index: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "grams": self.grams, "han": self.han}
+        return {"words": self.words, "grams": self.grams, "han": self.han, "phrases": self.phrases}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -215,21 +220,21 @@ class LanguageModel:
 
     # ---- decoding -------------------------------------------------------------------------------------------------
 
-    def label(self, texts: list[str]) -> list[list[tuple[str, float, int]]]:
-        """For each text its segments (code, confidence, known words); none for a text without words of a language."""
+    def label(self, texts: list[str]) -> list[list[tuple[str, float, np.ndarray]]]:
+        """For each text its segments (code, confidence, score of each language); none for a text without words of a language."""
         toks = [tokens(t) for t in texts]
         return self.label_tokens(toks)
 
-    def label_tokens(self, toks: list[list[str]]) -> list[list[tuple[str, float, int]]]:
+    def label_tokens(self, toks: list[list[str]]) -> list[list[tuple[str, float, np.ndarray]]]:
         order = sorted(range(len(toks)), key=lambda i: len(toks[i]))
-        out: list[list[tuple[str, float, int]]] = [[] for _ in toks]
+        out: list[list[tuple[str, float, np.ndarray]]] = [[] for _ in toks]
         for k in range(0, len(order), 2048):
             part = order[k : k + 2048]
             for i, segs in zip(part, self._viterbi([toks[i] for i in part])):
                 out[i] = segs
         return out
 
-    def _viterbi(self, toks: list[list[str]]) -> list[list[tuple[str, float, int]]]:
+    def _viterbi(self, toks: list[list[str]]) -> list[list[tuple[str, float, np.ndarray]]]:
         ids, ends = [], []
         get, row = self.index.get, self.word_row
         for ts in toks:
@@ -287,7 +292,7 @@ class LanguageModel:
         return out
 
     @staticmethod
-    def _segments(path: list[int], scores: np.ndarray) -> list[tuple[str, float, int]]:
+    def _segments(path: list[int], scores: np.ndarray) -> list[tuple[str, float, np.ndarray]]:
         """Runs of one label with the posterior of their words; runs of too little evidence join the run before."""
         runs: list[list[int]] = []
         for j, k in enumerate(path):
@@ -296,14 +301,12 @@ class LanguageModel:
             else:
                 runs.append([k, j, j + 1])
         strong = [r for r in runs if r[2] - r[1] >= EVIDENCE] or runs[:1]
-        out: list[tuple[str, float, int]] = []
+        out: list[tuple[str, float, np.ndarray]] = []
         for k, a, b in strong:
             s = scores[a:b].sum(0)
-            p = float(1 / np.exp(s - s[k]).sum())
             if out and out[-1][0] == CODES[k]:
-                out[-1] = (CODES[k], max(out[-1][1], p), out[-1][2] + b - a)
-            else:
-                out.append((CODES[k], p, b - a))
+                s = s + out.pop()[2]
+            out.append((CODES[k], float(1 / np.exp(s - s[k]).sum()), s))
         return out
 
     def totals(self, texts: list[str]) -> list[np.ndarray | None]:
@@ -366,12 +369,22 @@ def fit_model(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> LanguageModel:
                 pieces.append(ts)
                 labels.append(segs[0][0])
         model.fit(pieces, labels)
+    by: dict[str, Counter] = defaultdict(Counter)
+    for r in rows:
+        if len(r.text) <= PHRASE and r.lang in _AT:
+            by[r.text.strip().casefold()][r.lang] += 1
+    for text, n in by.items():
+        (lang, k), total = n.most_common(1)[0], n.total()
+        if total >= 3 and k >= 0.6 * total:
+            model.phrases[text] = lang
     return model
 
 
-def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_id", text_col: str = "text", keep: tuple[str, ...] = (), prior: str | None = None) -> DataFrame:
     """(id, kept columns, seg_no, lang, confidence) of each language segment; texts without words of a language have no row.
 
+    ``prior``: a kept column with a language that stands where the text's words don't tell it from their best one.
+
     Null and empty texts have no row; rows delivered again give rows again; an empty table gives an empty table.
     """
     ship_package(requests.sparkSession)
@@ -379,7 +392,14 @@ def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_i
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows, nos, langs, conf, count = [], [], [], [], []
+        given = b.column(b.schema.get_field_index(prior)).to_pylist() if prior else [None] * b.num_rows
         for i, segs in enumerate(model.label([t or "" for t in b.column(0).to_pylist()])):
+            if len(segs) == 1 and np.sort(segs[0][2])[-2] > segs[0][2].max() - DOUBT and (known := model.phrases.get((b.column(0)[i].as_py() or "").strip().casefold())):
+                s = segs[0][2]  # words of two languages, but a heading that mostly stands under one label
+                segs = [(known, float(1 / np.exp(s - s[_AT[known]]).sum()), s)]
+            if len(segs) == 1 and given[i] in _AT and segs[0][2][_AT[given[i]]] > segs[0][2].max() - DOUBT:
+                s = segs[0][2]  # the text can't tell: the label may be right
+                segs = [(given[i], float(1 / np.exp(s - s[_AT[given[i]]]).sum()), s)]
             for k, (lang, p, _) in enumerate(segs, 1):
                 rows.append(i)
                 nos.append(k)
@@ -406,5 +426,5 @@ def found(requests: DataFrame, lookup: dict[str, str], sample: int = SAMPLE_TEXT
     """
     r = labelled_requests(requests, lookup)
     model = fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")), sample)
-    s = segments(r, model, keep=("declared",))
+    s = segments(r, model, keep=("declared",), prior="declared")
     return s.filter((F.col("n_segments") > 1) | F.col("declared").isNull() | (F.col("declared") != F.col("lang"))).select("request_id", "seg_no", "lang")
