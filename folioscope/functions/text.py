@@ -34,13 +34,16 @@ NUMBERINGS = (
 BULLETS = "•-*·▪▫"
 BULLET_SPILLOVER = ["rules", "conserver", "ne pas traduire", "critique", "do not translate", "je suis ravi", "pouvez-vous", "comment puis-je"]
 SPILLOVER_WORDS = ["placeholder", "conserver", "mémorisez", "rappelez-vous", "critique", "critical", "do not", "ne pas", "forbidden", "interdit", "must", "should", "required", "mandatory", "obligatoire", "conserve", "remember", "retain", "preserve exactly"]
-SPILLOVER_PREFIXES = [r"here\s+is\s+the\s+translation", r"here's\s+the\s+translation", r"the\s+translation\s+is", r"translated\s+text", "translation", "output", "result", r"voici\s+la\s+traduction", r"la\s+traduction\s+est", r"texte\s+traduit", "traduction", "sortie", "résultat"]
-SPILLOVER_LINES = (
-    [rf"{w}\s*[:：].*" for w in ("n'oubliez pas", "rappel", "remarque", "attention", "note", "remember", "critical", "important", "instructions?")]
-    + [rf"{w}.*" for w in ("sortez uniquement", "afficher uniquement", "ne incluez", "vous devez", "il faut", "veuillez", "les éléments suivants", "output only", "do not include", "you must", "please")]
-    + [r".*n'oubliez pas\s*[:：].*", "le nom.*doit être.*", ".*code erreur.*", r".*\(obligatoire\).*", r".*\(facultative?\).*", r"traduction\s*[:：]\s*", r"translation\s*[:：]\s*"]
-    + ["n'oubliez pas", "rappel", "remarque", "attention", "note", "important", "critical", "remember", "souviens-toi", "instructions?"]
-)
+SPILLOVER_PREFIXES = [
+    r"here\s+is\s+the\s+translation", r"here's\s+the\s+translation", r"the\s+translation\s+is", r"translated\s+text", "translation", "output", "result",
+    r"voici\s+la\s+traduction", r"la\s+traduction\s+est", r"texte\s+traduit", "traduction", "sortie", "résultat",
+]
+SPILLOVER_LINES = [
+    r"n'oubliez pas\s*[:：].*", r".*n'oubliez pas\s*[:：].*", r"rappel\s*[:：].*", r"remarque\s*[:：].*", r"attention\s*[:：].*", r"note\s*[:：].*", "sortez uniquement.*", "afficher uniquement.*", "ne incluez.*",
+    "vous devez.*", "il faut.*", "veuillez.*", "les éléments suivants.*", "le nom.*doit être.*", ".*code erreur.*", r".*\(obligatoire\).*", r".*\(facultative?\).*",
+    "output only.*", "do not include.*", "you must.*", "please.*", r"remember\s*[:：].*", r"critical\s*[:：].*", r"important\s*[:：].*", r"instructions?\s*[:：].*", r"traduction\s*[:：]\s*", r"translation\s*[:：]\s*",
+]
+SPILLOVER_ONLY = ["n'oubliez pas", "rappel", "remarque", "attention", "note", "important", "critical", "remember", "souviens-toi", "instructions", "instruction"]
 SPILLOVER_SHORT = ["rappel", "remarque", "n'oubliez", "attention", "note", "sortez"]
 SPILLOVER_MARKERS = ["code erreur", "error code", "obligatoire", "required", "facultative", "optional", "formulaire", "form", "saisie", "input", "administrateur", "administrator"]
 GENERIC_RESPONSES = ["je suis ravi", "pouvez-vous", "i'm happy to help", "can you"]
@@ -205,7 +208,7 @@ def clean_spillover(c: Column) -> Column:
     for p in SPILLOVER_PREFIXES:
         t = strip(F.regexp_replace(t, rf"(?i)^{p}:?\s*", ""))
     bad = "^(?:" + "|".join(f"(?:{p})" for p in SPILLOVER_LINES) + ")$"
-    lines = F.filter(F.split(t, "\n"), lambda x: ~F.lower(strip(x)).rlike(bad))
+    lines = F.filter(F.split(t, "\n"), lambda x: ~(F.lower(strip(x)).rlike(bad) | F.lower(strip(x)).isin(SPILLOVER_ONLY)))
     paragraphs = F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\n\n"), strip), lambda p: (p != "") & ~((F.length(p) < 50) & any_of(F.lower(p), SPILLOVER_SHORT)) & ~any_of(F.lower(p), SPILLOVER_MARKERS))
     out = F.regexp_replace(F.array_join(paragraphs, "\n\n"), r"\n{3,}", "\n\n")
     out = strip(F.regexp_replace(out, r"(?m)[ \t]+$", ""))
