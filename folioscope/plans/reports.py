@@ -121,7 +121,12 @@ def language_codes(spark, d):
     return j.select("request_id", F.coalesce("ok", F.lit(False)).alias("source_valid"), "target_name")
 
 
-@query()
+_TERMS = rf"""gl AS (SELECT * FROM (SELECT *, lower(source) AS term_key, row_number() OVER (PARTITION BY lower(source) ORDER BY load_seq DESC, source, target) AS r FROM glossary WHERE source <> '') WHERE r = 1), q AS (SELECT DISTINCT request_id, text, source_lang, target_lang FROM requests),
+f AS (SELECT q.request_id, gl.source, gl.target, row_number() OVER (PARTITION BY q.request_id ORDER BY length(gl.source) DESC, term_key) AS k FROM q JOIN gl ON contains(lower(q.text), gl.term_key) AND CASE WHEN gl.case_sensitive THEN contains(q.text, gl.source) AND regexp_matches({X.ascii_words('q.text')}, '\b' || {X.ascii_words('gl.source')} || '\b') ELSE regexp_matches({X.ascii_words('lower(q.text)')}, '\b' || {X.ascii_words('gl.term_key')} || '\b') END),
+t AS (SELECT request_id, string_agg('  • "' || source || '" → "' || target || '"', chr(10) ORDER BY k) AS terms FROM f WHERE k <= 20 GROUP BY request_id)"""
+
+
+@query(f"WITH {_TERMS} SELECT q.request_id, 'Translate from ' || coalesce(source_lang, 'the source language') || ' to ' || coalesce(target_lang, 'the target language') || '. Keep every protected token unchanged.' || CASE WHEN terms IS NULL THEN '' ELSE chr(10) || 'Use these terminology translations:' || chr(10) || terms END AS prompt FROM q LEFT JOIN t ON q.request_id = t.request_id")
 def prompts(spark, d):
     """Prompt text of every request with its relevant terms (X-16, X-17)."""
     from folioscope.operators import lookups as L

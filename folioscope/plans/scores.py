@@ -192,7 +192,26 @@ def position_bonus(spark, d):
     return X.pairs(spark, d).select(*KEY, F.when(n > 1, (n - F.col("idx")) * F.lit(0.5)).otherwise(F.lit(0.0)).alias("bonus"))
 
 
-@query()
+def _clean_sql(x: str) -> str:
+    q = lambda t: t.replace("'", "''")
+    t = rf"regexp_replace(regexp_replace({X.strip_sql(x)}, '(?s)```.*?```', '', 'g'), '^[""'']([^\n\r]+)[""'']$', '\1')".replace('""', '"')
+    steps = [f"c0 AS (SELECT *, {t} AS t0 FROM pairs)"]
+    for i, p in enumerate(T.SPILLOVER_PREFIXES):
+        trimmed = X.strip_sql(f"regexp_replace(t{i}, '(?i)^{q(p)}:?\\s*', '')")
+        steps.append(f"c{i + 1} AS (SELECT * EXCLUDE (t{i}), {trimmed} AS t{i + 1} FROM c{i})")
+    k = len(T.SPILLOVER_PREFIXES)
+    bad = q("|".join(f"(?:{p})" for p in T.SPILLOVER_LINES))
+    only = "[" + ", ".join(f"'{q(w)}'" for w in T.SPILLOVER_ONLY) + "]"
+    line = f"list_filter(string_split(t{k}, chr(10)), lambda x: NOT (regexp_full_match(lower({X.strip_sql('x')}), '{bad}') OR list_contains({only}, lower({X.strip_sql('x')}))))"
+    any_ = lambda c, words: "(" + " OR ".join(f"contains({c}, '{q(w)}')" for w in words) + ")"
+    para = f"list_filter(list_transform(string_split(array_to_string({line}, chr(10)), chr(10) || chr(10)), lambda p: {X.strip_sql('p')}), lambda p: p <> '' AND NOT (length(p) < 50 AND {any_('lower(p)', T.SPILLOVER_SHORT)}) AND NOT {any_('lower(p)', T.SPILLOVER_MARKERS)})"
+    joined = f"regexp_replace(array_to_string({para}, chr(10) || chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    trimmed = X.strip_sql(f"regexp_replace({joined}, '(?m)[ \\t]+$', '', 'g')")
+    steps.append(f"cz AS (SELECT result_id, idx, {x}, CASE WHEN {X.strip_sql(x)} = '' THEN {x} ELSE {trimmed} END AS cleaned FROM c{k})")
+    return ", ".join(steps)
+
+
+@query(f"WITH {X.PAIRS}, {_clean_sql('translated_text')} SELECT result_id, idx, cleaned, true AS modified FROM cz WHERE cleaned <> translated_text")
 def spillover_clean(spark, d):
     """Answers without instruction spillover, where that changes them (X-01)."""
     c = T.clean_spillover(F.col("translated_text"))
@@ -351,7 +370,7 @@ def export_json(spark, d):
     return j.select("doc_id", F.size(a).cast("bigint").alias("n"), F.size(F.filter(a, lambda x: x["translated_text"] != "")).cast("bigint").alias("n_answered"))
 
 
-@query()
+@query("SELECT DISTINCT request_id, 0 AS idx, upper(coalesce(target_lang, '')) || ': ' || coalesce(text, '') AS candidate FROM requests")
 def offline_candidates(spark, d):
     """Candidates of an offline backend for every request (V-01..V-03, P-16)."""
     return K.generated(X.requests(spark, d).select("request_id", "text", "target_lang", "n_candidates"), "prefix").select("request_id", "idx", "candidate")
