@@ -194,7 +194,8 @@ def position_bonus(spark, d):
 
 def _clean_sql(x: str) -> str:
     q = lambda t: t.replace("'", "''")
-    t = rf"regexp_replace(regexp_replace({X.strip_sql(x)}, '(?s)```.*?```', '', 'g'), '^[""'']([^\n\r]+)[""'']$', '\1')".replace('""', '"')
+    mark = "[' || chr(34) || chr(39) || ']"  # either quotation mark, inside an SQL string
+    t = rf"regexp_replace(regexp_replace({X.strip_sql(x)}, '(?s)```.*?```', '', 'g'), '^{mark}([^\n\r]+){mark}$', '\1')"
     steps = [f"c0 AS (SELECT *, {t} AS t0 FROM pairs)"]
     for i, p in enumerate(T.SPILLOVER_PREFIXES):
         trimmed = X.strip_sql(f"regexp_replace(t{i}, '(?i)^{q(p)}:?\\s*', '')")
