@@ -132,13 +132,26 @@ def math_neighbours(spark, d):
     return _equations(spark, d).select("span_id", "neighbours")
 
 
-@query()
+#: Word characters as Spark's Unicode class has them.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
+_EQ = rf"""{X.SPANS}, e0 AS (SELECT *, coalesce(text, '') AS t, {X.strip_sql("coalesce(text, '')")} AS st, regexp_matches(coalesce(text, ''), '{_MATH}')::INT AS own FROM spans0),
+e1 AS (SELECT *, sum(own) OVER (PARTITION BY doc_id, block_id, line_no ORDER BY span_no, span_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) - own AS nb, len(regexp_extract_all(t, '{C.OPERATORS}')) AS ops, len(list_filter(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{Nd}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]'))) AS lat,
+  len(list_filter(regexp_extract_all(t, '[{_W}]+'), lambda x: regexp_full_match(x, '[α-ωΑ-Ω]'))) AS gr, regexp_matches(t, '[0-9]') AS dig, len(regexp_extract_all(t, '[{_W}]+')) AS nw, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}]')) AS an, length(t) AS n FROM e0),
+e2 AS (SELECT *, lat + gr >= 2 OR (lat + gr > 0 AND dig AND ops >= 1) AS var, regexp_matches(t, '[(\[][^)\]]*[+\-*/=<>≠≤≥∈∉][^)\]]*[)\]]') OR regexp_matches(t, '(^|[^{_W}])[{_W}][{_W})\]]*{X.WS}*/{X.WS}*[(\[]*[{_W}]')
+  OR regexp_matches(t, '(^|[^\p{{L}}\p{{Nd}}_])\d+\s*(≤|>=|<=|≥|<|>)\s*[a-zA-Zα-ωΑ-Ω0-9]+($|[^\p{{L}}\p{{Nd}}_])') OR regexp_matches(t, '(^|[^\p{{L}}\p{{Nd}}_])[a-zA-Zα-ωΑ-Ω]\s*∈\s*\[[^\]]+\]') AS ctx FROM e1),
+e3 AS (SELECT *, CASE WHEN own = 1 THEN 0.6::DOUBLE ELSE 0::DOUBLE END + CASE WHEN ops > 0 AND (dig OR lat > 0 OR regexp_matches(t, '[α-ωΑ-Ω]')) THEN 0.5::DOUBLE ELSE 0::DOUBLE END + CASE WHEN regexp_matches(t, '[\x{{2070}}-\x{{209F}}]') THEN 0.5::DOUBLE ELSE 0::DOUBLE END
+  + CASE WHEN var THEN 0.6::DOUBLE ELSE 0::DOUBLE END + CASE WHEN var AND nw <= 4 THEN 0.2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN ctx THEN 0.5::DOUBLE ELSE 0::DOUBLE END + CASE WHEN n > 3 AND ops::DOUBLE / nullif(n, 0) > 0.2::DOUBLE AND an::DOUBLE / nullif(n, 0) < 0.7::DOUBLE THEN 0.4::DOUBLE ELSE 0::DOUBLE END
+  - CASE WHEN nw >= 6 AND ops = 0 THEN 0.3::DOUBLE ELSE 0::DOUBLE END - CASE WHEN regexp_matches(st, '[.;:]$') AND ops = 0 THEN 0.2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN nb >= 2 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS score FROM e2),
+eq AS (SELECT *, CASE WHEN st = '' THEN false WHEN {" OR ".join(f"contains(lower(coalesce(font, '')), '{x}')" for x in C.MATH_FONTS)} OR regexp_matches(t, '(?s)\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]') THEN true WHEN regexp_full_match(st, '\d{{1,4}}') THEN false ELSE score >= 0.7::DOUBLE END AS is_equation FROM e3)"""
+
+
+@query(f"WITH {_EQ} SELECT span_id, text FROM eq WHERE is_equation")
 def equation_spans(spark, d):
     """Equations among the spans (E-02)."""
     return _equations(spark, d).filter("is_equation").select("span_id", "text")
 
 
-@query()
+@query(f"WITH {_EQ} SELECT doc_id, block_id, (count(*) FILTER (is_equation))::DOUBLE / count(*) > 0.7::DOUBLE AS is_equation_block, count(*) FILTER (is_equation) AS equations, count(*) FILTER (NOT is_equation) AS texts, string_agg(CASE WHEN is_equation THEN '[EQUATION:' || text || ']' ELSE t END, ' ' ORDER BY line_no, span_no, span_id) AS text FROM eq GROUP BY doc_id, block_id")
 def equation_blocks(spark, d):
     """Equation blocks, and the text of every block with its equations in brackets (E-03..E-05)."""
     e = _equations(spark, d)
