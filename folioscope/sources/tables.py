@@ -23,7 +23,13 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="folioscope-")) / "folioscope.zip"
+    shared = sc.getConf().get("spark.checkpoint.dir", "")
+    if shared.startswith("file:"):  # the cluster's shared folder
+        folder = Path("/" + shared.removeprefix("file:").lstrip("/")) / f"folioscope-{sc.applicationId}"
+        folder.mkdir(parents=True, exist_ok=True)
+    else:
+        folder = Path(tempfile.mkdtemp(prefix="folioscope-"))
+    target = folder / "folioscope.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, os.path.join(root.name, p.relative_to(root)))
