@@ -62,8 +62,10 @@ _STEMS = (
 
 @lru_cache(1)
 def _stems():
-    import ahocorasick
-
+    try:
+        import ahocorasick
+    except ImportError:
+        return None
     a = ahocorasick.Automaton()
     for s in _STEMS:
         a.add_word(s.replace("&", " "), 1)
@@ -71,6 +73,12 @@ def _stems():
     return a
 
 
+def _holds_stem(text: str) -> bool:
+    """Whether one of the stems occurs; without the automaton every text is looked at in full."""
+    a = _stems()
+    return a is None or next(a.iter(text), None) is not None
+
+
 #: Longest refusal.
 REFUSAL_LENGTH = 260
 _LABEL = re.compile(r"^[^\W\d_][\w ]{2,18}[:：]\s*")
@@ -119,7 +127,7 @@ def is_refusal(request: str, candidate: str) -> bool:
     if len(candidate) > REFUSAL_LENGTH:
         return False
     c = candidate.strip(" \t\n\"'«»“”").replace("’", "'").casefold()
-    if not next(_stems().iter(c), None):
+    if not _holds_stem(c):
         return False
     return bool(_REFUSAL.search(c)) and not _REFUSAL.search(request.replace("’", "'").casefold())
 
