@@ -33,9 +33,9 @@ K = len(CODES)
 _AT = {c: i for i, c in enumerate(CODES)}
 _END = "\0"
 
-# A token is a word of one script, a Han character, or the end of a sentence.
+# A token is a word of one script, a piece of text of a script without blanks, or the end of a sentence.
 _TOKEN = re.compile(
-    r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|\$[^$\n]{1,60}\$|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏ]+(?:-?\d[0-9A-Za-z.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])"
+    r"@@[A-Z_0-9]+(?:@@)?|https?://[^\s)）]+|\$[^$\n]{1,60}\$|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏ]+(?:-?\d[0-9A-Za-z.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]{1,3}|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])"
 )
 
 
