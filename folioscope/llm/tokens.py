@@ -1,9 +1,9 @@
 """Problem 6: encode a corpus with a public byte-level BPE tokenizer.
 
-Pre-tokens are located without regular expressions: every code point gets a class (letter, number, white space, other)
-and the start of each run of one class follows from an associative scan (a running maximum of run starts) and a few
-look-arounds. Slices are told apart by a 64-bit polynomial hash of prefix sums, so that only the distinct ones of a batch
-reach Python; their merges come from a cache.
+Pre-tokens are located without regular expressions: every code point gets a class (letter, number, white space, other). The
+automaton of the pattern forgets all but its last few characters, so that its transition functions compose to constants after
+them and the scan over them reduces to comparing neighbours in whole arrays. Slices are told apart by a 64-bit hash from
+prefix scans (running sums and products), so that only the distinct ones of a batch reach Python; their merges come from a cache.
 """
 
 from __future__ import annotations
