@@ -66,7 +66,7 @@ def improvement(base: Column, value: Column) -> Column:
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, mean_difference, t) of paired values; t null for fewer than two pairs or equal differences. Sums are decimals, so that the order of the rows doesn't matter."""
     d = F.col(a) - F.col(b)
-    exact = lambda c: F.sum(c.cast("decimal(38,18)")).cast("double")
+    exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")
     g = df.select(d.alias("d")).filter("d is not null").agg(F.count("*").alias("n"), exact(F.col("d")).alias("s1"), exact(F.col("d") * F.col("d")).alias("s2"))
     n = F.col("n").cast("double")
     mean, var = F.try_divide(F.col("s1"), n), F.try_divide(F.col("s2") - F.try_divide(F.col("s1") * F.col("s1"), n), n - 1)

@@ -62,7 +62,7 @@ def evaluation_unpivot(spark, d):
     return u.groupBy("metric").agg(F.count("*").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), R.mean_exact(F.col("value")).alias("average"))
 
 
-@query(f"WITH {_SPLIT}, s AS (SELECT count(*) AS n, sum((adaptive - fixed)::DECIMAL(38,18))::DOUBLE AS s1, sum(((adaptive - fixed) * (adaptive - fixed))::DECIMAL(38,18))::DOUBLE AS s2 FROM both_), v AS (SELECT n, s1 / n::DOUBLE AS mean_difference, (s2 - s1 * s1 / n::DOUBLE) / nullif(n::DOUBLE - 1, 0) AS var FROM s) SELECT n, mean_difference, CASE WHEN var > 0 THEN mean_difference / (sqrt(var) / sqrt(n::DOUBLE)) END AS t FROM v")
+@query(f"WITH {_SPLIT}, s AS (SELECT count(*) AS n, sum((adaptive - fixed)::DECIMAL(38,12))::DOUBLE AS s1, sum(((adaptive - fixed) * (adaptive - fixed))::DECIMAL(38,12))::DOUBLE AS s2 FROM both_), v AS (SELECT n, s1 / n::DOUBLE AS mean_difference, (s2 - s1 * s1 / n::DOUBLE) / nullif(n::DOUBLE - 1, 0) AS var FROM s) SELECT n, mean_difference, CASE WHEN var > 0 THEN mean_difference / (sqrt(var) / sqrt(n::DOUBLE)) END AS t FROM v")
 def paired_t(spark, d):
     """Paired t statistic of the two systems (A-22)."""
     return R.paired_t(_sides(spark, d), "adaptive", "fixed")
