@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import map_arrow, ship_package
 
-#: Texts the ending statistics are fitted on at most, taken in the order of a hash.
-SAMPLE_TEXTS = 16_000
+#: Distinct n-grams that a task counts before it hands them on.
+HELD = 200_000
 #: Share of an n-gram's occurrences that end a sentence below which an ending is unlikely; occurrences needed to judge a long n-gram.
 UNLIKELY, SUPPORT = 0.12, 4
 #: A text without a full stop that has this share of its request's length or less is incomplete.
 SHORT = 0.35
-#: Longest heading; a heading seen this often in the sample is complete however its last words are used elsewhere.
+#: Longest heading; a heading seen this often in the corpus is complete however its last words are used elsewhere.
 HEADING, OFTEN = 60, 3
 
 TERMINALS = ".!?。！？।؟"
@@ -72,6 +75,7 @@ def without_note(text: str) -> str:
     return text[: m.start()] if m else text
 
 
+@lru_cache(1 << 16)
 def _class(tok: str) -> str:
     if tok[-1].isdigit():
         return "#n" if tok[0].isdigit() else "#c"
@@ -85,7 +89,12 @@ def tail(core: str) -> tuple[str, str]:
     if core and _BY_CHARACTER.match(core[-1]):
         n = 8 if core[-1] < "\u0e80" else 4
         return core[-n:], core[-n // 2 :]
-    toks = _TOKEN.findall(core[-80:])
+    return _word_tail(core[-80:])
+
+
+@lru_cache(1 << 16)
+def _word_tail(end: str) -> tuple[str, str]:
+    toks = _TOKEN.findall(end)
     if not toks:
         return "", ""
     w = _class(toks[-1])
@@ -108,13 +117,14 @@ class Endings:
         self.any: Counter = Counter()
         self.end: Counter = Counter()
         self.whole: Counter = Counter()
+        self.begins: set[str] | None = None  # what begins a longer word
 
-    def add(self, text: str) -> None:
-        """Count a text of the sample."""
+    def add(self, text: str, times: int = 1) -> None:
+        """Count a text that occurs so many times."""
         core, broken = strip_break(unwrap(text))
         ends = {m.start() for m in _MARK.finditer(core)}
         if not broken and 0 < len(core) <= HEADING and core[-1] not in TERMINALS:
-            self.whole[core.casefold()] += 1
+            self.whole[core.casefold()] += times
         thai = "฀" <= max(core, default="") and re.search("[฀-๿]", core)
         if thai:
             ends |= {m.start() for m in _THAI_END.finditer(core)}
@@ -123,14 +133,17 @@ class Endings:
         for e in ends:
             long, short = tail(core[max(0, e - 80) : e])
             if short and not (len(short) == 1 and short.isalpha() and short < "ʰ"):
-                self.end[long] += 1
-                self.end[short] += 1
+                self.end[long] += times
+                self.end[short] += times
+        grams = []
         if core and _BY_CHARACTER.search(core):
             for n in (8, 4) if re.search("[\u0900-\u0e7f]", core) else (4, 2):
-                self.any.update(core[i : i + n] for i in range(len(core) - n + 1))
-        toks = [_class(t) for t in _TOKEN.findall(core)]
-        self.any.update(toks)
-        self.any.update(a + " " + b for a, b in zip(toks, toks[1:]))
+                grams += [core[i : i + n] for i in range(len(core) - n + 1)]
+        toks = list(map(_class, _TOKEN.findall(core)))
+        grams += toks
+        grams += map(" ".join, zip(toks, toks[1:]))
+        for _ in range(times):
+            self.any.update(grams)
 
     def likelihood(self, core: str) -> float:
         """Share of the occurrences of the text's last n-gram that end a sentence; 0 for an n-gram never seen at an end."""
@@ -152,12 +165,11 @@ class Endings:
         short = tail(core)[1]
         if _NOSPACE.search(core):
             return False
-        if not hasattr(self, "sorted"):
-            self.sorted = sorted(k for k in self.any if " " not in k)
         if not short or self.any.get(short, 0) >= SUPPORT:
             return False
-        k = bisect_right(self.sorted, short)
-        return k < len(self.sorted) and self.sorted[k].startswith(short)
+        if self.begins is None:
+            self.begins = {k[:i] for k in self.any if " " not in k for i in range(1, len(k))}
+        return short in self.begins
 
     def known(self, core: str) -> bool:
         """Whether the last n-gram is frequent enough to be judged."""
@@ -165,13 +177,72 @@ class Endings:
         return self.any.get(long, 0) >= 5 * SUPPORT
 
 
-def fit_endings(texts: DataFrame, sample: int = SAMPLE_TEXTS) -> Endings:
-    """Statistics from rows (id, text); at most ``sample`` texts, chosen by a hash of the id (so that texts keep their frequencies), reach the driver."""
+def evidence(candidate: str | None) -> set[tuple[str, str]]:
+    """(kind, key) of the counts that ``incomplete`` asks for: n n-grams, w the whole heading, b the last word as the beginning of another."""
+    core, junk = strip_break(candidate or "")
+    core = unwrap(core) if junk else unwrap(without_note(unwrap(core)))
+    if not core:
+        return set()
+    stop = core[-1] in TERMINALS or (core[-1] in "»”\"’」』)" and core[-2:-1] in TERMINALS)
+    long, short = tail((core.rstrip("»”\"’」』") if stop and not junk else core).rstrip(TERMINALS + " "))
+    out = {("n", k) for k in (long, short, long.split(" ")[0]) if k}
+    if not junk and not stop and len(core) <= HEADING:
+        out.add(("w", core.casefold()))
+        if short and not _NOSPACE.search(core):
+            out.add(("b", short))
+    return out
+
+
+def count_endings(texts: DataFrame) -> DataFrame:
+    """(kind, key, n, at_end) over all rows (text): n-grams (n) that are frequent or end a sentence, frequent headings (w), beginnings of such n-grams without a blank (b)."""
+    ship_package(texts.sparkSession)
+
+    def rows(e: Endings) -> pa.RecordBatch:
+        keys = [*e.any, *(k for k in e.end if k not in e.any)]
+        kinds, n, at_end = ["n"] * len(keys) + ["w"] * len(e.whole), [*(e.any.get(k, 0) for k in keys), *e.whole.values()], [*(e.end.get(k, 0) for k in keys), *[0] * len(e.whole)]
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*keys, *e.whole], pa.string()), pa.array(n, pa.int64()), pa.array(at_end, pa.int64())], ["kind", "key", "n", "at_end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Endings()
+        for b in batches:
+            for t, times in Counter(b.column(0).to_pylist()).items():
+                e.add(t, times)
+                if len(e.any) > HELD:
+                    yield rows(e)
+                    e = Endings()
+        yield rows(e)
+
+    c = texts.filter(F.col("text").isNotNull()).select("text").mapInArrow(run, "kind string, key string, n bigint, at_end bigint")
+    c = c.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("at_end").alias("at_end"))
+    c = c.filter(((F.col("kind") == "n") & ((F.col("n") >= SUPPORT) | (F.col("at_end") > 0))) | ((F.col("kind") == "w") & (F.col("n") >= OFTEN))).persist(StorageLevel.DISK_ONLY)
+    c.count()  # else the two stages that read it would each count the corpus
+    words = c.filter((F.col("kind") == "n") & (F.col("n") > 0) & ~F.col("key").contains(" ") & (F.length("key") > 1))
+    begins = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("key")).distinct()
+    return c.unionByName(begins.select(F.lit("b").alias("kind"), "key", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("at_end")))
+
+
+def ending_counts(texts: DataFrame, results: DataFrame) -> DataFrame:
+    """(result_id, counts): what all texts say about the endings of each result's candidates, an array of kind, key, n, at_end."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        asked = [(i, *x) for i, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in set().union(*map(evidence, cs or ()))]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in asked], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["result_id", "kind", "key"])
+
+    asked = map_arrow(results.select("result_id", "candidates"), run, "result_id bigint, kind string, key string")
+    return asked.join(count_endings(texts), ["kind", "key"]).groupBy("result_id").agg(F.collect_list(F.struct("kind", "key", "n", "at_end")).alias("counts"))
+
+
+def counted(columns: pa.ListArray) -> Endings:
+    """Statistics that hold the counts of some rows of ``ending_counts``."""
     e = Endings()
-    for r in bounded_sample(texts.filter(F.col("text").isNotNull()).select("id", "text"), sample):
-        e.add(r.text)
-    e.any = Counter({k: v for k, v in e.any.items() if v >= SUPPORT or k in e.end})
-    e.whole = Counter({k: v for k, v in e.whole.items() if v >= OFTEN})
+    e.begins = set()
+    for kind, key, n, at_end in zip(*(c.to_pylist() for c in columns.flatten().flatten())):
+        if kind == "b":
+            e.begins.add(key)
+        elif kind == "w":
+            e.whole[key] = n
+        else:
+            e.any[key], e.end[key] = n, at_end
     return e
 
 
@@ -201,7 +272,7 @@ def incomplete(request: str, candidate: str, e: Endings) -> tuple[int, int]:
     if len(core) <= HEADING and (e.whole.get(core.casefold(), 0) >= OFTEN or not re.search(r"[^\W\d_]{3}", core)):
         return 0, size
     if p < UNLIKELY and len(asked) <= HEADING and len(core) <= HEADING and asked[-1:] not in TERMINALS:
-        return (2 if e.broken_word(core) or e.known(core) and p == 0 else 0), size  # a heading too rare for the sample
+        return (2 if e.broken_word(core) or e.known(core) and p == 0 else 0), size  # a heading too rare to be known
     if p < UNLIKELY:
         return 2, size
     if invariants(asked) - invariants(core) or (len(core) < SHORT * len(asked) and not _NOSPACE.search(core)):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, ship_package
-from .endings import Endings, fit_endings, incomplete, unwrap
+from .endings import counted, ending_counts, incomplete, unwrap
 from .language import _AT, CODES, LanguageModel, fit_model, labelled_requests, tokens
 
 #: Neighbouring lengths on each side that a hazard is tested against; false-discovery rate; fewest candidates of a tested length.
@@ -132,20 +132,21 @@ def is_refusal(request: str, candidate: str) -> bool:
     return bool(_REFUSAL.search(c)) and not _REFUSAL.search(request.replace("’", "'").casefold())
 
 
-def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None, endings: Endings) -> DataFrame:
+def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None, counts: DataFrame) -> DataFrame:
     """(result_id, idx, backend, kind, strength, size) of each candidate of each result with a known request.
 
     kind: empty, refusal, copy, wrong_language or fine; strength and size as ``endings.incomplete`` gives them for what is
-    neither empty nor a refusal nor a copy. A null or empty candidates array is one empty candidate with idx 0. Without a
+    neither empty nor a refusal nor a copy, by the ``counts`` of ``endings.ending_counts``. A null or empty candidates array is one empty candidate with idx 0. Without a
     model the language isn't looked at. Results or requests delivered again count once; a null request text is an empty one.
     """
     ship_package(requests.sparkSession)
     q = requests.select("request_id", "text", "target_lang").dropDuplicates(["request_id"])
     r = results.select("result_id", "request_id", "backend", "candidates").dropDuplicates(["result_id"])
-    j = r.join(q, "request_id").select("result_id", "backend", "candidates", "text", "target_lang")
+    j = r.join(counts, "result_id", "left").join(q, "request_id").select("result_id", "backend", "candidates", "text", "target_lang", "counts")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, backends, cands, texts, targets = (c.to_pylist() for c in b.columns)
+        ids, backends, cands, texts, targets = (c.to_pylist() for c in b.columns[:5])
+        endings = counted(b.column(5))
         out: list[tuple] = []
         todo: list[tuple[int, int]] = []  # position in out, row
         said: list[str] = []
@@ -229,13 +230,12 @@ def cut_lengths(examined: DataFrame) -> DataFrame:
 
 def _prepared(requests: DataFrame, results: DataFrame, lookup: dict[str, str] | None) -> DataFrame:
     """Examined candidates with their truncation decided; lookup None: languages aren't looked at."""
-    texts = requests.select(F.col("request_id").alias("id"), "text").unionByName(results.select((-F.col("result_id")).alias("id"), F.explode("candidates").alias("text")))
-    endings = fit_endings(texts)
+    counts = ending_counts(requests.select("text").unionByName(results.select(F.explode("candidates").alias("text"))), results)
     model = None
     if lookup is not None:
         r = labelled_requests(requests, lookup)
         model = fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")), LANGUAGE_SAMPLE)
-    seen = examine(requests, results, model, endings).persist(StorageLevel.DISK_ONLY)
+    seen = examine(requests, results, model, counts).persist(StorageLevel.DISK_ONLY)
     seen.count()  # else the stages that read it at the same time would each work it out
     cuts = cut_lengths(seen).select("backend", "size", F.lit(True).alias("at_limit"))
     cut = (F.col("strength") == 2) | ((F.col("strength") == 1) & F.coalesce("at_limit", F.lit(False)))

@@ -100,3 +100,26 @@ def test_empty_tables(spark, data, tables):
     q, r, _ = tables
     assert P.truncated(q.limit(0), r.limit(0)).count() == 0
     assert P.defects(q, r.limit(0), code_lookup(spark, data)).count() == 0
+
+
+def test_endings_are_counted_over_all_texts(spark, monkeypatch):
+    import random
+
+    random.seed(5)
+    words = ["method", "parser", "methods", "value", "values", "भाषा का अनुवाद", "ตารางแสดงผล", "12", "数据处理", "(x)"]
+    texts = [" ".join(random.choices(words, k=random.randint(1, 5))) + random.choice(["", ".", " valu", "…"]) for _ in range(700)] + ["Rare heading"] * E.OFTEN + [None, ""]
+    e = E.Endings()
+    for t in texts:
+        e.add(t or "")
+    e.any = E.Counter({k: v for k, v in e.any.items() if v >= E.SUPPORT or k in e.end})
+    e.whole = E.Counter({k: v for k, v in e.whole.items() if v >= E.OFTEN})
+    monkeypatch.setattr(E, "HELD", 40)  # counts meet only in the sum
+    rows = [(i, [t, None]) for i, t in enumerate(texts)] + [(9000, None), (9001, [])]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    got = E.ending_counts(d, spark.createDataFrame(rows, "result_id bigint, candidates array<string>")).toArrow()
+    counts = dict(zip(got["result_id"].to_pylist(), (got["counts"].combine_chunks()[i : i + 1] for i in range(len(got)))))
+    for i, t in enumerate(texts):
+        one = E.counted(counts[i]) if i in counts else E.Endings()
+        for asked in ("A request.", "Heading", "Some 12 values that go on and on (x) over a longer sentence than the other ones."):
+            assert E.incomplete(asked, t or "", one) == E.incomplete(asked, t or "", e), t
+    assert E.counted(counts[texts.index("Rare heading")]).whole["rare heading"] == E.OFTEN
