@@ -104,14 +104,14 @@ def count_batch(texts: list[str], langs: list[str]) -> Counter:
         total = 0
         for w, n in tokens.items():
             total += n
-            if w in starts and not _is_code(w):
+            if not _is_code(w):
                 out[lang, "T", w, ""] += n
         out[lang, "T", "", ""] += total
         out[lang, "S", "", ""] += sum(starts.values())
         for (w, x), n in periods.items():
             if not any(c.isdigit() for c in w):
-                # what never starts a sentence in this batch is no evidence of a boundary: one key for all of it
-                out[lang, "P", w, "#" if x[0].isdigit() else x if x in starts and not _is_code(x) else "~"] += n
+                # which words start sentences only the whole corpus tells; code names are no evidence of a boundary: one key for them
+                out[lang, "P", w, "#" if x[0].isdigit() else "~" if _is_code(x) or x == "#" else x] += n
     return out
 
 

@@ -66,3 +66,20 @@ def test_frame(spark):
     assert {x[0] for x in got} == {1, 5} and sum(x[0] == 5 for x in got) == 20000
     assert S.sentences(d.limit(0)).count() == 0
     assert S.sentences(d).filter("doc_id = 1").count() == 4
+
+
+def test_statistics_do_not_depend_on_batches(spark):
+    starts = ["The data came late.", "However, it rained.", "In all, it worked.", "The rest is known."]
+    rows = [(f"{starts[i % 4]}\n\nThe team of Dr. Vek{i} uses e.g. Kx{i} a lot, p. {i}.", "en") for i in range(60)]
+    rows += [(f"some parser needs data, etc. The noise of Prof. However stays. In it The end. It", ["en", "de"][i % 2]) for i in range(60)]
+    d = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    one = S.learn(d)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        assert S.learn(d.repartition(5)) == one
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    n = S.count_batch(*map(list, zip(*rows)))
+    parts = sum((S.count_batch([t], [lang]) for t, lang in rows), S.Counter())
+    assert n == parts and n["en", "T", "The", ""] == 60 + 30 + 30 + 30 and n["de", "P", "etc", "The"] == 30
