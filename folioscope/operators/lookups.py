@@ -127,13 +127,15 @@ def similarity(kind: str = "indel"):
     return run
 
 
-def fuzzy_matches(queries: DataFrame, memory: DataFrame, min_similarity: float = 0.85, k: int = 1) -> DataFrame:
+def fuzzy_matches(queries: DataFrame, memory: DataFrame, min_similarity: float = 0.85, k: int = 1, others: bool = False) -> DataFrame:
     """(query_id, rank, memory_id, similarity): the k most similar memory texts of each query with a similarity of at least the threshold.
 
     ``queries`` has query_id, pair, text; ``memory`` memory_id, pair, text, quality. No match is lost: with ratio t the lengths
     a and b satisfy min >= t / (2 - t) * max, so that partners lie in the same or the next length band, and their common
     characters number at least t * (a + b) / 2, which bounds of hashed character counts decide before the exact ratio. Ties go
-    to the better quality, then the smaller id. Null and empty texts match nothing; equal texts are compared once.
+    to the better quality, then the smaller id. Null and empty texts match nothing; equal texts are compared once and stand for their best row.
+    With ``others`` the queries are rows of the memory (whose ids are unique), and none matches itself: of its own text the
+    best other row stands.
     """
     ship_package(queries.sparkSession)
     t = min_similarity
@@ -158,8 +160,10 @@ def fuzzy_matches(queries: DataFrame, memory: DataFrame, min_similarity: float =
     common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     c = a.join(b, ["pair", "band"]).filter((F.least(n, o) >= least * F.greatest(n, o)) & (common >= t * (n + o) / 2))
     scored = c.select("pair", "a", "b").withColumn("similarity", similarity("indel")("a", "b")).filter(F.col("similarity") >= t)
-    best = m.groupBy("pair", F.col("text").alias("b")).agg(F.max_by(F.struct("memory_id", "quality"), F.struct("quality", -F.col("memory_id"))).alias("x"))
-    j = q.select("query_id", "pair", F.col("text").alias("a")).join(scored, ["pair", "a"]).join(best, ["pair", "b"]).select("query_id", F.col("x.memory_id").alias("memory_id"), "similarity", F.col("x.quality").alias("quality"))
+    first = Window.partitionBy("pair", "text").orderBy(F.desc_nulls_last("quality"), "memory_id")
+    best = m.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= (2 if others else 1)).groupBy("pair", F.col("text").alias("b")).agg(F.array_sort(F.collect_list(F.struct("r", "memory_id", "quality"))).alias("rows"))
+    row = F.get(F.filter("rows", lambda x: x["memory_id"] != F.col("query_id")) if others else F.col("rows"), F.lit(0))
+    j = q.select("query_id", "pair", F.col("text").alias("a")).join(scored, ["pair", "a"]).join(best, ["pair", "b"]).withColumn("x", row).filter("x is not null").select("query_id", F.col("x.memory_id").alias("memory_id"), "similarity", F.col("x.quality").alias("quality"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("quality"), "memory_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "memory_id", "similarity")
 

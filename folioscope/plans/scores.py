@@ -337,11 +337,11 @@ def memory_stats(spark, d):
 
 @query()
 def memory_fuzzy_topk(spark, d):
-    """The three most similar other requests in the same target language of every request whose id is divisible by 20 (J-06, J-07, T-01, R-13)."""
+    """The three most similar texts of other requests in the same target language, for every request whose id is divisible by 20 (J-06, J-07, T-01, R-13)."""
     r = X.requests(spark, d).filter("text is not null").select("request_id", F.coalesce("target_lang", F.lit("")).alias("pair"), "text")
     q = r.filter("request_id % 20 = 0").withColumnRenamed("request_id", "query_id")
     m = r.withColumnRenamed("request_id", "memory_id").withColumn("quality", F.lit(1.0))
-    return L.fuzzy_matches(q, m, 0.85, 4).filter("query_id <> memory_id")
+    return L.fuzzy_matches(q, m, 0.85, 3, others=True)
 
 
 @query(f"WITH q AS (SELECT DISTINCT request_id, is_header FROM requests), r AS (SELECT DISTINCT request_id FROM results) SELECT q.request_id, coalesce(q.is_header, false) AS is_header FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.request_id = q.request_id)")

@@ -221,3 +221,22 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r.n for r in spark.table("counts").collect()) == 3
+
+
+def test_fuzzy_gives_copies_of_the_own_text(spark):
+    rows = [(1, "fr", "the same text"), (2, "fr", "the same text"), (3, "fr", "the same text"), (4, "fr", "the same texts"), (5, "de", "the same text")]
+    m = spark.createDataFrame([(*r, 1.0) for r in rows], "memory_id bigint, pair string, text string, quality double")
+    q = m.select(F.col("memory_id").alias("query_id"), "pair", "text")
+    got = {(r.query_id, r["rank"]): r.memory_id for r in L.fuzzy_matches(q, m, 0.85, 3, others=True).collect()}
+    assert got == {(1, 1): 2, (1, 2): 4, (2, 1): 1, (2, 2): 4, (3, 1): 1, (3, 2): 4, (4, 1): 1}
+
+
+def test_memory_query_keeps_own_copies(spark, tmp_path):
+    from folioscope.plans import scores
+
+    rows = [(i, "the same text", "fr") for i in (20, 21, 22)] + [(23 + i, f"the same text{c}", "fr") for i, c in enumerate("abcd")] + [(40, "the same text", "fr")]
+    full = spark.read.parquet("/root/testdata/sf0.001/requests.parquet")
+    d = spark.createDataFrame(rows, "request_id bigint, text string, target_lang string")
+    d.select(*[F.col(c) if c in d.columns else F.lit(None).cast(t).alias(c) for c, t in full.dtypes]).write.parquet(str(tmp_path / "requests.parquet"))
+    got = [(r.query_id, r["rank"], r.memory_id) for r in scores.memory_fuzzy_topk(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(20, 1, 21), (20, 2, 23), (20, 3, 24), (40, 1, 20), (40, 2, 23), (40, 3, 24)]
