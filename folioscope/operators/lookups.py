@@ -51,9 +51,12 @@ def top_terms(found: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def adherence(pairs: DataFrame, keys: list[str], source_col: str, target_col: str, glossary: DataFrame) -> DataFrame:
-    """(keys, terms_found, terms_enforced, terms_violated, adherence_rate) of every pair; rate 1 where no term is found."""
-    f = terms_as_words(pairs.select(*keys, source_col, target_col), source_col, glossary)
+def adherence(pairs: DataFrame, keys: list[str], source_col: str, target_col: str, glossary: DataFrame, anywhere: bool = False) -> DataFrame:
+    """(keys, terms_found, terms_enforced, terms_violated, adherence_rate) of every pair; rate 1 where no term is found.
+
+    Terms count as words; with ``anywhere`` wherever the source contains them, letter case aside.
+    """
+    f = (terms_contained if anywhere else terms_as_words)(pairs.select(*keys, source_col, target_col), source_col, glossary)
     ok = F.lower(F.coalesce(F.col(target_col), F.lit(""))).contains(F.lower("target"))
     g = f.groupBy(*keys).agg(F.count("*").alias("terms_found"), F.count_if(ok).alias("terms_enforced"))
     j = pairs.select(*keys).distinct().join(g, keys, "left")

@@ -180,8 +180,10 @@ def rerank_native(spark, d):
 
 @query()
 def rerank_full(spark, d):
-    """Candidates of every result in rank order (R-08..R-10, W-10..W-12, U-05)."""
-    p = X.pairs(spark, d).withColumnRenamed("translated_text", "candidate").withColumn("glossary_score", F.lit(1.0))
+    """Candidates of every result in rank order, their share of the glossary's terms included (R-07..R-10, W-10..W-12, U-05)."""
+    p = X.pairs(spark, d).withColumnRenamed("translated_text", "candidate")
+    g = L.adherence(p, KEY, "source_text", "candidate", _glossary(spark, d), anywhere=True).select(*KEY, F.col("adherence_rate").alias("glossary_score"))
+    p = p.join(g, KEY, "left")
     return K.ranked(p, ["result_id"]).select(*KEY, "rank", "valid", "total", "similarity", "semantic_part")
 
 

@@ -240,3 +240,20 @@ def test_memory_query_keeps_own_copies(spark, tmp_path):
     d.select(*[F.col(c) if c in d.columns else F.lit(None).cast(t).alias(c) for c, t in full.dtypes]).write.parquet(str(tmp_path / "requests.parquet"))
     got = [(r.query_id, r["rank"], r.memory_id) for r in scores.memory_fuzzy_topk(spark, str(tmp_path)).collect()]
     assert sorted(got) == [(20, 1, 21), (20, 2, 23), (20, 3, 24), (40, 1, 20), (40, 2, 23), (40, 3, 24)]
+
+
+def test_full_ranking_scores_the_glossary(spark, data):
+    from folioscope.plans import frames as X
+    from folioscope.plans import scores
+
+    terms = [(r.term_key, r.target.lower()) for r in L.merged_glossary(scores.read_table(spark, data, "glossary")).collect()]
+    want = {}
+    for r in X.pairs(spark, data).collect():
+        here = [t for k, t in terms if k in (r.source_text or "").lower()]
+        want[r.result_id, r.idx] = sum(t in (r.translated_text or "").lower() for t in here) / len(here) if here else 1.0
+    assert min(want.values()) < 1
+    flat = K.ranked(X.pairs(spark, data).withColumnRenamed("translated_text", "candidate").withColumn("glossary_score", F.lit(1.0)), ["result_id"])
+    before = {(r.result_id, r.idx): r.total for r in flat.select("result_id", "idx", "total").collect()}
+    got = {(r.result_id, r.idx): r.total for r in scores.rerank_full(spark, data).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - (before[k] - 3 * (1 - want[k]))) < 1e-9 for k in want)
