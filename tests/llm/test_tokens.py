@@ -51,3 +51,36 @@ def test_whole_table(spark, data, reference):
 def test_no_vocabulary_in_the_repository():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for d, _, fs in os.walk(root) if ".git" not in d for f in fs if f.endswith((".tiktoken", ".model"))]
+
+
+def thue_morse(k):
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("k", [8, 10, 11, 12])
+def test_equal_hashes_give_their_own_ids(reference, k):
+    # words whose weighted sums agree modulo any power of two
+    texts = [*thue_morse(k), "other words", thue_morse(k)[0]]
+    flat, at = K.tokenizer(PATH).encode(texts)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_long_random_slices(reference):
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdefgh", k=r.randrange(1, 3000))) for _ in range(40)]
+    flat, at = K.tokenizer(PATH).encode(texts + texts[::-1])
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [reference.encode_ordinary(t) for t in texts + texts[::-1]]
+
+
+def test_offsets_and_round_trip(spark):
+    rows = [(1, "naïve 中文 text, it's"), (2, None), (3, ""), (4, "ก่้ x " * 500)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in K.decoded(K.token_ids(d, PATH, offsets=True), PATH).collect():
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        t = K.tokenizer(PATH)
+        assert r.decoded.encode() == raw and all(raw[o : o + len(t.pieces[i])] == t.pieces[i] for i, o in zip(r.ids, r.offsets)) and len(r.ids) == len(r.offsets)
