@@ -51,3 +51,20 @@ def test_repair_needs_the_vocabulary(spark):
 def test_one_document_may_hold_most_rows(spark):
     rows = [(i, 1, "text" if i % 2 else "te​xt") for i in range(60)] + [(100 + i, 2 + i, "text") for i in range(20)]
     assert L.alike_pairs(frame(spark, rows)).count() == 30 * 30
+
+
+def test_tokens_of_look_alikes_only_go_by_their_document(spark):
+    rows = [(1, 1, "(А) 307"), (2, 1, "(A) 307"), (3, 1, "Figure label"), (4, 2, "у₂ равно"), (5, 2, "y₂ равно"), (6, 2, "длина"), (7, 3, "у₂"), (8, 4, "y₂")]
+    got = {r.span_id: r.repaired for r in L.repaired_texts(frame(spark, rows), keep=("doc_id",), document="doc_id").collect()}
+    assert got[1] == got[2] == "(A) 307" and got[4] == got[5] == "у₂ равно"
+    assert (got[7], got[8]) == ("у₂", "y₂")
+
+
+def test_the_vocabulary_decides_between_readings():
+    assert L.readings("mоdel", "lcg") == ["model"] and L.readings("сор", "clg")[:2] == ["сор", "cop"] and L.readings("жz", "lcg") == []
+    assert L.proposals("сор", "lcg") == [(0, 3, ["cop", "сор"])] and L.proposals("сор", "clg") == []
+
+
+def test_copies_are_not_compared_with_each_other(spark):
+    rows = [(i, 1, "hot text") for i in range(3000)] + [(5000, 1, "hоt text"), (5001, 1, "hot\u00a0text")]
+    assert L.alike_pairs(frame(spark, rows)).count() == 2 * 3000 + 1
