@@ -3,8 +3,8 @@
 Texts are deduplicated; one that occurs in several sources may serve any of them. Distinct texts are aggregated by membership
 pattern (the set of sources they occur in), so that a minimum-cost flow over a graph with one node a pattern and one a source
 routes token capacity to the sources' quotas. Using texts once more costs more (convex), so repetitions are spent only where a
-quota needs them. The flow is then realised by choosing texts in the order of a seeded hash. Only patterns (at most 2 to the
-number of sources) and a histogram of fixed size reach the driver.
+quota needs them. The flow is then realised by choosing texts in the order of a seeded hash. Only the patterns that occur and a
+histogram of BUCKETS sums each reach the driver.
 """
 
 from __future__ import annotations
@@ -67,53 +67,99 @@ class Flow:
             total += push
 
 
-def route(mass: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[dict, int]:
-    """({(pattern, source, repetition): tokens}, total): flow of each pattern's tokens to the sources' quotas.
+def _search(solve, high: int) -> int:
+    """The largest size whose quotas are all filled."""
+    low = 0
+    if solve(high)[1]:
+        return high
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if solve(mid)[1] else (low, mid - 1)
+    return low
 
-    ``mass``: tokens of the distinct texts of each pattern; ``targets``: share and greatest number of uses of each source.
-    Every use of a pattern's texts beyond the first costs one more than the one before; a text's uses over all of its sources
-    together stay within the smallest limit of the sources that use it, and one source takes repetition r only within its
-    own. Without ``total`` the largest total is taken at which every quota can be filled.
-    """
+
+def _routed(mass: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None) -> tuple[dict, int, dict]:
+    """Flow and total as ``route`` gives them, and the length of each repetition's part of a pattern's order: {(pattern, repetition): tokens}."""
     sources = sorted(s for s, (share, uses) in targets.items() if share > 0 and uses > 0)
-    patterns = sorted(p for p in mass if mass[p] > 0)
-    most = max((targets[s][1] for s in sources), default=0)
+    limit = {s: targets[s][1] for s in sources}
+    # a pattern's reach: the uses that any of its sources may make of it
+    patterns = {p: max(limit[s] for s in p if s in limit) for p in sorted(mass) if mass[p] > 0 and any(s in limit for s in p)}
+    if not patterns:
+        return {}, 0, {}
 
-    def solve(size: int) -> tuple[dict, int, int]:
+    def solve(size: int, length: dict | None) -> tuple[dict, bool, int]:
         quota = {s: int(size * targets[s][0]) for s in sources}
-        # nodes: source of flow, (pattern, repetition), source, sink
-        nodes = {("rep", p, r): 1 + i * most + r for i, p in enumerate(patterns) for r in range(most)}
-        first = 1 + len(patterns) * most
-        f = Flow(first + len(sources) + 1)
-        sink = first + len(sources)
+        f = Flow(0)
+        node = lambda: (f.g.append([]), len(f.g) - 1)[1]
+        origin, sink = node(), node()
+        at = {s: node() for s in sources}
         edges = {}
-        for p in patterns:
+        for p, most in patterns.items():
+            able = [s for s in p if s in limit]
+            shared = len(able) > 1
             for r in range(most):
-                able = [s for s in p if s in quota and targets[s][1] > r]
-                if able:
-                    f.edge(0, nodes["rep", p, r], mass[p], 0)
+                n = mass[p] if length is None else length[p, r]
+                here = node()
+                f.edge(origin, here, n, 0)
+                cost = 2 * r * (r + 1) + (shared and r > 0)  # of equal repetitions the texts of one source come first
+                for top in range(most, r, -1):
+                    if top < most and length is not None:  # uses of a source with this limit must keep clear of the repetitions beyond it
+                        after = node()
+                        f.edge(here, after, n - length[p, top], 0)
+                        here = after
                     for s in able:
-                        edges[p, s, r] = f.edge(nodes["rep", p, r], first + sources.index(s), mass[p], r * (r + 1))
-        for k, s in enumerate(sources):
-            f.edge(first + k, sink, quota[s], 0)
-        got = f.run(0, sink)
+                        if limit[s] == top:
+                            edges[p, s, r] = f.edge(here, at[s], n, cost)
+        for s in sources:
+            f.edge(at[s], sink, quota[s], 0)
+        got = f.run(origin, sink)
         used = {}
         for key, (a, i) in edges.items():
-            b, cap, _, rev = f.g[a][i]
+            b, _, _, rev = f.g[a][i]
             if f.g[b][rev][1]:
                 used[key] = f.g[b][rev][1]
-        return used, got, sum(quota.values())
+        return used, got == sum(quota.values()), got
+
+    most = max(patterns.values())
+    size = _search(lambda n: solve(n, None), sum(mass.values()) * most) if total is None else total
+    free, _, _ = solve(size, None)
+    # lengths of the repetitions as the free flow has them, and those at which shared texts keep to their smallest limit
+    wanted, strict = {}, {}
+    for p, k in patterns.items():
+        least = min(limit[s] for s in p if s in limit)
+        for r in range(k):
+            wanted[p, r] = mass[p] if r == 0 else min(wanted[p, r - 1], sum(n for (q, _, x), n in free.items() if q == p and x == r))
+            strict[p, r] = mass[p] if r < least else 0
+    best = None
+    for length in (wanted, strict):
+        one = _search(lambda n: solve(n, length), size) if total is None else total
+        flow, _, got = solve(one, length)
+        if best is None or got > best[1]:
+            best = flow, got, length
+    return best
+
+
+def route(mass: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int | None = None) -> tuple[dict, int]:
+    """({(pattern, source, repetition): tokens}, total): flow of each pattern's tokens to the sources' quotas, and its sum.
+
+    ``mass``: tokens of the distinct texts of each pattern; ``targets``: share and greatest number of uses of each source.
+    Every use of a pattern's texts beyond the first costs more than the one before. A text's uses over all of its sources
+    together stay within the smallest limit of the sources that use it: each repetition has a part of the pattern's order,
+    and a source with a small limit takes what lies outside of the repetitions beyond it (how long those are, the flow without
+    that rule tells). Without ``total`` the largest total is taken at which every quota can be filled.
+    """
+    flow, got, _ = _routed(mass, targets, total)
+    return flow, got
+
 
-    if not sources or not patterns:
-        return {}, 0
-    if total is None:
-        low, high = 0, sum(mass.values()) * most
-        while low < high:  # largest size whose quotas are all filled
-            mid = (low + high + 1) // 2
-            _, got, want = solve(mid)
-            low, high = (mid, high) if got == want else (low, mid - 1)
-        total = low
-    return solve(total)[0], total
+def pieces(flow: dict, length: dict, targets: dict[str, tuple[float, int]]) -> list[tuple]:
+    """(pattern, source, repetition, lo, hi): the part of the pattern's order that each flow takes; small limits lie last in a repetition."""
+    end = dict(length)
+    out = []
+    for (p, s, r), n in sorted(flow.items(), key=lambda x: (x[0][0], x[0][2], targets[x[0][1]][1], x[0][1])):
+        out.append((list(p), s, r, end[p, r] - n, end[p, r]))
+        end[p, r] -= n
+    return out
 
 
 def _texts(documents: DataFrame, targets: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -143,15 +189,10 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str, total: in
     for r in bins:
         hist.setdefault(tuple(r.pattern), {})[r.bucket] = r.mass
     present = {s for p in hist for s in p}
-    flow, _ = route({p: sum(h.values()) for p, h in hist.items()}, {s: t for s, t in want.items() if s in present} if total is None else want, total)
-    # each repetition of a pattern is a range of its hash order, cut into one piece for each source
-    pieces, at = [], {}
-    for (p, s, r), n in sorted(flow.items()):
-        begin = at.get((p, r), 0)
-        at[p, r] = begin + n
-        pieces.append((list(p), s, r, begin, begin + n))
+    known = {s: t for s, t in want.items() if s in present} if total is None else want
+    flow, _, length = _routed({p: sum(h.values()) for p, h in hist.items()}, known, total)
     schema = "pattern array<string>, source string, repetition int, lo bigint, hi bigint"
-    plan = F.broadcast(spark.createDataFrame(pieces, schema))
+    plan = F.broadcast(spark.createDataFrame(pieces(flow, length, known), schema))  # at most patterns x sources x repetitions
     starts = []
     for p, h in hist.items():
         before = 0

@@ -69,3 +69,43 @@ def test_missing_source_and_empty_tables(spark):
     assert M.mix(d.limit(0), t, PATH).count() == 0
     assert {r.tokens for r in M.shares(M.mix(d.limit(0), t, PATH), t).collect()} == {0}
     assert M.mix(d, t.limit(0), PATH).count() == 0
+
+
+def uses(flow, length, targets, mass):
+    """Uses of each token of each pattern, and the sources that make them."""
+    out = {}
+    for p, s, _, lo, hi in M.pieces(flow, length, targets):
+        assert 0 <= lo <= hi <= mass[tuple(p)]
+        for x in range(lo, hi):
+            out.setdefault((tuple(p), x), []).append(s)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_a_text_keeps_to_the_smallest_limit_of_its_users(seed):
+    import random
+
+    r = random.Random(seed)
+    names = "abcd"[: r.randint(2, 4)]
+    share = [r.random() + 0.1 for _ in names]
+    targets = {s: (x / sum(share), r.randint(1, 4)) for s, x in zip(names, share)}
+    mass = {tuple(sorted(r.sample(names, r.randint(1, len(names))))): r.randint(5, 60) for _ in range(6)}
+    flow, total, length = M._routed(mass, targets, None)
+    assert total == sum(flow.values())
+    for (p, x), by in uses(flow, length, targets, mass).items():
+        assert len(by) <= min(targets[s][1] for s in by), (p, x, by)
+    for s in names:  # every quota is filled
+        got = sum(n for (_, t, _), n in flow.items() if t == s)
+        assert got >= int(total * targets[s][0]) - 1
+
+
+def test_shared_texts_are_used_once_where_one_limit_is_one(spark):
+    flow, total = M.route({("a", "b"): 100}, {"a": (0.5, 1), "b": (0.5, 3)})
+    assert total == sum(flow.values())
+    rows = [(i, f"shared text number {i // 2}", "ab"[i % 2]) for i in range(200)] + [(500 + i, f"own text number {i}", "b") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    by = {}
+    for r in M.mix(d, t, PATH).collect():
+        by.setdefault(r.doc_id, []).append((r.source, r.n_uses))
+    assert by and all(sum(n for _, n in v) <= min({"a": 1, "b": 3}[s] for s, _ in v) for v in by.values())
