@@ -6,9 +6,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from .common import map_arrow, ship_package
 
 #: Distinct n-grams that a task counts before it hands them on.
 HELD = 200_000
+#: Distinct endings up to which they and their counts are broadcast (some tens of megabytes); beyond, counts are joined.
+BROADCAST_ENDINGS = 400_000
 #: Share of an n-gram's occurrences that end a sentence below which an ending is unlikely; occurrences needed to judge a long n-gram.
 UNLIKELY, SUPPORT = 0.12, 4
 #: A text without a full stop that has this share of its request's length or less is incomplete.
@@ -38,6 +41,8 @@ _TOKEN = re.compile(r"[A-Za-z]*\d[0-9A-Za-z.,-]*[0-9A-Za-z]|\d|[^\W\d_]+(?:[-'
 _NOSPACE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 #: Scripts whose endings are counted by characters: without blanks, or with vowel signs that aren't letters.
 _BY_CHARACTER = re.compile("[\u0900-\u0963\u0966-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+_SIGNED = re.compile("[\u0900-\u0e7f]")
+_THAI = re.compile("[\u0e00-\u0e7f]")
 _MARK = re.compile(r"[.!?]+(?=\s|$)|[。！？।؟]+")
 _THAI_END = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 
@@ -119,31 +124,52 @@ class Endings:
         self.whole: Counter = Counter()
         self.begins: set[str] | None = None  # what begins a longer word
 
-    def add(self, text: str, times: int = 1) -> None:
-        """Count a text that occurs so many times."""
+    def add(self, text: str, times: int = 1, asked: tuple[frozenset[str], frozenset[str]] | None = None) -> None:
+        """Count a text that occurs so many times; with ``asked`` (n-grams, last words of them) only these n-grams besides single words."""
         core, broken = strip_break(unwrap(text))
+        if not core:
+            return
+        plain = core.isascii()
         ends = {m.start() for m in _MARK.finditer(core)}
-        if not broken and 0 < len(core) <= HEADING and core[-1] not in TERMINALS:
+        stops = core[-1] in TERMINALS
+        if not broken and not stops and len(core) <= HEADING:
             self.whole[core.casefold()] += times
-        thai = "฀" <= max(core, default="") and re.search("[฀-๿]", core)
-        if thai:
+        if not plain and _THAI.search(core):
             ends |= {m.start() for m in _THAI_END.finditer(core)}
-        if not broken and core and core[-1] not in TERMINALS:
+        if not broken and not stops:
             ends.add(len(core))
-        for e in ends:
-            long, short = tail(core[max(0, e - 80) : e])
+        toks: list[str] = []
+        at = 0
+        for e in sorted(ends):  # no token reaches over the end of a sentence
+            toks += _TOKEN.findall(core, at, e)
+            at = e
+            if e and not plain and _BY_CHARACTER.match(core[e - 1]):
+                long, short = tail(core[max(0, e - 80) : e])
+            elif toks:
+                short = _class(toks[-1])
+                long = f"{_class(toks[-2])} {short}" if len(toks) > 1 else short
+            else:
+                continue
             if short and not (len(short) == 1 and short.isalpha() and short < "ʰ"):
                 self.end[long] += times
                 self.end[short] += times
+        toks += _TOKEN.findall(core, at)
+        words = list(map(_class, toks))
         grams = []
-        if core and _BY_CHARACTER.search(core):
-            for n in (8, 4) if re.search("[\u0900-\u0e7f]", core) else (4, 2):
+        if not plain and _BY_CHARACTER.search(core):
+            for n in (8, 4) if _SIGNED.search(core) else (4, 2):
                 grams += [core[i : i + n] for i in range(len(core) - n + 1)]
-        toks = list(map(_class, _TOKEN.findall(core)))
-        grams += toks
-        grams += map(" ".join, zip(toks, toks[1:]))
-        for _ in range(times):
+        if asked is None:
+            grams += map(" ".join, zip(words, words[1:]))
+        else:
+            wanted, lasts = asked
+            grams = [g for g in grams if g in wanted] + [g for a, b in zip(words, words[1:]) if b in lasts and (g := f"{a} {b}") in wanted]
+        if times == 1:
+            self.any.update(words)
             self.any.update(grams)
+        else:
+            for k, n in Counter(words + grams).items():
+                self.any[k] += n * times
 
     def likelihood(self, core: str) -> float:
         """Share of the occurrences of the text's last n-gram that end a sentence; 0 for an n-gram never seen at an end."""
@@ -193,24 +219,61 @@ def evidence(candidate: str | None) -> set[tuple[str, str]]:
     return out
 
 
-def count_endings(texts: DataFrame) -> DataFrame:
-    """(kind, key, n, at_end) over all rows (text): n-grams (n) that are frequent or end a sentence, frequent headings (w), beginnings of such n-grams without a blank (b)."""
+def _asked(results: DataFrame) -> DataFrame:
+    """(result_id, kind, key) of all counts that the candidates' endings need."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        asked = [(i, *x) for i, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in set().union(*map(evidence, cs or ()))]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in asked], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["result_id", "kind", "key"])
+
+    return map_arrow(results.select("result_id", "candidates"), run, "result_id bigint, kind string, key string")
+
+
+def _endings_asked(results: DataFrame) -> DataFrame:
+    """(kind, key), each once: the counts that any candidate's ending needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
+        for b in batches:
+            for cs in b.column(0).to_pylist():
+                for c in cs or ():
+                    seen |= evidence(c)
+            if len(seen) > HELD:
+                yield rows(seen)
+                seen = set()
+        yield rows(seen)
+
+    def rows(seen: set[tuple[str, str]]) -> pa.RecordBatch:
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)], ["kind", "key"])
+
+    return results.select("candidates").mapInArrow(run, "kind string, key string").distinct()
+
+
+def count_endings(texts: DataFrame, asked: Broadcast | None = None) -> DataFrame:
+    """(kind, key, n, at_end) over all rows (text): n-grams (n) that are frequent or end a sentence, frequent headings (w), beginnings of such n-grams without a blank (b).
+
+    ``asked``: n-grams to count besides single words, and their last words; the others are left out.
+    """
     ship_package(texts.sparkSession)
 
-    def rows(e: Endings) -> pa.RecordBatch:
+    def rows(e: Endings, wanted: tuple | None) -> pa.RecordBatch:
         keys = [*e.any, *(k for k in e.end if k not in e.any)]
+        if wanted is not None:
+            keys = [k for k in keys if k in wanted[0] or " " not in k]
         kinds, n, at_end = ["n"] * len(keys) + ["w"] * len(e.whole), [*(e.any.get(k, 0) for k in keys), *e.whole.values()], [*(e.end.get(k, 0) for k in keys), *[0] * len(e.whole)]
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*keys, *e.whole], pa.string()), pa.array(n, pa.int64()), pa.array(at_end, pa.int64())], ["kind", "key", "n", "at_end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Endings()
+        wanted = asked.value if asked is not None else None
         for b in batches:
             for t, times in Counter(b.column(0).to_pylist()).items():
-                e.add(t, times)
+                e.add(t, times, wanted)
                 if len(e.any) > HELD:
-                    yield rows(e)
+                    yield rows(e, wanted)
                     e = Endings()
-        yield rows(e)
+        yield rows(e, wanted)
 
     c = texts.filter(F.col("text").isNotNull()).select("text").mapInArrow(run, "kind string, key string, n bigint, at_end bigint")
     c = c.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("at_end").alias("at_end"))
@@ -223,20 +286,40 @@ def count_endings(texts: DataFrame) -> DataFrame:
 
 def ending_counts(texts: DataFrame, results: DataFrame) -> DataFrame:
     """(result_id, counts): what all texts say about the endings of each result's candidates, an array of kind, key, n, at_end."""
+    return _asked(results).join(count_endings(texts), ["kind", "key"]).groupBy("result_id").agg(F.collect_list(F.struct("kind", "key", "n", "at_end")).alias("counts"))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        asked = [(i, *x) for i, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in set().union(*map(evidence, cs or ()))]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in asked], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["result_id", "kind", "key"])
 
-    asked = map_arrow(results.select("result_id", "candidates"), run, "result_id bigint, kind string, key string")
-    return asked.join(count_endings(texts), ["kind", "key"]).groupBy("result_id").agg(F.collect_list(F.struct("kind", "key", "n", "at_end")).alias("counts"))
+def learned_endings(texts: DataFrame, results: DataFrame) -> DataFrame | Broadcast:
+    """What all texts say about the endings of the candidates: up to BROADCAST_ENDINGS different endings as a broadcast table, else as ``ending_counts``; both hold the same counts."""
+    ship_package(texts.sparkSession)
+    sc = texts.sparkSession.sparkContext
+    asked = _endings_asked(results).persist(StorageLevel.DISK_ONLY)
+    try:
+        if asked.count() > BROADCAST_ENDINGS:
+            return ending_counts(texts, results)
+        grams = asked.filter("kind = 'n'").select("key").toArrow()["key"].to_pylist()
+        counts = count_endings(texts, sc.broadcast((frozenset(grams), frozenset(k.rpartition(" ")[2] for k in grams)))).join(asked, ["kind", "key"], "left_semi").toArrow()
+        return sc.broadcast((uuid4().hex, [counts[c].to_pylist() for c in ("kind", "key", "n", "at_end")]))
+    finally:
+        asked.unpersist()
 
 
-def counted(columns: pa.ListArray) -> Endings:
-    """Statistics that hold the counts of some rows of ``ending_counts``."""
+_held: dict[str, Endings] = {}
+
+
+def shared(counts: Broadcast) -> Endings:
+    """The statistics of a broadcast table, made once a process."""
+    name, columns = counts.value
+    if name not in _held:
+        _held.clear()
+        _held[name] = _filled(zip(*columns))
+    return _held[name]
+
+
+def _filled(rows) -> Endings:
     e = Endings()
     e.begins = set()
-    for kind, key, n, at_end in zip(*(c.to_pylist() for c in columns.flatten().flatten())):
+    for kind, key, n, at_end in rows:
         if kind == "b":
             e.begins.add(key)
         elif kind == "w":
@@ -246,6 +329,11 @@ def counted(columns: pa.ListArray) -> Endings:
     return e
 
 
+def counted(columns: pa.ListArray) -> Endings:
+    """Statistics that hold the counts of some rows of ``ending_counts``."""
+    return _filled(zip(*(c.to_pylist() for c in columns.flatten().flatten())))
+
+
 def incomplete(request: str, candidate: str, e: Endings) -> tuple[int, int]:
     """(strength, length up to the break): 2 the candidate surely breaks off, 1 perhaps, 0 it doesn't.
 
@@ -280,4 +368,5 @@ def incomplete(request: str, candidate: str, e: Endings) -> tuple[int, int]:
     if asked[-1:] in TERMINALS and not _NOSPACE.match(core[-1]):
         # it ends where a sentence can end, though its request goes on to a full stop: the number of sentences decides
         return (2 if candidate[-1] == " " or len(_MARK.findall(core)) + 1 < len(_MARK.findall(asked)) else 1), size
-    return 0, size
+    # Chinese and Japanese sentences end in a full stop too, though their words end anywhere
+    return (1 if asked[-1:] in TERMINALS and core[-1] > "\u3040" else 0), size

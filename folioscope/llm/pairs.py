@@ -1,8 +1,9 @@
 """Problems 2 and 3: truncated texts and defective request-answer pairs.
 
-Problem 2. For each backend the lengths up to the break give a discrete hazard (of the candidates at least as long, the share
-that ends there), each is tested against the hazards of the neighbouring lengths, and false-discovery control picks the lengths
-where a limit cuts. An ending that can't be one is a truncation at any length; one that only may be is one at such a length.
+Problem 2. For each backend the lengths up to the break give a discrete hazard of incomplete endings (of the candidates at
+least as long, the share that ends there without a proper ending), each is tested against the hazards of the neighbouring
+lengths, and false-discovery control picks the lengths where a limit cuts: every incomplete ending there is a truncation. A
+broken transfer leaves its ending at any length, where no hazard can stand out; elsewhere only an ending that can't be one counts.
 
 Problem 3. Empty answers, refusals, copies, truncations and answers in another language, told by normalised text, cues of
 declining, n-gram likelihood of the ending and character n-gram posteriors of the languages of both sides.
@@ -15,12 +16,12 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, ship_package
-from .endings import counted, ending_counts, incomplete, unwrap
+from .endings import counted, incomplete, invariants, learned_endings, shared, unwrap
 from .language import _AT, CODES, LanguageModel, fit_model, labelled_requests, tokens
 
 #: Neighbouring lengths on each side that a hazard is tested against; false-discovery rate; fewest candidates of a tested length.
@@ -79,9 +80,8 @@ def _holds_stem(text: str) -> bool:
     return a is None or next(a.iter(text), None) is not None
 
 
-#: Longest refusal.
-REFUSAL_LENGTH = 260
 _LABEL = re.compile(r"^[^\W\d_][\w ]{2,18}[:：]\s*")
+_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|[。！？।؟]+")
 _PLACEHOLDER = re.compile(r"@@[A-Z_0-9]+@@")
 
 
@@ -95,63 +95,74 @@ def readable(text: str | None) -> bool:
     return any(c.isalnum() for c in t) or any(unicodedata.category(c) in ("Sm", "So", "Sc") for c in t)
 
 
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalnum())
+#: Letters beside a copied request that make no other text of the answer: up to so many, or as many as the request has.
+BESIDE = 24
+
+
 def squeeze(text: str) -> str:
     """Letters and digits of a text in one case and width."""
-    return re.sub(r"[\W_]+", "", text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold()
+    if text.isascii():
+        return text.encode().translate(None, _NO_LETTERS).decode().lower()
+    return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text)).casefold()
 
 
-def is_copy(request: str, candidate: str) -> bool:
-    """Whether the candidate is the request's text, presented alike or otherwise."""
+def is_copy(request: str, candidate: str, squeezed: str | None = None) -> bool:
+    """Whether the candidate is the request's text, presented alike or otherwise; ``squeezed``: the request's letters."""
     if candidate == request:
         return True
-    a, b = len(request), len(candidate)
-    if not (a * 0.6 - 12 <= b <= a * 3.3 + 40):
-        return False
-    if request.isascii() != candidate.isascii() and request[:1] != candidate[:1] and b < 0.8 * a:
-        return False
-    # a copy holds the request's first letters within the first ones of its own, behind a label at most
-    head = squeeze(request[:40])[:12]
-    if head and head not in squeeze(candidate[:120]):
+    p, q = squeeze(request) if squeezed is None else squeezed, squeeze(candidate)
+    if p == q:
+        return True
+    if not p or len(q) < len(p):
         return False
-    p, q = squeeze(request), squeeze(candidate)
-    if p == q or (p and len(q) % len(p) == 0 and q == p * (len(q) // len(p))):  # once or again and again
+    if len(q) % len(p) == 0 and q == p * (len(q) // len(p)):  # again and again
         return True
-    if len(p) >= 12 and len(q) - len(p) <= 24 and len(q) > len(p) and (q.endswith(p) or q.startswith(p)):
+    if len(p) >= 12 and len(q) - len(p) <= max(BESIDE, len(p)) and p in q:  # behind a preamble, before a closing
         return True
     m = _LABEL.match(candidate)
     return bool(m) and squeeze(candidate[m.end() :]) == p
 
 
+#: Sentences of a refusal that a translation may hold too; longer texts must lack what the request's translation keeps.
+REFUSAL_SENTENCES = 3
+
+
 def is_refusal(request: str, candidate: str) -> bool:
-    """Whether the candidate declines instead of translating: a cue that the request itself doesn't hold, in a short text."""
-    if len(candidate) > REFUSAL_LENGTH:
-        return False
+    """Whether the candidate declines instead of translating: a cue that the request itself doesn't hold, and in texts of many sentences none of the numbers, placeholders and addresses that a translation would keep."""
     c = candidate.strip(" \t\n\"'«»“”").replace("’", "'").casefold()
-    if not _holds_stem(c):
+    if not _holds_stem(c) or not _REFUSAL.search(c) or _REFUSAL.search(request.replace("’", "'").casefold()):
         return False
-    return bool(_REFUSAL.search(c)) and not _REFUSAL.search(request.replace("’", "'").casefold())
+    if len(_SENTENCE.findall(c)) <= REFUSAL_SENTENCES:
+        return True
+    asked = invariants(request)
+    return not asked & invariants(candidate) if asked else len(_SENTENCE.findall(request)) < len(_SENTENCE.findall(c))
 
 
-def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None, counts: DataFrame) -> DataFrame:
+def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None, counts: DataFrame | Broadcast) -> DataFrame:
     """(result_id, idx, backend, kind, strength, size) of each candidate of each result with a known request.
 
     kind: empty, refusal, copy, wrong_language or fine; strength and size as ``endings.incomplete`` gives them for what is
-    neither empty nor a refusal nor a copy, by the ``counts`` of ``endings.ending_counts``. A null or empty candidates array is one empty candidate with idx 0. Without a
+    neither empty nor a refusal nor a copy, by the counts of ``endings.learned_endings``. A null or empty candidates array is one empty candidate with idx 0. Without a
     model the language isn't looked at. Results or requests delivered again count once; a null request text is an empty one.
     """
     ship_package(requests.sparkSession)
     q = requests.select("request_id", "text", "target_lang").dropDuplicates(["request_id"])
     r = results.select("result_id", "request_id", "backend", "candidates").dropDuplicates(["result_id"])
-    j = r.join(counts, "result_id", "left").join(q, "request_id").select("result_id", "backend", "candidates", "text", "target_lang", "counts")
+    joined = isinstance(counts, DataFrame)
+    table = None if joined else counts
+    r = r.join(counts, "result_id", "left") if joined else r
+    j = r.join(q, "request_id").select("result_id", "backend", "candidates", "text", "target_lang", *(["counts"] if joined else []))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, backends, cands, texts, targets = (c.to_pylist() for c in b.columns[:5])
-        endings = counted(b.column(5))
+        endings = counted(b.column(5)) if joined else shared(table)
         out: list[tuple] = []
         todo: list[tuple[int, int]] = []  # position in out, row
         said: list[str] = []
         for i, (rid, be, cs, t) in enumerate(zip(ids, backends, cands, texts)):
             t = t or ""
+            letters = squeeze(t)
             for k, c in enumerate(cs or [None]):
                 # a request without words may be given back, whatever it looks like
                 if c is not None and c.strip() and c.strip() == t.strip() and not readable(c):
@@ -160,7 +171,7 @@ def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None
                     out.append((rid, k, be, "empty", 0, 0))
                 elif is_refusal(t, c):
                     out.append((rid, k, be, "refusal", 0, 0))
-                elif is_copy(t, c):
+                elif is_copy(t, c, letters):
                     out.append((rid, k, be, "copy", 0, 0))
                     todo.append((len(out) - 1, i))
                     said.append("")
@@ -206,31 +217,32 @@ def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None
 def cut_lengths(examined: DataFrame) -> DataFrame:
     """(backend, size, n, at_risk, hazard, neighbours, p_value): lengths at which a limit of the backend cuts.
 
-    Hazard of a length: candidates that end there over candidates at least as long. Its test against the pooled hazard of
-    the neighbouring lengths is a binomial one in normal approximation with continuity correction; Benjamini and Hochberg's
-    rule keeps the false discoveries of each backend below the rate.
+    Hazard of a length: incomplete endings there (all endings, where ``examined`` has no strength) over candidates at least as
+    long. Its test against the pooled hazard of the neighbouring lengths takes Chernoff's bound of the Poisson tail, which holds
+    for few cases too; Benjamini and Hochberg's rule keeps the false discoveries of each backend below the rate.
     """
-    sized = examined.filter("kind in ('fine', 'wrong_language') and size > 0").groupBy("backend", "size").agg(F.count("*").alias("n"))
+    open_ = F.count_if(F.col("strength") >= 1) if "strength" in examined.columns else F.count("*")
+    sized = examined.filter("kind in ('fine', 'wrong_language') and size > 0").groupBy("backend", "size").agg(F.count("*").alias("ends"), open_.alias("n"))
     up = Window.partitionBy("backend").orderBy(F.desc("size"))
-    risk = sized.select("*", F.sum("n").over(up).alias("at_risk"))
+    risk = sized.select("*", F.sum("ends").over(up).alias("at_risk"))
     near = Window.partitionBy("backend").orderBy("size").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     h = risk.select("*", (F.col("n") / F.col("at_risk")).alias("hazard"), (F.sum("n").over(near) - F.col("n")).alias("n_near"), F.max("at_risk").over(near).alias("risk_near"))
-    # the pooled hazard of the neighbours: their ends over the candidates at risk at all of their lengths (at most that of the nearest below)
+    # the pooled hazard of the neighbours: their cases over the candidates at risk at all of their lengths (at most that of the nearest below)
     h = h.withColumn("neighbours", (F.col("n_near") + 1) / (F.col("risk_near") * (2 * NEIGHBOURS) + 1))
-    z = (F.col("n") - 0.5 - F.col("at_risk") * F.col("neighbours")) / F.sqrt(F.col("at_risk") * F.col("neighbours") * (1 - F.least("neighbours", F.lit(0.999))) + 1e-9)
-    # upper tail of the normal distribution, by its usual bound exp(-z^2/2) / (z sqrt(2 pi))
-    h = h.withColumn("z", z).filter((F.col("n") >= LEAST) & (F.col("z") > 1)).withColumn("p_value", F.exp(-F.col("z") * F.col("z") / 2) / (F.col("z") * 2.5066282746))
-    tests = sized.groupBy("backend").agg(F.count("*").alias("tests"))
+    want = F.col("at_risk") * F.col("neighbours")
+    tests = Window.partitionBy("backend")
+    h = h.withColumn("tests", F.count("*").over(tests)).filter((F.col("n") >= LEAST) & (F.col("n") > want))
+    h = h.withColumn("p_value", F.exp(-(F.col("n") * F.log(F.col("n") / want) - F.col("n") + want)))
     rank = Window.partitionBy("backend").orderBy("p_value", "size")
-    h = h.withColumn("rank", F.row_number().over(rank)).join(F.broadcast(tests), "backend")
+    h = h.withColumn("rank", F.row_number().over(rank))
     h = h.withColumn("passes", F.col("p_value") <= FALSE_DISCOVERIES * F.col("rank") / F.col("tests"))
-    h = h.withColumn("last", F.max(F.when(F.col("passes"), F.col("rank"))).over(Window.partitionBy("backend")))
+    h = h.withColumn("last", F.max(F.when(F.col("passes"), F.col("rank"))).over(tests))
     return h.filter("rank <= last").select("backend", "size", "n", "at_risk", "hazard", "neighbours", "p_value")
 
 
 def _prepared(requests: DataFrame, results: DataFrame, lookup: dict[str, str] | None) -> DataFrame:
-    """Examined candidates with their truncation decided; lookup None: languages aren't looked at."""
-    counts = ending_counts(requests.select("text").unionByName(results.select(F.explode("candidates").alias("text"))), results)
+    """Examined candidates with their truncation decided, by a ``limit`` of lengths or in ``transfer``; lookup None: languages aren't looked at."""
+    counts = learned_endings(requests.select("text").unionByName(results.select(F.explode("candidates").alias("text"))), results)
     model = None
     if lookup is not None:
         r = labelled_requests(requests, lookup)
@@ -238,8 +250,8 @@ def _prepared(requests: DataFrame, results: DataFrame, lookup: dict[str, str] |
     seen = examine(requests, results, model, counts).persist(StorageLevel.DISK_ONLY)
     seen.count()  # else the stages that read it at the same time would each work it out
     cuts = cut_lengths(seen).select("backend", "size", F.lit(True).alias("at_limit"))
-    cut = (F.col("strength") == 2) | ((F.col("strength") == 1) & F.coalesce("at_limit", F.lit(False)))
-    return seen.join(cuts, ["backend", "size"], "left").withColumn("truncated", F.col("kind").isin("fine", "wrong_language") & cut)
+    path = F.when(F.col("kind").isin("fine", "wrong_language"), F.when((F.col("strength") >= 1) & F.col("at_limit"), "limit").when(F.col("strength") == 2, "transfer"))
+    return seen.join(cuts, ["backend", "size"], "left").withColumn("path", path).withColumn("truncated", F.col("path").isNotNull())
 
 
 def truncated(requests: DataFrame, results: DataFrame) -> DataFrame:
@@ -252,16 +264,17 @@ def truncated(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def truncation_rates(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """(backend, n_candidates, n_truncated, rate): how often each backend's candidates break off; spellings of a backend count as one."""
+    """(backend, n_candidates, n_truncated, rate, n_at_limits, limits): how often each backend's candidates break off, how many of them at its significant lengths, and these lengths in order; spellings of a backend count as one."""
     p = _prepared(requests, results, None)
-    g = p.filter("kind <> 'empty'").groupBy("backend").agg(F.count("*").alias("n_candidates"), F.count_if("truncated").alias("n_truncated"))
-    return g.withColumn("rate", F.col("n_truncated") / F.col("n_candidates"))
+    g = p.filter("kind <> 'empty'").groupBy("backend").agg(F.count("*").alias("n_candidates"), F.count_if("truncated").alias("n_truncated"), F.count_if(F.col("path") == "limit").alias("n_at_limits"), F.array_sort(F.collect_set(F.when(F.col("at_limit"), F.col("size")))).alias("limits"))
+    return g.select("backend", "n_candidates", "n_truncated", (F.col("n_truncated") / F.col("n_candidates")).alias("rate"), "n_at_limits", "limits")
 
 
 def defects(requests: DataFrame, results: DataFrame, lookup: dict[str, str]) -> DataFrame:
     """(result_id, idx, defect) of each defective pair: empty, truncated, refusal, copy or wrong_language, one each.
 
     Order of decision: empty, refusal, copy, truncated, wrong_language. Null and empty arrays are one empty pair with idx 0.
+    Results without a request make no pair and have no rows.
     """
     p = _prepared(requests, results, lookup)
     d = F.when(F.col("truncated"), "truncated").when(F.col("kind") != "fine", F.col("kind"))

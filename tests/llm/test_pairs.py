@@ -123,3 +123,31 @@ def test_endings_are_counted_over_all_texts(spark, monkeypatch):
         for asked in ("A request.", "Heading", "Some 12 values that go on and on (x) over a longer sentence than the other ones."):
             assert E.incomplete(asked, t or "", one) == E.incomplete(asked, t or "", e), t
     assert E.counted(counts[texts.index("Rare heading")]).whole["rare heading"] == E.OFTEN
+
+
+def test_long_refusals_and_copies():
+    no = "I'm sorry, but I can't translate this text. " + "It touches on matters that I would rather leave alone. " * 8
+    assert len(no) > 400 and P.is_refusal("The 12 samples came from the lake. They were dry.", no)
+    fair = "Je ne peux pas le dire. " + "La méthode a 12 pages. " * 6
+    assert not P.is_refusal("The method has 12 pages. " * 6, fair)
+    text = "The control group confirms the result of the pilot study in all three regions."
+    assert P.is_copy(text, "Here is the translation that you have asked me for, as exact as can be:\n\n" + text)
+    assert P.is_copy(text, text + " Let me know whether anything else has to be done here.")
+    assert P.is_copy(text, " ".join([text] * 9)) and not P.is_copy(text, text[:40])
+    assert not P.is_copy("Introduction", "Introduction to the methods of the analysis of long tables")
+
+
+def test_both_ways_to_the_counts_agree(spark, monkeypatch, tables):
+    q, r, _ = tables
+    one = sorted((x.result_id, x.idx) for x in P.truncated(q, r).collect())
+    monkeypatch.setattr(E, "BROADCAST_ENDINGS", 0)
+    assert sorted((x.result_id, x.idx) for x in P.truncated(q, r).collect()) == one and one
+
+
+def test_limits_are_those_of_incomplete_endings(spark):
+    import random
+
+    random.seed(4)
+    rows = [("a", random.randint(20, 200), 0) for _ in range(6000)] + [("a", 40, 0) for _ in range(900)] + [("a", 120, 1) for _ in range(60)] + [("a", random.randint(20, 200), 2) for _ in range(60)]
+    got = [x["size"] for x in P.cut_lengths(spark.createDataFrame([(*x, "fine") for x in rows], "backend string, size int, strength int, kind string")).collect()]
+    assert got == [120]  # many headings of one length are no limit
