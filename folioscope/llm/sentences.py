@@ -25,8 +25,12 @@ from .common import map_arrow, ship_package
 RATIO = 7.88
 #: A word of a language with fewer periods than this is decided by the statistics of all languages.
 FEW = 5
-#: Longest word that can be an abbreviation; longest chunk that can be an opening phrase; length of Thai line edges.
-ABBREVIATION, OPENING, EDGE = 10, 18, 5
+#: Longest chunk that can be an opening phrase; length of Thai line edges.
+OPENING, EDGE = 18, 5
+#: Letters up to which a word never learned, with a small letter behind its period, is taken for an abbreviation.
+SHORT = 4
+#: Longest line that can be a heading or formula by its look.
+LINE = 80
 ALL = "*"
 
 TERMINALS = ".!?。！？।؟…"
@@ -35,17 +39,16 @@ _LINE = re.compile(r"[^\n]+")
 _TABLE = re.compile(r"\s*\|")
 _CONTENTS = re.compile(r".*(?:\.{4,}|…{2,}|(?:\. ){4,})\s*\d+\s*$")
 _LIST = re.compile(r"\s*(?:[•‣◦▪·*–-]|\d{1,3}[.)]|\([a-zA-Z0-9]{1,3}\)|[a-z]\))\s+\S")
-_ENDED = re.compile(rf"[{re.escape(TERMINALS)}][{re.escape(_CLOSERS)}\s]*$|\]\s*$")
 _FORMULA = re.compile(r"(?=.*[=≤≥<>+∑∫√±→])(?!.*(?<![\\A-Za-z])[^\W\d_]{3,})", re.S)
 _CANDIDATE = re.compile(r"[.!?。！？।؟…]+(?=[\s\"»”’」』“„«‘「『)\]）]|$|[^\W\d_ªº])")
-_PAREN = re.compile(r"\((?:[^()]|\([^()]*\)){0,400}\)|（(?:[^（）]){0,400}）")
 _QUOTE = re.compile(r"\"[^\"]*\"|«[^«»]*»|„[^„“”]*[“”]|“[^“”]*”|‘[^‘’]*’|「[^「」]*」|『[^『』]*』")
-_WORD_BEFORE = re.compile(r"([^\s(（\[“\"«„‘]+)$")
+_BRACKETS = re.compile("[()（）]")
+_OPENS_WORD = frozenset("(（[“\"«„‘")
 _NAME_START = re.compile(r"[a-z]-[a-z]{3}")
 _THAI = re.compile("[฀-๿]")
 _THAI_SPACE = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=\S)\s+(?=[฀-๿])")
 _START = re.compile(r"(?:\A|\n[ \t\r]*\n|[!?]\s|[!?]\s?\n)\s*([^\s(\"«„“‘]+)")
-_PERIOD = re.compile(r"(?<![^\s(\"«„“‘])([^\s(\"«„“‘]{0,%d}[^\s(\"«„“‘.])\.\s+(?=([^\s(\"«„“‘]+))" % (ABBREVIATION - 1))
+_PERIOD = re.compile(r"(?<![^\s(\"«„“‘])([^\s(\"«„“‘]*[^\s(\"«„“‘.])\.\s+(?=([^\s(\"«„“‘]+))")
 
 
 @dataclass
@@ -153,7 +156,13 @@ def learn(docs: DataFrame) -> Statistics:
         abbr = (F.col("k") / F.col("n") < F.col("p0") / 2) & (ratio(F.col("k"), F.col("n"), F.col("p0")) > RATIO)
         coll = (F.col("numbers") / F.col("n") > F.col("p1")) & (F.col("numbers") / F.col("n") > 0.5) & (ratio(F.col("numbers"), F.col("n"), F.col("p1")) > RATIO)
         kind = F.when(coll & abbr, "number").when(abbr, "abbreviation").when((F.col("n") >= FEW) & (F.col("k") / F.col("n") >= F.col("p0") / 2), "ordinary")
-        rows = w2.select("lang", "w", kind.alias("what")).filter("what is not null").collect()
+        judged = w2.select("lang", "w", kind.alias("what")).filter("what is not null").persist()
+        special = judged.filter("what <> 'ordinary'")
+        # of the ordinary words only those are ever asked for that are short, are an abbreviation in general, or end a word with periods
+        asked = special.filter(F.col("lang") == ALL).select("w").union(w.filter(F.col("w").contains(".")).select(F.substring_index("w", ".", -1))).distinct()
+        ordinary = judged.filter("what = 'ordinary'")
+        rows = special.collect() + ordinary.filter(F.length("w") <= SHORT).collect() + ordinary.filter(F.length("w") > SHORT).join(asked, "w", "left_semi").select("lang", "w", "what").collect()
+        judged.unpersist()
         w.unpersist()
         edge = both.filter((F.col("lang") == ALL) & F.col("kind").isin("H", "E", "C"))
         totals = {r.kind: r.n for r in edge.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
@@ -174,21 +183,56 @@ def learn(docs: DataFrame) -> Statistics:
     return Statistics(abbreviations, freeze("ordinary"), numbered, freeze("starter"), one("C"), one("H"), one("E"))
 
 
-def _closed(text: str, s: int, e: int) -> bool:
-    """Whether the prose text[s:e] could be complete: it ends a sentence and no bracket is open."""
-    tail = text[max(s, e - 400) : e]
-    return bool(_ENDED.search(tail)) and tail.count("(") <= tail.count(")") and tail.count("（") <= tail.count("）")
+def _ended(text: str, s: int, e: int) -> bool:
+    """Whether text[s:e] ends like a sentence, closing marks and white space behind it aside, or with a square bracket."""
+    e -= 1
+    while e >= s and text[e].isspace():
+        e -= 1
+    if e >= s and text[e] == "]":
+        return True
+    while e >= s and (text[e] in _CLOSERS or text[e].isspace()):
+        e -= 1
+    return e >= s and text[e] in TERMINALS
+
+
+def _brackets(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """The outermost pairs of round brackets of text[s:e], of any length and depth; brackets without a partner are none."""
+    open_: dict[str, list[int]] = {")": [], "）": []}
+    pairs = []
+    for m in _BRACKETS.finditer(text, s, e):
+        c = m.group()
+        if c in "(（":
+            open_[")" if c == "(" else "）"].append(m.start())
+        elif open_[c]:
+            pairs.append((open_[c].pop(), m.end()))
+    out: list[tuple[int, int]] = []
+    for p in sorted(pairs):
+        if not out or p[0] >= out[-1][1]:
+            out.append(p)
+    return out
 
 
 def split(text: str, stats: Statistics, lang: str = "") -> list[tuple[int, int]]:
     """Sentences of a text as (start, end), in order, white space at both ends left out."""
     out: list[tuple[int, int]] = []
     start = end = -1  # of the prose collected so far
+    counted, round_, wide = 0, 0, 0  # its brackets: how far they are counted, and how many stand open
     item = False  # it began with a list marker
     lines = [(m.start(), m.end()) for m in _LINE.finditer(text)]
     bodies = [text[a:b].strip() for a, b in lines]
     last = len(lines) - 1
 
+    def closed() -> bool:
+        """Whether the prose could be complete: it ends a sentence and no bracket is open."""
+        nonlocal counted, round_, wide
+        if counted < start:
+            counted, round_, wide = start, 0, 0
+        if counted < end:
+            round_ += text.count("(", counted, end) - text.count(")", counted, end)
+            wide += text.count("（", counted, end) - text.count("）", counted, end)
+            counted = end
+        return _ended(text, start, end) and round_ <= 0 and wide <= 0
+
     def flush() -> None:
         nonlocal start
         if start >= 0:
@@ -212,23 +256,23 @@ def split(text: str, stats: Statistics, lang: str = "") -> list[tuple[int, int]]
             flush()
             out.append((a, b))
             continue
-        free = start < 0 or item or _closed(text, start, end)
+        free = start < 0 or item or closed()
         thai = start >= 0 and not free and "฀" <= text[end - 1] <= "๿"
         if free and _LIST.match(body):
             flush()
             start, end, item = a, b, True
             continue
         alone = i == last or not bodies[i + 1] or text.count("\n", lines[i][1], lines[i + 1][0]) > 1
-        if (free or thai) and len(body) < 80 and _FORMULA.match(body):
+        if (free or thai) and len(body) < LINE and _FORMULA.match(body):
             flush()
             out.append((a, b))
             continue
         if item and start >= 0:
-            if body[0].islower() and not _ENDED.search(text[start:end]):
+            if body[0].islower() and not _ended(text, start, end):
                 end = b  # the item goes on
                 continue
             flush()
-        if start >= 0 and free and alone and len(body) < 80 and not _ENDED.search(body) and not _THAI.search(body) and body[0].upper() == body[0]:
+        if start >= 0 and free and alone and len(body) < LINE and not _ended(body, 0, len(body)) and not _THAI.search(body) and body[0].upper() == body[0]:
             flush()  # a heading right under a paragraph
             out.append((a, b))
             continue
@@ -251,7 +295,7 @@ def _inside(spans: list[tuple[int, int]], pos: int) -> tuple[int, int] | None:
 def _prose(text: str, s: int, e: int, stats: Statistics, lang: str, out: list[tuple[int, int]]) -> None:
     """Append the sentences of the running text text[s:e]."""
     has = text[s:e]
-    parens = _spans(_PAREN, text, s, e) if "(" in has or "（" in has else []
+    parens = _brackets(text, s, e) if "(" in has or "（" in has else []
     quotes = _spans(_QUOTE, text, s, e) if any(c in has for c in "\"«„“‘「『") else []
     if quotes and parens:
         quotes = [q for q in quotes if not _inside(parens, q[0])]
@@ -317,8 +361,10 @@ def _boundary(text: str, s: int, at: int, stop: int, e: int, mark: str, stats: S
         return True
     if text[stop - 1] in ")]）" and text[at - 1 : at] in ")]":
         return True
-    m = _WORD_BEFORE.search(text, max(s, at - 30), at)
-    word = m.group(1) if m else ""
+    k = at
+    while k > s and not text[k - 1].isspace() and text[k - 1] not in _OPENS_WORD:
+        k -= 1
+    word = text[k:at]
     if not word:
         return not glued
     if len(word) == 1 and word.isalpha() and word.isupper():
@@ -334,7 +380,7 @@ def _boundary(text: str, s: int, at: int, stop: int, e: int, mark: str, stats: S
         # an abbreviation can end a sentence too: a starter that is no name behind it says so, unless it wants a number
         token = head.split(None, 1)[0] if head else ""
         return (token in stats.starters.get(lang, ()) or token in stats.starters.get(ALL, ())) and not _is_code(token) and word not in stats.numbered.get(lang, ())
-    if known is None and len(word) <= 4 and first.islower() and not _NAME_START.match(head):
+    if known is None and len(word) <= SHORT and first.islower() and not _NAME_START.match(head):
         return False
     return True
 

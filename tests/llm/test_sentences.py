@@ -83,3 +83,19 @@ def test_statistics_do_not_depend_on_batches(spark):
     n = S.count_batch(*map(list, zip(*rows)))
     parts = sum((S.count_batch([t], [lang]) for t, lang in rows), S.Counter())
     assert n == parts and n["en", "T", "The", ""] == 60 + 30 + 30 + 30 and n["de", "P", "etc", "The"] == 30
+
+
+def test_brackets_of_any_length_and_depth():
+    inside = "(see one. Two " * 40 + "end. Of it" + ")" * 40
+    text = f"The model {inside} works. Next one."
+    assert [text[a:b] for a, b in S.split(text, STATS)] == [text[: text.index(" Next")], "Next one."]
+    prose = "The list (" + "\n".join(f"word number {i} of it." for i in range(200)) + ") ends here.\n"
+    text = prose + "Next one."
+    assert [text[a:b] for a, b in S.split(text, STATS)] == [prose.strip(), "Next one."]
+
+
+def test_learned_words_are_all_that_is_asked_for(spark):
+    starts = ["The data came late.", "However, it rained.", "In all, it worked.", "The rest is known."]
+    rows = [(f"{starts[i % 4]}\n\nThe team of Dr. Vek{i} sees representations. The end.of it is here. The rest of set. The noise stays.", "en") for i in range(80)]
+    s = S.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert "set" in s.ordinary["en"] and "representations" not in s.ordinary["en"]  # long ordinary words decide nothing
