@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from uuid import uuid4
 
 import pyarrow as pa
@@ -89,6 +90,24 @@ def _class(tok: str) -> str:
     return tok.lower()
 
 
+class _Chunks(dict):
+    """Classes of the tokens of each run of characters without white space: no token holds white space, and most runs come again."""
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        if len(self) >= HELD:
+            self.clear()
+        got = self[chunk] = tuple(map(_class, _TOKEN.findall(chunk)))
+        return got
+
+
+_chunks = _Chunks()
+
+
+def _words(text: str) -> Iterator[str]:
+    """Classes of the tokens of a text."""
+    return chain.from_iterable(map(_chunks.__getitem__, text.split()))
+
+
 def tail(core: str) -> tuple[str, str]:
     """Long and short key of how a text (without its last full stop) ends: words, or characters in scripts without blanks."""
     if core and _BY_CHARACTER.match(core[-1]):
@@ -138,23 +157,22 @@ class Endings:
             ends |= {m.start() for m in _THAI_END.finditer(core)}
         if not broken and not stops:
             ends.add(len(core))
-        toks: list[str] = []
+        words: list[str] = []
         at = 0
         for e in sorted(ends):  # no token reaches over the end of a sentence
-            toks += _TOKEN.findall(core, at, e)
+            words += _words(core[at:e])
             at = e
             if e and not plain and _BY_CHARACTER.match(core[e - 1]):
                 long, short = tail(core[max(0, e - 80) : e])
-            elif toks:
-                short = _class(toks[-1])
-                long = f"{_class(toks[-2])} {short}" if len(toks) > 1 else short
+            elif words:
+                short = words[-1]
+                long = f"{words[-2]} {short}" if len(words) > 1 else short
             else:
                 continue
             if short and not (len(short) == 1 and short.isalpha() and short < "ʰ"):
                 self.end[long] += times
                 self.end[short] += times
-        toks += _TOKEN.findall(core, at)
-        words = list(map(_class, toks))
+        words += _words(core[at:])
         grams = []
         if not plain and _BY_CHARACTER.search(core):
             for n in (8, 4) if _SIGNED.search(core) else (4, 2):

@@ -4,6 +4,9 @@ The script of a token narrows its candidates; every word then gets a score for e
 n-grams for words never seen; a Viterbi pass over the words, with a small price for changing the language where a sentence
 ends and a prohibitive one inside, labels the spans. The model is fitted on a bounded sample of the labelled texts and
 refitted on its own labels, which removes the wrong ones among them.
+
+A script with one known language doesn't prove it: words with letters that this language doesn't have, and words of scripts
+without a known language, speak for ``und`` (some other language), and every other word of such a script leaves some doubt.
 """
 
 from __future__ import annotations
@@ -29,22 +32,37 @@ PHRASE = 40
 #: Known words (or characters of scripts without blanks) a segment needs to count.
 EVIDENCE = 2
 CODES = (*LATIN_LANGS, "ru", "zh", "ja", "ar", "hi", "th")
-K = len(CODES)
+#: Stands for every language beyond these.
+UNKNOWN = "und"
+NAMES = (*CODES, UNKNOWN)
+K = len(NAMES)
+#: Score of another language in a word of a script that many languages write, and of one that hardly another does.
+SHARED, OWN = -1.0, -3.0
+#: Rows of words that a process keeps; all are dropped beyond.
+ROWS = 500_000
 _AT = {c: i for i, c in enumerate(CODES)}
 _END = "\0"
 
+# Living scripts without a known language; Greek letters stand in formulas too, so that only words of them count.
+_OTHER = r"[\u0370-\u03ff\u1f00-\u1fff]{3,}|[\u0530-\u05ff\u07c0-\u07ff\u0980-\u0dff\u0e80-\u0fff\u1000-\u10ff\u1200-\u139f\u1780-\u18af\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]+"
+#: Letters of a script that its known language doesn't have (for Latin: none of the seven).
+_FOREIGN = {"ru": re.compile("[^А-Яа-яЁё]"), "ar": re.compile("[ٱ-ۓݐ-ݿ]"), "hi": re.compile("[ऄऎऒळऴॲ-ॿ]"), "latin": re.compile("[Ā-ıĴ-őŔ-ŷŹ-ɏẠ-ỿ]")}
+
 # A token is a word of one script, a piece of text of a script without blanks, or the end of a sentence.
 _TOKEN = re.compile(
-    r"@@[A-Z_0-9]+(?:@@)?|https?://[^\s)）]+|\$[^$\n]{1,60}\$|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏ]+(?:-?\d[0-9A-Za-z.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]{1,3}|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])"
+    r"@@[A-Z_0-9]+(?:@@)?|https?://[^\s)）]+|\$[^$\n]{1,60}\$|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏẠ-ỿ]+(?:-?\d[0-9A-Za-z.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]{1,3}|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])|"
+    + _OTHER
 )
 
 
-_PLAIN = re.compile(r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏ]+(?:-?\d[0-9A-Za-z.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]")
+_PLAIN = re.compile(r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏẠ-ỿ]+(?:-?\d[0-9A-Za-z.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|" + _OTHER)
 
 
 def _script(c: str) -> str:
-    if c < "ʰ":
+    if c < "ʰ" or "Ḁ" <= c <= "ỿ":
         return "latin"
+    if c < "Ѐ" or "԰" <= c < "؀" or "߀" <= c < "ऀ":
+        return "other"
     if c < "԰":
         return "ru"
     if c < "ࠀ":
@@ -53,9 +71,9 @@ def _script(c: str) -> str:
         return "hi"
     if "฀" <= c <= "๿":
         return "th"
-    if "ぁ" <= c <= "ㇿ":
+    if "ぁ" <= c <= "ヿ" or "ㇰ" <= c <= "ㇿ":
         return "ja"
-    return "han"
+    return "han" if "㐀" <= c <= "鿿" else "other"
 
 
 def tokens(text: str) -> list[str]:
@@ -97,6 +115,24 @@ class LanguageModel:
         self.rows: list[np.ndarray] = [np.zeros(K, np.float32)]
         self.index: dict[str, int] = {}
         self.gram_index: dict[str, int] = {}
+        self._buffer, self._filled = np.zeros((1024, K), np.float32), 0
+
+    def _matrix(self) -> np.ndarray:
+        """All rows as one array, which only grows by what is new."""
+        n = len(self.rows)
+        if n > len(self._buffer):
+            wider = np.zeros((2 * n, K), np.float32)
+            wider[: self._filled] = self._buffer[: self._filled]
+            self._buffer = wider
+        if n > self._filled:
+            self._buffer[self._filled : n] = self.rows[self._filled :]
+            self._filled = n
+        return self._buffer
+
+    def _trim(self) -> None:
+        """Drop all rows where there are too many; to be called between texts."""
+        if len(self.rows) > ROWS:
+            self._reset()
 
     def __getstate__(self) -> dict:
         return {"words": self.words, "grams": self.grams, "han": self.han, "phrases": self.phrases}
@@ -143,6 +179,8 @@ class LanguageModel:
             p = np.log((np.array([counts[c][w] for c in codes], float) + 0.1) / sums)
             row = np.full(K, FLOOR, np.float32)
             row[at] = np.maximum(p - p.max(), FLOOR)
+            if codes != LATIN_LANGS:
+                row[-1] = OWN
             out[w] = row
         return out
 
@@ -157,6 +195,10 @@ class LanguageModel:
 
     def _fixed(self, s: str, t: str) -> np.ndarray:
         row = np.full(K, FLOOR, np.float32)
+        if s == "other" or (s in _FOREIGN and _FOREIGN[s].search(t)):
+            row[-1] = 0
+            return row
+        row[-1] = SHARED if s in _FOREIGN else OWN
         if s == "han":
             got = self.han.get(t)
             if got is not None:
@@ -177,7 +219,9 @@ class LanguageModel:
                 row = None
             else:
                 row = self.words.get(t.lower())
-                if row is None and t.islower() and len(t) >= 4:
+                if row is None and t.islower() and _FOREIGN["latin"].search(t):
+                    row = self._fixed(s, t)
+                elif row is None and t.islower() and len(t) >= 4:
                     row = np.maximum(0.15 * self._gram_sum(t), FLOOR / 4)
             i = self._keep(self.index, t, row)
         return i
@@ -193,6 +237,8 @@ class LanguageModel:
                 row = self._fixed(s, t)
             elif len(t) == 1 or any(c.isdigit() for c in t) or (not t.islower() and t.lower() not in self.words):
                 row = None
+            elif t.lower() not in self.words and _FOREIGN["latin"].search(t):
+                row = self._fixed(s, t)
             else:
                 row = self._gram_sum(t.lower())
             i = self._keep(self.gram_index, t, row)
@@ -214,8 +260,7 @@ class LanguageModel:
         else:
             i = len(self.rows)
             self.rows.append(row)
-        if len(index) < 1_000_000:
-            index[t] = i
+        index[t] = i
         return i
 
     # ---- decoding -------------------------------------------------------------------------------------------------
@@ -235,6 +280,7 @@ class LanguageModel:
         return out
 
     def _viterbi(self, toks: list[list[str]]) -> list[list[tuple[str, float, np.ndarray]]]:
+        self._trim()
         ids, ends = [], []
         get, row = self.index.get, self.word_row
         for ts in toks:
@@ -255,7 +301,7 @@ class LanguageModel:
         n, m = len(toks), max(map(len, ids), default=0)
         if not m:
             return [[] for _ in toks]
-        table = np.array(self.rows, np.float32)
+        table = self._matrix()
         lens = np.array([len(a) for a in ids])
         idx = np.zeros((n, m), np.int32)
         price = np.full((n, m), INSIDE, np.float32)
@@ -304,13 +350,14 @@ class LanguageModel:
         out: list[tuple[str, float, np.ndarray]] = []
         for k, a, b in strong:
             s = scores[a:b].sum(0)
-            if out and out[-1][0] == CODES[k]:
+            if out and out[-1][0] == NAMES[k]:
                 s = s + out.pop()[2]
-            out.append((CODES[k], float(1 / np.exp(s - s[k]).sum()), s))
+            out.append((NAMES[k], float(1 / np.exp(s - s[k]).sum()), s))
         return out
 
     def totals(self, texts: list[str]) -> list[np.ndarray | None]:
         """For each text its summed n-gram scores (relative to the best of each word, 0); None for a text without words."""
+        self._trim()
         flat: list[int] = []
         cuts, owner = [], []
         find, index, row = _PLAIN.findall, self.gram_index, self.gram_row
@@ -323,12 +370,13 @@ class LanguageModel:
                 flat += ids
         out: list[np.ndarray | None] = [None] * len(texts)
         if flat:
-            for i, s in zip(owner, np.add.reduceat(np.array(self.rows, np.float32)[np.array(flat)], np.array(cuts), axis=0)):
+            for i, s in zip(owner, np.add.reduceat(self._matrix()[np.array(flat)], np.array(cuts), axis=0)):
                 out[i] = s
         return out
 
     def posteriors(self, toks: list[list[str]]) -> list[list[np.ndarray]]:
         """For each text the summed n-gram scores (relative to the best, 0) of its sentences that hold words."""
+        self._trim()
         flat, cuts, owner = [], [], []
         get, row = self.gram_index.get, self.gram_row
         for i, ts in enumerate(toks):
@@ -350,7 +398,7 @@ class LanguageModel:
                 owner.append(i)
         out: list[list[np.ndarray]] = [[] for _ in toks]
         if flat:
-            sums = np.add.reduceat(np.array(self.rows, np.float32)[np.array(flat)], np.array(cuts), axis=0)
+            sums = np.add.reduceat(self._matrix()[np.array(flat)], np.array(cuts), axis=0)
             for i, s in zip(owner, sums):
                 out[i].append(s)
         return out
@@ -381,7 +429,7 @@ def fit_model(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> LanguageModel:
 
 
 def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_id", text_col: str = "text", keep: tuple[str, ...] = (), prior: str | None = None) -> DataFrame:
-    """(id, kept columns, seg_no, lang, confidence) of each language segment; texts without words of a language have no row.
+    """(id, kept columns, seg_no, lang, confidence) of each language segment, ``und`` for languages beyond CODES; texts without words of a language have no row.
 
     ``prior``: a kept column with a language that stands where the text's words don't tell it from their best one.
 
@@ -394,10 +442,10 @@ def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_i
         rows, nos, langs, conf, count = [], [], [], [], []
         given = b.column(b.schema.get_field_index(prior)).to_pylist() if prior else [None] * b.num_rows
         for i, segs in enumerate(model.label([t or "" for t in b.column(0).to_pylist()])):
-            if len(segs) == 1 and np.sort(segs[0][2])[-2] > segs[0][2].max() - DOUBT and (known := model.phrases.get((b.column(0)[i].as_py() or "").strip().casefold())):
+            if len(segs) == 1 and segs[0][0] != UNKNOWN and np.sort(segs[0][2][:-1])[-2] > segs[0][2].max() - DOUBT and (known := model.phrases.get((b.column(0)[i].as_py() or "").strip().casefold())):
                 s = segs[0][2]  # words of two languages, but a heading that mostly stands under one label
                 segs = [(known, float(1 / np.exp(s - s[_AT[known]]).sum()), s)]
-            if len(segs) == 1 and given[i] in _AT and segs[0][2][_AT[given[i]]] > segs[0][2].max() - DOUBT:
+            if len(segs) == 1 and segs[0][0] != UNKNOWN and given[i] in _AT and segs[0][2][_AT[given[i]]] > segs[0][2].max() - DOUBT:
                 s = segs[0][2]  # the text can't tell: the label may be right
                 segs = [(given[i], float(1 / np.exp(s - s[_AT[given[i]]]).sum()), s)]
             for k, (lang, p, _) in enumerate(segs, 1):

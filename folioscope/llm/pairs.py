@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, ship_package
 from .endings import counted, incomplete, invariants, learned_endings, shared, unwrap
-from .language import _AT, CODES, LanguageModel, fit_model, labelled_requests, tokens
+from .language import _AT, NAMES, LanguageModel, fit_model, labelled_requests, tokens
 
 #: Neighbouring lengths on each side that a hazard is tested against; false-discovery rate; fewest candidates of a tested length.
 NEIGHBOURS, FALSE_DISCOVERIES, LEAST = 8, 0.01, 4
@@ -191,7 +191,7 @@ def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None
                 elif total is not None and target is not None:
                     best = int(total.argmax())
                     if best != target and total[target] < total[best] - WRONG:
-                        suspects.append((at, i, CODES[best]))
+                        suspects.append((at, i, NAMES[best]))
             rows = sorted({i for _, i, _ in suspects})
             of_row = dict(zip(rows, model.posteriors([tokens(_PLACEHOLDER.sub(" ", texts[i] or "")) for i in rows])))
             for at, i, lang in suspects:
@@ -199,7 +199,7 @@ def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None
                 if lang is None:
                     if not of_row[i]:
                         out[at] = (rid, k, be, "fine", 0, size)
-                elif lang not in {CODES[int(x.argmax())] for x in of_row[i]}:
+                elif lang not in {NAMES[int(x.argmax())] for x in of_row[i]}:
                     out[at] = (rid, k, be, "wrong_language", strength, size)
         elif todo:
             for at, i in todo:

@@ -64,3 +64,23 @@ def test_long_text_and_empty_table(spark, data, requests):
     own = spark.createDataFrame([(1, long, "en")], "request_id bigint, text string, source_lang string")
     assert [(r.seg_no, r.lang) for r in L.found(requests.unionByName(own), code_lookup(spark, data)).filter("request_id = 1").orderBy("seg_no").collect()] == [(1, "en"), (2, "fr")]
     assert L.found(requests.limit(0), code_lookup(spark, data)).count() == 0
+
+
+def test_other_languages_are_unknown(spark, data, requests):
+    model = L.fit_model(requests.select(F.col("request_id").alias("id"), "text", F.col("source_lang").alias("lang")))
+    texts = {"이 방법은 안정적인 추세를 보인다.": "und", "Η μέθοδος δείχνει σταθερή τάση.": "und", "השיטה מראה מגמה יציבה.": "und", "Цей метод виявляє сталу тенденцію і її зміни.": "und", "یہ طریقہ ایک مستحکم رجحان دکھاتا ہے۔": "und", "Метод показывает устойчивую тенденцию.": "ru"}
+    got = model.label(list(texts))
+    assert [[s[0] for s in segs] for segs in got] == [[v] for v in texts.values()]
+    one, many = model.label(["Метод", "Метод показывает устойчивую тенденцию во всех трёх областях."])
+    assert 0.5 < one[0][1] < 0.9 < many[0][1] < 1  # a script alone proves little
+    d = spark.createDataFrame([(1, "이 방법은 안정적인 추세를 보인다.", "ko"), (2, "α + β", None)], "request_id bigint, text string, source_lang string")
+    assert [tuple(r) for r in L.found(requests.unionByName(d), code_lookup(spark, data)).filter("request_id < 3").collect()] == [(1, 1, "und")]
+
+
+def test_few_rows_are_kept(monkeypatch):
+    model = L.LanguageModel()
+    model.fit([L.tokens(t) for t in WORDS.values()], list(WORDS))
+    want = [[s[0] for s in x] for x in model.label(list(OTHER.values()) * 3)]
+    monkeypatch.setattr(L, "ROWS", 3)
+    for _ in range(3):
+        assert [[s[0] for s in x] for x in model.label(list(OTHER.values()) * 3)] == want and len(model.rows) < 100
