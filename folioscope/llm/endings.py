@@ -37,6 +37,7 @@ _SETTLED = ".!?。！？।؟»”$%,;:"
 _WHOLE_PLACEHOLDER = re.compile(r"@@[A-Z]+(?:_[A-Z]+)*_\d{4}_[0-9A-F]{8}@@$")
 _BLANK = " \t\r\n\u00a0\u200b\u2009\u3000\ufeff\u2060\u200e\u200f"
 _OPENED = {"\"": "\"", "«": "»", "“": "”", "„": "“", "‘": "’", "「": "」", "『": "』", "'": "'", "(": ")"}
+_NOTE = re.compile(r"(?<=[.!?。！？।؟฀-๿])\s+\[\d{1,3}\]$|(?<=[.!?。！？।؟])\[\d{1,3}\]$")
 _INVARIANT = re.compile(r"@@[A-Z_]+_\d{4}_[0-9A-F]{8}@@|https?://[^\s)）]+|(?<![A-Za-z0-9.-])(?:\d{1,3}(?:[    ]\d{3})+(?!\d)|\d+(?:[.,]\d+)*)")
 _TOKEN = re.compile(r"[A-Za-z]*\d[0-9A-Za-z.,-]*[0-9A-Za-z]|\d|[^\W\d_]+(?:[-'’][^\W\d_]+)*(?:-\d+)?|[\])}$@%»”\"]|[(\[{«“]")
 _NOSPACE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
@@ -45,6 +46,7 @@ _BY_CHARACTER = re.compile("[\u0900-\u0963\u0966-\u097f\u0e00-\u0e7f\u3040-\u30f
 _SIGNED = re.compile("[\u0900-\u0e7f]")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _MARK = re.compile(r"[.!?]+(?=\s|$)|[。！？।؟]+")
+_PLAIN_MARK, _WIDE_MARK = re.compile(r"[.!?]+(?=\s|$)"), re.compile("[。！？।؟]")
 _THAI_END = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 
 
@@ -77,7 +79,9 @@ def unwrap(text: str) -> str:
 
 def without_note(text: str) -> str:
     """The text without a reference in brackets behind its last full stop."""
-    m = re.search(r"(?<=[.!?。！？।؟฀-๿])\s+\[\d{1,3}\]$|(?<=[.!?。！？।؟])\[\d{1,3}\]$", text)
+    if text[-1:] != "]":
+        return text
+    m = _NOTE.search(text)
     return text[: m.start()] if m else text
 
 
@@ -144,12 +148,13 @@ class Endings:
         self.begins: set[str] | None = None  # what begins a longer word
 
     def add(self, text: str, times: int = 1, asked: tuple[frozenset[str], frozenset[str]] | None = None) -> None:
-        """Count a text that occurs so many times; with ``asked`` (n-grams, last words of them) only these n-grams besides single words."""
+        """Count a text that occurs so many times; with ``asked`` (n-grams, what they end with: see ``asked_for``) only these n-grams besides single words."""
         core, broken = strip_break(unwrap(text))
         if not core:
             return
         plain = core.isascii()
-        ends = {m.start() for m in _MARK.finditer(core)}
+        marks = _PLAIN_MARK if plain or not _WIDE_MARK.search(core) else _MARK
+        ends = {m.start() for m in marks.finditer(core)}
         stops = core[-1] in TERMINALS
         if not broken and not stops and len(core) <= HEADING:
             self.whole[core.casefold()] += times
@@ -173,15 +178,18 @@ class Endings:
                 self.end[long] += times
                 self.end[short] += times
         words += _words(core[at:])
-        grams = []
-        if not plain and _BY_CHARACTER.search(core):
-            for n in (8, 4) if _SIGNED.search(core) else (4, 2):
-                grams += [core[i : i + n] for i in range(len(core) - n + 1)]
+        n = 0 if plain or not _BY_CHARACTER.search(core) else 8 if _SIGNED.search(core) else 4
+        size, half = len(core), n // 2
         if asked is None:
-            grams += map(" ".join, zip(words, words[1:]))
+            grams = list(map(" ".join, zip(words, words[1:])))
+            if n:
+                grams += [core[i : i + n] for i in range(size - n + 1)] + [core[i : i + half] for i in range(size - half + 1)]
         else:
-            wanted, lasts = asked
-            grams = [g for g in grams if g in wanted] + [g for a, b in zip(words, words[1:]) if b in lasts and (g := f"{a} {b}") in wanted]
+            wanted, ends_of = asked
+            grams = [g for a, b in zip(words, words[1:]) if b in ends_of and (g := f"{a} {b}") in wanted]
+            if n:
+                near = [i for i in range(half, size + 1) if core[i - half : i] in ends_of]
+                grams += [g for i in near if (g := core[i - half : i]) in wanted] + [g for i in near if i >= n and (g := core[i - n : i]) in wanted]
         if times == 1:
             self.any.update(words)
             self.any.update(grams)
@@ -237,6 +245,11 @@ def evidence(candidate: str | None) -> set[tuple[str, str]]:
     return out
 
 
+def asked_for(grams: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """The n-grams, and their last words and halves together with the short ones: what a text is searched for first."""
+    return frozenset(grams), frozenset(x for k in grams for x in (k, k.rpartition(" ")[2], k[len(k) // 2 :]))
+
+
 def _asked(results: DataFrame) -> DataFrame:
     """(result_id, kind, key) of all counts that the candidates' endings need."""
 
@@ -271,7 +284,7 @@ def _endings_asked(results: DataFrame) -> DataFrame:
 def count_endings(texts: DataFrame, asked: Broadcast | None = None) -> DataFrame:
     """(kind, key, n, at_end) over all rows (text): n-grams (n) that are frequent or end a sentence, frequent headings (w), beginnings of such n-grams without a blank (b).
 
-    ``asked``: n-grams to count besides single words, and their last words; the others are left out.
+    ``asked``: what ``asked_for`` gives of the n-grams to count besides single words; the others are left out.
     """
     ship_package(texts.sparkSession)
 
@@ -316,7 +329,7 @@ def learned_endings(texts: DataFrame, results: DataFrame) -> DataFrame | Broadca
         if asked.count() > BROADCAST_ENDINGS:
             return ending_counts(texts, results)
         grams = asked.filter("kind = 'n'").select("key").toArrow()["key"].to_pylist()
-        counts = count_endings(texts, sc.broadcast((frozenset(grams), frozenset(k.rpartition(" ")[2] for k in grams)))).join(asked, ["kind", "key"], "left_semi").toArrow()
+        counts = count_endings(texts, sc.broadcast(asked_for(grams))).join(asked, ["kind", "key"], "left_semi").toArrow()
         return sc.broadcast((uuid4().hex, [counts[c].to_pylist() for c in ("kind", "key", "n", "at_end")]))
     finally:
         asked.unpersist()
