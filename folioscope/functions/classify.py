@@ -21,14 +21,21 @@ HEADING_WORDS = ["section", "chapter", "introduction", "methodology", "methods",
 ACADEMIC_WORDS = ["abstract", "summary", "introduction", "conclusion", "results", "methodology", "discussion", "references", "appendix", "section", "chapter", "subsection", "paragraph", "document", "report", "background", "overview", "preface", "acknowledgments", "index"]
 COMMON_PHRASES = ["ok", "yes", "no", "hello", "hi", "bye", "thanks", "thank you"]
 UNITS = ["mm", "cm", "km", "kg", "mg", "g", "ml", "l", "s", "ms", "hz", "khz", "mhz", "ghz", "nm", "um", "db"]
-TECHNICAL_TERMS = (
-    "GPT GPT-2 GPT-3 GPT-4 DALL-E CLIP InstructGPT ChatGPT BERT ViT ResNet LSTM RNN Transformer RLHF VAE GAN CNN YOLO AlexNet Python PyTorch TensorFlow NumPy API HTTP JSON GPU CPU RAM URL HTML CSS SQL REST XML "
-    "JavaScript TypeScript Docker Kubernetes Git DNA RNA pH MHz GHz kHz nm μm mL kg CRISPR PCR ATP RNA-seq AI ML NLP CV RL DL IoT 5G 4G LTE VR AR MR SaaS PaaS IaaS"
-).split()
-CONTENT_KEYWORDS = (
-    "gpt rlhf instructgpt neural algorithm model transformer attention embedding layer training fine-tuning reinforcement dataset benchmark evaluation learning optimization hypothesis methodology experiment results conclusion "
-    "abstract introduction discussion validation analysis equation theorem proof coefficient variable parameter distribution statistical probability correlation research study investigation observation measurement procedure protocol sample control significant"
-).split()
+TECHNICAL_TERMS = [
+    "GPT", "GPT-2", "GPT-3", "GPT-4", "DALL-E", "DALL-E 2", "CLIP", "InstructGPT", "ChatGPT", "BERT", "ViT", "ResNet", "LSTM", "RNN",
+    "Transformer", "RLHF", "VAE", "GAN", "CNN", "YOLO", "AlexNet",
+    "Python", "PyTorch", "TensorFlow", "NumPy", "API", "HTTP", "JSON", "GPU", "CPU", "RAM", "URL", "HTML", "CSS", "SQL", "REST", "XML",
+    "JavaScript", "TypeScript", "Docker", "Kubernetes", "Git",
+    "DNA", "RNA", "pH", "MHz", "GHz", "kHz", "nm", "μm", "mL", "kg", "CRISPR", "PCR", "ATP", "RNA-seq",
+    "AI", "ML", "NLP", "CV", "RL", "DL", "IoT", "5G", "4G", "LTE", "VR", "AR", "MR", "SaaS", "PaaS", "IaaS",
+]
+CONTENT_KEYWORDS = [
+    "gpt", "rlhf", "instructgpt", "neural", "algorithm", "model", "transformer", "attention", "embedding", "layer", "training", "fine-tuning",
+    "reinforcement", "dataset", "benchmark", "evaluation", "learning", "optimization",
+    "hypothesis", "methodology", "experiment", "results", "conclusion", "abstract", "introduction", "discussion", "validation", "analysis",
+    "equation", "theorem", "proof", "coefficient", "variable", "parameter", "distribution", "statistical", "probability", "correlation",
+    "research", "study", "investigation", "observation", "measurement", "procedure", "protocol", "sample", "control", "significant",
+]
 CONTENT_HEADERS = ["abstract", "introduction", "related work", "methodology", "methods", "experiments", "results", "discussion", "conclusion", "references", "acknowledgments", "appendix", "background"]
 MATH_FONTS = ["cmr", "cmsy", "cmmi", "cmex", "symbol", "zapfdingbats", "math", "stix", "cambria", "euclid", "latinmodern"]
 MATH_CHARS = r"[\x{2200}-\x{22FF}\x{2190}-\x{21FF}\x{0391}-\x{03C9}\x{2070}-\x{209F}\x{2100}-\x{214F}\x{1D400}-\x{1D7FF}\x{25A0}-\x{25FF}\x{2600}-\x{26FF}\x{B2}\x{B3}\x{B9}]"

@@ -116,6 +116,39 @@ def test_person_names(text, expected):
     assert M.person_name(text) is expected
 
 
+@pytest.mark.parametrize("text", [*M.TERMS, "Section 1: Content Analysis", "Section 2: Methodology", "Chapter 3: Results", "Part 1: Introduction", "1. Introduction", "Section 2: Results", "Chapter 3: Conclusion", "Method\nAccuracy\nSpeed"])
+def test_terms_and_headings_are_never_masked(text):
+    assert M.mask_text(text) == (text, [], {})
+
+
+@pytest.mark.parametrize("text", ["John Smith", "Jane Doe", "Alice Johnson", "Bob Williams", "written by John T. Smith in Paris"])
+def test_names_are_masked(text):
+    assert M.mask_text(text)[2] == {"PERSON_NAME": 1}
+
+
+def test_names_natively(spark):
+    texts = ["John Smith", "John T. Smith", "Random Forest", "Data System", "JOHN SMITH", "Section Smith", "Novel Design", "John", "A Long Name Of Five", "Computer Vision"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(M.person_name_column(F.col("t"))).collect()
+    assert [r[0] for r in got] == [M.person_name(t) for t in texts]
+
+
+def test_nested_and_invented_tokens():
+    text = "Figure 3: John Smith at https://x.org/a shows it"
+    masked, registry, _ = M.mask_text(text)
+    entries = [{"ph": p, "original": o} for _, p, o in registry]
+    assert M.restore_text(masked, entries) == (text, [])
+    alien = "@@BLK_URL_0009_AAAAAAAA@@"
+    assert M.restore_text(masked + alien, entries) == (text, [f"hallucinated_placeholder:{alien}"])
+    assert M.restore_text(masked.lower().replace("@@blk", "@@ blk"), entries)[1] == []
+
+
+def test_equations_are_masked_in_order(spark):
+    d = spark.createDataFrame([("E = 5 and x² and E = 5", ["E = 5", "x²", "", "y"]), (None, ["a"]), ("a", None)], "text string, spans array<string>")
+    rows = [r.m for r in d.select(M.mask_equations(F.col("text"), F.col("spans")).alias("m")).collect()]
+    assert rows[0].masked == f"{M.placeholder('MATH_INLINE', 1, 'E = 5')} and {M.placeholder('MATH_INLINE', 2, 'x²')} and E = 5" and rows[0].n == 3
+    assert [r.masked for r in rows[1:]] == ["", "a"] and [(x.seq, x.original) for x in rows[0].registry] == [(0, "E = 5"), (1, "x²")]
+
+
 def test_mask_frame_with_nulls_and_repeats(spark):
     d = spark.createDataFrame([(1, "see [12]"), (1, "see [12]"), (2, None), (3, "")], "id int, text string")
     rows = {r.id: r for r in M.restore(M.mask(d).withColumn("translated_text", F.col("masked_text"))).collect()}
