@@ -147,8 +147,8 @@ class Endings:
         self.whole: Counter = Counter()
         self.begins: set[str] | None = None  # what begins a longer word
 
-    def add(self, text: str, times: int = 1, asked: tuple[frozenset[str], frozenset[str]] | None = None) -> None:
-        """Count a text that occurs so many times; with ``asked`` (n-grams, what they end with: see ``asked_for``) only these n-grams besides single words."""
+    def add(self, text: str, times: int = 1, asked: tuple[frozenset, frozenset, frozenset] | None = None) -> None:
+        """Count a text that occurs so many times; with ``asked`` (see ``asked_for``) only these n-grams besides single words."""
         core, broken = strip_break(unwrap(text))
         if not core:
             return
@@ -185,8 +185,8 @@ class Endings:
             if n:
                 grams += [core[i : i + n] for i in range(size - n + 1)] + [core[i : i + half] for i in range(size - half + 1)]
         else:
-            wanted, ends_of = asked
-            grams = [g for a, b in zip(words, words[1:]) if b in ends_of and (g := f"{a} {b}") in wanted]
+            wanted, ends_of, two = asked
+            grams = list(map(" ".join, filter(two.__contains__, zip(words, words[1:]))))
             if n:
                 near = [i for i in range(half, size + 1) if core[i - half : i] in ends_of]
                 grams += [g for i in near if (g := core[i - half : i]) in wanted] + [g for i in near if i >= n and (g := core[i - n : i]) in wanted]
@@ -245,9 +245,9 @@ def evidence(candidate: str | None) -> set[tuple[str, str]]:
     return out
 
 
-def asked_for(grams: list[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """The n-grams, and their last words and halves together with the short ones: what a text is searched for first."""
-    return frozenset(grams), frozenset(x for k in grams for x in (k, k.rpartition(" ")[2], k[len(k) // 2 :]))
+def asked_for(grams: list[str]) -> tuple[frozenset, frozenset, frozenset]:
+    """The n-grams; they and their second halves, which a text is searched for first; those of two words as pairs."""
+    return frozenset(grams), frozenset(x for k in grams for x in (k, k[len(k) // 2 :])), frozenset(tuple(k.split(" ")) for k in grams if k.count(" ") == 1)
 
 
 def _asked(results: DataFrame) -> DataFrame:

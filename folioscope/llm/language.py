@@ -58,6 +58,9 @@ _TOKEN = re.compile(
 _PLAIN = re.compile(r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏẠ-ỿ]+(?:-?\d[0-9A-Za-z.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|" + _OTHER)
 
 
+_VERSION = re.compile(r"[A-Z][a-z]+ v\d")
+
+
 def _script(c: str) -> str:
     if c < "ʰ" or "Ḁ" <= c <= "ỿ":
         return "latin"
@@ -115,6 +118,7 @@ class LanguageModel:
         self.rows: list[np.ndarray] = [np.zeros(K, np.float32)]
         self.index: dict[str, int] = {}
         self.gram_index: dict[str, int] = {}
+        self.runs: dict[str, tuple[int, ...]] = {}
         self._buffer, self._filled = np.zeros((1024, K), np.float32), 0
 
     def _matrix(self) -> np.ndarray:
@@ -131,7 +135,7 @@ class LanguageModel:
 
     def _trim(self) -> None:
         """Drop all rows where there are too many; to be called between texts."""
-        if len(self.rows) > ROWS:
+        if len(self.rows) > ROWS or len(self.runs) > ROWS:
             self._reset()
 
     def __getstate__(self) -> dict:
@@ -360,10 +364,21 @@ class LanguageModel:
         self._trim()
         flat: list[int] = []
         cuts, owner = [], []
-        find, index, row = _PLAIN.findall, self.gram_index, self.gram_row
+        find, index, row, runs = _PLAIN.findall, self.gram_index, self.gram_row, self.runs
+
+        def scored(run: str) -> tuple[int, ...]:
+            return tuple(k for w in find(run) if (k := index[w] if w in index else row(w)))
+
         for i, t in enumerate(texts):
-            ids = [index[w] if w in index else row(w) for w in find(t)]
-            ids = [k for k in ids if k]
+            if " v" in t and _VERSION.search(t):  # the one token that holds a blank
+                ids = scored(t)
+            else:  # runs without white space come again and again
+                ids = []
+                for run in t.split():
+                    got = runs.get(run)
+                    if got is None:
+                        got = runs[run] = scored(run)
+                    ids += got
             if ids:
                 cuts.append(len(flat))
                 owner.append(i)

@@ -51,6 +51,7 @@ _CUES = {
     "th": r"ขออภัย|ขอโทษ|เสียใจ|(ฉัน|ผม|ดิฉัน)ไม่(สามารถ|อาจ)|โมเดลภาษา|แบบจำลองภาษา|ปฏิเสธ",
 }
 _REFUSAL = re.compile("|".join(f"(?:{c})" for c in _CUES.values()))
+_CUE = {k: re.compile(c) for k, c in _CUES.items()}
 # Parts of words of which every cue holds one.
 _STEMS = (
     "sorry afraid declin refus can't cannot can&not won't will&not unable not&able rather&not prefer&not i'm language&model guidelines unfortunately apolog désol navré je&ne je&n' je&dois modèle malheureus impossible "
@@ -63,21 +64,25 @@ _STEMS = (
 
 @lru_cache(1)
 def _stems():
+    """Automaton of the stems, each with the languages whose cues spell it out (all of them, where none does)."""
     try:
         import ahocorasick
     except ImportError:
         return None
     a = ahocorasick.Automaton()
     for s in _STEMS:
-        a.add_word(s.replace("&", " "), 1)
+        s = s.replace("&", " ")
+        a.add_word(s, [k for k, c in _CUES.items() if s in c] or list(_CUES))
     a.make_automaton()
     return a
 
 
-def _holds_stem(text: str) -> bool:
-    """Whether one of the stems occurs; without the automaton every text is looked at in full."""
+def _holds_cue(text: str) -> bool:
+    """Whether a cue of declining occurs; only those languages are looked at of which a stem does, all without the automaton."""
     a = _stems()
-    return a is None or next(a.iter(text), None) is not None
+    if a is None:
+        return bool(_REFUSAL.search(text))
+    return any(_CUE[k].search(text) for k in {k for _, ks in a.iter(text) for k in ks})
 
 
 _LABEL = re.compile(r"^[^\W\d_][\w ]{2,18}[:：]\s*")
@@ -131,7 +136,7 @@ REFUSAL_SENTENCES = 3
 def is_refusal(request: str, candidate: str) -> bool:
     """Whether the candidate declines instead of translating: a cue that the request itself doesn't hold, and in texts of many sentences none of the numbers, placeholders and addresses that a translation would keep."""
     c = candidate.strip(" \t\n\"'«»“”").replace("’", "'").casefold()
-    if not _holds_stem(c) or not _REFUSAL.search(c) or _REFUSAL.search(request.replace("’", "'").casefold()):
+    if not _holds_cue(c) or _REFUSAL.search(request.replace("’", "'").casefold()):
         return False
     if len(_SENTENCE.findall(c)) <= REFUSAL_SENTENCES:
         return True
