@@ -223,6 +223,16 @@ def identity(source: Column, target: Column, is_header: Column) -> Column:
     )
 
 
+#: Content score of an academic document; thresholds of identity for its headings and texts, and for those of others.
+ACADEMIC_SCORE, ACADEMIC_THRESHOLDS, GENERAL_THRESHOLDS = 60, (0.98, 0.95), (0.95, 0.90)
+
+
+def identity_threshold(academic: Column, is_header: Column) -> Column:
+    """Similarity from which an answer counts as its source again."""
+    pick = lambda t: F.when(is_header, F.lit(t[0])).otherwise(F.lit(t[1]))
+    return F.when(academic, pick(ACADEMIC_THRESHOLDS)).otherwise(pick(GENERAL_THRESHOLDS))
+
+
 def skip_reason(c: Column, is_table: Column, source_lang: Column, target_lang: Column, translate_tables: bool = False) -> Column:
     """Why a block isn't translated: table, empty, preserve_lang_xx; null: it is translated."""
     c = F.coalesce(c, F.lit(""))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
 from folioscope.sources import ship_package
 
 PAGE = ["doc_id", "page_no"]
@@ -76,11 +77,12 @@ def text_pairs(blocks: DataFrame, min_area: float = 4.0, band: float = 200.0) ->
     return l.join(r, on & order).select(F.col("l.doc_id").alias("doc_id"), F.col("l.page_no").alias("page_no"), F.col("l.block_no").alias("a"), F.col("r.block_no").alias("b"), value.alias("iou"))
 
 
-def page_overlap(blocks: DataFrame, min_iou: float = 0.0) -> DataFrame:
-    """(doc_id, page_no, overlap_pairs, mean_iou, max_iou) of every page; zeros for a page without overlaps."""
+def page_overlap(blocks: DataFrame, min_iou: float = 0.0, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, overlap_pairs, mean_iou, max_iou) of every page, or of the distinct ``pages``; zeros for a page without overlaps or blocks."""
     p = text_pairs(blocks).filter(F.col("iou") > min_iou).groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum(F.col("iou").cast("decimal(38,18)")).alias("s"), F.max("iou").alias("m"))
     zero = lambda c, kind: F.coalesce(c.cast(kind), F.lit(0).cast(kind))
-    return blocks.select(*PAGE).distinct().join(p, PAGE, "left").select(*PAGE, zero(F.col("n"), "bigint").alias("overlap_pairs"), F.coalesce(F.col("s").cast("double") / F.col("n"), F.lit(0.0)).alias("mean_iou"), zero(F.col("m"), "double").alias("max_iou"))
+    asked = blocks.select(*PAGE).distinct() if pages is None else pages
+    return asked.join(p, PAGE, "left").select(*PAGE, zero(F.col("n"), "bigint").alias("overlap_pairs"), F.coalesce(F.col("s").cast("double") / F.col("n"), F.lit(0.0)).alias("mean_iou"), zero(F.col("m"), "double").alias("max_iou"))
 
 
 def neighbours(blocks: DataFrame, k: int = 10) -> DataFrame:
@@ -94,6 +96,13 @@ def neighbours(blocks: DataFrame, k: int = 10) -> DataFrame:
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def legacy_decision(source: Column, target: Column, region: Column, translate_tables: bool = False) -> Column:
+    """Whether a translation replaces its block's text: tables, blank translations and the source's own text don't."""
+    table = (F.coalesce(region, F.lit("")) == "table") & F.lit(not translate_tables)
+    s, t = F.coalesce(source, F.lit("")), F.coalesce(target, F.lit(""))
+    return ~table & (T.strip(t) != "") & (T.normalised(t) != T.normalised(s))
+
+
 def repaired_box(b: Column, min_width: float = 50.0, min_height: float = 10.0) -> Column:
     """The box with least dimensions where it is empty or inverted."""
     w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]

@@ -171,6 +171,25 @@ def fuzzy_matches(queries: DataFrame, memory: DataFrame, min_similarity: float =
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "memory_id", "similarity")
 
 
+def best_match(queries: DataFrame, memory: DataFrame, now: Column, max_age: int, token_pattern: str, min_similarity: float = 0.92) -> DataFrame:
+    """(query_id, memory_id, similarity): the most similar other memory text not older than ``max_age`` seconds, where it holds all tokens of the query.
+
+    As :func:`fuzzy_matches` with ``others``; ``memory`` has requested_at besides, and rows without it are too old. A best match
+    that lacks a token isn't replaced by the next one.
+    """
+    young = memory.filter((F.unix_timestamp(now) - F.unix_timestamp("requested_at")).between(0, max_age))
+    best = fuzzy_matches(queries, young, min_similarity, 1, others=True)
+    j = best.join(queries.select("query_id", F.col("text").alias("__q")), "query_id").join(memory.select("memory_id", F.col("text").alias("__m")), "memory_id")
+    tokens = F.regexp_extract_all("__q", F.lit(token_pattern), F.lit(0))
+    return j.filter(F.forall(tokens, lambda p: F.col("__m").contains(p))).select("query_id", "memory_id", "similarity")
+
+
+def glossary_search(glossary: DataFrame, needle: str) -> DataFrame:
+    """Entries whose source or target holds the needle, letter case aside, ordered by source and load_seq."""
+    low = needle.lower()
+    return glossary.filter(F.lower("source").contains(low) | F.lower("target").contains(low)).orderBy("source", "load_seq")
+
+
 def missing_rows(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Expected rows without a result."""
     return expected.join(done.select(*keys).distinct(), keys, "left_anti")

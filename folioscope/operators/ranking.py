@@ -37,6 +37,35 @@ def ranked(candidates: DataFrame, keys: list[str], weights: dict[str, float] | N
     return d.withColumn("rank", F.row_number().over(order))
 
 
+#: Backends of the cascade: name, priority (smaller first), and whether it is too slow for short texts. A fixed list.
+BACKENDS = (
+    ("cloud_pro", 1, False), ("relay_v2", 2, False), ("local_small", 3, True), ("hub_api", 4, False), ("studio_ai", 5, False),
+    ("north_free", 6, False), ("cascade_free", 7, False), ("dummy", 8, False),
+)
+#: What a backend adds to the total of its candidates.
+BACKEND_BONUS = {"local_small": 0.8, "north_free": -0.4}
+#: Texts up to this length don't go to slow backends.
+SHORT_TEXT = 8
+
+
+def routed(requests: DataFrame, text_col: str = "text", backends: tuple[tuple[str, int, bool], ...] = BACKENDS) -> DataFrame:
+    """Every request with every backend that is asked for it, and its priority: the fixed list unfolded in place, without a join. Null texts are short."""
+    one = F.array(*[F.struct(F.lit(n).alias("backend"), F.lit(p).alias("priority"), F.lit(slow).alias("slow")) for n, p, slow in backends])
+    short = F.length(F.coalesce(F.col(text_col), F.lit(""))) <= SHORT_TEXT
+    fit = F.filter(one, lambda b: ~(b["slow"] & short))
+    return requests.select("*", F.inline(fit)).drop("slow")
+
+
+def cascaded(candidates: DataFrame, keys: list[str], order: list[str], bonus: dict[str, float] | None = None) -> DataFrame:
+    """Add the backend's bonus to ``total``, its priority, and the rank: valid ones first, then total, priority and ``order``. Unknown backends come last and have no bonus."""
+    pairs = lambda kv: F.create_map(*[F.lit(x) for p in kv for x in p])
+    extra = F.coalesce(F.element_at(pairs((BACKEND_BONUS if bonus is None else bonus).items()), F.col("backend")), F.lit(0.0))
+    priority = F.coalesce(F.element_at(pairs((n, p) for n, p, _ in BACKENDS), F.col("backend")), F.lit(len(BACKENDS) + 1))
+    d = candidates.withColumn("total", F.col("total") + extra).withColumn("priority", priority)
+    w = Window.partitionBy(*keys).orderBy(F.desc("valid"), F.desc("total"), "priority", *order)
+    return d.withColumn("rank", F.row_number().over(w))
+
+
 #: Backends that need no network: each gives the candidates of a request's row.
 OFFLINE: dict[str, Callable[[dict], list[str]]] = {
     "identity": lambda r: [r["text"] or ""] * max(1, r.get("n_candidates") or 1),

@@ -71,3 +71,28 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     n = F.col("n").cast("double")
     mean, var = F.try_divide(F.col("s1"), n), F.try_divide(F.col("s2") - F.try_divide(F.col("s1") * F.col("s1"), n), n - 1)
     return g.select("n", mean.alias("mean_difference"), var.alias("var")).select("n", "mean_difference", F.when(F.col("var") > 0, F.try_divide(F.col("mean_difference"), F.sqrt(F.col("var")) / F.sqrt(F.col("n").cast("double")))).alias("t"))
+
+
+def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, mean, deviation, lowest, highest) of the values that aren't null; the sample deviation is null for one value. Sums are decimals."""
+    v = F.col(value)
+    exact = lambda c: F.sum(c.cast("decimal(38,12)")).cast("double")
+    g = df.filter(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), exact(v).alias("s1"), exact(v * v).alias("s2"), F.min(v).alias("lowest"), F.max(v).alias("highest"))
+    n = F.col("n").cast("double")
+    spread = F.try_divide(F.col("s2") - F.try_divide(F.col("s1") * F.col("s1"), n), n - 1)
+    return g.select(*keys, "n", F.try_divide(F.col("s1"), n).alias("mean"), F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), spread))).alias("deviation"), "lowest", "highest")
+
+
+def base_style(spans: DataFrame) -> DataFrame:
+    """(doc_id, block_id, font, color, size) from spans with ``h``, whether their block is a header.
+
+    Headers take font and size of their largest span (the first of them), other blocks the dominant font and the mean size;
+    all take the dominant colour. Spans without a font, colour or size don't count for it.
+    """
+    block, order = ["doc_id", "block_id"], ["line_no", "span_no", "span_id"]
+    size = F.col("size")
+    g = spans.groupBy(*block).agg(F.bool_or("h").alias("h"), F.max(size).alias("hi"), (F.sum(size.cast("decimal(20,6)")).cast("double") / F.count(size)).alias("mean"))
+    largest = Window.partitionBy(*block).orderBy(F.desc("size"), *order)
+    top = spans.filter(size.isNotNull()).select(*block, F.col("font").alias("top"), F.row_number().over(largest).alias("r")).filter("r = 1").drop("r")
+    j = g.join(dominant(spans, block, "font", order).drop("n"), block, "left").join(dominant(spans, block, "color", order).drop("n"), block, "left").join(top, block, "left")
+    return j.select(*block, F.when(F.col("h"), F.col("top")).otherwise(F.col("font")).alias("font"), "color", F.when(F.col("h"), F.col("hi")).otherwise(F.col("mean")).alias("size"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("texts", "scores", "pages", "reports")
+_MODULES = ("texts", "scores", "pages", "reports", "audits")
 
 
 def query(sql: str | None = None, name: str | None = None):
