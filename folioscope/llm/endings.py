@@ -120,13 +120,13 @@ def tail(core: str) -> tuple[str, str]:
     return _word_tail(core[-80:])
 
 
-@lru_cache(1 << 16)
 def _word_tail(end: str) -> tuple[str, str]:
-    toks = _TOKEN.findall(end)
-    if not toks:
-        return "", ""
-    w = _class(toks[-1])
-    return (_class(toks[-2]) + " " + w if len(toks) > 1 else w), w
+    words: tuple[str, ...] = ()
+    for run in reversed(end.split()):
+        words = _chunks[run] + words
+        if len(words) > 1:
+            return f"{words[-2]} {words[-1]}", words[-1]
+    return (words[0], words[0]) if words else ("", "")
 
 
 def invariants(text: str) -> Counter:

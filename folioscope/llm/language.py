@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,17 @@ def _grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+class _Runs(dict):
+    """Rows of the words of each run of characters without white space: most runs come again and again."""
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        got = self[run] = self.model.gram_rows(run)
+        return got
+
+
 class LanguageModel:
     """Scores of words and of character n-grams for each language, relative to the best one (0) and not below FLOOR."""
 
@@ -118,7 +130,7 @@ class LanguageModel:
         self.rows: list[np.ndarray] = [np.zeros(K, np.float32)]
         self.index: dict[str, int] = {}
         self.gram_index: dict[str, int] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.runs = _Runs(self)
         self._buffer, self._filled = np.zeros((1024, K), np.float32), 0
 
     def _matrix(self) -> np.ndarray:
@@ -248,6 +260,11 @@ class LanguageModel:
             i = self._keep(self.gram_index, t, row)
         return i
 
+    def gram_rows(self, text: str) -> tuple[int, ...]:
+        """Rows of the words of a text that have a score."""
+        index = self.gram_index
+        return tuple(k for w in _PLAIN.findall(text) if (k := index[w] if w in index else self.gram_row(w)))
+
     def _gram_sum(self, word: str) -> np.ndarray:
         rows = [self.grams[g] for g in _grams(word) if g in self.grams]
         row = np.full(K, FLOOR, np.float32)
@@ -364,21 +381,12 @@ class LanguageModel:
         self._trim()
         flat: list[int] = []
         cuts, owner = [], []
-        find, index, row, runs = _PLAIN.findall, self.gram_index, self.gram_row, self.runs
-
-        def scored(run: str) -> tuple[int, ...]:
-            return tuple(k for w in find(run) if (k := index[w] if w in index else row(w)))
-
+        rows_of = self.runs.__getitem__
         for i, t in enumerate(texts):
             if " v" in t and _VERSION.search(t):  # the one token that holds a blank
-                ids = scored(t)
-            else:  # runs without white space come again and again
-                ids = []
-                for run in t.split():
-                    got = runs.get(run)
-                    if got is None:
-                        got = runs[run] = scored(run)
-                    ids += got
+                ids = self.gram_rows(t)
+            else:
+                ids = list(chain.from_iterable(map(rows_of, t.split())))
             if ids:
                 cuts.append(len(flat))
                 owner.append(i)
