@@ -53,7 +53,7 @@ io AS (SELECT *, CASE WHEN al + ar - inter > 0 THEN inter / (al + ar - inter) EL
 
 @query(f"WITH {_IOU}, g AS (SELECT doc_id, page_no, count(*) AS n, sum(iou::DECIMAL(38,18))::DOUBLE AS s, max(iou) AS m FROM io WHERE iou > 0 GROUP BY doc_id, page_no), pg AS (SELECT DISTINCT doc_id, page_no FROM blocks0) SELECT doc_id, page_no, coalesce(n, 0) AS overlap_pairs, coalesce(s / n, 0::DOUBLE) AS mean_iou, coalesce(m, 0::DOUBLE) AS max_iou FROM pg LEFT JOIN g USING (doc_id, page_no)")
 def page_overlap(spark, d):
-    """Overlaps of text blocks by page (J-15, J-16, G-01, A-03, A-04)."""
+    """Overlaps of text blocks by page (J-15, G-01, A-03)."""
     return G.page_overlap(X.blocks(spark, d))
 
 
@@ -80,7 +80,7 @@ def document_info(spark, d):
 
 @query(f"WITH {X.SPANS}, g AS (SELECT doc_id, block_id, font, count(*) AS n, min((line_no, span_no, span_id)) AS f FROM spans0 WHERE font IS NOT NULL GROUP BY doc_id, block_id, font), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_id ORDER BY n DESC, f) AS k FROM g) SELECT doc_id, block_id, font, n FROM r WHERE k = 1")
 def dominant_value(spark, d):
-    """Dominant font of every block (A-08, G-11)."""
+    """Dominant font of every block (A-08)."""
     return R.dominant(X.spans(spark, d), ["doc_id", "block_id"], "font", ["line_no", "span_no", "span_id"])
 
 

@@ -57,7 +57,7 @@ def experiment_delta(spark, d):
 
 @query(f"WITH {_SPLIT}, u AS (UNPIVOT both_ ON fixed, adaptive INTO NAME metric VALUE value) SELECT metric, count(*) AS n, min(value) AS lowest, max(value) AS highest, sum(value::DECIMAL(38,12))::DOUBLE / count(*) AS average FROM u GROUP BY metric")
 def evaluation_unpivot(spark, d):
-    """Summary of the metrics, one row each (A-21, A-24)."""
+    """Summary of the metrics, one row each (A-24)."""
     u = _sides(spark, d).unpivot(["doc_id"], ["fixed", "adaptive"], "metric", "value")
     return u.groupBy("metric").agg(F.count("*").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), R.mean_exact(F.col("value")).alias("average"))
 
@@ -70,7 +70,7 @@ def paired_t(spark, d):
 
 @query(f"WITH {_RUNS} SELECT doc_id, sum(failed) = 0 AS none_failed, sum(good)::DOUBLE / sum(blocks) >= 0.9::DOUBLE AS quality_ok, sum(failed) = 0 AND sum(good)::DOUBLE / sum(blocks) >= 0.9::DOUBLE AS success FROM runs GROUP BY doc_id")
 def success_criteria(spark, d):
-    """Criteria of success by document (P-22, P-23, A-26, A-27)."""
+    """Criteria of success by document (P-23)."""
     none, good = F.sum("failed") == 0, F.sum("good").cast("double") / F.sum("blocks") >= 0.9
     return _runs(spark, d).groupBy("doc_id").agg(none.alias("none_failed"), good.alias("quality_ok"), (none & good).alias("success"))
 
@@ -107,7 +107,7 @@ def evaluation_metrics(spark, d):
 
 @query("WITH d AS (SELECT doc_id, source_path, received_at FROM documents WHERE source_path IS NOT NULL) SELECT source_path, count(*) AS n, min(received_at) AS first_at, date_diff('second', date_trunc('second', min(received_at)), date_trunc('second', max(received_at))) AS age_seconds FROM d GROUP BY source_path")
 def source_ages(spark, d):
-    """Files with the time between their first and last rows (S-16, N-02, T-05)."""
+    """Files with the time between their first and last rows (N-02, T-05)."""
     t = F.col("received_at")
     return read_table(spark, d, "documents").filter("source_path is not null").groupBy("source_path").agg(F.count("*").alias("n"), F.min(t).alias("first_at"), (F.unix_timestamp(F.max(t)) - F.unix_timestamp(F.min(t))).alias("age_seconds"))
 
@@ -141,7 +141,7 @@ def prompts(spark, d):
 
 @query()
 def text_comparison(spark, d):
-    """First and second candidates compared (X-18, X-12, J-22)."""
+    """First and second candidates compared (X-18)."""
     from folioscope.operators.lookups import similarity
     from folioscope.sources import ship_package
 

@@ -17,6 +17,7 @@ from folioscope.sources import read_table
 from folioscope.sources.artifacts import translations_json
 
 from . import frames as X
+from . import texts
 from .catalog import query
 
 KEY = ["result_id", "idx"]
@@ -70,7 +71,7 @@ def page_health(spark, d):
 
 @query(rf"WITH {X.PAIRS}, {_HEALTH}, e AS (SELECT unnest(list_concat(errors, reason_codes)) AS x FROM health WHERE status = 'failed') SELECT split_part(x, ':', 1) AS error, count(*) AS n FROM e GROUP BY 1")
 def error_histogram(spark, d):
-    """Errors of failed candidates (A-05, T-03)."""
+    """Errors of failed candidates (A-05)."""
     h = _health(spark, d).filter("status = 'failed'").select(F.concat("errors", "reason_codes").alias("e"))
     return R.label_histogram(h, "e", "error")
 
@@ -121,13 +122,22 @@ def post_score_pairs(spark, d):
     return _post(spark, d).select(*KEY, *_SCORES, F.array_join(F.array_sort("issues"), ",").alias("issues"), F.array_join(F.array_sort("warnings"), ",").alias("warnings"))
 
 
+_MEANS = {
+    "document_quality": "overall_score", "document_confidence": "confidence", "avg_placeholder_preservation": "placeholder_score", "avg_numeric_accuracy": "numeric_score",
+    "avg_format_preservation": "format_score", "avg_fluency": "fluency_score", "avg_fidelity": "fidelity_score",
+}
+
+
 @query(
-    rf"WITH {X.PAIRS}, {_POST} SELECT backend, count(*) AS blocks_total, count(*) FILTER (acceptable) AS blocks_acceptable, count(*) FILTER (needs_review) AS blocks_need_review, count(*) FILTER (needs_retry) AS blocks_need_retry, sum(overall_score::DECIMAL(38,12))::DOUBLE / count(*) AS document_quality, sum(len(issues))::BIGINT AS total_issues, sum(len(warnings))::BIGINT AS total_warnings FROM postx GROUP BY backend"
+    f"WITH {X.PAIRS}, {_POST}, {texts.PRE_REQUESTS}, g AS (SELECT backend, {', '.join(f'sum({c}::DECIMAL(38,12))::DOUBLE / count(*) AS {k}' for k, c in _MEANS.items())}, count(*) AS blocks_total, count(*) FILTER (acceptable) AS blocks_acceptable, "
+    "count(*) FILTER (needs_review) AS blocks_need_review, count(*) FILTER (needs_retry) AS blocks_need_retry, sum(len(issues))::BIGINT AS total_issues, sum(len(warnings))::BIGINT AS total_warnings FROM postx GROUP BY backend), "
+    "c AS (SELECT r0.backend, sum(complexity_score::DECIMAL(38,12))::DOUBLE / count(*) AS avg_source_complexity, count(*) FILTER (complexity_score > 0.6::DOUBLE) AS complex_blocks FROM r0 JOIN pre ON r0.request_id = pre.request_id GROUP BY r0.backend) "
+    "SELECT g.*, coalesce(avg_source_complexity, 0::DOUBLE) AS avg_source_complexity, coalesce(complex_blocks, 0) AS complex_blocks, blocks_acceptable::DOUBLE / blocks_total AS acceptance_rate FROM g LEFT JOIN c ON g.backend = c.backend"
 )
 def backend_scores(spark, d):
-    """Scores by backend (A-01, A-06, A-18)."""
-    s = R.score_summary(_post(spark, d), _post(spark, d).select("backend", F.lit(0.0).alias("complexity_score")).limit(0), ["backend"])
-    return s.select("backend", "blocks_total", "blocks_acceptable", "blocks_need_review", "blocks_need_retry", "document_quality", "total_issues", "total_warnings")
+    """All metrics of every backend, its requests' complexity included (A-01, J-03, A-18)."""
+    pre = X.results(spark, d).select("request_id", "backend").join(texts.pre_requests(spark, d).select("request_id", "complexity_score"), "request_id")
+    return R.score_summary(_post(spark, d), pre, ["backend"])
 
 
 def _upper_sql(x):
@@ -145,7 +155,7 @@ i1 AS (SELECT *, CASE WHEN tn = '' THEN 'empty' WHEN sn = '' OR sn <> tn THEN 'd
 
 @query(rf"WITH {X.PAIRS}, {_ID} SELECT result_id, idx, reason, reason IN ('empty', 'academic_heading', 'identical') AS is_identity, reason IN ('empty', 'academic_heading') OR (reason = 'identical' AND is_header) AS should_retry FROM i1")
 def identity_ladder(spark, d):
-    """Answers that equal their source, by reason (C-08, C-07, P-19)."""
+    """Answers that equal their source, by reason (C-08, C-07)."""
     p = X.pairs(spark, d).withColumn("i", C.identity(F.col("source_text"), F.col("translated_text"), F.col("is_header")))
     return p.select(*KEY, "i.reason", "i.is_identity", "i.should_retry")
 
@@ -180,7 +190,7 @@ def rerank_native(spark, d):
 
 @query()
 def rerank_full(spark, d):
-    """Candidates of every result in rank order, their share of the glossary's terms included (R-07..R-10, W-10..W-12, U-05)."""
+    """Candidates of every result in rank order, their share of the glossary's terms included (R-07..R-10, W-10, W-11, U-05)."""
     p = X.pairs(spark, d).withColumnRenamed("translated_text", "candidate")
     g = L.adherence(p, KEY, "source_text", "candidate", _glossary(spark, d), anywhere=True).select(*KEY, F.col("adherence_rate").alias("glossary_score"))
     p = p.join(g, KEY, "left")
@@ -246,7 +256,7 @@ def bullet_repair(spark, d):
 
 @query(rf"WITH {X.PAIRS} SELECT result_id, idx, ok AND trim(translated_text) <> '' AS replace, CASE WHEN ok AND trim(translated_text) <> '' THEN translated_text ELSE source_text END AS text FROM pairs")
 def render_decision(spark, d):
-    """Text that a page shows for every candidate (P-09, P-10)."""
+    """Text that a page shows for every candidate (P-09)."""
     x = G.render_decision(F.col("source_text"), F.col("translated_text"), F.col("ok"))
     return X.pairs(spark, d).select(*KEY, x["replace"].alias("replace"), x["text"].alias("text"))
 
@@ -266,7 +276,7 @@ def glossary_merge(spark, d):
 
 @query("SELECT domain, count(*) AS n, count(DISTINCT lower(source)) AS n_terms FROM glossary GROUP BY domain")
 def glossary_stats(spark, d):
-    """Entries by domain (A-15, P-24)."""
+    """Entries by domain (A-15)."""
     return read_table(spark, d, "glossary").groupBy("domain").agg(F.count("*").alias("n"), F.count_distinct(F.lower("source")).alias("n_terms"))
 
 
@@ -339,7 +349,7 @@ def memory_stats(spark, d):
 
 @query()
 def memory_fuzzy_topk(spark, d):
-    """The three most similar texts of other requests in the same target language, for every request whose id is divisible by 20 (J-06, J-07, T-01, R-13)."""
+    """The three most similar texts of other requests in the same target language, for every request whose id is divisible by 20 (J-06, T-01, R-13)."""
     r = X.requests(spark, d).filter("text is not null").select("request_id", F.coalesce("target_lang", F.lit("")).alias("pair"), "text")
     q = r.filter("request_id % 20 = 0").withColumnRenamed("request_id", "query_id")
     m = r.withColumnRenamed("request_id", "memory_id").withColumn("quality", F.lit(1.0))
@@ -375,15 +385,23 @@ def export_json(spark, d):
 
 @query("SELECT DISTINCT request_id, 0 AS idx, upper(coalesce(target_lang, '')) || ': ' || coalesce(text, '') AS candidate FROM requests")
 def offline_candidates(spark, d):
-    """Candidates of an offline backend for every request (V-01..V-03, P-16)."""
+    """Candidates of an offline backend for every request (V-01..V-03)."""
     return K.generated(X.requests(spark, d).select("request_id", "text", "target_lang", "n_candidates"), "prefix").select("request_id", "idx", "candidate")
 
 
+_HARD = "complexity_score > 0.6::DOUBLE"
+
+
 @query(
-    rf"WITH {X.PAIRS}, h AS (SELECT request_id, is_header, length(source_text) AS n, n_candidates FROM pairs WHERE idx = 0) SELECT request_id, greatest(60::DOUBLE, n::DOUBLE / 50 * 10) AS timeout, CASE WHEN is_header THEN greatest(coalesce(n_candidates, 1), 3) ELSE coalesce(n_candidates, 1) END AS candidates, n <= 8 AS fast_route FROM h"
+    f"WITH {texts.PRE_REQUESTS}, h AS (SELECT *, CASE WHEN {_HARD} THEN recommended_candidates ELSE coalesce(n_candidates, 1) END AS k FROM pre) SELECT request_id, greatest(60::DOUBLE, n::DOUBLE / 50 * 10) AS timeout, "
+    f"CASE WHEN is_header THEN greatest(k, 3) ELSE k END AS candidates, CASE WHEN {_HARD} THEN recommended_temperature ELSE temperature END AS temperature, n <= 8 AS fast_route FROM h"
 )
 def request_routing(spark, d):
-    """Time-outs, candidates and routes of requests (P-16, P-17, P-20)."""
-    n = F.length("source_text")
-    c = F.coalesce("n_candidates", F.lit(1))
-    return X.pairs(spark, d).filter("idx = 0").select("request_id", F.greatest(F.lit(60.0), n.cast("double") / 50 * 10).alias("timeout"), F.when(F.col("is_header"), F.greatest(c, F.lit(3))).otherwise(c).alias("candidates"), (n <= 8).alias("fast_route"))
+    """Time-outs, candidates, temperatures and routes of all requests: complex ones take what their pre-score recommends, headers three candidates at least (P-16, P-17, P-20, J-03)."""
+    q = texts.pre_requests(spark, d)
+    n, hard = F.col("n"), F.col("complexity_score") > 0.6
+    k = F.when(hard, F.col("recommended_candidates")).otherwise(F.coalesce("n_candidates", F.lit(1)))
+    return q.select(
+        "request_id", F.greatest(F.lit(60.0), n.cast("double") / 50 * 10).alias("timeout"), F.when(F.col("is_header"), F.greatest(k, F.lit(3))).otherwise(k).alias("candidates"),
+        F.when(hard, F.col("recommended_temperature")).otherwise(F.col("temperature")).alias("temperature"), (n <= 8).alias("fast_route"),
+    )

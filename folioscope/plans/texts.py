@@ -15,18 +15,21 @@ from . import frames as X
 from .catalog import query
 
 
-def _pre(spark, d):
-    t = read_table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+def with_pre_scores(t, keep):
+    """Kept columns with the pre-score of the column text."""
     f = S.pre_flags(F.col("text"))
-    t = t.select("doc_id", "lang", "source", *[v.alias(k) for k, v in f.items()])
+    t = t.select(*keep, *[v.alias(k) for k, v in f.items()])
     t = t.withColumn("complexity_score", S.complexity({k: F.col(k) for k in f})).withColumn("s", S.strategy(F.col("complexity_score")))
     return t.select("*", F.col("s.temperature").alias("recommended_temperature"), F.col("s.candidates").alias("recommended_candidates"), F.col("s.constraints").alias("recommended_constraints")).drop("s")
 
 
-PRE = rf"""
-t0 AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+def _pre(spark, d):
+    return with_pre_scores(read_table(spark, d, "documents").select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"])
+
+
+_PRE = rf"""
 t1 AS (SELECT *, {X.words_sql('text')} AS w FROM t0),
-t2 AS (SELECT doc_id, lang, source, regexp_matches(text, '(?s)\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]') AS has_math, regexp_matches(text, '```|`[^`]+`') AS has_code, regexp_matches(text, 'https?://|www\.') AS has_urls,
+t2 AS (SELECT t1.* EXCLUDE (text, w), regexp_matches(text, '(?s)\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]') AS has_math, regexp_matches(text, '```|`[^`]+`') AS has_code, regexp_matches(text, 'https?://|www\.') AS has_urls,
   regexp_matches(text, '\[\d+\]|\[\d+,\s*\d+\]') AS has_citations, regexp_matches(text, '\|.*\|') AS has_tables, regexp_matches(text, '{X.BULLET_SQL}') AS has_bullets, len({X.numbers_sql('text')}) > 0 AS has_numbers,
   len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_matches(x, '{X.NWS}')))::INT AS sentence_count, len(w)::INT AS word_count,
   coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::DOUBLE / greatest(len(w), 1) AS avg_word_length, len(list_filter(w, lambda x: length(x) > 8))::DOUBLE / greatest(len(w), 1) AS technical_term_density FROM t1),
@@ -36,6 +39,19 @@ t3 AS (SELECT *, least(CASE WHEN has_math THEN 0.25::DOUBLE ELSE 0::DOUBLE END +
 pre AS (SELECT *, CASE WHEN complexity_score > 0.7::DOUBLE THEN 0::DOUBLE WHEN complexity_score > 0.4::DOUBLE THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS recommended_temperature,
   CASE WHEN complexity_score > 0.7::DOUBLE THEN 5 ELSE 3 END AS recommended_candidates, CASE WHEN complexity_score > 0.7::DOUBLE THEN 'strict' WHEN complexity_score > 0.4::DOUBLE THEN 'normal' ELSE 'relaxed' END AS recommended_constraints FROM t3)
 """
+PRE = f"t0 AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),{_PRE}"
+#: Pre-scores of the distinct requests.
+PRE_REQUESTS = (
+    "t0 AS (SELECT DISTINCT request_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(is_header, false) AS is_header, n_candidates, temperature FROM requests),"
+    f"{_PRE}"
+)
+
+
+def pre_requests(spark, d):
+    """Distinct requests with their pre-scores."""
+    keep = ["request_id", "is_header", "n_candidates", "temperature"]
+    q = X.requests(spark, d).select("request_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("is_header", F.lit(False)).alias("is_header"), "n_candidates", "temperature")
+    return with_pre_scores(q.withColumn("n", F.length("text")), [*keep, "n"])
 
 
 @query(f"WITH {PRE} SELECT * FROM pre")
@@ -78,7 +94,7 @@ l3 AS (SELECT {key}, CASE WHEN {X.strip_sql('s')} = '' THEN 'en' WHEN share > 0.
 
 @query(f"WITH {_lang_sql('documents', 'doc_id')} SELECT doc_id, detected, confidence FROM l3")
 def language_detect(spark, d):
-    """Language of every document by the reference's heuristic (L-01, A-13)."""
+    """Language of every document by its first 500 characters (L-01)."""
     x = C.language(F.col("text"))
     return read_table(spark, d, "documents").select("doc_id", x["lang"].alias("detected"), x["confidence"].alias("confidence"))
 
@@ -195,12 +211,14 @@ def routing_reasons(spark, d):
     return t.select("doc_id", "block_id", C.skip_reason(F.col("text"), F.col("is_table"), F.col("lang"), F.lit("en")).alias("skip_reason"))
 
 
-_MASKS = [(k, p) for k, p in M.RULES if k not in ("PERSON_NAME", "MATH_INLINE")]
+_MASKS = [(k, p) for k, p in M.RULES if k != "PERSON_NAME"]
+#: The pattern without its look-ahead, which only keeps it from an empty formula.
+_RE2 = {"MATH_INLINE": r"(?s)\$[^$\n]+\$|\\\(.*?\\\)"}
 
 
-@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all({X.ascii_words('coalesce(text, chr(32))') if chr(92) + 'b' in p or k == 'TOC_ENTRY' else 'coalesce(text, chr(32))'}, '{p}'))::INT AS n_{k.lower()}" for k, p in _MASKS) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all({X.ascii_words('coalesce(text, chr(32))') if chr(92) + 'b' in p or k == 'TOC_ENTRY' else 'coalesce(text, chr(32))'}, '{_RE2.get(k, p)}'))::INT AS n_{k.lower()}" for k, p in _MASKS) + " FROM documents")
 def mask_kind_counts(spark, d):
-    """Matches of the protective patterns in every document (M-02); the two kinds with look-aheads are in mask_restore_roundtrip."""
+    """Matches of the protective patterns in every document (M-02); names, which DuckDB has no pattern for, are in mask_restore_roundtrip."""
     t = F.coalesce("text", F.lit(" "))
     return read_table(spark, d, "documents").select("doc_id", *[F.regexp_count(t, F.lit(p)).alias(f"n_{k.lower()}") for k, p in _MASKS])
 
