@@ -2,8 +2,8 @@
 
 Values are deduplicated and normalised, candidates come from an inverted index of character n-grams of the list, the score is
 the cosine of inverse-document-frequency weights, and the best entry is accepted above a threshold and a margin to the next.
-An edit-distance check follows where the cosine alone is weak. Everything runs on built-in expressions; only the index of the
-reference list (a fixed table of some tens of entries) is broadcast.
+An edit-distance check follows where the cosine alone is weak. Everything runs on built-in expressions; the index of the
+reference list is broadcast where the list is counted and short.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 THRESHOLD, MARGIN, SURE = 0.5, 0.015, 0.6
 #: Edits allowed between a weak match and its entry.
 MAX_EDITS = 3
-#: Lengths of the n-grams.
-NGRAMS = (2, 3)
+#: Lengths of the n-grams; shorter keys than KEY letters match by equality only.
+NGRAMS, KEY = (2, 3), 4
+#: Entries of a list up to which its index is broadcast (some tens of n-grams each); a longer one is joined by shuffles.
+BROADCAST_ENTRIES = 20_000
 
 # Style words that follow a family name behind a hyphen, comma or blank.
 STYLES = "BoldItalic|BoldOblique|SemiBold|DemiBold|ExtraBold|Bold|Italic|Oblique|Regular|Roman|Medium|Light|Black|Book|Bd|It"
@@ -47,16 +49,17 @@ def _grams(key: Column) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in NGRAMS]))
 
 
-def reference_index(reference: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, entry, entry_key, weight, norm) of the canonical names; (alias_key, entry) of the aliases, by equality only."""
+def reference_index(reference: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(gram, entry, entry_key, weight, norm) of the canonical names; (alias_key, entry) of the aliases and of names of few letters, by equality only; whether they may be broadcast."""
     names = reference.select(F.col("family_id").alias("entry"), plain_key(F.col("canonical_name")).alias("entry_key")).filter("entry_key <> ''")
     n = names.count()
     grams = names.select("entry", "entry_key", F.explode(_grams(F.col("entry_key"))).alias("gram"))
     idf = grams.groupBy("gram").agg(F.log1p(F.lit(float(n)) / F.count("*")).alias("idf"))
     weighed = grams.join(idf, "gram").select("gram", "entry", "entry_key", (F.col("idf") * F.col("idf")).alias("weight"))
     norms = weighed.groupBy("entry").agg(F.sqrt(F.sum("weight")).alias("norm"))
-    aliases = reference.select(F.explode("aliases").alias("a"), F.col("family_id").alias("entry")).select(plain_key(F.col("a")).alias("alias_key"), "entry").filter("alias_key <> ''").groupBy("alias_key").agg(F.min("entry").alias("entry"))
-    return weighed.join(norms, "entry"), aliases
+    aliases = reference.select(F.explode("aliases").alias("a"), F.col("family_id").alias("entry")).select(plain_key(F.col("a")).alias("alias_key"), "entry").filter("alias_key <> ''")
+    short = names.filter(F.length("entry_key") < KEY).select(F.col("entry_key").alias("alias_key"), "entry")
+    return weighed.join(norms, "entry"), aliases.union(short).groupBy("alias_key").agg(F.min("entry").alias("entry")), n <= BROADCAST_ENTRIES
 
 
 def match_keys(keys: DataFrame, reference: DataFrame) -> DataFrame:
@@ -64,13 +67,14 @@ def match_keys(keys: DataFrame, reference: DataFrame) -> DataFrame:
 
     ``keys`` has a column key. Ties of the score fail the margin and are no match, so the result doesn't depend on order.
     """
-    index, aliases = reference_index(reference)
-    by_alias = keys.join(F.broadcast(aliases), F.col("key") == F.col("alias_key")).select("key", "entry", F.lit(1.0).alias("score"))
-    q = keys.select("key", letter_key(F.col("key")).alias("letters")).filter("length(letters) >= 4")
+    index, aliases, short = reference_index(reference)
+    near = F.broadcast if short else lambda d: d
+    by_alias = keys.join(near(aliases), F.col("key") == F.col("alias_key")).select("key", "entry", F.lit(1.0).alias("score"))
+    q = keys.select("key", letter_key(F.col("key")).alias("letters")).filter(f"length(letters) >= {KEY}")
     q = q.select("key", "letters", F.explode(_grams(F.col("letters"))).alias("gram"))
-    hits = q.join(F.broadcast(index), "gram")
+    hits = q.join(near(index), "gram")
     weights = index.groupBy("gram").agg(F.min("weight").alias("w"))
-    norms = q.join(F.broadcast(weights), "gram").groupBy("key").agg(F.sqrt(F.sum("w")).alias("key_norm"))
+    norms = q.join(near(weights), "gram").groupBy("key").agg(F.sqrt(F.sum("w")).alias("key_norm"))
     dots = hits.groupBy("key", "letters", "entry", "entry_key", "norm").agg(F.sum("weight").alias("dot"))
     scored = dots.join(norms, "key").select("key", "letters", "entry", "entry_key", (F.col("dot") / (F.col("norm") * F.col("key_norm"))).alias("score"))
     w = Window.partitionBy("key").orderBy(F.desc("score"), "entry")
@@ -109,8 +113,8 @@ def map_records(records: DataFrame, reference: DataFrame, names: tuple[str, ...]
 
 def found(fonts: DataFrame, reference: DataFrame) -> DataFrame:
     """(font_id, family_id) of every record whose family isn't literally a canonical name; family_id 0 where no entry is denoted."""
-    literal = reference.select(F.col("canonical_name").alias("family")).distinct()
-    open_ = fonts.select("font_id", "raw_name", "normalized_name", "family").join(F.broadcast(literal), "family", "left_anti")
+    literal = reference.select(F.col("canonical_name").alias("family")).distinct()  # small enough for a broadcast or not, as the planner sees it
+    open_ = fonts.select("font_id", "raw_name", "normalized_name", "family").join(literal, "family", "left_anti")
     return map_records(open_, reference).select("font_id", F.col("entry").alias("family_id"))
 
 

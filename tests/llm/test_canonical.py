@@ -51,3 +51,13 @@ def test_random_typos_are_found(spark):
         rows.append((k, n, None, None, i + 1))
     got = dict(map(tuple, C.found(spark.createDataFrame([r[:4] for r in rows], "font_id bigint, raw_name string, normalized_name string, family string"), ref).collect()))
     assert sum(got[k] == e for k, *_, e in rows) >= 0.98 * len(rows)
+
+
+def test_short_names_and_long_lists(spark, monkeypatch):
+    ref = spark.createDataFrame([(1, "Ubu", "sans", []), (2, "Helvetica", "sans", ["Helv"]), (3, "Garamond", "serif", [])], "family_id int, canonical_name string, generic_class string, aliases array<string>")
+    rows = [(1, "UBU-Bold", None, "ubu"), (2, "Helvetca", None, "helvetca"), (3, None, None, "xyz"), (4, None, None, "Garamont")]
+    d = spark.createDataFrame(rows, "font_id bigint, raw_name string, normalized_name string, family string")
+    one = {tuple(r) for r in C.found(d, ref).collect()}
+    assert one == {(1, 1), (2, 2), (3, 0), (4, 3)}
+    monkeypatch.setattr(C, "BROADCAST_ENTRIES", 0)
+    assert {tuple(r) for r in C.found(d, ref).collect()} == one
