@@ -34,6 +34,9 @@ WRONG = 3.0
 # Words that stand for no value.
 NO_VALUE = {"none", "null", "nil", "nan", "n/a", "na", "nul", "undefined", "empty", "[]", "{}", "()", "tbd", "unknown", "no translation", "error", "#n/a", "<null>", "<none>", "(null)", "(none)", "(empty)", "[none]", "[null]", "[empty]", "missing", "void", "-"}
 
+#: Characters of the longest of them with quotation marks and blanks around it.
+_LONGEST = max(map(len, NO_VALUE)) + 48
+
 # How a model declines, by language. A cue of regret or of being a model, or the first person with a refusal.
 _CUES = {
     "en": r"^(i'm|i am|we're|we are)? ?(so |very )?(sorry|afraid)\b|\bi (must|have to|need to)? ?(decline|refuse)|\bi (can't|cannot|can not|won't|will not|am unable|am not able|would rather not|would prefer not)\b|\bi'm (unable|not able)\b|something i would rather not|language model|my guidelines|^unfortunately,? (i|no|we)\b|cannot be translated because|can't be translated because|^my apologies|\bi apologi[sz]e",
@@ -95,7 +98,7 @@ def readable(text: str | None) -> bool:
     if not text:
         return False
     t = text.strip()
-    if t.casefold() in NO_VALUE or unwrap(t).casefold() in NO_VALUE:
+    if len(t) <= _LONGEST and (t.casefold() in NO_VALUE or unwrap(t).casefold() in NO_VALUE):
         return False
     return any(c.isalnum() for c in t) or any(unicodedata.category(c) in ("Sm", "So", "Sc") for c in t)
 
@@ -112,11 +115,24 @@ def squeeze(text: str) -> str:
     return re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", text)).casefold()
 
 
+def _lacks(text: str, letters: str) -> bool:
+    """Whether a text surely lacks some of the first letters, as far as that shows without squeezing it."""
+    if text.isascii():
+        return not letters.isascii()
+    if not unicodedata.is_normalized("NFKC", text):
+        return False
+    low = text.casefold()
+    return any(c not in low for c in letters[:8])
+
+
 def is_copy(request: str, candidate: str, squeezed: str | None = None) -> bool:
     """Whether the candidate is the request's text, presented alike or otherwise; ``squeezed``: the request's letters."""
     if candidate == request:
         return True
-    p, q = squeeze(request) if squeezed is None else squeezed, squeeze(candidate)
+    p = squeeze(request) if squeezed is None else squeezed
+    if p and _lacks(candidate, p):
+        return False
+    q = squeeze(candidate)
     if p == q:
         return True
     if not p or len(q) < len(p):
