@@ -46,6 +46,8 @@ SPILLOVER_LINES = [
 SPILLOVER_ONLY = ["n'oubliez pas", "rappel", "remarque", "attention", "note", "important", "critical", "remember", "souviens-toi", "instructions", "instruction"]
 SPILLOVER_SHORT = ["rappel", "remarque", "n'oubliez", "attention", "note", "sortez"]
 SPILLOVER_MARKERS = ["code erreur", "error code", "obligatoire", "required", "facultative", "optional", "formulaire", "form", "saisie", "input", "administrateur", "administrator"]
+#: Version of the prompts, a part of cache keys.
+PROMPT_VERSION = "v3.1"
 GENERIC_RESPONSES = ["je suis ravi", "pouvez-vous", "i'm happy to help", "can you"]
 LATEX_ESCAPES = (("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"))
 
@@ -255,6 +257,26 @@ def font_struct(raw: Column, flags: Column) -> Column:
     return F.struct(name.alias("normalized"), F.substring_index(name, "-", 1).alias("family"), F.when(bold, "bold").otherwise("normal").alias("weight"), F.when(italic, "italic").otherwise("normal").alias("style"))
 
 
+def font_key(raw: Column, flags: Column) -> Column:
+    """The font name with the weight and style of its flags put behind it where it doesn't name them; a null name is empty."""
+    name, bits = F.coalesce(raw, F.lit("")), F.coalesce(flags, F.lit(0))
+    low = F.lower(name)
+    bold = F.when((bits.bitwiseAND(16) > 0) & ~low.contains("bold"), " Bold").otherwise("")
+    italic = F.when((bits.bitwiseAND(2) > 0) & ~low.contains("italic") & ~low.contains("oblique"), " Italic").otherwise("")
+    return F.concat(name, bold, italic)
+
+
+def font_for(text: Column, raw: Column) -> Column:
+    """The font without its subset tag where all of a text's characters are Latin-1 or white space, else the variant of the wide font that its name asks for."""
+    name = F.trim(F.coalesce(raw, F.lit("")))
+    own = F.when(name.contains("+"), F.regexp_replace(name, r"^[^+]*\+", "")).otherwise(name)
+    own = F.when(own == "", "Times-Roman").otherwise(own)
+    low = F.lower(own)
+    bold, italic = low.contains("bold"), low.contains("italic") | low.contains("oblique")
+    wide = F.when(bold & italic, "DejaVuSans-BoldOblique").when(bold, "DejaVuSans-Bold").when(italic, "DejaVuSans-Oblique").otherwise("DejaVuSans")
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"(?U)[^\x{00}-\x{FF}\s]"), wide).otherwise(own)
+
+
 def rgb(color: Column) -> tuple[Column, Column, Column]:
     """Red, green and blue of a packed colour as numbers from 0 to 1."""
     part = lambda k: F.shiftright(color, k).bitwiseAND(255) / F.lit(255.0)

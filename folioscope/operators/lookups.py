@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from folioscope.sources import ship_package
 
-#: Glossaries up to this many terms are broadcast for matching; larger ones go through their first words.
-BROADCAST_TERMS = 10_000
+#: Glossaries up to this many terms are broadcast and tested term by term; in larger ones texts and terms meet by a term's first
+#: characters, of which every text that contains the term holds all. Both ways find the same.
+BROADCAST_TERMS, GRAM = 1_000, 3
+#: Parts that a group of memory texts of one language and length band is spread over.
+SPREAD = 8
 #: Buckets of the hashed character counts that bound a similarity.
 HASHED = 32
 
@@ -25,12 +28,18 @@ def merged_glossary(*glossaries: DataFrame) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, text_col: str, glossary: DataFrame) -> DataFrame:
-    """Text-term pairs worth testing: all of them for a small glossary, else those whose first word occurs in the text."""
+    """Every text with every term that it contains anywhere, letter case aside; null texts contain none."""
+    low = F.lower(F.col(text_col))
     if glossary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        return texts.join(F.broadcast(glossary), F.lower(F.col(text_col)).contains(F.col("term_key")))
-    first = F.element_at(F.split("term_key", r"[^\p{L}\p{N}_]+"), 1)
-    t = texts.withColumn("__w", F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}\p{N}_]+"))))
-    return t.join(glossary.withColumn("__w", first), "__w").drop("__w").filter(F.lower(F.col(text_col)).contains(F.col("term_key")))
+        return texts.join(F.broadcast(glossary), low.contains(F.col("term_key")))
+
+    def grams(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n)))
+        return F.when(F.length(low) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    t = texts.withColumn("__g", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))))
+    g = glossary.withColumn("__g", F.substring("term_key", 1, GRAM))
+    return t.join(g, "__g").drop("__g").filter(low.contains(F.col("term_key")))
 
 
 def terms_contained(texts: DataFrame, text_col: str, glossary: DataFrame) -> DataFrame:
@@ -130,6 +139,24 @@ def similarity(kind: str = "indel"):
     return run
 
 
+def comparison(context_lines: int = 3):
+    """Arrow-batched comparison of a source and a translation: similarity of their lower-case forms by matching blocks, lines of the
+    unified diff, and how many of these add or remove a line. Null texts are empty ones."""
+    from difflib import SequenceMatcher, unified_diff
+
+    @F.pandas_udf("similarity double, diff array<string>, added int, removed int")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b):
+            x, y = x or "", y or ""
+            diff = list(unified_diff(x.splitlines(), y.splitlines(), lineterm="", n=context_lines))
+            changed = [d[0] for d in diff[2:]]  # behind the two lines of its head
+            rows.append((SequenceMatcher(None, x.lower(), y.lower()).ratio(), diff, changed.count("+"), changed.count("-")))
+        return pd.DataFrame(rows, columns=["similarity", "diff", "added", "removed"])
+
+    return run
+
+
 def fuzzy_matches(queries: DataFrame, memory: DataFrame, min_similarity: float = 0.85, k: int = 1, others: bool = False) -> DataFrame:
     """(query_id, rank, memory_id, similarity): the k most similar memory texts of each query with a similarity of at least the threshold.
 
@@ -158,10 +185,11 @@ def fuzzy_matches(queries: DataFrame, memory: DataFrame, min_similarity: float =
     band = F.floor(F.log(F.length("text").cast("double")) / F.log(F.lit(1 / least))).cast("int")
     a = q.select("pair", "text").distinct().select("pair", F.col("text").alias("a"), counts("text").alias("ha"), band.alias("at"))
     a = a.select("pair", "a", "ha", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("band"))
-    b = m.select("pair", "text").distinct().select("pair", F.col("text").alias("b"), counts("text").alias("hb"), band.alias("band"))
+    b = m.select("pair", "text").distinct().select("pair", F.col("text").alias("b"), counts("text").alias("hb"), band.alias("band"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).alias("part"))
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))  # the queries are the small side
     n, o = F.length("a"), F.length("b")
     common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    c = a.join(b, ["pair", "band"]).filter((F.least(n, o) >= least * F.greatest(n, o)) & (common >= t * (n + o) / 2))
+    c = a.join(b, ["pair", "band", "part"]).filter((F.least(n, o) >= least * F.greatest(n, o)) & (common >= t * (n + o) / 2))
     scored = c.select("pair", "a", "b").withColumn("similarity", similarity("indel")("a", "b")).filter(F.col("similarity") >= t)
     first = Window.partitionBy("pair", "text").orderBy(F.desc_nulls_last("quality"), "memory_id")
     best = m.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= (2 if others else 1)).groupBy("pair", F.col("text").alias("b")).agg(F.array_sort(F.collect_list(F.struct("r", "memory_id", "quality"))).alias("rows"))

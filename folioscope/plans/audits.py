@@ -262,6 +262,20 @@ def base_style(spark, d):
     return R.base_style(s)
 
 
+_OWN = "CASE WHEN trim(coalesce(font, '')) = '' THEN 'Times-Roman' WHEN contains(font, '+') THEN regexp_replace(trim(font), '^[^+]*\\+', '') ELSE trim(font) END"
+
+
+@query(
+    f"WITH {X.SPANS}, f AS (SELECT *, coalesce(font, '') AS n, coalesce(flags, 0) AS b, {_OWN} AS own FROM spans0) SELECT span_id, n || CASE WHEN b & 16 > 0 AND NOT contains(lower(n), 'bold') THEN ' Bold' ELSE '' END "
+    "|| CASE WHEN b & 2 > 0 AND NOT contains(lower(n), 'italic') AND NOT contains(lower(n), 'oblique') THEN ' Italic' ELSE '' END AS font_key, "
+    r"CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^\x00-\x{FF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') THEN own WHEN contains(lower(own), 'bold') AND (contains(lower(own), 'italic') OR contains(lower(own), 'oblique')) THEN 'DejaVuSans-BoldOblique' "
+    "WHEN contains(lower(own), 'bold') THEN 'DejaVuSans-Bold' WHEN contains(lower(own), 'italic') OR contains(lower(own), 'oblique') THEN 'DejaVuSans-Oblique' ELSE 'DejaVuSans' END AS font_used FROM f"
+)
+def font_choice(spark, d):
+    """Font key with style hints and the font that is used for every span's characters (X-23)."""
+    return X.spans(spark, d).select("span_id", T.font_key(F.col("font"), F.col("flags")).alias("font_key"), T.font_for(F.col("text"), F.col("font")).alias("font_used"))
+
+
 _FIRST = f"{X.BLOCK_TEXTS}, o AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, block_no, block_id) AS k FROM block_texts), fb AS (SELECT doc_id, string_agg(text, ' ' ORDER BY k) AS text FROM o WHERE k <= 20 GROUP BY doc_id)"
 
 

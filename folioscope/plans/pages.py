@@ -177,7 +177,21 @@ def block_kinds(spark, d):
     return b.select("doc_id", "block_id", kind.alias("kind"), C.block_kind(F.col("text"), F.col("avg_size")).alias("plain_kind"), C.size_class(F.col("avg_size")).alias("size_class"))
 
 
-@query()
+_FOLD = rf"""{X.BLOCK_TEXTS}, {_COLS.removeprefix(X.BLOCKS + ', ')},
+pb AS (SELECT c2.doc_id, c2.page_no, c2.block_no, row_number() OVER (PARTITION BY c2.doc_id, c2.page_no ORDER BY column_no, round(c2.bbox.y0, 1), round(c2.bbox.x0, 1), c2.block_no, c2.block_id) AS position,
+  coalesce(c2.type, '') AS kind, c2.bbox.x0 AS x0, c2.bbox.y0 AS y0, c2.bbox.x1 AS x1, c2.bbox.y1 AS y1, coalesce(t.text, '') AS text, t.first_size::DOUBLE AS size
+  FROM c2 JOIN block_texts t ON t.doc_id = c2.doc_id AND t.block_id = c2.block_id),
+fo AS (SELECT *, 1 AS paragraph, x0 AS rx0, x1 AS rx1, size AS rsize FROM pb WHERE position = 1
+  UNION ALL SELECT doc_id, page_no, block_no, position, kind, x0, y0, x1, y1, text, size, CASE WHEN joins THEN paragraph ELSE paragraph + 1 END, CASE WHEN joins THEN least(rx0, x0) ELSE x0 END, CASE WHEN joins THEN greatest(rx1, x1) ELSE x1 END,
+  CASE WHEN joins THEN rsize ELSE size END FROM (SELECT b.*, f.paragraph, f.rx0, f.rx1, f.rsize, f.kind = 'text' AND b.kind = 'text' AND b.y0 - f.y1 >= 0 AND b.y0 - f.y1 <= 15 AND (f.rx1 - f.rx0) + (b.x1 - b.x0) > 0
+    AND (least(f.rx1, b.x1) - greatest(f.rx0, b.x0)) / nullif(((f.rx1 - f.rx0) + (b.x1 - b.x0)) / 2, 0) >= 0.7::DOUBLE AND (regexp_matches(f.text, '-{X.WS}*$') OR b.size IS NULL OR f.rsize IS NULL OR abs(f.rsize - b.size) <= 1) AS joins
+    FROM fo f JOIN pb b ON b.doc_id = f.doc_id AND b.page_no = f.page_no AND b.position = f.position + 1))"""
+
+
+@query(
+    f"WITH RECURSIVE {_FOLD} SELECT doc_id, page_no, paragraph::INT AS paragraph, arg_min(block_no, position) AS first_block, count(*)::INT AS n_blocks, min(x0) AS x0, arg_min(y0, position) AS y0, max(x1) AS x1, arg_max(y1, position) AS y1, "
+    "string_agg(text, chr(10) ORDER BY position) AS text FROM fo GROUP BY doc_id, page_no, paragraph"
+)
 def paragraph_merge(spark, d):
     """Paragraphs merged from consecutive blocks of every page (W-04, G-03)."""
     b = X.block_texts(spark, d)

@@ -126,7 +126,7 @@ f AS (SELECT q.request_id, gl.source, gl.target, row_number() OVER (PARTITION BY
 t AS (SELECT request_id, string_agg('  • "' || source || '" → "' || target || '"', chr(10) ORDER BY k) AS terms FROM f WHERE k <= 20 GROUP BY request_id)"""
 
 
-@query(f"WITH {_TERMS} SELECT q.request_id, 'Translate from ' || coalesce(source_lang, 'the source language') || ' to ' || coalesce(target_lang, 'the target language') || '. Keep every protected token unchanged.' || CASE WHEN terms IS NULL THEN '' ELSE chr(10) || 'Use these terminology translations:' || chr(10) || terms END AS prompt FROM q LEFT JOIN t ON q.request_id = t.request_id")
+@query(f"WITH {_TERMS} SELECT q.request_id, 'Translate from ' || coalesce(source_lang, 'the source language') || ' to ' || coalesce(target_lang, 'the target language') || '. Keep every protected token unchanged.' || CASE WHEN terms IS NULL THEN '' ELSE chr(10) || 'Use these terminology translations:' || chr(10) || terms END AS prompt, '{T.PROMPT_VERSION}' AS version FROM q LEFT JOIN t ON q.request_id = t.request_id")
 def prompts(spark, d):
     """Prompt text of every request with its relevant terms (X-16, X-17)."""
     from folioscope.operators import lookups as L
@@ -136,17 +136,17 @@ def prompts(spark, d):
     t = L.top_terms(L.terms_as_words(q.select("request_id", "text").filter("text is not null"), "text", g), ["request_id"], 20)
     lines = t.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("  • \""), "source", F.lit("\" → \""), "target", F.lit("\"")).alias("l")))), lambda x: x["l"]), "\n").alias("terms"))
     head = F.concat(F.lit("Translate from "), F.coalesce("source_lang", F.lit("the source language")), F.lit(" to "), F.coalesce("target_lang", F.lit("the target language")), F.lit(". Keep every protected token unchanged."))
-    return q.join(lines, "request_id", "left").select("request_id", F.concat_ws("\n", head, F.when(F.col("terms").isNotNull(), F.concat(F.lit("Use these terminology translations:\n"), "terms"))).alias("prompt"))
+    return q.join(lines, "request_id", "left").select("request_id", F.concat_ws("\n", head, F.when(F.col("terms").isNotNull(), F.concat(F.lit("Use these terminology translations:\n"), "terms"))).alias("prompt"), F.lit(T.PROMPT_VERSION).alias("version"))
 
 
 @query()
 def text_comparison(spark, d):
-    """First and second candidates compared (X-18)."""
-    from folioscope.operators.lookups import similarity
+    """Requests compared with their first candidates: similarity, lines of the unified diff, lines added and removed, ratio of the lengths (X-18)."""
+    from folioscope.operators.lookups import comparison
     from folioscope.sources import ship_package
 
     ship_package(spark)
-    p = X.pairs(spark, d).select("result_id", "idx", "translated_text")
-    j = p.filter("idx = 0").select("result_id", F.col("translated_text").alias("a")).join(p.filter("idx = 1").select("result_id", F.col("translated_text").alias("b")), "result_id")
-    wa, wb = T.words(F.col("a")), T.words(F.col("b"))
-    return j.select("result_id", similarity("sequence")("a", "b").alias("ratio"), F.size(F.array_except(wb, wa)).alias("added"), F.size(F.array_except(wa, wb)).alias("removed"), F.try_divide(F.length("b"), F.length("a")).alias("length_ratio"))
+    p = X.pairs(spark, d).filter("idx = 0").select("result_id", "source_text", "translated_text")
+    x = p.withColumn("x", comparison()("source_text", "translated_text"))
+    ratio = F.coalesce(F.try_divide(F.length("translated_text"), F.length("source_text")), F.lit(0.0))
+    return x.select("result_id", "x.similarity", F.array_join("x.diff", "\n").alias("diff"), "x.added", "x.removed", ratio.alias("length_ratio"))

@@ -245,7 +245,21 @@ def numbering_repair(spark, d):
     return g.select("k", fixed.alias("fixed"), (fixed != t).alias("lost"))
 
 
-@query()
+_BUL = "[" + T.BULLETS.replace("-", r"\-") + "]"
+_FULL = lambda x: f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {X.strip_sql('x')}), lambda x: x <> '')"
+_MARK = lambda x: rf"regexp_extract({x}, '^\s*({_BUL})[ \d]', 1)"
+_N_BUL = lambda x: f"len(list_filter({x}, lambda x: {_MARK('x')} <> ''))::INT"
+_SPILT = " OR ".join(f"contains(lower(x), '{w}')" for w in T.BULLET_SPILLOVER)
+
+
+@query(
+    rf"WITH b0 AS (SELECT doc_id, text, regexp_replace(text, '(?m)^(\s*){_BUL} ', '\1', 'g') AS bare FROM documents WHERE regexp_matches(text, '(?m)^\s*{_BUL} ')), b1 AS (SELECT *, {_FULL('text')} AS s, {_FULL('bare')} AS t FROM b0), "
+    rf"b2 AS (SELECT *, list_transform(s, lambda x: {_MARK('x')}) AS marks, list_filter(t, lambda x: NOT ({_SPILT})) AS kept FROM b1), b3 AS (SELECT *, list_filter(marks, lambda x: x <> '') AS used FROM b2), "
+    "b4 AS (SELECT *, CASE WHEN len(used) > len(s) * 0.5 THEN used[1] ELSE '' END AS extra FROM b3), "
+    rf"b5 AS (SELECT *, CASE WHEN (len(s) <= 1 AND len(t) <= 1) OR len(used) = 0 OR len(kept) = 0 THEN string_split(bare, chr(10)) ELSE list_transform(kept, lambda x, i: CASE WHEN CASE WHEN i <= len(s) THEN marks[i] ELSE extra END IN ('', {_MARK('x')}) THEN x "
+    rf"ELSE CASE WHEN i <= len(s) THEN marks[i] ELSE extra END || ' ' || CASE WHEN {_MARK('x')} = '' THEN x ELSE {X.strip_sql('substring(x, 2)')} END END) END AS ls FROM b4) "
+    f"SELECT doc_id, {_N_BUL('string_split(text, chr(10))')} AS before, {_N_BUL('string_split(bare, chr(10))')} AS without, {_N_BUL('ls')} AS after FROM b5"
+)
 def bullet_repair(spark, d):
     """Lists whose bullets are taken away and put back by the source's (X-10): lines with bullets before, without, and after."""
     t = read_table(spark, d, "documents").select("doc_id", "text").filter(F.col("text").rlike(rf"(?m)^\s*[{T.BULLETS.replace('-', chr(92) + '-')}] "))
@@ -306,7 +320,19 @@ def glossary_adherence(spark, d):
     return L.adherence(X.pairs(spark, d), KEY, "source_text", "translated_text", _glossary(spark, d))
 
 
-@query()
+_TITLE = lambda x: f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ')"
+_STEP = (
+    "CASE WHEN contains(lower(p.a), lower(x.t)) THEN p.a ELSE regexp_replace(p.a, CASE WHEN x.c THEN '' ELSE '(?i)' END || '\\b' || regexp_escape(x.s) || '\\b', "
+    f"CASE WHEN upper(x.s) = x.s AND lower(x.s) <> x.s THEN upper(x.t) WHEN {_TITLE('x.s')} = x.s THEN {_TITLE('x.t')} ELSE x.t END, 'g') END"
+)
+
+
+@query(
+    rf"WITH {X.PAIRS}, {_GL}, f AS (SELECT p.result_id, p.idx, list({{'s': gl.source, 't': gl.target, 'c': gl.case_sensitive, 'a': ''}} ORDER BY gl.source, gl.target, gl.case_sensitive) AS ts FROM pairs p JOIN gl "
+    rf"ON CASE WHEN gl.case_sensitive THEN {_WORD('p.source_text', 'gl.source')} ELSE {_WORD('lower(p.source_text)', 'gl.term_key')} END GROUP BY p.result_id, p.idx) "
+    f"SELECT p.result_id, p.idx, list_reduce(list_concat([{{'s': '', 't': '', 'c': false, 'a': p.translated_text}}], f.ts), lambda p, x: {{'s': '', 't': '', 'c': false, 'a': {_STEP}}}).a AS enforced_text "
+    "FROM pairs p JOIN f ON p.result_id = f.result_id AND p.idx = f.idx"
+)
 def glossary_enforced(spark, d):
     """Answers with untranslated terms replaced (X-14, X-15)."""
     p = X.pairs(spark, d).select(*KEY, "source_text", "translated_text")

@@ -39,6 +39,46 @@ def read_glossary(spark: SparkSession, path: str, domain: str = "general") -> Da
     return raw.select(F.explode(terms).alias("source", "target")).select("source", "target", F.lit(domain).alias("domain"), F.lit(False).alias("case_sensitive"), F.lit(0).alias("load_seq"))
 
 
+def write_glossary(df: DataFrame, path: str, domain: str | None = None) -> None:
+    """The terms of a merged glossary (of one domain, where it is given) as one JSON object with the map under ``terms``, in order; read_glossary reads it."""
+    g = df if domain is None else df.filter(F.col("domain") == domain)
+    pairs = F.sort_array(F.collect_list(F.struct("source", "target")))
+    one = g.filter(F.col("source").isNotNull()).dropDuplicates(["source"]).agg(F.to_json(F.struct(F.map_from_entries(pairs).alias("terms"))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+MEMORY = "pair string, text string, translation string, quality double, uses bigint, created_at timestamp"
+
+
+def write_memory(df: DataFrame, path: str) -> None:
+    """A translation memory, one file set for each language pair, replacing an earlier one."""
+    names = [f.split()[0] for f in MEMORY.split(", ")]
+    df.select(*names).repartition("pair").write.mode("overwrite").partitionBy("pair").parquet(path)
+
+
+def read_memory(spark: SparkSession, path: str, pair: str | None = None) -> DataFrame:
+    """A translation memory, or that of one language pair, of which only the files are read."""
+    m = spark.read.schema(MEMORY).parquet(path)
+    return m if pair is None else m.filter(F.col("pair") == pair)
+
+
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, name, n_bytes, modified_at) of the files below a folder whose name fits the pattern, without their contents."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return f.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"))
+
+
+def read_reports(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The runs' report.json below a folder, with the run (the name of its folder)."""
+    r = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/report.json")
+    return r.select("*", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"))
+
+
+def block_type(raw_type: Column) -> Column:
+    """Kind of a block of the scanner: 1 is an image, everything else (null too) text."""
+    return F.when(raw_type == 1, "image").otherwise("text")
+
+
 def read_env(spark: SparkSession, path: str) -> DataFrame:
     """(name, value) of lines such as ``export NAME="value"``; remarks and other lines left out."""
     p = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^#\s]*))"
@@ -62,3 +102,36 @@ def write_summary(df: DataFrame, folder: str) -> None:
     """A summary as JSON and as CSV with a header."""
     df.write.mode("overwrite").json(f"{folder}/json")
     df.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+
+
+def write_table(df: DataFrame, folder: str, caption: str = "") -> None:
+    """A small result table as CSV with a header and as a LaTeX table, rows in the order of the first column."""
+    rows = df.orderBy(df.columns[0])
+    rows.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    cell = lambda c: T.latex_escaped(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    n = len(df.columns)
+    lines = rows.select(F.concat(F.concat_ws(" & ", *[cell(c) for c in df.columns]), F.lit(r" \\")).alias("value"))
+    head = [r"\begin{table}", r"\begin{tabular}{" + "l" * n + "}", " & ".join(c.replace("_", r"\_") for c in df.columns) + r" \\ \hline"]
+    foot = [r"\end{tabular}", rf"\caption{{{caption}}}", r"\end{table}"]
+    wrap = lambda k, ls: df.sparkSession.createDataFrame([(k, i, x) for i, x in enumerate(ls)], "part int, i bigint, value string")
+    body = lines.select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("i"), "value")
+    wrap(0, head).union(body).union(wrap(2, foot)).orderBy("part", "i").select("value").coalesce(1).write.mode("overwrite").text(f"{folder}/latex")
+
+
+def write_json_export(df: DataFrame, path: str) -> None:
+    translations_json(df, ["doc_id"]).select("json").write.mode("overwrite").text(path)
+
+
+def write_latex_export(df: DataFrame, path: str) -> None:
+    latex_lines(df.orderBy("doc_id", "block_no")).write.mode("overwrite").text(path)
+
+
+#: Writers of translations by format; ``df`` has doc_id, block_no, block_id, source_text, translated_text.
+EXPORTS = {"json": write_json_export, "latex": write_latex_export}
+
+
+def export(df: DataFrame, path: str, fmt: str) -> None:
+    """Write translations in a format of EXPORTS; others are refused."""
+    if fmt not in EXPORTS:
+        raise ValueError(f"{fmt} is none of {', '.join(EXPORTS)}")
+    EXPORTS[fmt](df, path)

@@ -109,6 +109,18 @@ def test_large_glossary_gives_the_same(spark, monkeypatch):
     assert sorted((r.id, r.term_key) for r in L.terms_as_words(t, "text", g).collect()) == small
 
 
+def test_contained_terms_whatever_the_glossary(spark, monkeypatch):
+    rows = [("work", "a"), ("net work", "b"), ("é", "c"), ("ab", "d"), ("a.b", "e"), ("  x", "f"), ("Ünïcode", "g")]
+    g = L.merged_glossary(spark.createDataFrame([(s, t, "x", False, 0) for s, t in rows], "source string, target string, domain string, case_sensitive boolean, load_seq int"))
+    texts = ["network", "Net Work", "é", "xabx a.b", "", None, "a  x b", "über ÜNÏCODE", "w" * 5000 + "work"]
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = sorted((i, s.lower()) for i, x in enumerate(texts) for s, _ in rows if x and s.lower() in x.lower())
+    for limit in (1_000, 1):
+        monkeypatch.setattr(L, "BROADCAST_TERMS", limit)
+        assert sorted((r.id, r.term_key) for r in L.terms_contained(t, "text", g).collect()) == want
+        assert L.terms_contained(t, "text", g.limit(0)).count() == 0
+
+
 def test_enforcement(spark):
     d = spark.createDataFrame([("the neural network", [("neural network", "réseau", False)]), ("rien", None)], "t string, terms array<struct<source:string,target:string,case_sensitive:boolean>>")
     assert [r.enforced_text for r in L.enforced(d, "t", "terms").collect()] == ["the réseau", "rien"]
@@ -216,7 +228,7 @@ def test_streams(spark, tmp_path):
     q = s.writeStream.foreachBatch(B.upsert_into(str(tmp_path / "state"), ["key"], "at")).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert {(r.key, r.text) for r in spark.read.parquet(str(tmp_path / "state/version=0")).collect()} == {("k1", "b 2"), ("k2", "$x$")}
+    assert {(r.key, r.text) for r in B.read_state(spark, str(tmp_path / "state")).collect()} == {("k1", "b 2"), ("k2", "$x$")}
     q = B.windowed_counts(s, "at", "key").writeStream.format("memory").outputMode("complete").queryName("counts").start()
     q.processAllAvailable()
     q.stop()
@@ -257,3 +269,69 @@ def test_full_ranking_scores_the_glossary(spark, data):
     got = {(r.result_id, r.idx): r.total for r in scores.rerank_full(spark, data).collect()}
     assert set(got) == set(want)
     assert all(abs(got[k] - (before[k] - 3 * (1 - want[k]))) < 1e-9 for k in want)
+
+
+def test_state_over_gaps_and_repeats(spark, tmp_path):
+    path = str(tmp_path / "state")
+    put = B.upsert_into(path, ["key"], "at")
+    batch = lambda rows: spark.createDataFrame(rows, "key string, at int, text string")
+    assert B.read_state(spark, path) is None
+    put(batch([("a", 1, "a1"), ("b", 1, "b1")]), 0)
+    put(batch([("a", 2, "a2"), ("c", 1, "c1")]), 3)  # the numbers between belong to no batch
+    put(batch([("a", 2, "a2"), ("c", 1, "c1")]), 3)  # run again
+    put(batch([]), 4)
+    put(batch([("b", 0, "late"), ("d", 1, "d1")]), 7)
+    assert {(r.key, r.text) for r in B.read_state(spark, path).collect()} == {("a", "a2"), ("b", "b1"), ("c", "c1"), ("d", "d1")}
+
+
+def test_best_match_needs_age_and_tokens(spark):
+    now = dt.datetime(2025, 1, 10)
+    token = "@@BLK_URL_0001_AAAAAAAA@@"
+    rows = [(1, "fr", f"see the page {token} of it"), (2, "fr", f"see the page {token} of it."), (3, "fr", f"see the page {token.replace('1_A', '2_A')} of it"), (4, "fr", "a plain old text"), (5, "fr", "a plain old texts")]
+    m = spark.createDataFrame([(*r, 1.0, now - dt.timedelta(days=30 if r[0] == 5 else 1)) for r in rows], "memory_id bigint, pair string, text string, quality double, requested_at timestamp")
+    q = m.filter("memory_id in (1, 3, 4)").select(F.col("memory_id").alias("query_id"), "pair", "text")
+    got = {(r.query_id, r.memory_id) for r in L.best_match(q, m, F.lit(now), 7 * 86400, r"@@[A-Z]+(?:_[A-Z]+)+_\d{4}_[A-F0-9]{8}@@", 0.9).collect()}
+    assert got == {(1, 2)}  # 3's best match has another token, and 4's is too old
+
+
+def test_cascade(spark):
+    q = spark.createDataFrame([(1, "short"), (2, "a longer text"), (3, None)], "request_id int, text string")
+    got = {(r.request_id, r.backend) for r in K.routed(q).collect()}
+    slow = [n for n, _, s in K.BACKENDS if s]
+    assert len(got) == 3 * len(K.BACKENDS) - 2 * len(slow) and (2, slow[0]) in got
+    c = spark.createDataFrame([(1, 0, "cloud_pro", True, 1.0), (1, 1, "local_small", True, 0.5), (1, 2, "relay_v2", True, 1.0), (1, 3, "odd", True, 1.0), (1, 4, "hub_api", False, 9.0)], "id int, idx int, backend string, valid boolean, total double")
+    assert [r.idx for r in K.cascaded(c, ["id"], ["idx"]).orderBy("rank").collect()] == [1, 0, 2, 3, 4]
+
+
+def test_sinks_read_back(spark, tmp_path):
+    g = L.merged_glossary(glossary(spark))
+    A.write_glossary(g, str(tmp_path / "g"))
+    assert {(r.source, r.target) for r in A.read_glossary(spark, str(tmp_path / "g")).collect()} == {(r.source, r.target) for r in g.collect()}
+    A.write_glossary(g, str(tmp_path / "none"), "no such domain")
+    assert A.read_glossary(spark, str(tmp_path / "none")).count() == 0
+    m = spark.createDataFrame([("en-fr", "a", "b", 1.0, 1, dt.datetime(2025, 1, 1)), ("en-de", "a", None, None, None, None)], A.MEMORY)
+    A.write_memory(m, str(tmp_path / "m"))
+    assert A.read_memory(spark, str(tmp_path / "m")).count() == 2 and A.read_memory(spark, str(tmp_path / "m"), "en-fr").first().translation == "b"
+    t = spark.createDataFrame([(1, 2, "b2", "x", "y & z"), (1, 1, "b1", "s", None)], "doc_id bigint, block_no bigint, block_id string, source_text string, translated_text string")
+    A.export(t, str(tmp_path / "json"), "json")
+    A.export(t, str(tmp_path / "latex"), "latex")
+    assert '"block_no":1' in spark.read.text(str(tmp_path / "json")).first()[0] and any("y \\& z" in r[0] for r in spark.read.text(str(tmp_path / "latex")).collect())
+    with pytest.raises(ValueError):
+        A.export(t, str(tmp_path / "doc"), "word")
+    for run in ("r1", "r2"):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / "report.json").write_text('{\n "quality": 0.5\n}')
+    assert sorted((r.run, r.quality) for r in A.read_reports(spark, str(tmp_path / "runs"), "quality double").collect()) == [("r1", 0.5), ("r2", 0.5)]
+    assert sorted(r.name for r in A.read_folder(spark, str(tmp_path / "runs"), "*.json").collect()) == ["report.json"] * 2
+    A.write_table(spark.createDataFrame([("b_1", 0.5), ("a", None)], "backend string, rate double"), str(tmp_path / "t"), "Rates")
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "t/latex")).collect()]
+    assert lines[0] == r"\begin{table}" and lines[3:5] == [r"a &  \\", r"b\_1 & 0.5 \\"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "t/csv")).count() == 2
+    assert [r[0] for r in spark.createDataFrame([(1,), (0,), (None,)], "t int").select(A.block_type(F.col("t"))).collect()] == ["image", "text", "text"]
+
+
+def test_base_style_and_summary(spark):
+    s = spark.createDataFrame([(1, "b", 0, 0, 1, "A", 10.0, 1, False), (1, "b", 0, 1, 2, "B", 12.0, 1, False), (1, "b", 1, 0, 3, "A", 11.0, None, False), (1, "h", 0, 0, 4, "C", 9.0, None, True), (1, "h", 0, 1, 5, "D", 20.0, None, True), (1, "n", 0, 0, 6, None, None, None, False)], "doc_id int, block_id string, line_no int, span_no int, span_id int, font string, size double, color int, h boolean")
+    assert {r.block_id: (r.font, r.color, r["size"]) for r in R.base_style(s).collect()} == {"b": ("A", 1, 11.0), "h": ("D", None, 20.0), "n": (None, None, None)}
+    d = {r.k: (r.n, r.mean, r.deviation) for r in R.described(spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 2.0), ("z", None)], "k string, v double"), ["k"], "v").collect()}
+    assert d == {"x": (2, 2.0, pytest.approx(2**0.5)), "y": (1, 2.0, None)}
