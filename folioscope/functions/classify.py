@@ -17,8 +17,14 @@ LANGUAGE_WORDS = {
     "de": (["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"], ["der", "die", "das", "ein", "eine"]),
 }
 WORD_CLASS = "^[a-zàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ]+$"
-HEADING_WORDS = ["section", "chapter", "introduction", "methodology", "methods", "results", "conclusion", "abstract", "summary", "discussion", "background", "related work", "future work"]
-ACADEMIC_WORDS = ["abstract", "summary", "introduction", "conclusion", "results", "methodology", "discussion", "references", "appendix", "section", "chapter", "subsection", "paragraph", "document", "report", "background", "overview", "preface", "acknowledgments", "index"]
+HEADING_WORDS = [
+    "section", "chapter", "introduction", "methodology", "methods", "results", "conclusion", "abstract", "summary", "discussion", "background", "related work",
+    "future work"
+]
+ACADEMIC_WORDS = [
+    "abstract", "summary", "introduction", "conclusion", "results", "methodology", "discussion", "references", "appendix", "section", "chapter", "subsection",
+    "paragraph", "document", "report", "background", "overview", "preface", "acknowledgments", "index"
+]
 COMMON_PHRASES = ["ok", "yes", "no", "hello", "hi", "bye", "thanks", "thank you"]
 UNITS = ["mm", "cm", "km", "kg", "mg", "g", "ml", "l", "s", "ms", "hz", "khz", "mhz", "ghz", "nm", "um", "db"]
 TECHNICAL_TERMS = [
@@ -36,9 +42,14 @@ CONTENT_KEYWORDS = [
     "equation", "theorem", "proof", "coefficient", "variable", "parameter", "distribution", "statistical", "probability", "correlation",
     "research", "study", "investigation", "observation", "measurement", "procedure", "protocol", "sample", "control", "significant",
 ]
-CONTENT_HEADERS = ["abstract", "introduction", "related work", "methodology", "methods", "experiments", "results", "discussion", "conclusion", "references", "acknowledgments", "appendix", "background"]
+CONTENT_HEADERS = [
+    "abstract", "introduction", "related work", "methodology", "methods", "experiments", "results", "discussion", "conclusion", "references", "acknowledgments",
+    "appendix", "background"
+]
 MATH_FONTS = ["cmr", "cmsy", "cmmi", "cmex", "symbol", "zapfdingbats", "math", "stix", "cambria", "euclid", "latinmodern"]
-MATH_CHARS = r"[\x{2200}-\x{22FF}\x{2190}-\x{21FF}\x{0391}-\x{03C9}\x{2070}-\x{209F}\x{2100}-\x{214F}\x{1D400}-\x{1D7FF}\x{25A0}-\x{25FF}\x{2600}-\x{26FF}\x{B2}\x{B3}\x{B9}]"
+MATH_CHARS = (
+    r"[\x{2200}-\x{22FF}\x{2190}-\x{21FF}\x{0391}-\x{03C9}\x{2070}-\x{209F}\x{2100}-\x{214F}\x{1D400}-\x{1D7FF}\x{25A0}-\x{25FF}\x{2600}-\x{26FF}\x{B2}\x{B3}\x{B9}]"
+)
 OPERATORS = r"[=+\-*/^<>×÷±∓≠≤≥≈≡∈∉∝∞∑∏∫∂∇]"
 LATEX = r"(?s)\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]|\\begin\{(equation\*?|align\*?|eqnarray\*?|gather\*?|multline\*?|split)\}.*?\\end\{\1\}"
 
@@ -67,7 +78,9 @@ def language(c: Column, sample: int = 500) -> Column:
 
     def whole(s: Column) -> Column:
         n = lambda r: F.size(T.matches(s, r))
-        counts = F.struct(n("[一-鿿]").alias("zh"), n("[\\x{3040}-\\x{30FF}]").alias("ja"), n("[\\x{AC00}-\\x{D7AF}]").alias("ko"), n("[\\x{3000}-\\x{303F}]").alias("marks"))
+        counts = F.struct(
+            n("[一-鿿]").alias("zh"), n("[\\x{3040}-\\x{30FF}]").alias("ja"), n("[\\x{AC00}-\\x{D7AF}]").alias("ko"), n("[\\x{3000}-\\x{303F}]").alias("marks")
+        )
         words = F.filter(T.matches(F.lower(s), r"[\p{L}\p{N}_]+"), lambda x: x.rlike(WORD_CLASS))
         eastern = F.when(s.rlike(r"[\x{3000}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"), T.let(counts, lambda k: east(s, k)))
         return F.when(T.strip(s) == "", pair(F.lit("en"), F.lit(0.0))).otherwise(F.coalesce(eastern, T.let(words, west)))
@@ -102,7 +115,9 @@ def table_candidate(c: Column, is_text: Column, is_heading: Column) -> Column:
     numeric = F.size(F.filter(lines, lambda x: x.rlike(r"\d")))
     double = F.size(F.filter(lines, lambda x: x.contains("  ")))
     signal = lambda b: F.coalesce(b, F.lit(False)).cast("int")
-    signals = signal(separators) + signal(T.consistent_columns(lines)) + signal(digits / F.greatest(F.length(c), F.lit(1)) > 0.22) + signal(c.contains("  ") & (double >= n * 0.5))
+    signals = signal(separators) + signal(T.consistent_columns(lines)) + signal(
+        digits / F.greatest(F.length(c), F.lit(1)) > 0.22
+    ) + signal(c.contains("  ") & (double >= n * 0.5))
     many = ((n >= 6) & (short / n >= 0.7) & (numeric / n >= 0.3)) | (signals >= 2)
     return F.coalesce(is_text & ~is_heading & (stripped != "") & F.when(n == 1, one).otherwise(many), F.lit(False))
 
@@ -139,7 +154,9 @@ def heading_kind(c: Column, largest: Column, mean: Column, bold: Column, first_p
     numbered, section = c.rlike(r"^\d+[.)]\s+"), c.rlike(r"(?i)^(Section|Chapter|Part)\s+\d+:?\s*")
     upper = (n < 50) & (F.upper(c) == c) & (F.lower(c) != c) & (F.size(T.words(c)) <= 5)
     pattern = numbered | section | c.rlike(r"^\d+\.\s+[A-Z]") | c.rlike(r"(?i)^[IVX]+\.\s+") | upper
-    title = ((largest >= 16) & (n < 120)) | ((largest >= 14) & bold & (n < 120)) | (first_page & (largest >= 14) & (n < 100)) | (cjk & (largest >= 12) & (n < 40))
+    title = ((largest >= 16) & (n < 120)) | ((largest >= 14) & bold & (n < 120)) | (
+        first_page & (largest >= 14) & (n < 100)
+    ) | (cjk & (largest >= 12) & (n < 40))
     return (
         F.when(title, "title")
         .when((largest >= 14) | ((largest >= 12) & bold & (numbered | section)), "header")
@@ -169,7 +186,9 @@ def math_flags(c: Column) -> dict[str, Column]:
         "operators": ops,
         "operator_pattern": (ops > 0) & (digit | (latin > 0) | c.rlike("[α-ωΑ-Ω]")),
         "variables": (latin + greek >= 2) | ((latin + greek > 0) & digit & (ops >= 1)),
-        "math_context": c.rlike(r"[(\[][^)\]]*[+\-*/=<>≠≤≥∈∉][^)\]]*[)\]]") | c.rlike(r"(?U)\b[\w)\]]+\s*/\s*[\w(\[]+\b") | c.rlike(r"\b\d+\s*(≤|>=|<=|≥|<|>)\s*[a-zA-Zα-ωΑ-Ω0-9]+\b") | c.rlike(r"\b[a-zA-Zα-ωΑ-Ω]\s*∈\s*\[[^\]]+\]"),
+        "math_context": c.rlike(
+            r"[(\[][^)\]]*[+\-*/=<>≠≤≥∈∉][^)\]]*[)\]]"
+        ) | c.rlike(r"(?U)\b[\w)\]]+\s*/\s*[\w(\[]+\b") | c.rlike(r"\b\d+\s*(≤|>=|<=|≥|<|>)\s*[a-zA-Zα-ωΑ-Ω0-9]+\b") | c.rlike(r"\b[a-zA-Zα-ωΑ-Ω]\s*∈\s*\[[^\]]+\]"),
     }
 
 
@@ -185,7 +204,9 @@ def equation_score(c: Column, neighbours: Column) -> Column:
     n_words = F.size(T.matches(c, r"(?U)\w+"))
     n = F.length(c)
     alnum = F.size(T.matches(c, r"[\p{L}\p{N}]"))
-    score = add(f["math_unicode"], 0.6) + add(f["operator_pattern"], 0.5) + add(f["raised"], 0.5) + add(f["variables"], 0.6) + add(f["variables"] & (n_words <= 4), 0.2) + add(f["math_context"], 0.5)
+    score = add(f["math_unicode"], 0.6) + add(f["operator_pattern"], 0.5) + add(f["raised"], 0.5) + add(f["variables"], 0.6) + add(
+        f["variables"] & (n_words <= 4), 0.2
+    ) + add(f["math_context"], 0.5)
     score = score + add((n > 3) & (F.try_divide(f["operators"], n) > 0.2) & (F.try_divide(alnum, n) < 0.7), 0.4)
     score = score - add((n_words >= 6) & (f["operators"] == 0), 0.3) - add(T.strip(c).rlike("[.;:]$") & (f["operators"] == 0), 0.2)
     return score + add(neighbours >= 2, 0.1)
@@ -194,7 +215,9 @@ def equation_score(c: Column, neighbours: Column) -> Column:
 def is_equation(c: Column, font: Column, neighbours: Column, sensitivity: float = 0.7) -> Column:
     """Whether a span is an equation; blank texts and plain numbers of up to four digits aren't."""
     s = T.strip(F.coalesce(c, F.lit("")))
-    return F.when(s == "", False).when(math_font(font) | c.rlike(LATEX), True).when(s.rlike(r"^\d{1,4}$"), False).otherwise(equation_score(c, neighbours) >= sensitivity)
+    return F.when(s == "", False).when(math_font(font) | c.rlike(LATEX), True).when(s.rlike(r"^\d{1,4}$"), False).otherwise(
+        equation_score(c, neighbours) >= sensitivity
+    )
 
 
 # ---- identity and content -------------------------------------------------------------------------------------------
@@ -206,7 +229,10 @@ def identity(source: Column, target: Column, is_header: Column) -> Column:
     ns, nt, raw = T.normalised(s), T.normalised(t), T.strip(s)
     words = T.words(s)
     upper = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
-    short = ~raw.contains(" ") & (raw != "") & (((F.length(raw) <= 4) & upper(raw)) | ((F.length(raw) <= 8) & raw.rlike(r"^[A-Z0-9][A-Z0-9\-/.]+$")) | ((F.length(raw) <= 6) & raw.rlike(r"^[A-Za-z]{1,4}\d{1,3}[A-Za-z]{0,2}$")) | raw.rlike("^[A-Za-z]{1,3}/[A-Za-z]{1,3}$") | F.lower(raw).isin(UNITS))
+    short = ~raw.contains(" ") & (raw != "") & (
+        ((F.length(raw) <= 4) & upper(raw)) | ((F.length(raw) <= 8) & raw.rlike(r"^[A-Z0-9][A-Z0-9\-/.]+$"))
+        | ((F.length(raw) <= 6) & raw.rlike(r"^[A-Za-z]{1,4}\d{1,3}[A-Za-z]{0,2}$")) | raw.rlike("^[A-Za-z]{1,3}/[A-Za-z]{1,3}$") | F.lower(raw).isin(UNITS)
+    )
     proper = F.size(words).between(2, 3) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}"))
     up = F.upper(s)
     r = lambda a, b, why: F.struct(F.lit(a).alias("is_identity"), (b if isinstance(b, Column) else F.lit(b)).alias("should_retry"), F.lit(why).alias("reason"))
@@ -240,4 +266,6 @@ def skip_reason(c: Column, is_table: Column, source_lang: Column, target_lang: C
     listed = (low.contains("contents") & (F.length(c) < 100)) | (T.any_of(low, ["figure", "fig.", "table", "tab."]) & (F.length(c) < 200))
     found = language(c)
     foreign = (found["lang"] != F.coalesce(source_lang, F.lit(""))) & (found["lang"] != F.coalesce(target_lang, F.lit(""))) & (found["confidence"] > 0.5)
-    return F.when(is_table & ~listed & F.lit(not translate_tables), "table").when(T.strip(c) == "", "empty").when(foreign, F.concat(F.lit("preserve_lang_"), found["lang"]))
+    return F.when(
+        is_table & ~listed & F.lit(not translate_tables), "table"
+    ).when(T.strip(c) == "", "empty").when(foreign, F.concat(F.lit("preserve_lang_"), found["lang"]))

@@ -14,7 +14,9 @@ from . import text as T
 NUMBER, NUMBER_EXP, NUMBER_COMMA = T.NUMBER, T.NUMBER_EXP, T.NUMBER_COMMA
 #: Parts of an issue that make a translation unacceptable.
 CRITICAL = ("placeholder_restoration_failed", "placeholder_not_restored", "placeholder_hallucinated", "identity_translation", "missing_placeholder")
-RERANK_WEIGHTS = {"placeholder": 10.0, "glossary": 3.0, "numeric": 2.0, "format": 1.0, "semantic": 4.0, "identity": 8.0, "length": 3.0, "spillover": 6.0, "hallucinated": 6.0}
+RERANK_WEIGHTS = {
+    "placeholder": 10.0, "glossary": 3.0, "numeric": 2.0, "format": 1.0, "semantic": 4.0, "identity": 8.0, "length": 3.0, "spillover": 6.0, "hallucinated": 6.0
+}
 #: Words of an unrelated answer.
 SUSPICIOUS = ["result", "résultat", "document", "layout", "mise", "page", "en"]
 
@@ -52,7 +54,9 @@ def pre_flags(c: Column) -> dict[str, Column]:
 def complexity(f: dict[str, Column]) -> Column:
     """Complexity from 0 to 1 of the flags of :func:`pre_flags` (columns may also be references to them)."""
     add = lambda cond, x: F.when(cond, _d(x)).otherwise(_d(0))
-    total = add(f["has_math"], 0.25) + add(f["has_code"], 0.20) + add(f["has_tables"], 0.15) + add(f["has_urls"] | f["has_citations"], 0.10) + add(f["has_bullets"], 0.05) + add(f["has_numbers"], 0.05)
+    total = add(f["has_math"], 0.25) + add(f["has_code"], 0.20) + add(f["has_tables"], 0.15) + add(
+        f["has_urls"] | f["has_citations"], 0.10
+    ) + add(f["has_bullets"], 0.05) + add(f["has_numbers"], 0.05)
     total = total + add(f["avg_word_length"] > 6, 0.10) + add(f["technical_term_density"] > 0.3, 0.10) + add(f["sentence_count"] > 5, 0.05)
     return F.least(total, _d(1))
 
@@ -124,7 +128,9 @@ def post_parts(f: dict[str, Column], errors: Column, is_header: Column) -> dict[
     n, still = f["f_tokens"], f["f_still"]
     restore_error, foreign = (n > 0) & f["f_restore"], f["f_foreign"]
     left = (n > 0) & ~restore_error & (still > 0)
-    placeholder = F.when(restore_error & (still > 0), _div(n - still, n)).when(restore_error & (f["f_missing"] > 0), F.greatest(_d(0), _div(n - f["f_missing"], n))).when(restore_error, _d(0.7)).when(left, _div(n - still, n)).otherwise(_d(1))
+    placeholder = F.when(restore_error & (still > 0), _div(n - still, n)).when(
+        restore_error & (f["f_missing"] > 0), F.greatest(_d(0), _div(n - f["f_missing"], n))
+    ).when(restore_error, _d(0.7)).when(left, _div(n - still, n)).otherwise(_d(1))
     placeholder = F.when(foreign, F.least(placeholder, _d(0.5))).otherwise(placeholder)
     numeric, ratio = f["numeric_score"], f["f_ratio"]
     bullet_ratio, line_ratio = _div(f["f_bullets_t"], f["f_bullets"]), _div(f["f_lines_t"], f["f_lines"])
@@ -138,13 +144,25 @@ def post_parts(f: dict[str, Column], errors: Column, is_header: Column) -> dict[
         errors,
         F.array_compact(
             F.array(
-                issue(same & header, "identity_translation:header_exact_match"), issue(same & ~header, "identity_translation:exact_match"), issue(high, "identity_translation:high_similarity"), issue(restore_error, "placeholder_restoration_failed"), issue(left, "placeholder_not_restored"),
-                issue(foreign, "placeholder_hallucinated"), issue(numeric < 0.9, "numeric_drift"), issue((f["f_bullets"] > 0) & (bullet_ratio < 0.8), "format_drift:bullets"), issue(fidelity == 0.7, "fidelity_concern:length"),
+                issue(same & header, "identity_translation:header_exact_match"), issue(same & ~header, "identity_translation:exact_match"),
+                issue(high, "identity_translation:high_similarity"), issue(restore_error, "placeholder_restoration_failed"),
+                issue(left, "placeholder_not_restored"),
+                issue(foreign, "placeholder_hallucinated"), issue(numeric < 0.9, "numeric_drift"),
+                issue((f["f_bullets"] > 0) & (bullet_ratio < 0.8), "format_drift:bullets"), issue(fidelity == 0.7, "fidelity_concern:length"),
             )
         ),
     )
-    warnings = F.array_compact(F.array(issue(some, "identity_translation:moderate_similarity"), issue(foreign, "placeholder_hallucinated_count"), issue((numeric >= 0.9) & (numeric < 1), "minor_numeric_variation"), issue(odd_lines, "line_count_variation"), issue(repeated, "high_repetition"), issue(odd_length, "length_ratio_unusual")))
-    return {"identity_score": identity, "placeholder_score": placeholder, "numeric_score": numeric, "format_score": fmt, "fluency_score": fluency, "fidelity_score": fidelity, "issues": issues, "warnings": warnings, "has_registry": n > 0}
+    warnings = F.array_compact(
+        F.array(
+            issue(some, "identity_translation:moderate_similarity"), issue(foreign, "placeholder_hallucinated_count"),
+            issue((numeric >= 0.9) & (numeric < 1), "minor_numeric_variation"), issue(odd_lines, "line_count_variation"), issue(repeated, "high_repetition"),
+            issue(odd_length, "length_ratio_unusual")
+        )
+    )
+    return {
+        "identity_score": identity, "placeholder_score": placeholder, "numeric_score": numeric, "format_score": fmt, "fluency_score": fluency,
+        "fidelity_score": fidelity, "issues": issues, "warnings": warnings, "has_registry": n > 0
+    }
 
 
 def post_overall(p: dict[str, Column]) -> Column:
@@ -159,7 +177,9 @@ def post_overall(p: dict[str, Column]) -> Column:
 def post_decisions(p: dict[str, Column], overall: Column, is_header: Column) -> dict[str, Column]:
     """needs_retry, needs_review, confidence, acceptable."""
     n = F.size(p["issues"])
-    retry = (p["identity_score"] < 0.5) | (p["has_registry"] & (p["placeholder_score"] < 0.9)) | (p["numeric_score"] < 0.8) | (F.coalesce(is_header, F.lit(False)) & (overall < 0.85)) | (n > 2)
+    retry = (p["identity_score"] < 0.5) | (
+        p["has_registry"] & (p["placeholder_score"] < 0.9)
+    ) | (p["numeric_score"] < 0.8) | (F.coalesce(is_header, F.lit(False)) & (overall < 0.85)) | (n > 2)
     review = (overall < 0.75) | (n >= 2) | (p["identity_score"] < 0.7)
     confidence = F.greatest(_d(0), _d(1) - (n * _d(0.15) + F.size(p["warnings"]) * _d(0.05)))
     bad = F.exists(p["issues"], lambda i: T.any_of(i, list(CRITICAL)))
@@ -203,7 +223,10 @@ def health(source: Column, target: Column, ok: Column, errors: Column) -> Column
     left = t.rlike(T.PLACEHOLDER)
     long = (F.length(s) > 0) & (_div(F.length(t), F.length(s)) > 1.5)
     code = lambda c, x: F.when(c, F.lit(x))
-    ladder = ((lost, "placeholder_missing", 0.0), (invalid, "validation_failed", 0.5), (failed, "translation_failed", 0.3), (drift, "numeric_drift", 0.7), (format_drift, "format_drift", 0.6), (left, "placeholder_not_restored", 0.4), (long, "potential_overflow", 0.8))
+    ladder = (
+        (lost, "placeholder_missing", 0.0), (invalid, "validation_failed", 0.5), (failed, "translation_failed", 0.3), (drift, "numeric_drift", 0.7),
+        (format_drift, "format_drift", 0.6), (left, "placeholder_not_restored", 0.4), (long, "potential_overflow", 0.8)
+    )
     codes = F.array_compact(F.array(*[code(c, x) for c, x, _ in ladder]))
     score = F.least(_d(1), *[F.when(c, _d(v)).otherwise(_d(1)) for c, _, v in ladder])
     status = F.when(lost | failed | (score < 0.5), "failed").when((score >= 0.85) & (F.size(codes) == 0), "ok").otherwise("warning")
@@ -228,13 +251,19 @@ def rerank_parts(source: Column, candidate: Column, registry: Column, is_header:
     ratio = _div(F.length(c), F.length(s))
     tokens = F.array_union(F.array_union(*[T.matches(c, p) for p in T.PLACEHOLDER_FORMS[:2]]), T.matches(c, T.PLACEHOLDER_FORMS[2]))
     extra = F.size(F.filter(tokens, lambda p: ~F.array_contains(registry, p))) > 0
-    length = F.when(s == "", _d(1)).when((ratio > 2.5) | (ratio < 0.4), _d(0.2)).when((ratio > 2.0) | (ratio < 0.5), _d(0.3)).when((ratio > 1.8) | (ratio < 0.6), _d(0.6)).when((ratio > 1.5) | (ratio < 0.7), _d(0.8)).otherwise(_d(1))
+    length = F.when(s == "", _d(1)).when(
+        (ratio > 2.5) | (ratio < 0.4), _d(0.2)
+    ).when((ratio > 2.0) | (ratio < 0.5), _d(0.3)).when((ratio > 1.8) | (ratio < 0.6), _d(0.6)).when((ratio > 1.5) | (ratio < 0.7), _d(0.8)).otherwise(_d(1))
     section, answer = r"(?i)^(section|chapter|part|appendix)\s+(\d+|[ivx]+)[:\s]+", r"(?i)^(section|chapitre|chapter|partie|part|annexe|appendix)\s+(\d+|[ivx]+)[:\s]+"
     ss, sc = T.strip(s), T.strip(c)
     has, kept = ss.rlike(section) & F.coalesce(is_header, F.lit(False)), sc.rlike(answer)
     digits = F.array(*[F.lit(str(k)) for k in range(10)])
-    ws, wc = F.array_except(F.array_distinct(T.matches(F.lower(s), r"(?U)\w+")), digits), F.array_except(F.array_distinct(T.matches(F.lower(c), r"(?U)\w+")), digits)
-    unrelated = (F.size(ws) > 0) & (F.size(ws) <= 5) & (F.size(wc) > 0) & ~F.arrays_overlap(ws, wc) & F.arrays_overlap(wc, F.array(*[F.lit(x) for x in SUSPICIOUS]))
+    ws, wc = F.array_except(
+        F.array_distinct(T.matches(F.lower(s), r"(?U)\w+")), digits
+    ), F.array_except(F.array_distinct(T.matches(F.lower(c), r"(?U)\w+")), digits)
+    unrelated = (F.size(ws) > 0) & (F.size(ws) <= 5) & (F.size(wc) > 0) & ~F.arrays_overlap(ws, wc) & F.arrays_overlap(
+        wc, F.array(*[F.lit(x) for x in SUSPICIOUS])
+    )
     less = lambda cond, x: F.when(cond, _d(x)).otherwise(_d(0))
     semantic = _d(1) - less(has & ~kept, 0.6) - less(has & kept & (F.regexp_extract(ss, section, 2) != F.regexp_extract(sc, answer, 2)), 0.3)
     semantic = semantic - F.when((ratio < 0.5) | (ratio > 2.5), _d(0.4)).when((ratio < 0.7) | (ratio > 1.8), _d(0.2)).otherwise(_d(0))
@@ -242,7 +271,9 @@ def rerank_parts(source: Column, candidate: Column, registry: Column, is_header:
     return {
         "placeholder": F.when(n == 0, _d(1)).otherwise(_div(present, n)),
         "numeric": share_kept(as_number(T.matches(s, NUMBER_EXP)), as_number(T.matches(c, NUMBER_EXP))),
-        "format": F.when(bs > 0, F.least(_div(bc, bs), _d(1))).otherwise(_d(1)) * _d(0.5) + F.when(ls > 0, F.least(_div(lc, ls), _d(1))).otherwise(_d(1)) * _d(0.5),
+        "format": F.when(
+            bs > 0, F.least(_div(bc, bs), _d(1))
+        ).otherwise(_d(1)) * _d(0.5) + F.when(ls > 0, F.least(_div(lc, ls), _d(1))).otherwise(_d(1)) * _d(0.5),
         "length": length,
         "spillover": F.when(T.has_spillover(c), _d(0.2)).otherwise(_d(1)),
         "hallucinated": F.when(extra, _d(0.2)).otherwise(_d(1)),

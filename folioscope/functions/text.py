@@ -33,23 +33,37 @@ NUMBERINGS = (
 )
 BULLETS = "•-*·▪▫"
 BULLET_SPILLOVER = ["rules", "conserver", "ne pas traduire", "critique", "do not translate", "je suis ravi", "pouvez-vous", "comment puis-je"]
-SPILLOVER_WORDS = ["placeholder", "conserver", "mémorisez", "rappelez-vous", "critique", "critical", "do not", "ne pas", "forbidden", "interdit", "must", "should", "required", "mandatory", "obligatoire", "conserve", "remember", "retain", "preserve exactly"]
+SPILLOVER_WORDS = [
+    "placeholder", "conserver", "mémorisez", "rappelez-vous", "critique", "critical", "do not", "ne pas", "forbidden", "interdit", "must", "should", "required",
+    "mandatory", "obligatoire", "conserve", "remember", "retain", "preserve exactly"
+]
 SPILLOVER_PREFIXES = [
     r"here\s+is\s+the\s+translation", r"here's\s+the\s+translation", r"the\s+translation\s+is", r"translated\s+text", "translation", "output", "result",
     r"voici\s+la\s+traduction", r"la\s+traduction\s+est", r"texte\s+traduit", "traduction", "sortie", "résultat",
 ]
 SPILLOVER_LINES = [
-    r"n'oubliez pas\s*[:：].*", r".*n'oubliez pas\s*[:：].*", r"rappel\s*[:：].*", r"remarque\s*[:：].*", r"attention\s*[:：].*", r"note\s*[:：].*", "sortez uniquement.*", "afficher uniquement.*", "ne incluez.*",
-    "vous devez.*", "il faut.*", "veuillez.*", "les éléments suivants.*", "le nom.*doit être.*", ".*code erreur.*", r".*\(obligatoire\).*", r".*\(facultative?\).*",
-    "output only.*", "do not include.*", "you must.*", "please.*", r"remember\s*[:：].*", r"critical\s*[:：].*", r"important\s*[:：].*", r"instructions?\s*[:：].*", r"traduction\s*[:：]\s*", r"translation\s*[:：]\s*",
+    r"n'oubliez pas\s*[:：].*", r".*n'oubliez pas\s*[:：].*", r"rappel\s*[:：].*", r"remarque\s*[:：].*", r"attention\s*[:：].*", r"note\s*[:：].*",
+    "sortez uniquement.*", "afficher uniquement.*", "ne incluez.*",
+    "vous devez.*", "il faut.*", "veuillez.*", "les éléments suivants.*", "le nom.*doit être.*", ".*code erreur.*", r".*\(obligatoire\).*",
+    r".*\(facultative?\).*",
+    "output only.*", "do not include.*", "you must.*", "please.*", r"remember\s*[:：].*", r"critical\s*[:：].*", r"important\s*[:：].*", r"instructions?\s*[:：].*",
+    r"traduction\s*[:：]\s*", r"translation\s*[:：]\s*",
+]
+SPILLOVER_ONLY = [
+    "n'oubliez pas", "rappel", "remarque", "attention", "note", "important", "critical", "remember", "souviens-toi", "instructions", "instruction"
 ]
-SPILLOVER_ONLY = ["n'oubliez pas", "rappel", "remarque", "attention", "note", "important", "critical", "remember", "souviens-toi", "instructions", "instruction"]
 SPILLOVER_SHORT = ["rappel", "remarque", "n'oubliez", "attention", "note", "sortez"]
-SPILLOVER_MARKERS = ["code erreur", "error code", "obligatoire", "required", "facultative", "optional", "formulaire", "form", "saisie", "input", "administrateur", "administrator"]
+SPILLOVER_MARKERS = [
+    "code erreur", "error code", "obligatoire", "required", "facultative", "optional", "formulaire", "form", "saisie", "input", "administrateur",
+    "administrator"
+]
 #: Version of the prompts, a part of cache keys.
 PROMPT_VERSION = "v3.1"
 GENERIC_RESPONSES = ["je suis ravi", "pouvez-vous", "i'm happy to help", "can you"]
-LATEX_ESCAPES = (("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde{}"), ("^", r"\textasciicircum{}"))
+LATEX_ESCAPES = (
+    ("\\", r"\textbackslash{}"), ("&", r"\&"), ("%", r"\%"), ("$", r"\$"), ("#", r"\#"), ("_", r"\_"), ("{", r"\{"), ("}", r"\}"), ("~", r"\textasciitilde{}"),
+    ("^", r"\textasciicircum{}")
+)
 
 
 # ---- building blocks ------------------------------------------------------------------------------------------------
@@ -132,7 +146,8 @@ def numbering(c: Column) -> Column:
     prefix = pick(lambda n: F.regexp_extract(c, n[1], 0))
     number = pick(lambda n: F.regexp_extract(c, n[1], n[2]) if n[2] else F.lit(""))
     return F.struct(
-        pick(lambda n: F.lit(n[0])).alias("kind"), number.alias("number"), pick(lambda n: F.regexp_extract(c, n[1], n[3])).alias("separator"), prefix.alias("prefix"), F.substring(c, F.length(prefix) + 1, F.length(c)).alias("rest")
+        pick(lambda n: F.lit(n[0])).alias("kind"), number.alias("number"), pick(lambda n: F.regexp_extract(c, n[1], n[3])).alias("separator"),
+        prefix.alias("prefix"), F.substring(c, F.length(prefix) + 1, F.length(c)).alias("rest")
     )
 
 
@@ -211,7 +226,10 @@ def clean_spillover(c: Column) -> Column:
         t = strip(F.regexp_replace(t, rf"(?i)^{p}:?\s*", ""))
     bad = "^(?:" + "|".join(f"(?:{p})" for p in SPILLOVER_LINES) + ")$"
     lines = F.filter(F.split(t, "\n"), lambda x: ~(F.lower(strip(x)).rlike(bad) | F.lower(strip(x)).isin(SPILLOVER_ONLY)))
-    paragraphs = F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\n\n"), strip), lambda p: (p != "") & ~((F.length(p) < 50) & any_of(F.lower(p), SPILLOVER_SHORT)) & ~any_of(F.lower(p), SPILLOVER_MARKERS))
+    paragraphs = F.filter(
+        F.transform(F.split(F.array_join(lines, "\n"), "\n\n"), strip),
+        lambda p: (p != "") & ~((F.length(p) < 50) & any_of(F.lower(p), SPILLOVER_SHORT)) & ~any_of(F.lower(p), SPILLOVER_MARKERS)
+    )
     out = F.regexp_replace(F.array_join(paragraphs, "\n\n"), r"\n{3,}", "\n\n")
     out = strip(F.regexp_replace(out, r"(?m)[ \t]+$", ""))
     return F.when(strip(c) == "", c).otherwise(out)
@@ -254,7 +272,10 @@ def font_struct(raw: Column, flags: Column) -> Column:
     low = F.lower(name)
     bold = low.contains("bold") | (F.coalesce(flags, F.lit(0)).bitwiseAND(16) > 0)
     italic = low.contains("italic") | low.contains("oblique") | (F.coalesce(flags, F.lit(0)).bitwiseAND(2) > 0)
-    return F.struct(name.alias("normalized"), F.substring_index(name, "-", 1).alias("family"), F.when(bold, "bold").otherwise("normal").alias("weight"), F.when(italic, "italic").otherwise("normal").alias("style"))
+    return F.struct(
+        name.alias("normalized"), F.substring_index(name, "-", 1).alias("family"), F.when(bold, "bold").otherwise("normal").alias("weight"),
+        F.when(italic, "italic").otherwise("normal").alias("style")
+    )
 
 
 def font_key(raw: Column, flags: Column) -> Column:

@@ -43,7 +43,9 @@ def column_numbers(blocks: DataFrame, gap: float = 30.0) -> DataFrame:
 
 def columns(blocks: DataFrame, gap: float = 30.0) -> DataFrame:
     """(doc_id, page_no, column_no, x_min, x_max, n_blocks) of each column of each page."""
-    return column_numbers(blocks, gap).groupBy(*PAGE, "column_no").agg(F.min("bbox.x0").alias("x_min"), F.max("bbox.x1").alias("x_max"), F.count("*").alias("n_blocks"))
+    return column_numbers(blocks, gap).groupBy(*PAGE, "column_no").agg(
+        F.min("bbox.x0").alias("x_min"), F.max("bbox.x1").alias("x_max"), F.count("*").alias("n_blocks")
+    )
 
 
 def reading_order(blocks: DataFrame, gap: float = 30.0) -> DataFrame:
@@ -74,15 +76,23 @@ def text_pairs(blocks: DataFrame, min_area: float = 4.0, band: float = 200.0) ->
     on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.page_no") == F.col("r.page_no")) & (F.col("l.band") == F.col("r.band"))
     order = (F.col("l.block_no") < F.col("r.block_no")) & (F.col("l.band") == F.greatest("l.first", "r.first"))
     value = iou([F.col(f"l.{k}") for k in ("x0", "y0", "x1", "y1")], [F.col(f"r.{k}") for k in ("x0", "y0", "x1", "y1")])
-    return l.join(r, on & order).select(F.col("l.doc_id").alias("doc_id"), F.col("l.page_no").alias("page_no"), F.col("l.block_no").alias("a"), F.col("r.block_no").alias("b"), value.alias("iou"))
+    return l.join(r, on & order).select(
+        F.col("l.doc_id").alias("doc_id"), F.col("l.page_no").alias("page_no"), F.col("l.block_no").alias("a"), F.col("r.block_no").alias("b"),
+        value.alias("iou")
+    )
 
 
 def page_overlap(blocks: DataFrame, min_iou: float = 0.0, pages: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no, overlap_pairs, mean_iou, max_iou) of every page, or of the distinct ``pages``; zeros for a page without overlaps or blocks."""
-    p = text_pairs(blocks).filter(F.col("iou") > min_iou).groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum(F.col("iou").cast("decimal(38,18)")).alias("s"), F.max("iou").alias("m"))
+    p = text_pairs(blocks).filter(F.col("iou") > min_iou).groupBy(*PAGE).agg(
+        F.count("*").alias("n"), F.sum(F.col("iou").cast("decimal(38,18)")).alias("s"), F.max("iou").alias("m")
+    )
     zero = lambda c, kind: F.coalesce(c.cast(kind), F.lit(0).cast(kind))
     asked = blocks.select(*PAGE).distinct() if pages is None else pages
-    return asked.join(p, PAGE, "left").select(*PAGE, zero(F.col("n"), "bigint").alias("overlap_pairs"), F.coalesce(F.col("s").cast("double") / F.col("n"), F.lit(0.0)).alias("mean_iou"), zero(F.col("m"), "double").alias("max_iou"))
+    return asked.join(p, PAGE, "left").select(
+        *PAGE, zero(F.col("n"), "bigint").alias("overlap_pairs"), F.coalesce(F.col("s").cast("double") / F.col("n"), F.lit(0.0)).alias("mean_iou"),
+        zero(F.col("m"), "double").alias("max_iou")
+    )
 
 
 def neighbours(blocks: DataFrame, k: int = 10) -> DataFrame:
@@ -91,7 +101,10 @@ def neighbours(blocks: DataFrame, k: int = 10) -> DataFrame:
     l, r = b.alias("l"), b.alias("r")
     on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.page_no") == F.col("r.page_no")) & (F.col("l.block_no") != F.col("r.block_no"))
     d = F.abs(F.col("r.bbox.y0") - F.col("l.bbox.y0")) + F.abs(F.col("r.bbox.x0") - F.col("l.bbox.x0"))
-    j = l.join(r, on).select(F.col("l.doc_id").alias("doc_id"), F.col("l.page_no").alias("page_no"), F.col("l.block_no").alias("block_no"), F.col("r.block_no").alias("other"), d.alias("distance"), F.col("l.bbox").alias("box"), F.col("r.bbox").alias("other_box"))
+    j = l.join(r, on).select(
+        F.col("l.doc_id").alias("doc_id"), F.col("l.page_no").alias("page_no"), F.col("l.block_no").alias("block_no"), F.col("r.block_no").alias("other"),
+        d.alias("distance"), F.col("l.bbox").alias("box"), F.col("r.bbox").alias("other_box")
+    )
     w = Window.partitionBy(*PAGE, "block_no").orderBy("distance", "other")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -107,7 +120,10 @@ def repaired_box(b: Column, min_width: float = 50.0, min_height: float = 10.0) -
     """The box with least dimensions where it is empty or inverted."""
     w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
     bad = (w <= 0) | (h <= 0)
-    return F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), F.when(bad, b["x0"] + F.greatest(w, F.lit(min_width))).otherwise(b["x1"]).alias("x1"), F.when(bad, b["y0"] + F.greatest(h, F.lit(min_height))).otherwise(b["y1"]).alias("y1"))
+    return F.struct(
+        b["x0"].alias("x0"), b["y0"].alias("y0"), F.when(bad, b["x0"] + F.greatest(w, F.lit(min_width))).otherwise(b["x1"]).alias("x1"),
+        F.when(bad, b["y0"] + F.greatest(h, F.lit(min_height))).otherwise(b["y1"]).alias("y1")
+    )
 
 
 def safe_boxes(blocks: DataFrame, k: int = 10, margin: float = 1.0) -> DataFrame:
@@ -140,7 +156,10 @@ def cell_grid(cells: Column, b: Column) -> Column:
     """Array of boxes of equal width for the cells of one table row; no cells: an empty array."""
     n = F.size(cells)
     w = F.try_divide(b["x1"] - b["x0"], n)
-    return F.transform(cells, lambda c, i: F.struct(c.alias("text"), (b["x0"] + w * i).alias("x0"), b["y0"].alias("y0"), (b["x0"] + w * (i + 1)).alias("x1"), b["y1"].alias("y1")))
+    return F.transform(
+        cells, lambda c,
+        i: F.struct(c.alias("text"), (b["x0"] + w * i).alias("x0"), b["y0"].alias("y0"), (b["x0"] + w * (i + 1)).alias("x1"), b["y1"].alias("y1"))
+    )
 
 
 def render_decision(source: Column, target: Column, ok: Column) -> Column:
@@ -201,7 +220,13 @@ def merge_paragraphs(blocks: DataFrame, max_gap: float = 15.0) -> DataFrame:
             yield pd.DataFrame([row()], columns=out_names)
 
     x0, y0, x1, y1 = box()
-    flat = blocks.filter(F.col("bbox").isNotNull()).select(*PAGE, "block_no", "position", "type", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), "text", F.col("size").cast("double").alias("size"))
+    flat = blocks.filter(F.col("bbox").isNotNull()).select(
+        *PAGE, "block_no", "position", "type", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), "text",
+        F.col("size").cast("double").alias("size")
+    )
     kinds = dict(flat.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, paragraph int, first_block {kinds['block_no']}, n_blocks int, x0 double, y0 double, x1 double, y1 double, text string"
+    schema = (
+        f"doc_id {kinds['doc_id']}, page_no {kinds['page_no']}, paragraph int, first_block {kinds['block_no']}, n_blocks int, x0 double, y0 double, x1 double, "
+        f"y1 double, text string"
+    )
     return flat.repartition(*PAGE).sortWithinPartitions(*PAGE, "position").mapInPandas(fold, schema)

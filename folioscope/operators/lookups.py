@@ -24,7 +24,9 @@ def merged_glossary(*glossaries: DataFrame) -> DataFrame:
         g = g.unionByName(other)
     key = F.lower(F.col("source"))
     w = Window.partitionBy(key).orderBy(F.desc("load_seq"), "source", "target")
-    return g.filter(F.col("source").isNotNull() & (F.col("source") != "")).withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank").withColumn("term_key", key)
+    return g.filter(
+        F.col("source").isNotNull() & (F.col("source") != "")
+    ).withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank").withColumn("term_key", key)
 
 
 def _candidates(texts: DataFrame, text_col: str, glossary: DataFrame) -> DataFrame:
@@ -51,7 +53,9 @@ def terms_as_words(texts: DataFrame, text_col: str, glossary: DataFrame) -> Data
     """Every text with every term that it holds between word boundaries; case counts for terms marked so."""
     c = _candidates(texts, text_col, glossary)
     quoted = F.concat(F.lit(r"\b\Q"), F.col("source"), F.lit(r"\E\b"))
-    return c.filter(F.when(F.col("case_sensitive"), F.regexp_like(F.col(text_col), quoted)).otherwise(F.regexp_like(F.col(text_col), F.concat(F.lit("(?iu)"), quoted))))
+    return c.filter(
+        F.when(F.col("case_sensitive"), F.regexp_like(F.col(text_col), quoted)).otherwise(F.regexp_like(F.col(text_col), F.concat(F.lit("(?iu)"), quoted)))
+    )
 
 
 def top_terms(found: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
@@ -70,7 +74,11 @@ def adherence(pairs: DataFrame, keys: list[str], source_col: str, target_col: st
     g = f.groupBy(*keys).agg(F.count("*").alias("terms_found"), F.count_if(ok).alias("terms_enforced"))
     j = pairs.select(*keys).distinct().join(g, keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return j.select(*keys, zero("terms_found").alias("terms_found"), zero("terms_enforced").alias("terms_enforced"), (zero("terms_found") - zero("terms_enforced")).alias("terms_violated"), F.coalesce(F.col("terms_enforced") / F.col("terms_found"), F.lit(1.0)).alias("adherence_rate"))
+    return j.select(
+        *keys, zero("terms_found").alias("terms_found"), zero("terms_enforced").alias("terms_enforced"),
+        (zero("terms_found") - zero("terms_enforced")).alias("terms_violated"),
+        F.coalesce(F.col("terms_enforced") / F.col("terms_found"), F.lit(1.0)).alias("adherence_rate")
+    )
 
 
 def enforced(df: DataFrame, target_col: str, terms_col: str) -> DataFrame:
@@ -87,7 +95,13 @@ def enforced(df: DataFrame, target_col: str, terms_col: str) -> DataFrame:
         pattern = F.concat(F.when(x["case_sensitive"], F.lit("")).otherwise(F.lit("(?iu)")), F.lit(r"\b\Q"), x["source"], F.lit(r"\E\b"))
         return F.when(F.lower(t).contains(F.lower(x["target"])), t).otherwise(F.regexp_replace(t, pattern, F.regexp_replace(new, r"([\\$])", r"\\$1")))
 
-    return df.withColumn("enforced_text", F.aggregate(F.coalesce(F.col(terms_col), F.array().cast("array<struct<source:string,target:string,case_sensitive:boolean>>")), F.coalesce(F.col(target_col), F.lit("")), step))
+    return df.withColumn(
+        "enforced_text",
+        F.aggregate(
+            F.coalesce(F.col(terms_col), F.array().cast("array<struct<source:string,target:string,case_sensitive:boolean>>")),
+            F.coalesce(F.col(target_col), F.lit("")), step
+        )
+    )
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, ttl_seconds: int, version: str) -> DataFrame:
@@ -96,10 +110,16 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column, ttl_seconds
     ``cache`` has cache_key, candidates, version, created_at; of several entries of a key the newest counts.
     """
     w = Window.partitionBy("cache_key").orderBy(F.desc_nulls_last("created_at"), "version")
-    c = cache.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("cache_key", "candidates", F.col("version").alias("__v"), F.col("created_at").alias("__at"), F.lit(True).alias("__there"))
+    c = cache.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select(
+        "cache_key", "candidates", F.col("version").alias("__v"), F.col("created_at").alias("__at"), F.lit(True).alias("__there")
+    )
     age = F.unix_timestamp(now) - F.unix_timestamp("__at")
-    status = F.when(F.col("__there").isNull(), "miss_not_found").when(~F.col("__v").eqNullSafe(F.lit(version)), "miss_version").when(F.col("__at").isNull(), "miss_no_timestamp").when(age > ttl_seconds, "miss_expired").otherwise("hit")
-    return requests.join(c, "cache_key", "left").withColumn("cache_status", status).withColumn("cached_candidates", F.when(F.col("cache_status") == "hit", F.col("candidates"))).drop("candidates", "__v", "__at", "__there")
+    status = F.when(F.col("__there").isNull(), "miss_not_found").when(
+        ~F.col("__v").eqNullSafe(F.lit(version)), "miss_version"
+    ).when(F.col("__at").isNull(), "miss_no_timestamp").when(age > ttl_seconds, "miss_expired").otherwise("hit")
+    return requests.join(c, "cache_key", "left").withColumn("cache_status", status).withColumn(
+        "cached_candidates", F.when(F.col("cache_status") == "hit", F.col("candidates"))
+    ).drop("candidates", "__v", "__at", "__there")
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -185,16 +205,24 @@ def fuzzy_matches(queries: DataFrame, memory: DataFrame, min_similarity: float =
     band = F.floor(F.log(F.length("text").cast("double")) / F.log(F.lit(1 / least))).cast("int")
     a = q.select("pair", "text").distinct().select("pair", F.col("text").alias("a"), counts("text").alias("ha"), band.alias("at"))
     a = a.select("pair", "a", "ha", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("band"))
-    b = m.select("pair", "text").distinct().select("pair", F.col("text").alias("b"), counts("text").alias("hb"), band.alias("band"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).alias("part"))
+    b = m.select("pair", "text").distinct().select(
+        "pair", F.col("text").alias("b"), counts("text").alias("hb"), band.alias("band"), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).alias("part")
+    )
     a = a.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))  # the queries are the small side
     n, o = F.length("a"), F.length("b")
     common = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     c = a.join(b, ["pair", "band", "part"]).filter((F.least(n, o) >= least * F.greatest(n, o)) & (common >= t * (n + o) / 2))
     scored = c.select("pair", "a", "b").withColumn("similarity", similarity("indel")("a", "b")).filter(F.col("similarity") >= t)
     first = Window.partitionBy("pair", "text").orderBy(F.desc_nulls_last("quality"), "memory_id")
-    best = m.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= (2 if others else 1)).groupBy("pair", F.col("text").alias("b")).agg(F.array_sort(F.collect_list(F.struct("r", "memory_id", "quality"))).alias("rows"))
+    best = m.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= (2 if others else 1)).groupBy("pair", F.col("text").alias("b")).agg(
+        F.array_sort(F.collect_list(F.struct("r", "memory_id", "quality"))).alias("rows")
+    )
     row = F.get(F.filter("rows", lambda x: x["memory_id"] != F.col("query_id")) if others else F.col("rows"), F.lit(0))
-    j = q.select("query_id", "pair", F.col("text").alias("a")).join(scored, ["pair", "a"]).join(best, ["pair", "b"]).withColumn("x", row).filter("x is not null").select("query_id", F.col("x.memory_id").alias("memory_id"), "similarity", F.col("x.quality").alias("quality"))
+    j = q.select(
+        "query_id", "pair", F.col("text").alias("a")
+    ).join(scored, ["pair", "a"]).join(best, ["pair", "b"]).withColumn("x", row).filter("x is not null").select("query_id", F.col(
+        "x.memory_id"
+    ).alias("memory_id"), "similarity", F.col("x.quality").alias("quality"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("quality"), "memory_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "memory_id", "similarity")
 
@@ -227,4 +255,6 @@ def repaired(old: DataFrame, new: DataFrame, keys: list[str], text_col: str = "t
     """Old rows with the text of a repair where it succeeded; ``repaired`` tells which."""
     n = new.select(*keys, F.col(text_col).alias("__t"), F.col(ok_col).alias("__ok")).dropDuplicates(keys)
     fixed = F.coalesce(F.col("__ok"), F.lit(False))
-    return old.join(n, keys, "left").withColumn(text_col, F.when(fixed, F.col("__t")).otherwise(F.col(text_col))).withColumn(ok_col, fixed | F.col(ok_col)).withColumn("repaired", fixed).drop("__t", "__ok")
+    return old.join(n, keys, "left").withColumn(
+        text_col, F.when(fixed, F.col("__t")).otherwise(F.col(text_col))
+    ).withColumn(ok_col, fixed | F.col(ok_col)).withColumn("repaired", fixed).drop("__t", "__ok")

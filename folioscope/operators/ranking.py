@@ -26,13 +26,20 @@ def ranked(candidates: DataFrame, keys: list[str], weights: dict[str, float] | N
     parts = S.rerank_parts(F.col("source_text"), F.col("candidate"), F.col("registry"), F.col("is_header"))
     d = candidates.select("*", *[v.alias(f"{k}_part") for k, v in parts.items()])
     sim = similarity("sequence")(T.normalised(F.coalesce("source_text", F.lit(""))), T.normalised(F.coalesce("candidate", F.lit(""))))
-    d = d.withColumn("similarity", sim).withColumn("identity_part", F.when((F.coalesce("source_text", F.lit("")) == "") | (F.coalesce("candidate", F.lit("")) == ""), F.lit(1.0)).otherwise(S.identity_penalty(F.col("similarity"))))
+    d = d.withColumn("similarity", sim).withColumn(
+        "identity_part",
+        F.when(
+            (F.coalesce("source_text", F.lit("")) == "") | (F.coalesce("candidate", F.lit("")) == ""), F.lit(1.0)
+        ).otherwise(S.identity_penalty(F.col("similarity")))
+    )
     d = d.withColumn("glossary_part", F.coalesce("glossary_score", F.lit(1.0)))
     n = F.count("*").over(Window.partitionBy(*keys))
     total = F.lit(0.0)
     for k in ("placeholder", "glossary", "numeric", "format", "semantic", "identity", "length", "spillover", "hallucinated"):
         total = total + F.col(f"{k}_part") * F.lit(w[k])
-    d = d.withColumn("total", total + F.when(n > 1, (n - F.col("idx")) * F.lit(0.5)).otherwise(F.lit(0.0))).withColumn("valid", F.col("placeholder_part") >= 1.0)
+    d = d.withColumn(
+        "total", total + F.when(n > 1, (n - F.col("idx")) * F.lit(0.5)).otherwise(F.lit(0.0))
+    ).withColumn("valid", F.col("placeholder_part") >= 1.0)
     order = Window.partitionBy(*keys).orderBy(F.desc("valid"), F.desc("total"), "idx")
     return d.withColumn("rank", F.row_number().over(order))
 

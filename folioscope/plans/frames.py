@@ -62,11 +62,16 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each candidate with its request: result_id, idx, request_id, doc_id, block_id, backend, source_text, translated_text, is_header, registry, errors, ok."""
-    q = requests(spark, d).select("request_id", "doc_id", "block_id", F.coalesce("text", F.lit("")).alias("source_text"), F.coalesce("is_header", F.lit(False)).alias("is_header"), "target_lang", "n_candidates")
+    q = requests(spark, d).select(
+        "request_id", "doc_id", "block_id", F.coalesce("text", F.lit("")).alias("source_text"), F.coalesce("is_header", F.lit(False)).alias("is_header"),
+        "target_lang", "n_candidates"
+    )
     r = results(spark, d).select("result_id", "request_id", "backend", "model", "cached", F.posexplode("candidates").alias("idx", "c"))
     j = r.join(q, "request_id").withColumn("translated_text", F.coalesce("c", F.lit(""))).drop("c")
     reg = F.array_distinct(T.matches(F.col("source_text"), T.PLACEHOLDER))
-    j = j.withColumn("registry", reg).withColumn("errors", F.transform(F.filter("registry", lambda p: ~F.col("translated_text").contains(p)), lambda p: F.concat(F.lit("missing_placeholder:"), p)))
+    j = j.withColumn("registry", reg).withColumn(
+        "errors", F.transform(F.filter("registry", lambda p: ~F.col("translated_text").contains(p)), lambda p: F.concat(F.lit("missing_placeholder:"), p))
+    )
     return j.withColumn("ok", T.strip(F.col("translated_text")) != "")
 
 
@@ -74,10 +79,12 @@ PAIRS = rf"""
 q0 AS (SELECT DISTINCT request_id, doc_id, block_id, coalesce(text, '') AS source_text, coalesce(is_header, false) AS is_header, target_lang, n_candidates FROM requests),
 r0 AS (SELECT DISTINCT result_id, request_id, replace(lower(trim(backend)), '-', '_') AS backend, model, cached, candidates FROM results),
 r1 AS (SELECT result_id, request_id, backend, model, cached, unnest(range(len(candidates)))::INT AS idx, candidates FROM r0),
-p0 AS (SELECT r1.result_id, r1.idx, r1.request_id, q0.doc_id, q0.block_id, r1.backend, r1.model, r1.cached, q0.source_text, coalesce(r1.candidates[r1.idx + 1], '') AS translated_text, q0.is_header, q0.target_lang, q0.n_candidates
+p0 AS (SELECT r1.result_id, r1.idx, r1.request_id, q0.doc_id, q0.block_id, r1.backend, r1.model, r1.cached, q0.source_text, coalesce(r1.candidates[r1.idx + 1],
+  '') AS translated_text, q0.is_header, q0.target_lang, q0.n_candidates
        FROM r1 JOIN q0 ON r1.request_id = q0.request_id),
 p1 AS (SELECT *, list_distinct(regexp_extract_all(source_text, '{PLACEHOLDER_SQL}')) AS registry FROM p0),
-pairs AS (SELECT *, list_transform(list_filter(registry, lambda p: NOT contains(translated_text, p)), lambda p: 'missing_placeholder:' || p) AS errors, {strip_sql('translated_text')} <> '' AS ok FROM p1)
+pairs AS (SELECT *, list_transform(list_filter(registry, lambda p: NOT contains(translated_text, p)), lambda p: 'missing_placeholder:' || p) AS errors,
+  {strip_sql('translated_text')} <> '' AS ok FROM p1)
 """
 
 
@@ -100,19 +107,24 @@ def block_texts(spark: SparkSession, d: str) -> DataFrame:
     s = spans(spark, d).select("doc_id", "block_id", "line_no", "span_no", "span_id", F.coalesce("text", F.lit("")).alias("text"), "size", "flags")
     ln = s.groupBy("doc_id", "block_id", "line_no").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_no", "span_id", "text"))), lambda x: x["text"]), "").alias("t"),
-        F.max("size").alias("hi"), F.sum(F.col("size").cast("decimal(20,6)")).alias("sum"), F.count("size").alias("n"), F.count("*").alias("k"), F.count_if(F.col("flags").bitwiseAND(16) > 0).alias("b"), F.min_by("size", F.struct("span_no", "span_id")).alias("first_size"),
+        F.max("size").alias("hi"), F.sum(F.col("size").cast("decimal(20,6)")).alias("sum"), F.count("size").alias("n"), F.count("*").alias("k"),
+        F.count_if(F.col("flags").bitwiseAND(16) > 0).alias("b"), F.min_by("size", F.struct("span_no", "span_id")).alias("first_size"),
     )
     g = ln.groupBy("doc_id", "block_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), "\n").alias("raw"),
-        F.max("hi").alias("max_size"), (F.sum("sum").cast("double") / F.sum("n")).alias("avg_size"), (F.sum("b") > F.sum("k") * 0.5).alias("bold"), F.min_by("first_size", "line_no").alias("first_size"),
+        F.max("hi").alias("max_size"), (F.sum("sum").cast("double") / F.sum("n")).alias("avg_size"), (F.sum("b") > F.sum("k") * 0.5).alias("bold"),
+        F.min_by("first_size", "line_no").alias("first_size"),
     )
     return blocks(spark, d).join(g, ["doc_id", "block_id"], "left").withColumn("text", F.regexp_replace("raw", r"^\n+|\n+$", "")).drop("raw")
 
 
 BLOCK_TEXTS = rf"""
 {BLOCKS}, {SPANS},
-ln AS (SELECT doc_id, block_id, line_no, string_agg(coalesce(text, ''), '' ORDER BY span_no, span_id) AS t, max(size) AS hi, sum(size::DECIMAL(20,6)) AS s, count(size) AS n, count(*) AS k,
+ln AS (SELECT doc_id, block_id, line_no, string_agg(coalesce(text, ''), '' ORDER BY span_no, span_id) AS t, max(size) AS hi, sum(size::DECIMAL(20,6)) AS s,
+  count(size) AS n, count(*) AS k,
        count(*) FILTER (flags & 16 > 0) AS b, arg_min(size, (span_no, span_id)) AS first_size FROM spans0 GROUP BY ALL),
-bt AS (SELECT doc_id, block_id, string_agg(t, chr(10) ORDER BY line_no) AS raw, max(hi) AS max_size, sum(s)::DOUBLE / sum(n) AS avg_size, sum(b) > sum(k) * 0.5 AS bold, arg_min(first_size, line_no) AS first_size FROM ln GROUP BY ALL),
-block_texts AS (SELECT b.*, regexp_replace(bt.raw, '^\n+|\n+$', '', 'g') AS text, bt.max_size, bt.avg_size, bt.bold, bt.first_size FROM blocks0 b LEFT JOIN bt ON b.doc_id = bt.doc_id AND b.block_id = bt.block_id)
+bt AS (SELECT doc_id, block_id, string_agg(t, chr(10) ORDER BY line_no) AS raw, max(hi) AS max_size, sum(s)::DOUBLE / sum(n) AS avg_size, sum(b) > sum(k) * 0.5
+  AS bold, arg_min(first_size, line_no) AS first_size FROM ln GROUP BY ALL),
+block_texts AS (SELECT b.*, regexp_replace(bt.raw, '^\n+|\n+$', '', 'g') AS text, bt.max_size, bt.avg_size, bt.bold, bt.first_size FROM blocks0 b LEFT JOIN bt
+  ON b.doc_id = bt.doc_id AND b.block_id = bt.block_id)
 """

@@ -10,7 +10,10 @@ from folioscope.functions import text as T
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 SPAN = f"struct<text:string,bbox:{BOX},style:struct<font:string,size:double,flags:int,color:int>>"
 #: A page block as one row.
-BLOCKS = f"doc_id string, page_no int, page_width double, page_height double, block_no int, block_id string, type string, bbox {BOX}, lines array<struct<spans:array<{SPAN}>,bbox:{BOX}>>, is_header boolean, block_type string, region string"
+BLOCKS = (
+    f"doc_id string, page_no int, page_width double, page_height double, block_no int, block_id string, type string, bbox {BOX}, lines "
+    f"array<struct<spans:array<{SPAN}>,bbox:{BOX}>>, is_header boolean, block_type string, region string"
+)
 STAGES = ("parsed", "masked", "pre_scores", "translations", "post_scores", "health", "overlap", "report")
 
 
@@ -36,7 +39,9 @@ def read_glossary(spark: SparkSession, path: str, domain: str = "general") -> Da
     raw = spark.read.text(path, wholetext=True)
     m = "map<string,string>"
     terms = F.coalesce(F.from_json(F.get_json_object("value", "$.terms"), m), F.from_json("value", m))
-    return raw.select(F.explode(terms).alias("source", "target")).select("source", "target", F.lit(domain).alias("domain"), F.lit(False).alias("case_sensitive"), F.lit(0).alias("load_seq"))
+    return raw.select(F.explode(terms).alias("source", "target")).select(
+        "source", "target", F.lit(domain).alias("domain"), F.lit(False).alias("case_sensitive"), F.lit(0).alias("load_seq")
+    )
 
 
 def write_glossary(df: DataFrame, path: str, domain: str | None = None) -> None:
@@ -65,7 +70,9 @@ def read_memory(spark: SparkSession, path: str, pair: str | None = None) -> Data
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, name, n_bytes, modified_at) of the files below a folder whose name fits the pattern, without their contents."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return f.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"))
+    return f.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at")
+    )
 
 
 def read_reports(spark: SparkSession, folder: str, schema: str) -> DataFrame:

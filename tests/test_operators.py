@@ -10,7 +10,10 @@ from folioscope.operators import rollups as R
 from folioscope.sources import artifacts as A
 from folioscope.streaming import blocks as B
 
-BLOCKS = "doc_id bigint, page_no int, page_width double, page_height double, block_no int, block_id string, type string, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string, size double"
+BLOCKS = (
+    "doc_id bigint, page_no int, page_width double, page_height double, block_no int, block_id string, type string, bbox "
+    "struct<x0:double,y0:double,x1:double,y1:double>, text string, size double"
+)
 
 
 def page(spark, boxes, **extra):
@@ -28,7 +31,9 @@ def test_regions(spark):
     from folioscope.functions import classify as C
 
     b = page(spark, [(0.0, 20.0, 9.0, 40.0), (0.0, 100.0, 9.0, 120.0), (0.0, 130.0, 9.0, 150.0), (0.0, 800.0, 9.0, 820.0)])
-    assert [r[0] for r in b.orderBy("block_no").select(C.region(F.col("bbox.y0"), F.col("bbox.y1"), F.col("page_height"))).collect()] == ["header", "body", "body", "footer"]
+    assert [
+        r[0] for r in b.orderBy("block_no").select(C.region(F.col("bbox.y0"), F.col("bbox.y1"), F.col("page_height"))).collect()
+    ] == ["header", "body", "body", "footer"]
 
 
 def test_overlap_equals_brute_force(spark):
@@ -71,7 +76,13 @@ def test_merging_is_the_same_for_any_partitioning(spark):
     import random
 
     random.seed(3)
-    rows = [(k % 7, 1 + k % 2, 600.0, 842.0, k, f"b{k}", "text", (50.0, 20.0 * (k // 14), 250.0, 20.0 * (k // 14) + random.choice([5.0, 15.0])), f"t{k}", random.choice([11.0, 14.0, None])) for k in range(200)]
+    rows = [
+        (
+            k % 7, 1 + k % 2, 600.0, 842.0, k, f"b{k}", "text", (50.0, 20.0 * (k // 14), 250.0, 20.0 * (k // 14) + random.choice([5.0, 15.0])), f"t{k}",
+            random.choice([11.0, 14.0, None])
+        )
+        for k in range(200)
+    ]
     d = G.reading_order(spark.createDataFrame(rows, BLOCKS))
     one = sorted(map(tuple, G.merge_paragraphs(d).collect()))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
@@ -87,7 +98,13 @@ def test_safe_boxes(spark):
 
 
 def glossary(spark):
-    return spark.createDataFrame([("Neural network", "réseau neuronal", "ml", False, 0), ("neural network", "réseau de neurones", "ml", False, 1), ("AI", "IA", "ml", True, 0), (None, "x", "ml", False, 0), ("", "y", "ml", False, 0)], "source string, target string, domain string, case_sensitive boolean, load_seq int")
+    return spark.createDataFrame(
+        [
+            ("Neural network", "réseau neuronal", "ml", False, 0), ("neural network", "réseau de neurones", "ml", False, 1), ("AI", "IA", "ml", True, 0),
+            (None, "x", "ml", False, 0), ("", "y", "ml", False, 0)
+        ],
+        "source string, target string, domain string, case_sensitive boolean, load_seq int"
+    )
 
 
 def test_glossary(spark):
@@ -111,7 +128,9 @@ def test_large_glossary_gives_the_same(spark, monkeypatch):
 
 def test_contained_terms_whatever_the_glossary(spark, monkeypatch):
     rows = [("work", "a"), ("net work", "b"), ("é", "c"), ("ab", "d"), ("a.b", "e"), ("  x", "f"), ("Ünïcode", "g")]
-    g = L.merged_glossary(spark.createDataFrame([(s, t, "x", False, 0) for s, t in rows], "source string, target string, domain string, case_sensitive boolean, load_seq int"))
+    g = L.merged_glossary(
+        spark.createDataFrame([(s, t, "x", False, 0) for s, t in rows], "source string, target string, domain string, case_sensitive boolean, load_seq int")
+    )
     texts = ["network", "Net Work", "é", "xabx a.b", "", None, "a  x b", "über ÜNÏCODE", "w" * 5000 + "work"]
     t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     want = sorted((i, s.lower()) for i, x in enumerate(texts) for s, _ in rows if x and s.lower() in x.lower())
@@ -122,16 +141,28 @@ def test_contained_terms_whatever_the_glossary(spark, monkeypatch):
 
 
 def test_enforcement(spark):
-    d = spark.createDataFrame([("the neural network", [("neural network", "réseau", False)]), ("rien", None)], "t string, terms array<struct<source:string,target:string,case_sensitive:boolean>>")
+    d = spark.createDataFrame(
+        [("the neural network", [("neural network", "réseau", False)]), ("rien", None)],
+        "t string, terms array<struct<source:string,target:string,case_sensitive:boolean>>"
+    )
     assert [r.enforced_text for r in L.enforced(d, "t", "terms").collect()] == ["the réseau", "rien"]
 
 
 def test_cache_ladder(spark):
     now = dt.datetime(2025, 1, 10)
-    cache = spark.createDataFrame([("a", ["x"], "v1", now - dt.timedelta(hours=1)), ("a", ["old"], "v1", now - dt.timedelta(days=30)), ("b", ["x"], "v0", now), ("c", ["x"], "v1", None), ("d", ["x"], "v1", now - dt.timedelta(days=9))], "cache_key string, candidates array<string>, version string, created_at timestamp")
+    cache = spark.createDataFrame(
+        [
+            ("a", ["x"], "v1", now - dt.timedelta(hours=1)), ("a", ["old"], "v1", now - dt.timedelta(days=30)), ("b", ["x"], "v0", now),
+            ("c", ["x"], "v1", None), ("d", ["x"], "v1", now - dt.timedelta(days=9))
+        ],
+        "cache_key string, candidates array<string>, version string, created_at timestamp"
+    )
     q = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",), (None,)], "cache_key string")
     r = {x.cache_key: (x.cache_status, x.cached_candidates) for x in L.cache_lookup(q, cache, F.lit(now), 7 * 86400, "v1").collect()}
-    assert r == {"a": ("hit", ["x"]), "b": ("miss_version", None), "c": ("miss_no_timestamp", None), "d": ("miss_expired", None), "e": ("miss_not_found", None), None: ("miss_not_found", None)}
+    assert r == {
+        "a": ("hit", ["x"]), "b": ("miss_version", None), "c": ("miss_no_timestamp", None), "d": ("miss_expired", None), "e": ("miss_not_found", None),
+        None: ("miss_not_found", None)
+    }
 
 
 def test_fuzzy_equals_brute_force(spark):
@@ -163,7 +194,9 @@ def test_indel_ratio():
 def test_repair_and_upsert(spark):
     old = spark.createDataFrame([(1, "a", False), (2, "b", True), (3, "c", False)], "id int, translated_text string, ok boolean")
     new = spark.createDataFrame([(1, "A", True), (3, "C", False), (9, "Z", True)], "id int, translated_text string, ok boolean")
-    assert sorted((r.id, r.translated_text, r.ok, r.repaired) for r in L.repaired(old, new, ["id"]).collect()) == [(1, "A", True, True), (2, "b", True, False), (3, "c", False, False)]
+    assert sorted(
+        (r.id, r.translated_text, r.ok, r.repaired) for r in L.repaired(old, new, ["id"]).collect()
+    ) == [(1, "A", True, True), (2, "b", True, False), (3, "c", False, False)]
     a = spark.createDataFrame([("k", 1, "x"), ("l", 5, "y")], "k string, at int, v string")
     b = spark.createDataFrame([("k", 1, "new"), ("l", 4, "older")], "k string, at int, v string")
     assert sorted((r.k, r.v) for r in L.upserted(a, b, ["k"], "at").collect()) == [("k", "new"), ("l", "y")]
@@ -210,7 +243,9 @@ def test_artifacts(spark, tmp_path):
     A.write_summary(d, str(tmp_path / "sum"))
     A.latex_lines(d).write.text(str(tmp_path / "tex"))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"doc_id": "d", "page_no": 1, "block_no": 1, "lines": [{"spans": [{"text": "x"}, {"text": "y"}]}, {"spans": [{"text": "z"}]}]}')
+    (tmp_path / "in" / "a.json").write_text(
+        '{"doc_id": "d", "page_no": 1, "block_no": 1, "lines": [{"spans": [{"text": "x"}, {"text": "y"}]}, {"spans": [{"text": "z"}]}]}'
+    )
     from folioscope.functions import text as T
 
     assert A.read_blocks(spark, str(tmp_path / "in"), "*.json").select(T.block_text(F.col("lines"))).first()[0] == "xy\nz"
@@ -246,7 +281,9 @@ def test_fuzzy_gives_copies_of_the_own_text(spark):
 def test_memory_query_keeps_own_copies(spark, tmp_path):
     from folioscope.plans import scores
 
-    rows = [(i, "the same text", "fr") for i in (20, 21, 22)] + [(23 + i, f"the same text{c}", "fr") for i, c in enumerate("abcd")] + [(40, "the same text", "fr")]
+    rows = [(i, "the same text", "fr") for i in (20, 21, 22)] + [
+        (23 + i, f"the same text{c}", "fr") for i, c in enumerate("abcd")
+    ] + [(40, "the same text", "fr")]
     full = spark.read.parquet("/root/testdata/sf0.001/requests.parquet")
     d = spark.createDataFrame(rows, "request_id bigint, text string, target_lang string")
     d.select(*[F.col(c) if c in d.columns else F.lit(None).cast(t).alias(c) for c, t in full.dtypes]).write.parquet(str(tmp_path / "requests.parquet"))
@@ -287,8 +324,14 @@ def test_state_over_gaps_and_repeats(spark, tmp_path):
 def test_best_match_needs_age_and_tokens(spark):
     now = dt.datetime(2025, 1, 10)
     token = "@@BLK_URL_0001_AAAAAAAA@@"
-    rows = [(1, "fr", f"see the page {token} of it"), (2, "fr", f"see the page {token} of it."), (3, "fr", f"see the page {token.replace('1_A', '2_A')} of it"), (4, "fr", "a plain old text"), (5, "fr", "a plain old texts")]
-    m = spark.createDataFrame([(*r, 1.0, now - dt.timedelta(days=30 if r[0] == 5 else 1)) for r in rows], "memory_id bigint, pair string, text string, quality double, requested_at timestamp")
+    rows = [
+        (1, "fr", f"see the page {token} of it"), (2, "fr", f"see the page {token} of it."), (3, "fr", f"see the page {token.replace('1_A', '2_A')} of it"),
+        (4, "fr", "a plain old text"), (5, "fr", "a plain old texts")
+    ]
+    m = spark.createDataFrame(
+        [(*r, 1.0, now - dt.timedelta(days=30 if r[0] == 5 else 1)) for r in rows],
+        "memory_id bigint, pair string, text string, quality double, requested_at timestamp"
+    )
     q = m.filter("memory_id in (1, 3, 4)").select(F.col("memory_id").alias("query_id"), "pair", "text")
     got = {(r.query_id, r.memory_id) for r in L.best_match(q, m, F.lit(now), 7 * 86400, r"@@[A-Z]+(?:_[A-Z]+)+_\d{4}_[A-F0-9]{8}@@", 0.9).collect()}
     assert got == {(1, 2)}  # 3's best match has another token, and 4's is too old
@@ -299,7 +342,13 @@ def test_cascade(spark):
     got = {(r.request_id, r.backend) for r in K.routed(q).collect()}
     slow = [n for n, _, s in K.BACKENDS if s]
     assert len(got) == 3 * len(K.BACKENDS) - 2 * len(slow) and (2, slow[0]) in got
-    c = spark.createDataFrame([(1, 0, "cloud_pro", True, 1.0), (1, 1, "local_small", True, 0.5), (1, 2, "relay_v2", True, 1.0), (1, 3, "odd", True, 1.0), (1, 4, "hub_api", False, 9.0)], "id int, idx int, backend string, valid boolean, total double")
+    c = spark.createDataFrame(
+        [
+            (1, 0, "cloud_pro", True, 1.0), (1, 1, "local_small", True, 0.5), (1, 2, "relay_v2", True, 1.0), (1, 3, "odd", True, 1.0),
+            (1, 4, "hub_api", False, 9.0)
+        ],
+        "id int, idx int, backend string, valid boolean, total double"
+    )
     assert [r.idx for r in K.cascaded(c, ["id"], ["idx"]).orderBy("rank").collect()] == [1, 0, 2, 3, 4]
 
 
@@ -312,10 +361,14 @@ def test_sinks_read_back(spark, tmp_path):
     m = spark.createDataFrame([("en-fr", "a", "b", 1.0, 1, dt.datetime(2025, 1, 1)), ("en-de", "a", None, None, None, None)], A.MEMORY)
     A.write_memory(m, str(tmp_path / "m"))
     assert A.read_memory(spark, str(tmp_path / "m")).count() == 2 and A.read_memory(spark, str(tmp_path / "m"), "en-fr").first().translation == "b"
-    t = spark.createDataFrame([(1, 2, "b2", "x", "y & z"), (1, 1, "b1", "s", None)], "doc_id bigint, block_no bigint, block_id string, source_text string, translated_text string")
+    t = spark.createDataFrame(
+        [(1, 2, "b2", "x", "y & z"), (1, 1, "b1", "s", None)], "doc_id bigint, block_no bigint, block_id string, source_text string, translated_text string"
+    )
     A.export(t, str(tmp_path / "json"), "json")
     A.export(t, str(tmp_path / "latex"), "latex")
-    assert '"block_no":1' in spark.read.text(str(tmp_path / "json")).first()[0] and any("y \\& z" in r[0] for r in spark.read.text(str(tmp_path / "latex")).collect())
+    assert '"block_no":1' in spark.read.text(str(tmp_path / "json")).first()[0] and any(
+        "y \\& z" in r[0] for r in spark.read.text(str(tmp_path / "latex")).collect()
+    )
     with pytest.raises(ValueError):
         A.export(t, str(tmp_path / "doc"), "word")
     for run in ("r1", "r2"):
@@ -331,7 +384,18 @@ def test_sinks_read_back(spark, tmp_path):
 
 
 def test_base_style_and_summary(spark):
-    s = spark.createDataFrame([(1, "b", 0, 0, 1, "A", 10.0, 1, False), (1, "b", 0, 1, 2, "B", 12.0, 1, False), (1, "b", 1, 0, 3, "A", 11.0, None, False), (1, "h", 0, 0, 4, "C", 9.0, None, True), (1, "h", 0, 1, 5, "D", 20.0, None, True), (1, "n", 0, 0, 6, None, None, None, False)], "doc_id int, block_id string, line_no int, span_no int, span_id int, font string, size double, color int, h boolean")
-    assert {r.block_id: (r.font, r.color, r["size"]) for r in R.base_style(s).collect()} == {"b": ("A", 1, 11.0), "h": ("D", None, 20.0), "n": (None, None, None)}
-    d = {r.k: (r.n, r.mean, r.deviation) for r in R.described(spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 2.0), ("z", None)], "k string, v double"), ["k"], "v").collect()}
+    s = spark.createDataFrame(
+        [
+            (1, "b", 0, 0, 1, "A", 10.0, 1, False), (1, "b", 0, 1, 2, "B", 12.0, 1, False), (1, "b", 1, 0, 3, "A", 11.0, None, False),
+            (1, "h", 0, 0, 4, "C", 9.0, None, True), (1, "h", 0, 1, 5, "D", 20.0, None, True), (1, "n", 0, 0, 6, None, None, None, False)
+        ],
+        "doc_id int, block_id string, line_no int, span_no int, span_id int, font string, size double, color int, h boolean"
+    )
+    assert {
+        r.block_id: (r.font, r.color, r["size"]) for r in R.base_style(s).collect()
+    } == {"b": ("A", 1, 11.0), "h": ("D", None, 20.0), "n": (None, None, None)}
+    d = {
+        r.k: (r.n, r.mean, r.deviation)
+        for r in R.described(spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 2.0), ("z", None)], "k string, v double"), ["k"], "v").collect()
+    }
     assert d == {"x": (2, 2.0, pytest.approx(2**0.5)), "y": (1, 2.0, None)}

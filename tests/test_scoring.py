@@ -72,14 +72,18 @@ def test_nulls_are_empty(spark):
     ],
 )
 def test_health(spark, source, target, ok, errors, status, codes):
-    r = spark.createDataFrame([(source, target, ok, errors)], "s string, t string, ok boolean, e array<string>").select(S.health(F.col("s"), F.col("t"), F.col("ok"), F.col("e")).alias("h")).first().h
+    r = spark.createDataFrame(
+        [(source, target, ok, errors)], "s string, t string, ok boolean, e array<string>"
+    ).select(S.health(F.col("s"), F.col("t"), F.col("ok"), F.col("e")).alias("h")).first().h
     assert r.status == status and r.reason_codes == codes
     assert (r.score >= 0.9) == (status == "ok")
 
 
 def rank_parts(spark, source, candidate, registry=()):
     p = S.rerank_parts(F.col("s"), F.col("c"), F.col("r"), F.lit(False))
-    return spark.createDataFrame([(source, candidate, list(registry))], "s string, c string, r array<string>").select(*[v.alias(k) for k, v in p.items()]).first()
+    return spark.createDataFrame(
+        [(source, candidate, list(registry))], "s string, c string, r array<string>"
+    ).select(*[v.alias(k) for k, v in p.items()]).first()
 
 
 def test_rank_components(spark):

@@ -10,7 +10,13 @@ def one(spark, value, expr):
     return spark.createDataFrame([(value,)], "t string").select(expr(F.col("t")).alias("x")).first().x
 
 
-@pytest.mark.parametrize("text,kind,number,rest", [("1. Item", "decimal", "1", "Item"), ("2.3) Item", "decimal", "2.3", "Item"), ("IV. Item", "roman", "IV", "Item"), ("B) Item", "alpha", "B", "Item"), ("Section 3: Title", "section", "3", "Title"), ("• Point", "bullet", "", "Point"), ("Plain", "", "", "Plain"), (None, "", "", "")])
+@pytest.mark.parametrize(
+    "text,kind,number,rest",
+    [
+        ("1. Item", "decimal", "1", "Item"), ("2.3) Item", "decimal", "2.3", "Item"), ("IV. Item", "roman", "IV", "Item"), ("B) Item", "alpha", "B", "Item"),
+        ("Section 3: Title", "section", "3", "Title"), ("• Point", "bullet", "", "Point"), ("Plain", "", "", "Plain"), (None, "", "", "")
+    ]
+)
 def test_numbering(spark, text, kind, number, rest):
     r = one(spark, text, T.numbering)
     assert (r.kind, r.number, r.rest) == (kind, number, rest)
@@ -60,32 +66,54 @@ def test_latex(spark):
 def test_keys(spark):
     k = lambda t: one(spark, t, lambda c: T.cache_key(F.lit("b"), F.lit("m"), c, F.lit("en"), F.lit("fr"), F.lit("1")))
     assert k("a") == k("a") != k("b") and k("a").startswith("cache_") and len(k("a")) == 22
-    assert one(spark, "x" * 101, lambda c: T.memory_key(F.lit("en"), F.lit("fr"), c)).startswith("en-fr:") and one(spark, "hi", lambda c: T.memory_key(F.lit("en"), F.lit("fr"), c)) == "en-fr:hi"
+    assert one(
+        spark, "x" * 101, lambda c: T.memory_key(F.lit("en"), F.lit("fr"), c)
+    ).startswith("en-fr:") and one(spark, "hi", lambda c: T.memory_key(F.lit("en"), F.lit("fr"), c)) == "en-fr:hi"
 
 
 @pytest.mark.parametrize(
     "text,expected",
-    [("| Col1 | Col2 |", True), ("12.3  45.6  78.9  10.1", True), ("Name    Value    Notes", True), ("This is a paragraph.", False), ("Section 1: Introduction", False), ("Results:", False), ("Page 12 of 45", False), ("", False), (None, False), ("a  1\nb  2\nc  3", True)],
+    [
+        ("| Col1 | Col2 |", True), ("12.3  45.6  78.9  10.1", True), ("Name    Value    Notes", True), ("This is a paragraph.", False),
+        ("Section 1: Introduction", False), ("Results:", False), ("Page 12 of 45", False), ("", False), (None, False), ("a  1\nb  2\nc  3", True)
+    ],
 )
 def test_tables(spark, text, expected):
     assert one(spark, text, lambda c: C.table_candidate(c, F.lit(True), F.lit(False))) is expected
     assert one(spark, text, lambda c: C.table_candidate(c, F.lit(True), F.lit(True))) is False
 
 
-@pytest.mark.parametrize("text,lang", [("the cat and the dog", "en"), ("le chat et la souris", "fr"), ("der Hund und die Katze", "de"), ("el perro y la gata", "es"), ("这是一个测试", "zh"), ("これはテストです", "ja"), ("", "en"), (None, "en"), ("12 34", "en")])
+@pytest.mark.parametrize(
+    "text,lang",
+    [
+        ("the cat and the dog", "en"), ("le chat et la souris", "fr"), ("der Hund und die Katze", "de"), ("el perro y la gata", "es"), ("这是一个测试", "zh"),
+        ("これはテストです", "ja"), ("", "en"), (None, "en"), ("12 34", "en")
+    ]
+)
 def test_language(spark, text, lang):
     assert one(spark, text, C.language).lang == lang
 
 
 @pytest.mark.parametrize(
     "text,font,expected",
-    [("∑", "CMSY10", True), ("α + β", "Arial", True), ("$x^2$", "Arial", True), ("x = y + 2", "Arial", True), ("H₂O + x²", "Arial", True), ("a b c", "Arial", True), ("0 ≤ x ≤ 1", "Arial", True), ("a/b", "Arial", True), ("Normal text", "Arial", False), ("The year 2025 and value 42.", "Arial", False), ("2025", "Arial", False), ("", "Arial", False)],
+    [
+        ("∑", "CMSY10", True), ("α + β", "Arial", True), ("$x^2$", "Arial", True), ("x = y + 2", "Arial", True), ("H₂O + x²", "Arial", True),
+        ("a b c", "Arial", True), ("0 ≤ x ≤ 1", "Arial", True), ("a/b", "Arial", True), ("Normal text", "Arial", False),
+        ("The year 2025 and value 42.", "Arial", False), ("2025", "Arial", False), ("", "Arial", False)
+    ],
 )
 def test_equations(spark, text, font, expected):
     assert one(spark, text, lambda c: C.is_equation(c, F.lit(font), F.lit(0))) is expected
 
 
-@pytest.mark.parametrize("source,target,reason", [("Introduction", "introduction", "academic_heading"), ("12 / 3", "12 / 3", "no_letters"), ("GPT-3", "GPT-3", "technical_term"), ("Yxz-1", "Yxz-1", "identical"), ("John Smith", "John Smith", "proper_noun"), ("hello", "hello", "common_phrase"), ("one two three four", "one two three four", "identical"), ("a", "b", "different"), ("a", " ", "empty"), (None, None, "empty")])
+@pytest.mark.parametrize(
+    "source,target,reason",
+    [
+        ("Introduction", "introduction", "academic_heading"), ("12 / 3", "12 / 3", "no_letters"), ("GPT-3", "GPT-3", "technical_term"),
+        ("Yxz-1", "Yxz-1", "identical"), ("John Smith", "John Smith", "proper_noun"), ("hello", "hello", "common_phrase"),
+        ("one two three four", "one two three four", "identical"), ("a", "b", "different"), ("a", " ", "empty"), (None, None, "empty")
+    ]
+)
 def test_identity(spark, source, target, reason):
     r = spark.createDataFrame([(source, target)], "s string, t string").select(C.identity(F.col("s"), F.col("t"), F.lit(False)).alias("x")).first().x
     assert r.reason == reason
@@ -111,12 +139,24 @@ def test_checksum_is_native_too(spark):
     assert spark.range(1).select(M.placeholder_column("MATH_INLINE", F.lit(1), F.lit("$E=mc^2$"))).first()[0] == token
 
 
-@pytest.mark.parametrize("text,expected", [("John Smith", True), ("John Paul Smith", True), ("John T. Smith", True), ("Content Analysis", False), ("Machine Learning", False), ("Data System", False), ("JOHN SMITH", False)])
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("John Smith", True), ("John Paul Smith", True), ("John T. Smith", True), ("Content Analysis", False), ("Machine Learning", False),
+        ("Data System", False), ("JOHN SMITH", False)
+    ]
+)
 def test_person_names(text, expected):
     assert M.person_name(text) is expected
 
 
-@pytest.mark.parametrize("text", [*M.TERMS, "Section 1: Content Analysis", "Section 2: Methodology", "Chapter 3: Results", "Part 1: Introduction", "1. Introduction", "Section 2: Results", "Chapter 3: Conclusion", "Method\nAccuracy\nSpeed"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        *M.TERMS, "Section 1: Content Analysis", "Section 2: Methodology", "Chapter 3: Results", "Part 1: Introduction", "1. Introduction",
+        "Section 2: Results", "Chapter 3: Conclusion", "Method\nAccuracy\nSpeed"
+    ]
+)
 def test_terms_and_headings_are_never_masked(text):
     assert M.mask_text(text) == (text, [], {})
 
@@ -127,7 +167,10 @@ def test_names_are_masked(text):
 
 
 def test_names_natively(spark):
-    texts = ["John Smith", "John T. Smith", "Random Forest", "Data System", "JOHN SMITH", "Section Smith", "Novel Design", "John", "A Long Name Of Five", "Computer Vision"]
+    texts = [
+        "John Smith", "John T. Smith", "Random Forest", "Data System", "JOHN SMITH", "Section Smith", "Novel Design", "John", "A Long Name Of Five",
+        "Computer Vision"
+    ]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(M.person_name_column(F.col("t"))).collect()
     assert [r[0] for r in got] == [M.person_name(t) for t in texts]
 
