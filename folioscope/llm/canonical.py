@@ -57,7 +57,9 @@ def reference_index(reference: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     idf = grams.groupBy("gram").agg(F.log1p(F.lit(float(n)) / F.count("*")).alias("idf"))
     weighed = grams.join(idf, "gram").select("gram", "entry", "entry_key", (F.col("idf") * F.col("idf")).alias("weight"))
     norms = weighed.groupBy("entry").agg(F.sqrt(F.sum("weight")).alias("norm"))
-    aliases = reference.select(F.explode("aliases").alias("a"), F.col("family_id").alias("entry")).select(plain_key(F.col("a")).alias("alias_key"), "entry").filter("alias_key <> ''")
+    aliases = reference.select(
+        F.explode("aliases").alias("a"), F.col("family_id").alias("entry")
+    ).select(plain_key(F.col("a")).alias("alias_key"), "entry").filter("alias_key <> ''")
     short = names.filter(F.length("entry_key") < KEY).select(F.col("entry_key").alias("alias_key"), "entry")
     return weighed.join(norms, "entry"), aliases.union(short).groupBy("alias_key").agg(F.min("entry").alias("entry")), n <= BROADCAST_ENTRIES
 
@@ -80,11 +82,15 @@ def match_keys(keys: DataFrame, reference: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy(F.desc("score"), "entry")
     best = scored.select("*", F.row_number().over(w).alias("rank"), F.lead("score").over(w).alias("next"))
     sure = (F.col("score") >= SURE) | (F.levenshtein("letters", "entry_key") <= MAX_EDITS)
-    by_grams = best.filter((F.col("rank") == 1) & (F.col("score") >= THRESHOLD) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= MARGIN) & sure).select("key", "entry", "score")
+    by_grams = best.filter(
+        (F.col("rank") == 1) & (F.col("score") >= THRESHOLD) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= MARGIN) & sure
+    ).select("key", "entry", "score")
     return by_alias.unionByName(by_grams.join(by_alias.select("key"), "key", "left_anti"))
 
 
-def map_records(records: DataFrame, reference: DataFrame, names: tuple[str, ...] = ("family", "normalized_name", "raw_name"), id_col: str = "font_id") -> DataFrame:
+def map_records(
+    records: DataFrame, reference: DataFrame, names: tuple[str, ...] = ("family", "normalized_name", "raw_name"), id_col: str = "font_id"
+) -> DataFrame:
     """(id, entry, score, source_name): the entry that a record's names taken together denote; entry 0 and null score if none.
 
     The best score over the names counts; of equal scores the name that comes first in ``names``. Null, empty and unreadable
@@ -96,7 +102,10 @@ def map_records(records: DataFrame, reference: DataFrame, names: tuple[str, ...]
     triples = keyed.groupBy(*[f"k{i}" for i in range(len(names))]).agg(F.count("*").alias("n"))
     keys = triples.select(F.explode(F.array_compact(F.array(*[F.col(f"k{i}") for i in range(len(names))]))).alias("key")).filter("key <> ''").distinct()
     matched = match_keys(keys, reference)
-    long = triples.select(*[f"k{i}" for i in range(len(names))], F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(f"k{i}").alias("key")) for i in range(len(names))])).alias("x")).select("*", "x.key", "x.rank").drop("x")
+    long = triples.select(
+        *[f"k{i}" for i in range(len(names))],
+        F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(f"k{i}").alias("key")) for i in range(len(names))])).alias("x")
+    ).select("*", "x.key", "x.rank").drop("x")
     best = (
         long.join(matched, "key")
         .groupBy(*[f"k{i}" for i in range(len(names))])
@@ -107,7 +116,8 @@ def map_records(records: DataFrame, reference: DataFrame, names: tuple[str, ...]
     for c in cond[1:]:
         on = on & c
     return keyed.alias("t").join(best.alias("b"), on, "left").select(
-        F.col(f"t.{id_col}").alias(id_col), F.coalesce(F.col("b.b.entry"), F.lit(0)).cast("int").alias("entry"), F.col("b.b.score").alias("score"), F.element_at(F.array(*[F.lit(n) for n in names]), F.col("b.b.rank") + 1).alias("source_name")
+        F.col(f"t.{id_col}").alias(id_col), F.coalesce(F.col("b.b.entry"), F.lit(0)).cast("int").alias("entry"), F.col("b.b.score").alias("score"),
+        F.element_at(F.array(*[F.lit(n) for n in names]), F.col("b.b.rank") + 1).alias("source_name")
     )
 
 
@@ -122,4 +132,6 @@ def report(fonts: DataFrame, reference: DataFrame) -> DataFrame:
     """(key, n_records): normalised names of the records without an entry, with their number of records."""
     m = map_records(fonts, reference).filter("entry = 0").select("font_id")
     names = fonts.select("font_id", "raw_name", "normalized_name", "family").dropDuplicates(["font_id"])
-    return names.join(m, "font_id", "left_semi").groupBy(F.coalesce(plain_key(F.coalesce("family", "normalized_name", "raw_name")), F.lit("")).alias("key")).agg(F.count("*").alias("n_records"))
+    return names.join(m, "font_id", "left_semi").groupBy(
+        F.coalesce(plain_key(F.coalesce("family", "normalized_name", "raw_name")), F.lit("")).alias("key")
+    ).agg(F.count("*").alias("n_records"))

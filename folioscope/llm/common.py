@@ -54,4 +54,6 @@ def language_code(col, lookup: dict[str, str]):
     """Column: the code that a loosely written language value denotes (name, ISO code, code with region), else null."""
     m = F.create_map(*[F.lit(x) for kv in sorted(lookup.items()) for x in kv])
     v = F.lower(F.trim(col))
-    return F.coalesce(F.element_at(m, v), F.when(v.rlike("^[a-z]{2,3}[-_][a-z0-9]{2,4}$"), F.element_at(m, F.substring_index(F.translate(v, "_", "-"), "-", 1))))
+    return F.coalesce(
+        F.element_at(m, v), F.when(v.rlike("^[a-z]{2,3}[-_][a-z0-9]{2,4}$"), F.element_at(m, F.substring_index(F.translate(v, "_", "-"), "-", 1)))
+    )

@@ -30,7 +30,8 @@ HEADING, OFTEN = 60, 3
 TERMINALS = ".!?。！？।؟"
 # What a broken transfer leaves behind the break: a mark of omission, half a character, placeholder, tag, entity or escape, closing JSON.
 _JUNK = re.compile(
-    r"(?:\s*\[\s*(?:\.{3}|…)\s*\]|\s*\(\s*(?:\.{3}|…)\s*\)|\s*(?:\.{3,}|…+)|\s*�+|\s*@@[A-Z_0-9]*@?|\s*<[/a-z]{0,12}|\s*&(?:#\d{0,5}|[a-z]{0,6})|\s*\\(?:u[0-9a-fA-F]{0,3}|n)?|\"\s*\}+|\s*\[(?:truncated|cut|continued|more)\]|\s*\((?:truncated|cut off|continued)\))\s*$"
+    r"(?:\s*\[\s*(?:\.{3}|…)\s*\]|\s*\(\s*(?:\.{3}|…)\s*\)|\s*(?:\.{3,}|…+)|\s*�+|\s*@@[A-Z_0-9]*@?|\s*<[/a-z]{0,12}|\s*&(?:#\d{0,5}|[a-z]{0,6})|\s*\\(?:u[0-9a-fA-F]{0,3}|n)?|\"\s*\}+|\s*\[(?:truncated|cut|continued|more)\]|\s*\((?:truncated|cut "
+    r"off|continued)\))\s*$"
 )
 #: Last characters behind which no such thing can stand.
 _SETTLED = ".!?。！？।؟»”$%,;:"
@@ -135,7 +136,9 @@ def invariants(text: str) -> Counter:
 
 
 def open_brackets(text: str) -> bool:
-    return text.count("(") > text.count(")") or text.count("（") > text.count("）") or text.count("$") % 2 == 1 or text.count("“") > text.count("”") + text.count("„") + text.count("»")
+    return text.count(
+        "("
+    ) > text.count(")") or text.count("（") > text.count("）") or text.count("$") % 2 == 1 or text.count("“") > text.count("”") + text.count("„") + text.count("»")
 
 
 class Endings:
@@ -255,7 +258,9 @@ def _asked(results: DataFrame) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         asked = [(i, *x) for i, cs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in set().union(*map(evidence, cs or ()))]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in asked], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["result_id", "kind", "key"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in asked], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["result_id", "kind", "key"]
+        )
 
     return map_arrow(results.select("result_id", "candidates"), run, "result_id bigint, kind string, key string")
 
@@ -292,8 +297,13 @@ def count_endings(texts: DataFrame, asked: Broadcast | None = None) -> DataFrame
         keys = [*e.any, *(k for k in e.end if k not in e.any)]
         if wanted is not None:
             keys = [k for k in keys if k in wanted[0] or " " not in k]
-        kinds, n, at_end = ["n"] * len(keys) + ["w"] * len(e.whole), [*(e.any.get(k, 0) for k in keys), *e.whole.values()], [*(e.end.get(k, 0) for k in keys), *[0] * len(e.whole)]
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([*keys, *e.whole], pa.string()), pa.array(n, pa.int64()), pa.array(at_end, pa.int64())], ["kind", "key", "n", "at_end"])
+        kinds, n, at_end = ["n"] * len(keys) + ["w"] * len(e.whole), [
+            *(e.any.get(k, 0) for k in keys), *e.whole.values()
+        ], [*(e.end.get(k, 0) for k in keys), *[0] * len(e.whole)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kinds, pa.string()), pa.array([*keys, *e.whole], pa.string()), pa.array(n, pa.int64()), pa.array(at_end, pa.int64())],
+            ["kind", "key", "n", "at_end"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Endings()
@@ -308,16 +318,22 @@ def count_endings(texts: DataFrame, asked: Broadcast | None = None) -> DataFrame
 
     c = texts.filter(F.col("text").isNotNull()).select("text").mapInArrow(run, "kind string, key string, n bigint, at_end bigint")
     c = c.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("at_end").alias("at_end"))
-    c = c.filter(((F.col("kind") == "n") & ((F.col("n") >= SUPPORT) | (F.col("at_end") > 0))) | ((F.col("kind") == "w") & (F.col("n") >= OFTEN))).persist(StorageLevel.DISK_ONLY)
+    c = c.filter(
+        ((F.col("kind") == "n") & ((F.col("n") >= SUPPORT) | (F.col("at_end") > 0))) | ((F.col("kind") == "w") & (F.col("n") >= OFTEN))
+    ).persist(StorageLevel.DISK_ONLY)
     c.count()  # else the two stages that read it would each count the corpus
     words = c.filter((F.col("kind") == "n") & (F.col("n") > 0) & ~F.col("key").contains(" ") & (F.length("key") > 1))
-    begins = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("key")).distinct()
+    begins = words.select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("key")
+    ).distinct()
     return c.unionByName(begins.select(F.lit("b").alias("kind"), "key", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("at_end")))
 
 
 def ending_counts(texts: DataFrame, results: DataFrame) -> DataFrame:
     """(result_id, counts): what all texts say about the endings of each result's candidates, an array of kind, key, n, at_end."""
-    return _asked(results).join(count_endings(texts), ["kind", "key"]).groupBy("result_id").agg(F.collect_list(F.struct("kind", "key", "n", "at_end")).alias("counts"))
+    return _asked(results).join(count_endings(texts), ["kind", "key"]).groupBy("result_id").agg(
+        F.collect_list(F.struct("kind", "key", "n", "at_end")).alias("counts")
+    )
 
 
 def learned_endings(texts: DataFrame, results: DataFrame) -> DataFrame | Broadcast:

@@ -45,18 +45,25 @@ _AT = {c: i for i, c in enumerate(CODES)}
 _END = "\0"
 
 # Living scripts without a known language; Greek letters stand in formulas too, so that only words of them count.
-_OTHER = r"[\u0370-\u03ff\u1f00-\u1fff]{3,}|[\u0530-\u05ff\u07c0-\u07ff\u0980-\u0dff\u0e80-\u0fff\u1000-\u10ff\u1200-\u139f\u1780-\u18af\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]+"
+_OTHER = (
+    r"[\u0370-\u03ff\u1f00-\u1fff]{3,}|[\u0530-\u05ff\u07c0-\u07ff\u0980-\u0dff\u0e80-\u0fff\u1000-\u10ff\u1200-\u139f\u1780-\u18af\u1100-\u11ff\u3130-\u318f\uac00-\ud7af]+"
+)
 #: Letters of a script that its known language doesn't have (for Latin: none of the seven).
 _FOREIGN = {"ru": re.compile("[^А-Яа-яЁё]"), "ar": re.compile("[ٱ-ۓݐ-ݿ]"), "hi": re.compile("[ऄऎऒळऴॲ-ॿ]"), "latin": re.compile("[Ā-ıĴ-őŔ-ŷŹ-ɏẠ-ỿ]")}
 
 # A token is a word of one script, a piece of text of a script without blanks, or the end of a sentence.
 _TOKEN = re.compile(
-    r"@@[A-Z_0-9]+(?:@@)?|https?://[^\s)）]+|\$[^$\n]{1,60}\$|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏẠ-ỿ]+(?:-?\d[0-9A-Za-z.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]{1,3}|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])|"
+    r"@@[A-Z_0-9]+(?:@@)?|https?://[^\s)）]+|\$[^$\n]{1,60}\$|[A-Z][a-z]+ "
+    r"v\d+(?:\.\d+)*|[A-Za-zÀ-ɏẠ-ỿ]+(?:-?\d[0-9A-Za-z.]*)?(?:[̀-ͯ]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]{1,3}|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|[.!?…]+[\"”’»)\]]*(?=\s|$)|[。！？।؟]|[.!?](?=[^\W\d_])|\n+|[(（]|[)）]|\s(?=[฀-๿])|(?<=[฀-๿])\s(?=[^\s\d(\[“\"«$@])|"
     + _OTHER
 )
 
 
-_PLAIN = re.compile(r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Z][a-z]+ v\d+(?:\.\d+)*|[A-Za-zÀ-ɏẠ-ỿ]+(?:-?\d[0-9A-Za-z.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|" + _OTHER)
+_PLAIN = re.compile(
+    r"@@[A-Z_0-9]+(?:@@)?|https?://\S+|[A-Z][a-z]+ "
+    r"v\d+(?:\.\d+)*|[A-Za-zÀ-ɏẠ-ỿ]+(?:-?\d[0-9A-Za-z.]*)?(?:[\u0300-\u036f]+[A-Za-zÀ-ɏ]*)*|[Ѐ-ԯ]+|[؀-ۿݐ-ݿ]+|[ऀ-ॣ०-ॿ]+|[฀-๿]+|[ぁ-ヿㇰ-ㇿー]+|[一-鿿㐀-䶿]|"
+    + _OTHER
+)
 
 
 _VERSION = re.compile(r"[A-Z][a-z]+ v\d")
@@ -187,7 +194,9 @@ class LanguageModel:
 
     @staticmethod
     def _table(counts: dict[str, Counter], codes: tuple[str, ...], least: int) -> dict[str, np.ndarray]:
-        vocab = sorted({w for c in codes for w, n in counts[c].items()} if least <= 1 else {w for w, n in sum((counts[c] for c in codes), Counter()).items() if n >= least})
+        vocab = sorted(
+            {w for c in codes for w, n in counts[c].items()} if least <= 1 else {w for w, n in sum((counts[c] for c in codes), Counter()).items() if n >= least}
+        )
         out = {}
         at = [_AT[c] for c in codes]
         sums = np.array([sum(counts[c].values()) for c in codes], float) + 0.1 * len(vocab)
@@ -451,7 +460,9 @@ def fit_model(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> LanguageModel:
     return model
 
 
-def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_id", text_col: str = "text", keep: tuple[str, ...] = (), prior: str | None = None) -> DataFrame:
+def segments(
+    requests: DataFrame, model: LanguageModel, id_col: str = "request_id", text_col: str = "text", keep: tuple[str, ...] = (), prior: str | None = None
+) -> DataFrame:
     """(id, kept columns, seg_no, lang, confidence) of each language segment, ``und`` for languages beyond CODES; texts without words of a language have no row.
 
     ``prior``: a kept column with a language that stands where the text's words don't tell it from their best one.
@@ -465,7 +476,9 @@ def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_i
         rows, nos, langs, conf, count = [], [], [], [], []
         given = b.column(b.schema.get_field_index(prior)).to_pylist() if prior else [None] * b.num_rows
         for i, segs in enumerate(model.label([t or "" for t in b.column(0).to_pylist()])):
-            if len(segs) == 1 and segs[0][0] != UNKNOWN and np.sort(segs[0][2][:-1])[-2] > segs[0][2].max() - DOUBT and (known := model.phrases.get((b.column(0)[i].as_py() or "").strip().casefold())):
+            if len(segs) == 1 and segs[0][0] != UNKNOWN and np.sort(segs[0][2][:-1])[-2] > segs[0][2].max() - DOUBT and (
+                known := model.phrases.get((b.column(0)[i].as_py() or "").strip().casefold())
+            ):
                 s = segs[0][2]  # words of two languages, but a heading that mostly stands under one label
                 segs = [(known, float(1 / np.exp(s - s[_AT[known]]).sum()), s)]
             if len(segs) == 1 and segs[0][0] != UNKNOWN and given[i] in _AT and segs[0][2][_AT[given[i]]] > segs[0][2].max() - DOUBT:
@@ -478,7 +491,13 @@ def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_i
                 conf.append(p)
                 count.append(len(segs))
         take = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[1:]), pa.array(nos, pa.int32()), pa.array(langs, pa.string()), pa.array(conf, pa.float64()), pa.array(count, pa.int32())], [*b.schema.names[1:], "seg_no", "lang", "confidence", "n_segments"])
+        return pa.RecordBatch.from_arrays(
+            [
+                *(c.take(take) for c in b.columns[1:]), pa.array(nos, pa.int32()), pa.array(langs, pa.string()), pa.array(conf, pa.float64()),
+                pa.array(count, pa.int32())
+            ],
+            [*b.schema.names[1:], "seg_no", "lang", "confidence", "n_segments"]
+        )
 
     cols = [id_col, *keep]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cols), "seg_no int, lang string, confidence double, n_segments int"])
@@ -487,7 +506,9 @@ def segments(requests: DataFrame, model: LanguageModel, id_col: str = "request_i
 
 def labelled_requests(requests: DataFrame, lookup: dict[str, str]) -> DataFrame:
     """Distinct requests with ``declared``, the code that source_lang denotes (null: none)."""
-    return requests.select("request_id", "text", "source_lang").dropDuplicates(["request_id"]).withColumn("declared", language_code(F.col("source_lang"), lookup))
+    return requests.select("request_id", "text", "source_lang").dropDuplicates(["request_id"]).withColumn(
+        "declared", language_code(F.col("source_lang"), lookup)
+    )
 
 
 def found(requests: DataFrame, lookup: dict[str, str], sample: int = SAMPLE_TEXTS) -> DataFrame:

@@ -136,7 +136,9 @@ def canonical_texts(df: DataFrame, id_col: str = "span_id", text_col: str = "tex
         letters = [firm_letters(f) for f in forms]
         kept = b.take(pa.array(take, pa.int64())).columns[1:]
         counts = [pa.array([n[k] for n in letters], pa.int32()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(forms, pa.string()), *counts, pa.array(foreign, pa.bool_())], [*b.schema.names[1:], "form", *SCRIPTS, "foreign"])
+        return pa.RecordBatch.from_arrays(
+            [*kept, pa.array(forms, pa.string()), *counts, pa.array(foreign, pa.bool_())], [*b.schema.names[1:], "form", *SCRIPTS, "foreign"]
+        )
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in cols), "form string, l int, c int, g int, foreign boolean"])
     return map_arrow(df.select(df[text_col].alias("__text"), *cols), run, schema)
@@ -184,7 +186,9 @@ def repaired_texts(df: DataFrame, id_col: str = "span_id", text_col: str = "text
     if document is None:
         scripts = forms.filter("foreign").withColumn("order", _order())
     else:  # documents of one script need no look at their texts
-        of = forms.groupBy(document).agg(*[F.sum(k).alias(k) for k in SCRIPTS], F.max("foreign").alias("foreign")).filter("foreign").select(document, _order().alias("order"))
+        of = forms.groupBy(document).agg(
+            *[F.sum(k).alias(k) for k in SCRIPTS], F.max("foreign").alias("foreign")
+        ).filter("foreign").select(document, _order().alias("order"))
         scripts = forms.select(*cols, "form").join(of, document)
     dirty = _with_fixes(scripts.select("form", "order", *cols), cols).persist(StorageLevel.DISK_ONLY)
     dirty.count()
@@ -194,7 +198,9 @@ def repaired_texts(df: DataFrame, id_col: str = "span_id", text_col: str = "text
     asked = dirty.select("form", F.explode(F.array_distinct(F.flatten("fixes.readings"))).alias("word")).distinct()
     known = asked.join(words, "word", "left_semi").groupBy("form").agg(F.collect_set("word").alias("known"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ([document] if document else [])]
-    todo = dirty.select("form", "fixes", *([document] if document else [])).dropDuplicates(["form", *([document] if document else [])]).join(known, "form", "left")
+    todo = dirty.select(
+        "form", "fixes", *([document] if document else [])
+    ).dropDuplicates(["form", *([document] if document else [])]).join(known, "form", "left")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         at = {n: i for i, n in enumerate(b.schema.names)}
@@ -210,14 +216,18 @@ def repaired_texts(df: DataFrame, id_col: str = "span_id", text_col: str = "text
             texts.append("".join([*repaired, form[done:]]))
             keys.append("".join([*key, form[done:]]))
         kept = [b.column(at[c]) for c in ("form", *([document] if document else []))]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(keys, pa.string())], ["form", *([document] if document else []), "repaired", "key"])
+        return pa.RecordBatch.from_arrays(
+            [*kept, pa.array(texts, pa.string()), pa.array(keys, pa.string())], ["form", *([document] if document else []), "repaired", "key"]
+        )
 
     kinds = dict(df.dtypes)
     fixed = map_arrow(todo, run, ", ".join(["form string", *([f"`{document}` {kinds[document]}"] if document else []), "repaired string, key string"]))
     on = F.col("a.form") == F.col("b.form")
     for c in same:
         on = on & c
-    return forms.alias("a").join(fixed.alias("b"), on, "left").select(*[F.col(f"a.{c}") for c in cols], F.coalesce("b.repaired", "a.form").alias("repaired"), F.coalesce("b.key", "a.form").alias("key"))
+    return forms.alias("a").join(fixed.alias("b"), on, "left").select(
+        *[F.col(f"a.{c}") for c in cols], F.coalesce("b.repaired", "a.form").alias("repaired"), F.coalesce("b.key", "a.form").alias("key")
+    )
 
 
 def alike_pairs(spans: DataFrame) -> DataFrame:
@@ -235,5 +245,7 @@ def alike_pairs(spans: DataFrame) -> DataFrame:
     m = r.join(mixed, ["doc_id", "look"], "left_semi")
     v = m.select("doc_id", "look", "drawn").distinct()
     two = v.withColumnRenamed("drawn", "one").join(v.withColumnRenamed("drawn", "other"), ["doc_id", "look"]).filter("one < other")
-    p = two.join(m.select("doc_id", F.col("drawn").alias("one"), F.col("span_id").alias("x")), ["doc_id", "one"]).join(m.select("doc_id", F.col("drawn").alias("other"), F.col("span_id").alias("y")), ["doc_id", "other"])
+    p = two.join(
+        m.select("doc_id", F.col("drawn").alias("one"), F.col("span_id").alias("x")), ["doc_id", "one"]
+    ).join(m.select("doc_id", F.col("drawn").alias("other"), F.col("span_id").alias("y")), ["doc_id", "other"])
     return p.select(F.least("x", "y").alias("span_id_a"), F.greatest("x", "y").alias("span_id_b"))

@@ -181,7 +181,9 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str, total: in
     total is 0 unless ``total`` is given. Shares deviate by less than one text for each pattern and repetition.
     """
     spark = documents.sparkSession
-    texts = _texts(documents, targets, tokenizer_path).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))).persist(StorageLevel.DISK_ONLY)
+    texts = _texts(documents, targets, tokenizer_path).withColumn(
+        "u", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
+    ).persist(StorageLevel.DISK_ONLY)
     want = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.collect() if r.source is not None}
     bucket = (F.col("u") / F.lit((1 << 40) // BUCKETS)).cast("int")
     bins = texts.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("mass")).collect()
@@ -202,13 +204,19 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str, total: in
     base = spark.createDataFrame(starts, "pattern array<string>, bucket int, before bigint")
     # position of each text in its pattern's order: mass of the buckets before, and a running sum inside its own bucket only
     inside = Window.partitionBy("pattern", "bucket").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = texts.withColumn("bucket", bucket).join(F.broadcast(base), ["pattern", "bucket"]).withColumn("pos", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    placed = texts.withColumn("bucket", bucket).join(F.broadcast(base), ["pattern", "bucket"]).withColumn(
+        "pos", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    )
     chosen = placed.join(plan, "pattern").filter((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
     return chosen.groupBy("source", "doc_id").agg(F.count("*").cast("int").alias("n_uses"), F.max("n_tokens").alias("n_tokens"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, n_texts, max_uses, tokens, share): reached share of each wanted source; 0 for one without texts."""
-    got = mixed.groupBy("source").agg(F.count("*").alias("n_texts"), F.max("n_uses").alias("max_uses"), F.sum(F.col("n_uses") * F.col("n_tokens")).alias("tokens"))
-    j = targets.select("source", "target_share").join(got, "source", "left").select("source", "target_share", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_texts", "max_uses", "tokens")])
+    got = mixed.groupBy("source").agg(
+        F.count("*").alias("n_texts"), F.max("n_uses").alias("max_uses"), F.sum(F.col("n_uses") * F.col("n_tokens")).alias("tokens")
+    )
+    j = targets.select("source", "target_share").join(got, "source", "left").select(
+        "source", "target_share", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_texts", "max_uses", "tokens")]
+    )
     return j.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))

@@ -32,7 +32,10 @@ LANGUAGE_SAMPLE = 8_000
 WRONG = 3.0
 
 # Words that stand for no value.
-NO_VALUE = {"none", "null", "nil", "nan", "n/a", "na", "nul", "undefined", "empty", "[]", "{}", "()", "tbd", "unknown", "no translation", "error", "#n/a", "<null>", "<none>", "(null)", "(none)", "(empty)", "[none]", "[null]", "[empty]", "missing", "void", "-"}
+NO_VALUE = {
+    "none", "null", "nil", "nan", "n/a", "na", "nul", "undefined", "empty", "[]", "{}", "()", "tbd", "unknown", "no translation", "error", "#n/a", "<null>",
+    "<none>", "(null)", "(none)", "(empty)", "[none]", "[null]", "[empty]", "missing", "void", "-"
+}
 
 #: Characters of the longest of them with quotation marks and blanks around it.
 _LONGEST = max(map(len, NO_VALUE)) + 48
@@ -57,9 +60,12 @@ _REFUSAL = re.compile("|".join(f"(?:{c})" for c in _CUES.values()))
 _CUE = {k: re.compile(c) for k, c in _CUES.items()}
 # Parts of words of which every cue holds one.
 _STEMS = (
-    "sorry afraid declin refus can't cannot can&not won't will&not unable not&able rather&not prefer&not i'm language&model guidelines unfortunately apolog désol navré je&ne je&n' je&dois modèle malheureus impossible "
-    "tut&mir ich&kann ich&darf ich&werde ablehnen sprachmodell leider entschuldig lo&siento no&puedo no&me modelo debo lamentablemente disculpe perdón lament desculpe infelizmente não&posso não&me devo sinto "
-    "mi&dispiace mi&rincresce non&posso non&sono modello purtroppo spiacente spijt ik&kan ik&mag ik&zal ik&moet taalmodel helaas извините простите сожалению я&не вынужден языков "
+    "sorry afraid declin refus can't cannot can&not won't will&not unable not&able rather&not prefer&not i'm language&model guidelines unfortunately apolog "
+    "désol navré je&ne je&n' je&dois modèle malheureus impossible "
+    "tut&mir ich&kann ich&darf ich&werde ablehnen sprachmodell leider entschuldig lo&siento no&puedo no&me modelo debo lamentablemente disculpe perdón lament "
+    "desculpe infelizmente não&posso não&me devo sinto "
+    "mi&dispiace mi&rincresce non&posso non&sono modello purtroppo spiacente spijt ik&kan ik&mag ik&zal ik&moet taalmodel helaas извините простите сожалению "
+    "я&не вынужден языков "
     "抱歉 对不起 很遗憾 我无法 我不能 我不可以 语言模型 拒绝 申し訳 すみません 残念ながら お断り 言語モデル お応え お答え 翻訳することはできません 翻訳できかねます عذرا آسف أعتذر للأسف لا&أستطيع لا&يمكنني لا&أقدر نموذج "
     "क्षमा माफ खेद मैं भाषा अस्वीकार ขออภัย ขอโทษ เสียใจ ไม่สามารถ ไม่อาจ โมเดลภาษา แบบจำลองภาษา ปฏิเสธ"
 ).split()
@@ -247,7 +253,10 @@ def cut_lengths(examined: DataFrame) -> DataFrame:
     up = Window.partitionBy("backend").orderBy(F.desc("size"))
     risk = sized.select("*", F.sum("ends").over(up).alias("at_risk"))
     near = Window.partitionBy("backend").orderBy("size").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
-    h = risk.select("*", (F.col("n") / F.col("at_risk")).alias("hazard"), (F.sum("n").over(near) - F.col("n")).alias("n_near"), F.max("at_risk").over(near).alias("risk_near"))
+    h = risk.select(
+        "*", (F.col("n") / F.col("at_risk")).alias("hazard"), (F.sum("n").over(near) - F.col("n")).alias("n_near"),
+        F.max("at_risk").over(near).alias("risk_near")
+    )
     # the pooled hazard of the neighbours: their cases over the candidates at risk at all of their lengths (at most that of the nearest below)
     h = h.withColumn("neighbours", (F.col("n_near") + 1) / (F.col("risk_near") * (2 * NEIGHBOURS) + 1))
     want = F.col("at_risk") * F.col("neighbours")
@@ -271,7 +280,9 @@ def _prepared(requests: DataFrame, results: DataFrame, lookup: dict[str, str] |
     seen = examine(requests, results, model, counts).persist(StorageLevel.DISK_ONLY)
     seen.count()  # else the stages that read it at the same time would each work it out
     cuts = cut_lengths(seen).select("backend", "size", F.lit(True).alias("at_limit"))
-    path = F.when(F.col("kind").isin("fine", "wrong_language"), F.when((F.col("strength") >= 1) & F.col("at_limit"), "limit").when(F.col("strength") == 2, "transfer"))
+    path = F.when(
+        F.col("kind").isin("fine", "wrong_language"), F.when((F.col("strength") >= 1) & F.col("at_limit"), "limit").when(F.col("strength") == 2, "transfer")
+    )
     return seen.join(cuts, ["backend", "size"], "left").withColumn("path", path).withColumn("truncated", F.col("path").isNotNull())
 
 
@@ -287,7 +298,10 @@ def truncated(requests: DataFrame, results: DataFrame) -> DataFrame:
 def truncation_rates(requests: DataFrame, results: DataFrame) -> DataFrame:
     """(backend, n_candidates, n_truncated, rate, n_at_limits, limits): how often each backend's candidates break off, how many of them at its significant lengths, and these lengths in order; spellings of a backend count as one."""
     p = _prepared(requests, results, None)
-    g = p.filter("kind <> 'empty'").groupBy("backend").agg(F.count("*").alias("n_candidates"), F.count_if("truncated").alias("n_truncated"), F.count_if(F.col("path") == "limit").alias("n_at_limits"), F.array_sort(F.collect_set(F.when(F.col("at_limit"), F.col("size")))).alias("limits"))
+    g = p.filter("kind <> 'empty'").groupBy("backend").agg(
+        F.count("*").alias("n_candidates"), F.count_if("truncated").alias("n_truncated"), F.count_if(F.col("path") == "limit").alias("n_at_limits"),
+        F.array_sort(F.collect_set(F.when(F.col("at_limit"), F.col("size")))).alias("limits")
+    )
     return g.select("backend", "n_candidates", "n_truncated", (F.col("n_truncated") / F.col("n_candidates")).alias("rate"), "n_at_limits", "limits")
 
 

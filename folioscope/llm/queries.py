@@ -66,7 +66,10 @@ def p6_decoded(spark, d):
     """Every document's text back from its ids, with the number of its tokens' bytes: a whole round trip."""
     path = tokens.default_tokenizer_path()
     t = tokens.decoded(tokens.token_ids(read_table(spark, d, "documents"), path, offsets=True), path)
-    return t.select("doc_id", F.col("decoded").alias("text"), (F.size("ids") == F.size("offsets")).alias("offsets_match"), F.octet_length("decoded").cast("bigint").alias("n_bytes"))
+    return t.select(
+        "doc_id", F.col("decoded").alias("text"), (F.size("ids") == F.size("offsets")).alias("offsets_match"),
+        F.octet_length("decoded").cast("bigint").alias("n_bytes")
+    )
 
 
 def p7_mix(spark, d):
@@ -84,7 +87,9 @@ def p8_found(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_segments, p2_found, p2_rates, p3_found, p4_found, p4_repaired, p5_found, p5_unmatched, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found)
+    for f in (
+        p1_found, p1_segments, p2_found, p2_rates, p3_found, p4_found, p4_repaired, p5_found, p5_unmatched, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found
+    )
 }
 
 #: Only the round trip can be expressed in SQL; tests hold the other operators against brute force and planted cases.

@@ -125,10 +125,14 @@ def learn(docs: DataFrame) -> Statistics:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         c = count_batch(b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()])
         keys = list(c)
-        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array(list(c.values()), pa.int64())], ["lang", "kind", "w", "x", "n"])
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array(list(c.values()), pa.int64())], ["lang", "kind", "w", "x", "n"]
+        )
 
     spark = docs.sparkSession
-    counts = map_arrow(docs.select("text", "lang"), run, "lang string, kind string, w string, x string, n bigint").groupBy("lang", "kind", "w", "x").agg(F.sum("n").alias("n"))
+    counts = map_arrow(
+        docs.select("text", "lang"), run, "lang string, kind string, w string, x string, n bigint"
+    ).groupBy("lang", "kind", "w", "x").agg(F.sum("n").alias("n"))
     both = counts.unionByName(counts.withColumn("lang", F.lit(ALL))).groupBy("lang", "kind", "w", "x").agg(F.sum("n").alias("n")).persist()
 
     def ratio(k, n, p):
@@ -138,30 +142,44 @@ def learn(docs: DataFrame) -> Statistics:
 
     try:
         s, t = (both.filter(F.col("kind") == k).select("lang", "w", F.col("n").alias(k)) for k in "ST")
-        sums = both.filter("w = '' and kind in ('S', 'T')").groupBy("lang").agg(F.sum(F.when(F.col("kind") == "S", F.col("n"))).alias("starts"), F.sum(F.when(F.col("kind") == "T", F.col("n"))).alias("tokens"))
+        sums = both.filter("w = '' and kind in ('S', 'T')").groupBy("lang").agg(
+            F.sum(F.when(F.col("kind") == "S", F.col("n"))).alias("starts"), F.sum(F.when(F.col("kind") == "T", F.col("n"))).alias("tokens")
+        )
         st = s.filter("w <> ''").join(t, ["lang", "w"]).join(F.broadcast(sums), "lang")
         st = st.filter((F.col("S") / F.col("starts") > 2 * F.col("T") / F.col("tokens")) & (F.col("S") >= 3))
-        starters = st.filter(ratio(F.col("S").cast("double"), F.col("starts").cast("double"), F.col("T") / F.col("tokens")) > RATIO).select("lang", F.col("w").alias("x"), F.lit(1).alias("is_start"))
+        starters = st.filter(
+            ratio(F.col("S").cast("double"), F.col("starts").cast("double"), F.col("T") / F.col("tokens")) > RATIO
+        ).select("lang", F.col("w").alias("x"), F.lit(1).alias("is_start"))
         # three small jobs: one plan over all of it would keep the driver busy with planning
         begins = [(r.lang, r.x) for r in starters.select("lang", "x").collect()]
         known = spark.createDataFrame(begins, "lang string, x string").withColumn("is_start", F.lit(1))
         anywhere = known.filter(F.col("lang") == ALL).select("x", F.lit(1).alias("is_start_all"))
         p = both.filter("kind = 'P'").join(F.broadcast(known), ["lang", "x"], "left").join(F.broadcast(anywhere), "x", "left")
         start = F.coalesce("is_start", "is_start_all") == 1
-        w = p.groupBy("lang", "w").agg(F.sum("n").cast("double").alias("n"), F.sum(F.when(start, F.col("n")).otherwise(0)).cast("double").alias("k"), F.sum(F.when(F.col("x") == "#", F.col("n")).otherwise(0)).cast("double").alias("numbers")).persist()
-        rates = {r.lang: (r.k / r.n, r.numbers / r.n) for r in w.groupBy("lang").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("numbers").alias("numbers")).collect()}
+        w = p.groupBy("lang", "w").agg(
+            F.sum("n").cast("double").alias("n"), F.sum(F.when(start, F.col("n")).otherwise(0)).cast("double").alias("k"),
+            F.sum(F.when(F.col("x") == "#", F.col("n")).otherwise(0)).cast("double").alias("numbers")
+        ).persist()
+        rates = {
+            r.lang: (r.k / r.n, r.numbers / r.n)
+            for r in w.groupBy("lang").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("numbers").alias("numbers")).collect()
+        }
         # where nearly all periods of a language stand behind abbreviations, its own rate says nothing: the general one counts
         base = [(k, max(a, rates[ALL][0]), b) for k, (a, b) in rates.items()]
         w2 = w.filter(F.col("n") >= 2).join(F.broadcast(spark.createDataFrame(base, "lang string, p0 double, p1 double")), "lang")
         abbr = (F.col("k") / F.col("n") < F.col("p0") / 2) & (ratio(F.col("k"), F.col("n"), F.col("p0")) > RATIO)
-        coll = (F.col("numbers") / F.col("n") > F.col("p1")) & (F.col("numbers") / F.col("n") > 0.5) & (ratio(F.col("numbers"), F.col("n"), F.col("p1")) > RATIO)
+        coll = (F.col("numbers") / F.col("n") > F.col("p1")) & (F.col("numbers") / F.col("n") > 0.5) & (
+            ratio(F.col("numbers"), F.col("n"), F.col("p1")) > RATIO
+        )
         kind = F.when(coll & abbr, "number").when(abbr, "abbreviation").when((F.col("n") >= FEW) & (F.col("k") / F.col("n") >= F.col("p0") / 2), "ordinary")
         judged = w2.select("lang", "w", kind.alias("what")).filter("what is not null").persist()
         special = judged.filter("what <> 'ordinary'")
         # of the ordinary words only those are ever asked for that are short, are an abbreviation in general, or end a word with periods
         asked = special.filter(F.col("lang") == ALL).select("w").union(w.filter(F.col("w").contains(".")).select(F.substring_index("w", ".", -1))).distinct()
         ordinary = judged.filter("what = 'ordinary'")
-        rows = special.collect() + ordinary.filter(F.length("w") <= SHORT).collect() + ordinary.filter(F.length("w") > SHORT).join(asked, "w", "left_semi").select("lang", "w", "what").collect()
+        rows = special.collect() + ordinary.filter(F.length("w") <= SHORT).collect() + ordinary.filter(F.length("w") > SHORT).join(
+            asked, "w", "left_semi"
+        ).select("lang", "w", "what").collect()
         judged.unpersist()
         w.unpersist()
         edge = both.filter((F.col("lang") == ALL) & F.col("kind").isin("H", "E", "C"))
@@ -379,7 +397,9 @@ def _boundary(text: str, s: int, at: int, stop: int, e: int, mark: str, stats: S
     if known:
         # an abbreviation can end a sentence too: a starter that is no name behind it says so, unless it wants a number
         token = head.split(None, 1)[0] if head else ""
-        return (token in stats.starters.get(lang, ()) or token in stats.starters.get(ALL, ())) and not _is_code(token) and word not in stats.numbered.get(lang, ())
+        return (
+            token in stats.starters.get(lang, ()) or token in stats.starters.get(ALL, ())
+        ) and not _is_code(token) and word not in stats.numbered.get(lang, ())
     if known is None and len(word) <= SHORT and first.islower() and not _NAME_START.match(head):
         return False
     return True
@@ -408,7 +428,9 @@ def _thai_cuts(text: str, s: int, e: int, parens: list, quotes: list, cuts: list
             if right.isalpha():
                 words = re.match(r"[^฀-๿\n]*", text[b:e]).group().split()
                 name = words and _is_code(words[0])
-                cut = right > "\u02af" or len([w for w in words if w.isalpha() and len(w) > 1]) >= 4 or bool(name and tail in stats.tails and chunk not in stats.openings)
+                cut = right > "\u02af" or len([w for w in words if w.isalpha() and len(w) > 1]) >= 4 or bool(
+                    name and tail in stats.tails and chunk not in stats.openings
+                )
             elif right in "“\"«":
                 cut = False
         elif right_thai:
@@ -444,6 +466,8 @@ def sentences(docs: DataFrame, stats: Statistics | None = None) -> DataFrame:
                     rows.append(i)
                     starts.append(s)
                     ends.append(e)
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start_pos", "end_pos"])
+        return pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start_pos", "end_pos"]
+        )
 
     return map_arrow(docs.select("doc_id", "text", "lang"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, start_pos int, end_pos int")

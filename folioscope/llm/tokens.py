@@ -247,7 +247,9 @@ def token_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         flat, at = t.encode([x or "" for x in b.column(1).to_pylist()])
         lists = [flat, t.byte_offsets(flat, at)] if offsets else [flat]
         cut = pa.array(at.astype(np.int32))
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.ListArray.from_arrays(cut, pa.array(x)) for x in lists)], ["id", "ids", "offsets"][: 1 + len(lists)])
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), *(pa.ListArray.from_arrays(cut, pa.array(x)) for x in lists)], ["id", "ids", "offsets"][: 1 + len(lists)]
+        )
 
     kind = dict(df.dtypes)[id_col]
     schema = f"id {kind}, ids array<int>" + (", offsets array<int>" if offsets else "")

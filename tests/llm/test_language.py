@@ -10,7 +10,10 @@ WORDS = {
     "de": "die Methode zeigt über viele Wochen einen stabilen Verlauf und das Modell braucht mehr Speicher als die frühere Fassung",
     "es": "el método muestra una tendencia estable durante muchas semanas y el modelo necesita más memoria que la versión anterior",
 }
-OTHER = {"ru": "Метод показывает устойчивую тенденцию.", "zh": "该方法呈现稳定的趋势。", "ja": "この手法は安定した傾向を示す。", "ar": "الأسلوب يظهر اتجاها مستقرا.", "hi": "यह तरीका स्थिर रुझान दिखाता है।", "th": "วิธีการนี้แสดงแนวโน้มคงที่"}
+OTHER = {
+    "ru": "Метод показывает устойчивую тенденцию.", "zh": "该方法呈现稳定的趋势。", "ja": "この手法は安定した傾向を示す。", "ar": "الأسلوب يظهر اتجاها مستقرا.",
+    "hi": "यह तरीका स्थिर रुझान दिखाता है।", "th": "วิธีการนี้แสดงแนวโน้มคงที่"
+}
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +35,12 @@ def requests(spark):
 
 
 CASES = [
-    (1, "The method needs memory.", "en-US", []), (2, "The method needs memory.", "English", []), (3, "The method needs memory.", "fr", ["en"]), (4, "The method needs memory.", None, ["en"]), (5, "The method needs memory.", "unknown", ["en"]),
-    (6, "The method needs more memory. La méthode montre une tendance stable.", "en", ["en", "fr"]), (7, "[12]", None, []), (8, "α + β = 5", "xx", []), (9, "Kx397", "", []), (10, None, None, []), (11, "", "en", []), (12, "  ", None, []),
-    (13, "该方法呈现稳定的趋势。この手法は安定した傾向を示す。", "zh", ["zh", "ja"]), (14, "The method (“Une tendance”) needs more memory than this version.", "en", []), (15, "Das Modell braucht mehr Speicher. Метод показывает тенденцию. Die Methode zeigt Wochen.", "de", ["de", "ru", "de"]),
+    (1, "The method needs memory.", "en-US", []), (2, "The method needs memory.", "English", []), (3, "The method needs memory.", "fr", ["en"]),
+    (4, "The method needs memory.", None, ["en"]), (5, "The method needs memory.", "unknown", ["en"]),
+    (6, "The method needs more memory. La méthode montre une tendance stable.", "en", ["en", "fr"]), (7, "[12]", None, []), (8, "α + β = 5", "xx", []),
+    (9, "Kx397", "", []), (10, None, None, []), (11, "", "en", []), (12, "  ", None, []),
+    (13, "该方法呈现稳定的趋势。この手法は安定した傾向を示す。", "zh", ["zh", "ja"]), (14, "The method (“Une tendance”) needs more memory than this version.", "en", []),
+    (15, "Das Modell braucht mehr Speicher. Метод показывает тенденцию. Die Methode zeigt Wochen.", "de", ["de", "ru", "de"]),
     (16, "The method needs memory.", " EN ", []), (17, "@@BLK_URL_0001_AAAAAAAA@@", None, []), (18, "วิธีการนี้แสดงแนวโน้มคงที่", "de", ["th"]),
 ]
 
@@ -62,13 +68,18 @@ def test_held_out_accuracy(spark, data):
 def test_long_text_and_empty_table(spark, data, requests):
     long = " ".join(["The method needs more memory."] * 3000 + ["La méthode montre une tendance stable."])
     own = spark.createDataFrame([(1, long, "en")], "request_id bigint, text string, source_lang string")
-    assert [(r.seg_no, r.lang) for r in L.found(requests.unionByName(own), code_lookup(spark, data)).filter("request_id = 1").orderBy("seg_no").collect()] == [(1, "en"), (2, "fr")]
+    assert [
+        (r.seg_no, r.lang) for r in L.found(requests.unionByName(own), code_lookup(spark, data)).filter("request_id = 1").orderBy("seg_no").collect()
+    ] == [(1, "en"), (2, "fr")]
     assert L.found(requests.limit(0), code_lookup(spark, data)).count() == 0
 
 
 def test_other_languages_are_unknown(spark, data, requests):
     model = L.fit_model(requests.select(F.col("request_id").alias("id"), "text", F.col("source_lang").alias("lang")))
-    texts = {"이 방법은 안정적인 추세를 보인다.": "und", "Η μέθοδος δείχνει σταθερή τάση.": "und", "השיטה מראה מגמה יציבה.": "und", "Цей метод виявляє сталу тенденцію і її зміни.": "und", "یہ طریقہ ایک مستحکم رجحان دکھاتا ہے۔": "und", "Метод показывает устойчивую тенденцию.": "ru"}
+    texts = {
+        "이 방법은 안정적인 추세를 보인다.": "und", "Η μέθοδος δείχνει σταθερή τάση.": "und", "השיטה מראה מגמה יציבה.": "und",
+        "Цей метод виявляє сталу тенденцію і її зміни.": "und", "یہ طریقہ ایک مستحکم رجحان دکھاتا ہے۔": "und", "Метод показывает устойчивую тенденцию.": "ru"
+    }
     got = model.label(list(texts))
     assert [[s[0] for s in segs] for segs in got] == [[v] for v in texts.values()]
     one, many = model.label(["Метод", "Метод показывает устойчивую тенденцию во всех трёх областях."])

@@ -6,7 +6,14 @@ from folioscope.llm import pairs as P
 from folioscope.llm.common import code_lookup
 
 
-@pytest.mark.parametrize("text,core,hit", [("abc [...]", "abc", True), ("abc…", "abc", True), ("abc��", "abc", True), ("abc @@BLK_UR", "abc", True), ("abc @@BLK_URL_0001_AAAAAAAA@@", "abc @@BLK_URL_0001_AAAAAAAA@@", False), ("abc <su", "abc", True), ("abc &am", "abc", True), ('abc"}', "abc", True), ("abc.", "abc.", False), ("abc", "abc", False), ("", "", False), ("...", "", True)])
+@pytest.mark.parametrize(
+    "text,core,hit",
+    [
+        ("abc [...]", "abc", True), ("abc…", "abc", True), ("abc��", "abc", True), ("abc @@BLK_UR", "abc", True),
+        ("abc @@BLK_URL_0001_AAAAAAAA@@", "abc @@BLK_URL_0001_AAAAAAAA@@", False), ("abc <su", "abc", True), ("abc &am", "abc", True), ('abc"}', "abc", True),
+        ("abc.", "abc.", False), ("abc", "abc", False), ("", "", False), ("...", "", True)
+    ]
+)
 def test_break_marks(text, core, hit):
     assert E.strip_break(text) == (core, hit)
 
@@ -16,12 +23,26 @@ def test_unreadable(text):
     assert not P.readable(text)
 
 
-@pytest.mark.parametrize("a,b,same", [("The cat sat on the mat.", "THE CAT SAT ON THE MAT", True), ("The cat sat on the mat.", '"The cat sat on the mat."', True), ("The cat sat on the mat.", "The  cat sat\non the mat!", True), ("The cat sat on the mat.", "Output:\nThe cat sat on the mat.", True), ("The cat sat.", "The cat sat. The cat sat.", True), ("The cat sat on the mat.", "Le chat est assis sur le tapis.", False), ("", "", True)])
+@pytest.mark.parametrize(
+    "a,b,same",
+    [
+        ("The cat sat on the mat.", "THE CAT SAT ON THE MAT", True), ("The cat sat on the mat.", '"The cat sat on the mat."', True),
+        ("The cat sat on the mat.", "The  cat sat\non the mat!", True), ("The cat sat on the mat.", "Output:\nThe cat sat on the mat.", True),
+        ("The cat sat.", "The cat sat. The cat sat.", True), ("The cat sat on the mat.", "Le chat est assis sur le tapis.", False), ("", "", True)
+    ]
+)
 def test_copies(a, b, same):
     assert P.is_copy(a, b) is same
 
 
-@pytest.mark.parametrize("text,no", [("I'm sorry, but I can't translate this text.", True), ("Je suis désolé, mais je ne peux pas traduire ce texte.", True), ("Es tut mir leid, aber ich kann das nicht übersetzen.", True), ("抱歉，我无法翻译这段文字。", True), ("عذرا، لا أستطيع ترجمة هذا النص.", True), ("ขออภัย ฉันไม่สามารถแปลข้อความนี้ได้", True), ("The method cannot translate inputs above 20 pages.", False), ("Le modèle montre une tendance.", False)])
+@pytest.mark.parametrize(
+    "text,no",
+    [
+        ("I'm sorry, but I can't translate this text.", True), ("Je suis désolé, mais je ne peux pas traduire ce texte.", True),
+        ("Es tut mir leid, aber ich kann das nicht übersetzen.", True), ("抱歉，我无法翻译这段文字。", True), ("عذرا، لا أستطيع ترجمة هذا النص.", True),
+        ("ขออภัย ฉันไม่สามารถแปลข้อความนี้ได้", True), ("The method cannot translate inputs above 20 pages.", False), ("Le modèle montre une tendance.", False)
+    ]
+)
 def test_refusals(text, no):
     assert P.is_refusal("Some other text", text) is no
 
@@ -32,9 +53,20 @@ def tables(spark):
     import random
 
     random.seed(9)
-    subj = {"en": ["The method", "The parser", "Our model", "The table"], "fr": ["La méthode", "L'analyseur", "Notre modèle", "Le tableau"], "de": ["Die Methode", "Der Parser", "Unser Modell", "Die Tabelle"]}
-    verb = {"en": ["shows a stable trend", "needs more memory", "agrees with the values", "loses some precision"], "fr": ["montre une tendance stable", "demande plus de mémoire", "concorde avec les valeurs", "perd en précision"], "de": ["zeigt einen stabilen Verlauf", "braucht mehr Speicher", "stimmt mit den Werten überein", "verliert an Genauigkeit"]}
-    tail = {"en": ["in all regions", "at night", "under dry conditions", "in most cases"], "fr": ["dans toutes les régions", "pendant la nuit", "par temps sec", "dans la plupart des cas"], "de": ["in allen Regionen", "in der Nacht", "bei trockenem Wetter", "in den meisten Fällen"]}
+    subj = {
+        "en": ["The method", "The parser", "Our model", "The table"], "fr": ["La méthode", "L'analyseur", "Notre modèle", "Le tableau"],
+        "de": ["Die Methode", "Der Parser", "Unser Modell", "Die Tabelle"]
+    }
+    verb = {
+        "en": ["shows a stable trend", "needs more memory", "agrees with the values", "loses some precision"],
+        "fr": ["montre une tendance stable", "demande plus de mémoire", "concorde avec les valeurs", "perd en précision"],
+        "de": ["zeigt einen stabilen Verlauf", "braucht mehr Speicher", "stimmt mit den Werten überein", "verliert an Genauigkeit"]
+    }
+    tail = {
+        "en": ["in all regions", "at night", "under dry conditions", "in most cases"],
+        "fr": ["dans toutes les régions", "pendant la nuit", "par temps sec", "dans la plupart des cas"],
+        "de": ["in allen Regionen", "in der Nacht", "bei trockenem Wetter", "in den meisten Fällen"]
+    }
     q, r, want = [], [], {}
     for i in range(900):
         ks = [(random.randrange(4), random.randrange(4), random.randrange(4), random.randint(10, 99)) for _ in range(random.randint(1, 4))]
@@ -65,7 +97,9 @@ def tables(spark):
     q.append((5000, None, "en", "fr", ""))
     r += [(5000, 5000, None, None, ""), (5001, 0, [], "beta_x", ""), (5002, 99999, ["x"], "beta_x", ""), r[0]]
     want |= {(5000, 0): "empty", (5001, 0): "empty"}
-    return spark.createDataFrame(q, "request_id bigint, text string, source_lang string, target_lang string, kind string"), spark.createDataFrame(r, "result_id bigint, request_id bigint, candidates array<string>, backend string, text string"), want
+    return spark.createDataFrame(
+        q, "request_id bigint, text string, source_lang string, target_lang string, kind string"
+    ), spark.createDataFrame(r, "result_id bigint, request_id bigint, candidates array<string>, backend string, text string"), want
 
 
 def test_planted_defects(spark, data, tables):
@@ -107,7 +141,9 @@ def test_endings_are_counted_over_all_texts(spark, monkeypatch):
 
     random.seed(5)
     words = ["method", "parser", "methods", "value", "values", "भाषा का अनुवाद", "ตารางแสดงผล", "12", "数据处理", "(x)"]
-    texts = [" ".join(random.choices(words, k=random.randint(1, 5))) + random.choice(["", ".", " valu", "…"]) for _ in range(700)] + ["Rare heading"] * E.OFTEN + [None, ""]
+    texts = [
+        " ".join(random.choices(words, k=random.randint(1, 5))) + random.choice(["", ".", " valu", "…"]) for _ in range(700)
+    ] + ["Rare heading"] * E.OFTEN + [None, ""]
     e = E.Endings()
     for t in texts:
         e.add(t or "")
@@ -148,6 +184,10 @@ def test_limits_are_those_of_incomplete_endings(spark):
     import random
 
     random.seed(4)
-    rows = [("a", random.randint(20, 200), 0) for _ in range(6000)] + [("a", 40, 0) for _ in range(900)] + [("a", 120, 1) for _ in range(60)] + [("a", random.randint(20, 200), 2) for _ in range(60)]
-    got = [x["size"] for x in P.cut_lengths(spark.createDataFrame([(*x, "fine") for x in rows], "backend string, size int, strength int, kind string")).collect()]
+    rows = [
+        ("a", random.randint(20, 200), 0) for _ in range(6000)
+    ] + [("a", 40, 0) for _ in range(900)] + [("a", 120, 1) for _ in range(60)] + [("a", random.randint(20, 200), 2) for _ in range(60)]
+    got = [
+        x["size"] for x in P.cut_lengths(spark.createDataFrame([(*x, "fine") for x in rows], "backend string, size int, strength int, kind string")).collect()
+    ]
     assert got == [120]  # many headings of one length are no limit

@@ -6,7 +6,8 @@ import __spark_entry__ as E
 
 Q = importlib.import_module("folioscope.llm.queries")
 COLUMNS = {
-    "p1_found": {"request_id", "seg_no", "lang"}, "p2_found": {"result_id", "idx"}, "p3_found": {"result_id", "idx", "defect"}, "p4_found": {"span_id_a", "span_id_b"}, "p5_found": {"font_id", "family_id"}, "p6_ids": {"doc_id", "ids"}, "p8_found": {"doc_id", "start_pos", "end_pos"},
+    "p1_found": {"request_id", "seg_no", "lang"}, "p2_found": {"result_id", "idx"}, "p3_found": {"result_id", "idx", "defect"},
+    "p4_found": {"span_id_a", "span_id_b"}, "p5_found": {"font_id", "family_id"}, "p6_ids": {"doc_id", "ids"}, "p8_found": {"doc_id", "start_pos", "end_pos"},
 }
 
 

@@ -3,7 +3,8 @@ import pytest
 from folioscope.llm import sentences as S
 
 STATS = S.Statistics(
-    abbreviations={"*": frozenset({"Dr", "Prof", "e.g", "p", "Fig", "vol"})}, ordinary={"*": frozenset({"etc", "noise"})}, numbered={"*": frozenset({"p", "Fig", "vol"})}, starters={"*": frozenset({"The", "However,", "In"})},
+    abbreviations={"*": frozenset({"Dr", "Prof", "e.g", "p", "Fig", "vol"})}, ordinary={"*": frozenset({"etc", "noise"})},
+    numbered={"*": frozenset({"p", "Fig", "vol"})}, starters={"*": frozenset({"The", "However,", "In"})},
     openings=frozenset({"อย่างไรก็ตาม"}), heads=frozenset({"กลุ่ม", "วิธีก"}), tails=frozenset({"สัปดาห์"[-5:]}),
 )
 CASES = [
@@ -15,7 +16,10 @@ CASES = [
     ('The remark "It works." comes from Vek. The next.', ['The remark "It works." comes from Vek.', "The next."]),
     ("free of noise.The parser is on?However, it is.", ["free of noise.", "The parser is on?", "However, it is."]),
     ("A line that\ngoes on here. And\nends.", ["A line that\ngoes on here.", "And\nends."]),
-    ("4.2 Heading\n\nText here.\n\n- first item\n- second item.\n\n| a | b |\n| c | d |\n\nx = y + 2\n\n1.2 Title ........ 12", ["4.2 Heading", "Text here.", "- first item", "- second item.", "| a | b |", "| c | d |", "x = y + 2", "1.2 Title ........ 12"]),
+    (
+        "4.2 Heading\n\nText here.\n\n- first item\n- second item.\n\n| a | b |\n| c | d |\n\nx = y + 2\n\n1.2 Title ........ 12",
+        ["4.2 Heading", "Text here.", "- first item", "- second item.", "| a | b |", "| c | d |", "x = y + 2", "1.2 Title ........ 12"]
+    ),
     ("第一句。第二句？“第三句。”这句话出自某人。", ["第一句。", "第二句？", "“第三句。”这句话出自某人。"]),
     ("पहला वाक्य। दूसरा वाक्य।", ["पहला वाक्य।", "दूसरा वाक्य।"]),
     ("الجملة الأولى. هل هذه الثانية؟ نعم.", ["الجملة الأولى.", "هل هذه الثانية؟", "نعم."]),
@@ -50,7 +54,15 @@ def test_units_are_ordered_disjoint_and_whole():
 
 def test_statistics_are_learned(spark):
     starts = ["The data came late.", "However, it rained.", "In all, it worked.", "The rest is known."]
-    rows = [(i, f"{starts[i % 4]}\n\nThe model works well (see noise). The team of Dr. Vek{i} uses e.g. Kx{i} a lot, p. {i}. The parser needs data, etc. The noise stays.\n\nThe end is known. The rest of it works!  The rest.", "en") for i in range(80)]
+    rows = [
+        (
+            i,
+            f"{starts[i % 4]}\n\nThe model works well (see noise). The team of Dr. Vek{i} uses e.g. Kx{i} a lot, p. {i}. The parser needs data, etc. The "
+            f"noise stays.\n\nThe end is known. The rest of it works!  The rest.",
+            "en"
+        )
+        for i in range(80)
+    ]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     s = S.learn(d)
     assert {"Dr", "e.g", "p"} <= s.abbreviations["en"] and "p" in s.numbered["en"] and "The" in s.starters["en"]
@@ -96,6 +108,8 @@ def test_brackets_of_any_length_and_depth():
 
 def test_learned_words_are_all_that_is_asked_for(spark):
     starts = ["The data came late.", "However, it rained.", "In all, it worked.", "The rest is known."]
-    rows = [(f"{starts[i % 4]}\n\nThe team of Dr. Vek{i} sees representations. The end.of it is here. The rest of set. The noise stays.", "en") for i in range(80)]
+    rows = [
+        (f"{starts[i % 4]}\n\nThe team of Dr. Vek{i} sees representations. The end.of it is here. The rest of set. The noise stays.", "en") for i in range(80)
+    ]
     s = S.learn(spark.createDataFrame(rows, "text string, lang string"))
     assert "set" in s.ordinary["en"] and "representations" not in s.ordinary["en"]  # long ordinary words decide nothing

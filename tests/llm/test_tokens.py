@@ -83,4 +83,6 @@ def test_offsets_and_round_trip(spark):
     for r in K.decoded(K.token_ids(d, PATH, offsets=True), PATH).collect():
         raw = (dict(rows)[r.doc_id] or "").encode()
         t = K.tokenizer(PATH)
-        assert r.decoded.encode() == raw and all(raw[o : o + len(t.pieces[i])] == t.pieces[i] for i, o in zip(r.ids, r.offsets)) and len(r.ids) == len(r.offsets)
+        assert r.decoded.encode() == raw and all(
+            raw[o : o + len(t.pieces[i])] == t.pieces[i] for i, o in zip(r.ids, r.offsets)
+        ) and len(r.ids) == len(r.offsets)
