@@ -170,7 +170,7 @@ class Endings:
         for e in sorted(ends):  # no token reaches over the end of a sentence
             words += _words(core[at:e])
             at = e
-            if e and not plain and _BY_CHARACTER.match(core[e - 1]):
+            if e and core[e - 1] >= "\u0900" and _BY_CHARACTER.match(core[e - 1]):
                 long, short = tail(core[max(0, e - 80) : e])
             elif words:
                 short = words[-1]

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .tokens import token_counts
 
+#: Rows up to which a table made on the driver is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Steps of the hash range in which token mass is summed for each pattern.
 BUCKETS = 1024
 _BIG = 1 << 60
@@ -165,7 +167,7 @@ def pieces(flow: dict, length: dict, targets: dict[str, tuple[float, int]]) -> l
 def _texts(documents: DataFrame, targets: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, pattern, n_tokens, u): each distinct text of the wanted sources once (its smallest doc_id), with its pattern and place in the hash order."""
     wanted = targets.select("source").filter(F.col("source").isNotNull()).distinct()
-    d = documents.select("doc_id", "source", "text").filter(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).join(F.broadcast(wanted), "source")
+    d = documents.select("doc_id", "source", "text").filter(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).join(wanted, "source")
     # copies first: the text itself is shuffled once, its 128-bit key tells copies apart
     keyed = d.withColumn("key", F.md5("text"))
     one = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_set("source")).alias("pattern"))
@@ -194,20 +196,22 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str, total: in
     known = {s: t for s, t in want.items() if s in present} if total is None else want
     flow, _, length = _routed({p: sum(h.values()) for p, h in hist.items()}, known, total)
     schema = "pattern array<string>, source string, repetition int, lo bigint, hi bigint"
-    plan = F.broadcast(spark.createDataFrame(pieces(flow, length, known), schema))  # at most patterns x sources x repetitions
+    parts = pieces(flow, length, known)
+    plan = spark.createDataFrame(parts, schema)
     starts = []
     for p, h in hist.items():
         before = 0
         for b in sorted(h):
             starts.append((list(p), b, before))
             before += h[b]
+    near = F.broadcast if max(len(parts), len(starts)) <= BROADCAST_ROWS else lambda d: d
     base = spark.createDataFrame(starts, "pattern array<string>, bucket int, before bigint")
     # position of each text in its pattern's order: mass of the buckets before, and a running sum inside its own bucket only
     inside = Window.partitionBy("pattern", "bucket").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = texts.withColumn("bucket", bucket).join(F.broadcast(base), ["pattern", "bucket"]).withColumn(
+    placed = texts.withColumn("bucket", bucket).join(near(base), ["pattern", "bucket"]).withColumn(
         "pos", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     )
-    chosen = placed.join(plan, "pattern").filter((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
+    chosen = placed.join(near(plan), "pattern").filter((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
     return chosen.groupBy("source", "doc_id").agg(F.count("*").cast("int").alias("n_uses"), F.max("n_tokens").alias("n_tokens"))
 
 

@@ -42,7 +42,13 @@ _LONGEST = max(map(len, NO_VALUE)) + 48
 
 # How a model declines, by language. A cue of regret or of being a model, or the first person with a refusal.
 _CUES = {
-    "en": r"^(i'm|i am|we're|we are)? ?(so |very )?(sorry|afraid)\b|\bi (must|have to|need to)? ?(decline|refuse)|\bi (can't|cannot|can not|won't|will not|am unable|am not able|would rather not|would prefer not)\b|\bi'm (unable|not able)\b|something i would rather not|language model|my guidelines|^unfortunately,? (i|no|we)\b|cannot be translated because|can't be translated because|^my apologies|\bi apologi[sz]e",
+    "en": (
+        r"^(i'm|i am|we're|we are)? ?(so |very )?(sorry|afraid)\b|\bi (must|have to|need to)? ?(decline|refuse)"
+        r"|\bi (can't|cannot|can not|won't|will not|am unable|am not able|would rather not|would prefer not)\b|\bi'm (unable|not able)\b"
+        r"|something i would rather not|language model|my guidelines|^unfortunately,? (i|no|we)\b|cannot be translated because"
+        r"|can't be translated because|^my apologies"
+        r"|\bi apologi[sz]e"
+    ),
     "fr": r"je suis (désolée?|navrée?)|je (ne|n') ?(peux|suis|puis) pas|je (dois|suis contrainte?) (décliner|refuser)|je refuse|modèle de lang|^(désolée?|malheureusement)\b|il m'est impossible",
     "de": r"tut mir leid|ich (kann|darf|werde) .{0,40}nicht|(muss|möchte) ich (leider )?(ablehnen|.{0,30}ablehnen)|muss ich leider|sprachmodell|^(leider|entschuldigung)\b",
     "es": r"lo siento|no (puedo|me es posible)|modelo de lenguaje|debo (rechazar|declinar)|^(lamentablemente|disculpe|perdón)\b|lamento",
@@ -156,7 +162,11 @@ REFUSAL_SENTENCES = 3
 
 
 def is_refusal(request: str, candidate: str) -> bool:
-    """Whether the candidate declines instead of translating: a cue that the request itself doesn't hold, and in texts of many sentences none of the numbers, placeholders and addresses that a translation would keep."""
+    """Whether the candidate declines instead of translating: it holds a cue that the request itself doesn't.
+
+    In texts of many sentences it must also lack all numbers, placeholders and addresses of the request, which a translation
+    would keep; where the request has none, it must have more sentences.
+    """
     c = candidate.strip(" \t\n\"'«»“”").replace("’", "'").casefold()
     if not _holds_cue(c) or _REFUSAL.search(request.replace("’", "'").casefold()):
         return False
@@ -175,7 +185,8 @@ def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None
     """
     ship_package(requests.sparkSession)
     q = requests.select("request_id", "text", "target_lang").dropDuplicates(["request_id"])
-    r = results.select("result_id", "request_id", "backend", "candidates").dropDuplicates(["result_id"])
+    # a result delivered again repeats its request, so that one exchange serves both its removal and the join
+    r = results.select("result_id", "request_id", "backend", "candidates").repartition("request_id").dropDuplicates(["request_id", "result_id"])
     joined = isinstance(counts, DataFrame)
     table = None if joined else counts
     r = r.join(counts, "result_id", "left") if joined else r
@@ -296,7 +307,10 @@ def truncated(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def truncation_rates(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """(backend, n_candidates, n_truncated, rate, n_at_limits, limits): how often each backend's candidates break off, how many of them at its significant lengths, and these lengths in order; spellings of a backend count as one."""
+    """(backend, n_candidates, n_truncated, rate, n_at_limits, limits): how often each backend's candidates break off.
+
+    n_at_limits of them do so at the backend's significant lengths, which ``limits`` has in order; spellings of a backend count as one.
+    """
     p = _prepared(requests, results, None)
     g = p.filter("kind <> 'empty'").groupBy("backend").agg(
         F.count("*").alias("n_candidates"), F.count_if("truncated").alias("n_truncated"), F.count_if(F.col("path") == "limit").alias("n_at_limits"),

@@ -23,6 +23,8 @@ from .common import map_arrow, ship_package
 
 #: Log-likelihood ratio from which a word counts as starter, abbreviation or collocation (chi-squared, p = 0.005).
 RATIO = 7.88
+#: Learned starters up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_STARTERS = 500_000
 #: A word of a language with fewer periods than this is decided by the statistics of all languages.
 FEW = 5
 #: Longest chunk that can be an opening phrase; length of Thai line edges.
@@ -152,9 +154,10 @@ def learn(docs: DataFrame) -> Statistics:
         ).select("lang", F.col("w").alias("x"), F.lit(1).alias("is_start"))
         # three small jobs: one plan over all of it would keep the driver busy with planning
         begins = [(r.lang, r.x) for r in starters.select("lang", "x").collect()]
+        near = F.broadcast if len(begins) <= BROADCAST_STARTERS else lambda d: d
         known = spark.createDataFrame(begins, "lang string, x string").withColumn("is_start", F.lit(1))
         anywhere = known.filter(F.col("lang") == ALL).select("x", F.lit(1).alias("is_start_all"))
-        p = both.filter("kind = 'P'").join(F.broadcast(known), ["lang", "x"], "left").join(F.broadcast(anywhere), "x", "left")
+        p = both.filter("kind = 'P'").join(near(known), ["lang", "x"], "left").join(near(anywhere), "x", "left")
         start = F.coalesce("is_start", "is_start_all") == 1
         w = p.groupBy("lang", "w").agg(
             F.sum("n").cast("double").alias("n"), F.sum(F.when(start, F.col("n")).otherwise(0)).cast("double").alias("k"),
