@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 from uuid import uuid4
 
 import pyarrow as pa
@@ -47,7 +47,8 @@ _BY_CHARACTER = re.compile("[\u0900-\u0963\u0966-\u097f\u0e00-\u0e7f\u3040-\u30f
 _SIGNED = re.compile("[\u0900-\u0e7f]")
 _THAI = re.compile("[\u0e00-\u0e7f]")
 _MARK = re.compile(r"[.!?]+(?=\s|$)|[。！？।؟]+")
-_PLAIN_MARK, _WIDE_MARK = re.compile(r"[.!?]+(?=\s|$)"), re.compile("[。！？।؟]")
+#: What makes a text's sentences end otherwise than behind a mark and white space, or its endings count by characters.
+_SPECIAL = re.compile("[。！？।؟\u0900-\u0963\u0966-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
 _THAI_END = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 
 
@@ -155,33 +156,25 @@ class Endings:
         core, broken = strip_break(unwrap(text))
         if not core:
             return
-        plain = core.isascii()
-        marks = _PLAIN_MARK if plain or not _WIDE_MARK.search(core) else _MARK
-        ends = {m.start() for m in marks.finditer(core)}
         stops = core[-1] in TERMINALS
         if not broken and not stops and len(core) <= HEADING:
             self.whole[core.casefold()] += times
-        if not plain and _THAI.search(core):
-            ends |= {m.start() for m in _THAI_END.finditer(core)}
-        if not broken and not stops:
-            ends.add(len(core))
-        words: list[str] = []
-        at = 0
-        for e in sorted(ends):  # no token reaches over the end of a sentence
-            words += _words(core[at:e])
-            at = e
-            if e and core[e - 1] >= "\u0900" and _BY_CHARACTER.match(core[e - 1]):
-                long, short = tail(core[max(0, e - 80) : e])
-            elif words:
-                short = words[-1]
-                long = f"{words[-2]} {short}" if len(words) > 1 else short
-            else:
-                continue
-            if short and not (len(short) == 1 and short.isalpha() and short < "ʰ"):
-                self.end[long] += times
-                self.end[short] += times
-        words += _words(core[at:])
-        n = 0 if plain or not _BY_CHARACTER.search(core) else 8 if _SIGNED.search(core) else 4
+        n = 0
+        if core.isascii() or not _SPECIAL.search(core):
+            # sentences end where a run of characters without white space ends with a mark
+            runs = core.split()
+            parts = list(map(_chunks.__getitem__, runs))
+            words = list(chain.from_iterable(parts))
+            behind = list(accumulate(map(len, parts)))
+            ends = [k for k, run in zip(behind, runs) if run[-1] in ".!?"]
+            if not broken and not stops:
+                ends.append(len(words))
+            for k in ends:
+                if k:
+                    self._end(f"{words[k - 2]} {words[k - 1]}" if k > 1 else words[0], words[k - 1], times)
+        else:
+            words = self._special_ends(core, broken or stops, times)
+            n = 0 if not _BY_CHARACTER.search(core) else 8 if _SIGNED.search(core) else 4
         size, half = len(core), n // 2
         if asked is None:
             grams = list(map(" ".join, zip(words, words[1:])))
@@ -200,6 +193,30 @@ class Endings:
             for k, n in Counter(words + grams).items():
                 self.any[k] += n * times
 
+    def _end(self, long: str, short: str, times: int) -> None:
+        if short and not (len(short) == 1 and short.isalpha() and short < "ʰ"):
+            self.end[long] += times
+            self.end[short] += times
+
+    def _special_ends(self, core: str, closed: bool, times: int) -> list[str]:
+        """Count the ends of a text with wide marks or with endings by characters; its words."""
+        ends = {m.start() for m in _MARK.finditer(core)}
+        if _THAI.search(core):
+            ends |= {m.start() for m in _THAI_END.finditer(core)}
+        if not closed:
+            ends.add(len(core))
+        words: list[str] = []
+        at = 0
+        for e in sorted(ends):  # no token reaches over the end of a sentence
+            words += _words(core[at:e])
+            at = e
+            if e and _BY_CHARACTER.match(core[e - 1]):
+                self._end(*tail(core[max(0, e - 80) : e]), times)
+            elif words:
+                self._end(f"{words[-2]} {words[-1]}" if len(words) > 1 else words[0], words[-1], times)
+        words += _words(core[at:])
+        return words
+
     def likelihood(self, core: str) -> float:
         """Share of the occurrences of the text's last n-gram that end a sentence; 0 for an n-gram never seen at an end."""
         long, short = tail(core.rstrip(TERMINALS + " "))

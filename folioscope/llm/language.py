@@ -385,26 +385,24 @@ class LanguageModel:
             out.append((NAMES[k], float(1 / np.exp(s - s[k]).sum()), s))
         return out
 
-    def totals(self, texts: list[str]) -> list[np.ndarray | None]:
-        """For each text its summed n-gram scores (relative to the best of each word, 0); None for a text without words."""
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts that hold words, and the summed n-gram scores of each (relative to the best of each word, 0)."""
         self._trim()
         flat: list[int] = []
         cuts, owner = [], []
         rows_of = self.runs.__getitem__
         for i, t in enumerate(texts):
+            begin = len(flat)
             if " v" in t and _VERSION.search(t):  # the one token that holds a blank
-                ids = self.gram_rows(t)
+                flat += self.gram_rows(t)
             else:
-                ids = list(chain.from_iterable(map(rows_of, t.split())))
-            if ids:
-                cuts.append(len(flat))
+                flat += chain.from_iterable(map(rows_of, t.split()))
+            if len(flat) > begin:
+                cuts.append(begin)
                 owner.append(i)
-                flat += ids
-        out: list[np.ndarray | None] = [None] * len(texts)
-        if flat:
-            for i, s in zip(owner, np.add.reduceat(self._matrix()[np.array(flat)], np.array(cuts), axis=0)):
-                out[i] = s
-        return out
+        if not flat:
+            return np.zeros(0, np.int64), np.zeros((0, K), np.float32)
+        return np.array(owner), np.add.reduceat(self._matrix()[np.array(flat)], np.array(cuts), axis=0)
 
     def posteriors(self, toks: list[list[str]]) -> list[list[np.ndarray]]:
         """For each text the summed n-gram scores (relative to the best, 0) of its sentences that hold words."""

@@ -15,6 +15,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -64,17 +65,18 @@ _CUES = {
 }
 _REFUSAL = re.compile("|".join(f"(?:{c})" for c in _CUES.values()))
 _CUE = {k: re.compile(c) for k, c in _CUES.items()}
-# Parts of words of which every cue holds one.
-_STEMS = (
-    "sorry afraid declin refus can't cannot can&not won't will&not unable not&able rather&not prefer&not i'm language&model guidelines unfortunately apolog "
-    "désol navré je&ne je&n' je&dois modèle malheureus impossible "
-    "tut&mir ich&kann ich&darf ich&werde ablehnen sprachmodell leider entschuldig lo&siento no&puedo no&me modelo debo lamentablemente disculpe perdón lament "
-    "desculpe infelizmente não&posso não&me devo sinto "
-    "mi&dispiace mi&rincresce non&posso non&sono modello purtroppo spiacente spijt ik&kan ik&mag ik&zal ik&moet taalmodel helaas извините простите сожалению "
-    "я&не вынужден языков "
-    "抱歉 对不起 很遗憾 我无法 我不能 我不可以 语言模型 拒绝 申し訳 すみません 残念ながら お断り 言語モデル お応え お答え 翻訳することはできません 翻訳できかねます عذرا آسف أعتذر للأسف لا&أستطيع لا&يمكنني لا&أقدر نموذج "
-    "क्षमा माफ खेद मैं भाषा अस्वीकार ขออภัย ขอโทษ เสียใจ ไม่สามารถ ไม่อาจ โมเดลภาษา แบบจำลองภาษา ปฏิเสธ"
-).split()
+#: Parts of words of which every cue holds one.
+_STEMS = [
+    "sorry", "afraid", "declin", "refus", "can't", "cannot", "can not", "won't", "will not", "unable", "not able", "rather not", "prefer not",
+    "i'm", "language model", "guidelines", "unfortunately", "apolog", "désol", "navré", "je ne", "je n'", "je dois", "modèle", "malheureus",
+    "impossible", "tut mir", "ich kann", "ich darf", "ich werde", "ablehnen", "sprachmodell", "leider", "entschuldig", "lo siento", "no puedo",
+    "no me", "modelo", "debo", "lamentablemente", "disculpe", "perdón", "lament", "desculpe", "infelizmente", "não posso", "não me", "devo",
+    "sinto", "mi dispiace", "mi rincresce", "non posso", "non sono", "modello", "purtroppo", "spiacente", "spijt", "ik kan", "ik mag", "ik zal",
+    "ik moet", "taalmodel", "helaas", "извините", "простите", "сожалению", "я не", "вынужден", "языков", "抱歉", "对不起", "很遗憾", "我无法", "我不能",
+    "我不可以", "语言模型", "拒绝", "申し訳", "すみません", "残念ながら", "お断り", "言語モデル", "お応え", "お答え", "翻訳することはできません", "翻訳できかねます", "عذرا", "آسف", "أعتذر", "للأسف",
+    "لا أستطيع", "لا يمكنني", "لا أقدر", "نموذج", "क्षमा", "माफ", "खेद", "मैं", "भाषा", "अस्वीकार", "ขออภัย", "ขอโทษ", "เสียใจ", "ไม่สามารถ",
+    "ไม่อาจ", "โมเดลภาษา", "แบบจำลองภาษา", "ปฏิเสธ",
+]
 
 
 @lru_cache(1)
@@ -86,7 +88,6 @@ def _stems():
         return None
     a = ahocorasick.Automaton()
     for s in _STEMS:
-        s = s.replace("&", " ")
         a.add_word(s, [k for k, c in _CUES.items() if s in c] or list(_CUES))
     a.make_automaton()
     return a
@@ -221,15 +222,13 @@ def examine(requests: DataFrame, results: DataFrame, model: LanguageModel | None
                         said.append(c)
         if model is not None and todo:
             # the request's languages are only needed where the answer isn't in the target language, or is a copy
-            suspects = []
-            for (at, i), total in zip(todo, model.totals(said)):
-                target = _AT.get(targets[i] or "")
-                if out[at][3] == "copy":
-                    suspects.append((at, i, None))
-                elif total is not None and target is not None:
-                    best = int(total.argmax())
-                    if best != target and total[target] < total[best] - WRONG:
-                        suspects.append((at, i, NAMES[best]))
+            suspects = [(at, i, None) for at, i in todo if out[at][3] == "copy"]
+            which, sums = model.totals(said)
+            if len(which):
+                asked = np.array([_AT.get(targets[todo[k][1]] or "", -1) for k in which.tolist()])
+                best, line = sums.argmax(1), np.arange(len(which))
+                odd = (asked >= 0) & (best != asked) & (sums[line, asked] < sums[line, best] - WRONG)
+                suspects += [(*todo[which[k]], NAMES[best[k]]) for k in np.flatnonzero(odd).tolist()]
             rows = sorted({i for _, i, _ in suspects})
             of_row = dict(zip(rows, model.posteriors([tokens(_PLACEHOLDER.sub(" ", texts[i] or "")) for i in rows])))
             for at, i, lang in suspects:
