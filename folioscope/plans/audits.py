@@ -432,6 +432,21 @@ def numbering_pairs(spark, d):
     )
 
 
+_LINE_SECTION = _SECTION.replace("source_text", "x")
+
+
+@query(
+    rf"WITH {_HEADLINES}, n AS (SELECT doc_id, line_no, x, {_PREFIX('x')} AS sp, {_LINE_SECTION} AS sec FROM h), "
+    rf"m AS (SELECT *, substring(x, length(sp) + 1) AS bare FROM n WHERE sp <> ''), k AS (SELECT *, {_PREFIX('bare')} AS tp FROM m) SELECT doc_id, line_no, bare, "
+    "CASE WHEN tp <> '' THEN bare WHEN sec <> '' AND NOT starts_with(lower(bare), lower(sec)) THEN sec || bare ELSE sp || bare END AS fixed FROM k"
+)
+def numbering_lines(spark, d):
+    """Numbered lines of all documents with their numbering taken away and put back; what is left of some has a numbering of its own (X-08, X-09)."""
+    ln = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "x"))
+    ln = ln.withColumn("n", T.numbering(F.col("x"))).filter("n.prefix <> ''").select("doc_id", "line_no", "x", F.col("n.rest").alias("bare"))
+    return ln.select("doc_id", "line_no", "bare", T.keep_numbering(F.col("x"), F.col("bare")).alias("fixed"))
+
+
 _MASKED = (
     "list_reduce(list_concat([coalesce(b.text, '')], coalesce(e.ts, [])), lambda acc, x, i: CASE WHEN x <> '' AND instr(acc, x) > 0 "
     "THEN left(acc, instr(acc, x) - 1) || '@@BLK_MATH_INLINE_' || lpad((i - 1)::VARCHAR, 4, '0') || '@@' || substring(acc, instr(acc, x) + length(x)) ELSE "
