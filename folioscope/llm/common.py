@@ -28,11 +28,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 
 def bounded_sample(df: DataFrame, size: int) -> list:
-    """At most ``size`` rows of a table with an id, those first in the order of a hash of the id; about twice as many move at most."""
-    n = df.count()
+    """At most ``size`` rows of a table with an id, one for each id, those first in the order of a hash of the id; about twice as many move at most."""
+    n = df.select("id").distinct().count()
     if n > 2 * size:
         df = df.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.3 * size / n)))
-    return df.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(size).collect()
+    return df.dropDuplicates(["id"]).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(size).collect()
 
 
 def newest(df: DataFrame, key: str) -> DataFrame:

@@ -435,7 +435,7 @@ class LanguageModel:
 
 
 def fit_model(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> LanguageModel:
-    """Model from rows (id, text, lang); at most ``sample`` texts, chosen by a hash of the id, reach the driver."""
+    """Model from rows (id, text, lang), of which each id counts once; at most ``sample`` texts, chosen by a hash of the id, reach the driver."""
     rows = bounded_sample(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("id", "text", "lang"), sample)
     toks = [tokens(r.text) for r in rows]
     model = LanguageModel()
@@ -504,9 +504,12 @@ def segments(
 
 def labelled_requests(requests: DataFrame, lookup: dict[str, str]) -> DataFrame:
     """Distinct requests with ``declared``, the code that source_lang denotes (null: none)."""
-    return requests.select("request_id", "text", "source_lang").dropDuplicates(["request_id"]).withColumn(
-        "declared", language_code(F.col("source_lang"), lookup)
-    )
+    return requests.select("request_id", "text", "source_lang").dropDuplicates(["request_id"]).withColumn("declared", language_code(F.col("source_lang"), lookup))
+
+
+def labels(requests: DataFrame, lookup: dict[str, str]) -> DataFrame:
+    """(id, text, lang) of all requests as ``fit_model`` takes them; rows delivered again are still there."""
+    return requests.select(F.col("request_id").alias("id"), "text", language_code(F.col("source_lang"), lookup).alias("lang"))
 
 
 def found(requests: DataFrame, lookup: dict[str, str], sample: int = SAMPLE_TEXTS) -> DataFrame:
@@ -515,6 +518,6 @@ def found(requests: DataFrame, lookup: dict[str, str], sample: int = SAMPLE_TEXT
     A request delivered again counts once; null source_lang names no language; a null, blank or wordless text is no case.
     """
     r = labelled_requests(requests, lookup)
-    model = fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")), sample)
+    model = fit_model(labels(requests, lookup), sample)
     s = segments(r, model, keep=("declared",), prior="declared")
     return s.filter((F.col("n_segments") > 1) | F.col("declared").isNull() | (F.col("declared") != F.col("lang"))).select("request_id", "seg_no", "lang")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, ship_package
 from .endings import counted, incomplete, invariants, learned_endings, shared, unwrap
-from .language import _AT, NAMES, LanguageModel, fit_model, labelled_requests, tokens
+from .language import _AT, NAMES, LanguageModel, fit_model, labels, tokens
 
 #: Neighbouring lengths on each side that a hazard is tested against; false-discovery rate; fewest candidates of a tested length.
 NEIGHBOURS, FALSE_DISCOVERIES, LEAST = 8, 0.01, 4
@@ -285,8 +285,7 @@ def _prepared(requests: DataFrame, results: DataFrame, lookup: dict[str, str] |
     counts = learned_endings(requests.select("text").unionByName(results.select(F.explode("candidates").alias("text"))), results)
     model = None
     if lookup is not None:
-        r = labelled_requests(requests, lookup)
-        model = fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")), LANGUAGE_SAMPLE)
+        model = fit_model(labels(requests, lookup), LANGUAGE_SAMPLE)
     seen = examine(requests, results, model, counts).persist(StorageLevel.DISK_ONLY)
     seen.count()  # else the stages that read it at the same time would each work it out
     cuts = cut_lengths(seen).select("backend", "size", F.lit(True).alias("at_limit"))

@@ -23,8 +23,8 @@ def p1_found(spark, d):
 
 def p1_segments(spark, d):
     """Every segment of every request with its confidence."""
-    r = language.labelled_requests(read_table(spark, d, "requests"), code_lookup(spark, d))
-    model = language.fit_model(r.select(F.col("request_id").alias("id"), "text", F.col("declared").alias("lang")))
+    q, codes = read_table(spark, d, "requests"), code_lookup(spark, d)
+    r, model = language.labelled_requests(q, codes), language.fit_model(language.labels(q, codes))
     return language.segments(r, model)
 
 
