@@ -70,7 +70,7 @@ def test_tokens_of_look_alikes_only_go_by_their_document(spark):
 
 def test_the_vocabulary_decides_between_readings():
     assert L.readings("mоdel", "lcg") == ["model"] and L.readings("сор", "clg")[:2] == ["сор", "cop"] and L.readings("жz", "lcg") == []
-    assert L.proposals("сор", "lcg") == [(0, 3, ["cop", "сор"])] and L.proposals("сор", "clg") == []
+    assert L.proposals("сор", "lcg") == [(0, 3, ["cop", "сор", "ϲορ"])] and L.proposals("сор", "clg") == []
 
 
 def test_copies_are_not_compared_with_each_other(spark):
